@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, packing, pieces, tokens
+from . import chat, common, fingerprints, packing, pieces, rules, tokens
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,11 +38,19 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(common.documents(spark, sf_dir))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.apply_rules(common.documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tokens.token_pieces(common.documents(spark, sf_dir), common.vocabulary("word_bpe_49k.json"), limit=2048, end_id=0)
     return packing.place(common.checkpoint(found), capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op4_sentencepiece, op5_chat, op6_token_counts, op10_packing)}
+QUERIES = {f.__name__: f for f in (op4_sentencepiece, op5_chat, op6_token_counts, op8_fingerprints, op9_quality_rules, op10_packing)}
 
 ORACLES: dict[str, str] = {}
