@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, fingerprints, packing, pieces, rules, tokens
+from . import chat, common, fingerprints, licences, lines, packing, pieces, rules, tokens
+
+
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(common.documents(spark, sf_dir)).withColumn("licences", F.array_join("licences", ","))
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +42,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.dedup_lines(common.documents(spark, sf_dir).select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("clean_chars"), F.sha2("text", 256).alias("clean_sha256"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(common.documents(spark, sf_dir))
 
@@ -51,6 +60,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place(common.checkpoint(found), capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op4_sentencepiece, op5_chat, op6_token_counts, op8_fingerprints, op9_quality_rules, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_licences, op4_sentencepiece, op5_chat, op6_token_counts, op7_line_dedup, op8_fingerprints, op9_quality_rules, op10_packing)}
 
 ORACLES: dict[str, str] = {}
