@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, fingerprints, licences, lines, packing, pieces, rules, tokens
+from . import chat, common, fingerprints, licences, lines, neardup, packing, pieces, rules, tokens
 
 
 def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(common.documents(spark, sf_dir)).withColumn("licences", F.array_join("licences", ","))
 
 
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(common.documents(spark, sf_dir), neardup.Settings(words=3, percent=85))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pieces.encode_pieces(common.documents(spark, sf_dir), common.vocabulary("piece_bpe_32k.model"))
     return rows.select(
@@ -60,6 +64,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place(common.checkpoint(found), capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_licences, op4_sentencepiece, op5_chat, op6_token_counts, op7_line_dedup, op8_fingerprints, op9_quality_rules, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_licences, op3_neardup, op4_sentencepiece, op5_chat, op6_token_counts, op7_line_dedup, op8_fingerprints, op9_quality_rules, op10_packing)}
 
 ORACLES: dict[str, str] = {}
