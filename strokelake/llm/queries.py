@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, fingerprints, licences, lines, neardup, packing, pieces, rules, tokens
+from . import chat, classifier, common, fingerprints, licences, lines, neardup, packing, pieces, rules, tokens
 
 
 def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(common.documents(spark, sf_dir)).withColumn("licences", F.array_join("licences", ","))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, settings = common.documents(spark, sf_dir), classifier.Settings()
+    model = classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), settings)
+    rows = classifier.score(docs, model)
+    return rows.select("doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= settings.threshold).cast("int").alias("predicted"))
+
+
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(common.documents(spark, sf_dir), neardup.Settings(words=3, percent=85))
 
@@ -64,6 +71,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place(common.checkpoint(found), capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_licences, op3_neardup, op4_sentencepiece, op5_chat, op6_token_counts, op7_line_dedup, op8_fingerprints, op9_quality_rules, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_licences, op2_quality_classifier, op3_neardup, op4_sentencepiece, op5_chat, op6_token_counts, op7_line_dedup, op8_fingerprints, op9_quality_rules, op10_packing)}
 
 ORACLES: dict[str, str] = {}
