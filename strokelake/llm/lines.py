@@ -84,7 +84,9 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     halves = distinct.select("_place", F.explode(F.array_distinct("_halves")).alias("_half"))
     shared = halves.groupBy("_half").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_half")
     wanted = _maybe_broadcast(checkpoint(halves.join(shared, "_half", "left_semi").select("_place").distinct()), broadcast_rows)
-    gone = near_lines(checkpoint(hashed.join(wanted, "_place", "left_semi").dropDuplicates(["_place"])))
+    # Each of these lines becomes as many rows as it has characters, so they are spread over more tasks than their bytes ask for.
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    gone = near_lines(checkpoint(hashed.join(wanted, "_place", "left_semi").dropDuplicates(["_place"]).repartition(parts, "_h1", "_h2")))
     # Only lines that go altogether or occur again have a say; the others needn't meet their texts once more.
     heads = distinct.join(gone.withColumn("_gone", F.lit(True)), ["_h1", "_h2"], "left").filter("_gone or _n > 1").select("_h1", "_h2", F.col("_place").alias("_first"), "_gone")
     hit = hashed.select("_h1", "_h2", "_place").join(_maybe_broadcast(checkpoint(heads), broadcast_rows // 2), ["_h1", "_h2"])
@@ -110,3 +112,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "n_dropped": F.when(F.col("_dropped").isNull(), F.lit(0)).otherwise(F.size("_dropped")).cast("long"),
     }
     return rows.withColumns(counts | {text_col: F.when(F.col("_dropped").isNull(), F.col(text_col)).otherwise(kept)}).drop("_dropped")
+
+
+def without_emptied(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows of ``dedup_lines`` less the documents that lost every line of the minimum length, and less the two counts."""
+    left = F.exists(F.split(F.col(text_col), "\n", -1), lambda line: F.length(line) >= MIN_CHARS)
+    return rows.filter((F.col("n_dropped") == 0) | left).drop("n_lines", "n_dropped")

@@ -28,14 +28,14 @@ class Rule:
     unit: float = 1.0
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, _text, _words`` and the base counts of each row, all exact and over the whole text.
+def measured(docs: DataFrame, carried: Column, text_col: str = "text") -> DataFrame:
+    """The carried column, ``_text, _words`` and the base counts of each row, all exact and over the whole text.
 
     n_words; word_chars, code points in words; n_symbols, characters of ``#*$%&|<>``; n_dup_lines, lines with a word that
     equal an earlier one; n_repeat_words, words inside three-word windows that occur twice or more. Null and empty texts
     have zero counts.
     """
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = docs.select(carried.alias("_carried"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = rows.withColumn("_words", words_of(F.col("_text")))
     rows = rows.withColumn("n_words", F.size("_words").cast("long"))
     lines = F.expr(r"transform(filter(split(_text, '\n', -1), l -> l rlike '[^\\x20\\x09-\\x0D]'), l -> xxhash64(l))")
@@ -50,7 +50,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # The words covered by windows that begin at sorted places: three for each, less what overlaps the one before.
     covered = "aggregate(transform(_places, (p, k) -> if(k = 0, 3, least(3, p - _places[k - 1]))), 0L, (a, x) -> a + x)"
     return rows.select(
-        F.col(id_col),
+        "_carried",
         "_text",
         "_words",
         "n_words",
@@ -93,15 +93,29 @@ def order_rules(measured_rows: DataFrame, rules: list[Rule], sample_rows: int =
     return [rules[k] for k in sorted(range(len(rules)), key=lambda k: (-score(k), k))]
 
 
+def verdict(rows: DataFrame, rules: list[Rule] | None, sample_rows: int) -> Column:
+    """Whether a measured row passes the base and then every rule, each looked at only if the ones before it pass."""
+    cascade = F.lit(True)
+    for rule in reversed(order_rules(rows, rules or default_rules(), sample_rows)):
+        cascade = F.when(F.coalesce(rule.rejects, F.lit(False)), F.lit(False)).otherwise(cascade)
+    return F.when(base_failed(), F.lit(False)).otherwise(cascade)
+
+
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``id_col``, the base counts, ``base_failed`` and ``kept`` for each row.
 
     A null or empty text fails the base. Repeated rows each give a row; a null id stays; other columns are not read; an
     empty table gives an empty result.
     """
-    rows = measured(docs, id_col, text_col)
-    cascade = F.lit(True)
-    for rule in reversed(order_rules(rows, rules or default_rules(), sample_rows)):
-        cascade = F.when(F.coalesce(rule.rejects, F.lit(False)), F.lit(False)).otherwise(cascade)
+    rows = measured(docs, F.col(id_col), text_col)
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return rows.select(F.col(id_col), *counts, base_failed().alias("base_failed"), F.when(base_failed(), F.lit(False)).otherwise(cascade).alias("kept"))
+    return rows.select(F.col("_carried").alias(id_col), *counts, base_failed().alias("base_failed"), verdict(rows, rules, sample_rows).alias("kept"))
+
+
+def keep_passing(docs: DataFrame, text_col: str = "text", rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """All columns of the rows that pass.
+
+    Rows go through a generator and not a filter, which would be pushed below the projections with copies of their expressions.
+    """
+    rows = measured(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), text_col)
+    return rows.select(F.inline(F.when(verdict(rows, rules, sample_rows), F.array("_carried"))))
