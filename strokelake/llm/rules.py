@@ -70,9 +70,9 @@ def base_failed() -> Column:
 def default_rules() -> list[Rule]:
     """Limits that keep prose of any language with spaced words and reject shouting, markup, tables and boilerplate."""
     words, count = F.col("_words"), F.col("n_words")
-    share = lambda condition: F.size(F.filter(words, condition)) / count
+    share = lambda condition: F.try_divide(F.size(F.filter(words, condition)), count)
     return [
-        Rule("mean_word_length", ~(F.col("word_chars") / count).between(2, 14), F.lit(1)),
+        Rule("mean_word_length", ~F.try_divide(F.col("word_chars"), count).between(2, 14), F.lit(1)),
         Rule("symbols", F.col("n_symbols") > 0.1 * count, F.lit(1)),
         Rule("duplicate_lines", F.col("n_dup_lines") > 0.4 * F.col("_n_lines"), F.lit(1)),
         Rule("shouting", F.length(F.regexp_replace("_text", r"\P{Lu}+", "")) > 0.4 * F.col("word_chars"), F.length("_text"), 0.02),
