@@ -7,6 +7,7 @@ apart at all; neither bound loses a match.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -55,7 +56,7 @@ def template_bigrams(text: str) -> list[str]:
 def size_bounds(n: int, threshold: float) -> tuple[int, int]:
     """Numbers of bigrams that a passage can have if its Dice coefficient with n bigrams is to reach the threshold."""
     ratio = threshold / (2 - threshold)
-    return int(-(-n * ratio // 1)), int(n / ratio)
+    return math.ceil(n * ratio - 1e-9), math.floor(n / ratio + 1e-9)
 
 
 def required_words(templates: dict[str, tuple[str, ...]], threshold: float) -> list[str]:
