@@ -45,9 +45,8 @@ def minima(frame: DataFrame, text: Column, name: str) -> DataFrame:
     frame = frame.withColumn(dense, F.expr(f"transform({dense}, x -> if({empty('x')}, cast(null as bigint), x))"))
     probes = ", ".join(f"{dense}[cast(pmod(xxhash64(k, {t}), {BINS}) as int)]" for t in range(PROBES))
     ranked = f"{dense}[array_min(transform(sequence(0, {BINS - 1}), j -> if({dense}[j] is null, cast(null as struct<r: bigint, j: int>), struct(xxhash64(k, j, -1) as r, j as j)))).j]"
-    filled = F.when(F.col(dense).isNull(), F.lit(None).cast("array<bigint>")).when(
-        F.exists(dense, lambda x: x.isNull()), F.expr(f"transform({dense}, (x, k) -> coalesce(x, {probes}, {ranked}))")
-    ).otherwise(F.col(dense))
+    # Hashed once more with the bin, so that the bits of a minimum that many bins borrowed are independent.
+    filled = F.when(F.col(dense).isNull(), F.lit(None).cast("array<bigint>")).otherwise(F.expr(f"transform({dense}, (x, k) -> xxhash64(coalesce(x, {probes}, {ranked}), k))"))
     return frame.withColumn(name, filled).drop(words, s, dense)
 
 
