@@ -95,7 +95,7 @@ def with_next(rows: DataFrame, id_col: str, columns: tuple[str, ...]) -> DataFra
     Rows are dealt to ranges of ids; the first row of each range also stands, as a guest, at the end of the range before.
     The bounds of the ranges are a fixed number of quantiles. Rows of equal id stand in any order; null ids stand first.
     """
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # several ranges a task even out
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     bounds = sorted({int(x) for x in rows.select(key.cast("double").alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], 0.1 / parts)})
     dealt = rows.withColumn("_key", key).withColumn("_range", F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), lambda b: b <= F.col("_key"))))
