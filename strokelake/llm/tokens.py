@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -132,47 +133,50 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
 # --- word BPE: white space separates tokens and is dropped ---
 
-#: A full stop or comma behind a letter or digit and before white space is a token of its own.
-_STOPS = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \n]|$)")
-
-
 class WordEncoder:
     """Ids of a BPE that lower-cases, drops white space and marks word ends, as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.memo = _tokenizer(path), TwoGenerations()
-        self.plain = Tokenizer(self.tokenizer.model)  # for words of a-z only, to which normalisation does nothing
-        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.tokenizer, self.memo = _tokenizer(path), TwoGenerations(400_000)
+        self.plain = Tokenizer(self.tokenizer.model)  # for words of letters only, to which the rest of the normaliser does nothing
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.stops = {c: np.array(self.tokenizer.encode(chr(c), add_special_tokens=False).ids, "<u4").tobytes() for c in b".,"}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = []
-        for t in texts:
-            b = t.encode().lower()  # A-Z only; other letters are left to the library
-            parts.append(_STOPS.sub(rb" \1", b).split())
-        self._learn({w for p in parts for w in p})
+        parts = [t.encode().lower().split() for t in texts]  # A-Z only; other letters are left to the library
+        self._learn(set().union(*parts))
         known = self.memo.young.__getitem__
         out = [b"".join(map(known, p)) for p in parts]
         self.memo.turn()
         return out
 
+    @staticmethod
+    def _letters(word: bytes) -> bool:
+        """Letters of the Latin blocks only, composed: there, lower-casing is the same everywhere and nothing else applies."""
+        return word.isalpha() or not word.isascii() and (w := word.decode()).isalpha() and max(w) < "\u0250" and "\u0130" not in w and unicodedata.is_normalized("NFC", w)
+
     def _learn(self, keys: set) -> None:
-        new = self.memo.missing(keys)
-        plain = [k for k in new if k.isalpha()]  # of bytes: a-z, since the rest was lowered
-        rest = [k for k in new if not k.isalpha()]
-        for a, b in byte_slices(plain, BATCH_BYTES):
-            ids = np.array(self.plain.encode(b" ".join(plain[a:b]).decode(), add_special_tokens=False).ids, "<u4")
-            at = np.flatnonzero(self.ends[ids]) + 1
+        """A stop or comma behind letters is a token of its own, so such a word is its letters' ids and one more."""
+        memo = self.memo
+        new = memo.missing(keys)
+        ended = [k for k in new if k[-1] in b".," and self._letters(k[:-1])]
+        bases = memo.missing({k[:-1] for k in ended}.union(k for k in new if self._letters(k)))
+        for a, b in byte_slices(bases, BATCH_BYTES):
+            ids = np.array(self.plain.encode(b" ".join(bases[a:b]).decode().lower(), add_special_tokens=False).ids, "<u4")
+            cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
             raw = ids.tobytes()
-            cuts = [0, *(at * 4).tolist()]
-            self.memo.put(plain[a:b], [raw[x:y] for x, y in zip(cuts, cuts[1:])])
+            memo.put(bases[a:b], [raw[x:y] for x, y in zip(cuts, cuts[1:])])
+        young = memo.young
+        memo.put(ended, [young[k[:-1]] + self.stops[k[-1]] for k in ended])
+        rest = [k for k in new if k not in young]
         for a, b in byte_slices(rest, BATCH_BYTES):
             found = self.tokenizer.encode_batch_fast([k.decode() for k in rest[a:b]], add_special_tokens=False)
-            self.memo.put(rest[a:b], [np.array(e.ids, "<u4").tobytes() for e in found])
+            memo.put(rest[a:b], [np.array(e.ids, "<u4").tobytes() for e in found])
 
 
 _ENCODERS: dict = {}
