@@ -214,9 +214,8 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 def decode_pieces(rows: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """The text of each row's ids by the library's decode; null ids give null. All columns stay."""
 
-    @F.pandas_udf("string")
     def decode(ids):
         library = _encoder(model_path).library
         return ids.map(lambda x: None if x is None else library.decode([int(i) for i in x]))
 
-    return rows.withColumn(out_col, decode(ids_col))
+    return rows.withColumn(out_col, F.pandas_udf(decode, "string")(ids_col))
