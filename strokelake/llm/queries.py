@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, classifier, common, fingerprints, licences, lines, neardup, packing, pieces, rules, tokens
+from .oracles import ORACLES  # noqa: F401
 
 
 def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,5 +73,3 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_licences, op2_quality_classifier, op3_neardup, op4_sentencepiece, op5_chat, op6_token_counts, op7_line_dedup, op8_fingerprints, op9_quality_rules, op10_packing)}
-
-ORACLES: dict[str, str] = {}
