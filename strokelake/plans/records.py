@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strokelake.functions import binary, layouts
-from strokelake.operators import codecs
+from strokelake.functions import binary, layouts, points
+from strokelake.operators import codecs, play
 from strokelake.sources import metafiles
 
 from .registry import query, table
@@ -138,3 +138,47 @@ def dib_rle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 7 + 1).cast("int").alias("n"), (F.col("event_id") % 16).alias("value"))
     runs = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "n", "value"))).alias("runs"))
     return runs.select("user_id", F.explode(codecs.expand_runs(F.col("runs"))).alias("value")).groupBy("user_id", "value").agg(F.count(F.lit(1)).alias("pixels"))
+
+
+def _drawing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as a drawing: moves, lines, pixels and window origins."""
+    e = table(spark, sf_dir, "events")
+    kind = F.col("event_type")
+    code = F.when(kind == "click", 0x0214).when(kind == "view", 0x0213).when(kind == "purchase", 0x041F).otherwise(0x020B)
+    color = F.when(kind == "purchase", binary.little(F.col("event_id") % 16777216, 4)).otherwise(F.lit(b""))
+    body = F.concat(color, binary.little(F.floor("value") % 32768, 2), binary.little(F.col("event_id") % 32768, 2))
+    record = F.concat(binary.little(3 + F.octet_length(body) / 2, 4), binary.little(code, 2), body)
+    files = metafiles.build_wmf(e.select("user_id", "event_id", record.alias("record")), ["user_id"], ["event_id"])
+    return layouts.decode(metafiles.records(files, "user_id"))
+
+
+@query("""with e as (select user_id, event_id, event_type, event_id % 32768 as x, cast(floor(value) as bigint) % 32768 as y from events),
+ s as (select *, coalesce(last_value(case when event_type in ('signup', 'error') then x end ignore nulls) over w, 0) as ox, coalesce(last_value(case when event_type in ('signup', 'error') then y end ignore nulls) over w, 0) as oy,
+ coalesce(last_value(case when event_type in ('click', 'view') then x end ignore nulls) over p, 0) as px, coalesce(last_value(case when event_type in ('click', 'view') then y end ignore nulls) over p, 0) as py from e
+ window w as (partition by user_id order by event_id rows between unbounded preceding and current row), p as (partition by user_id order by event_id rows between unbounded preceding and 1 preceding))
+ select user_id, case event_type when 'view' then 'line' else 'pixel' end as shape, count(*) as n, cast(sum(x - ox) as double) as sum_x, cast(sum(y - oy) as double) as sum_y, cast(sum(case when event_type = 'view' then px - ox else x - ox end) as double) as sum_from
+ from s where event_type in ('view', 'purchase') group by user_id, shape""")
+def play_drawing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and pixels in device space, after moves and window origins."""
+    decoded = _drawing(spark, sf_dir)
+    drawn = play.operations(decoded, play.contexts(decoded))
+    last, first = F.element_at("points", -1), F.element_at("points", 1)
+    return drawn.groupBy(F.col("file").cast("long").alias("user_id"), "shape").agg(F.count(F.lit(1)).alias("n"), F.sum(last["x"]).alias("sum_x"), F.sum(last["y"]).alias("sum_y"), F.sum(first["x"]).alias("sum_from"))
+
+
+@query("""with e as (select user_id, event_type, event_id % 32768 - 16384 as x, cast(floor(value) as bigint) % 32768 as y from events) select user_id, event_type, count(*) as n, cast(sum(x) as bigint) as sum_x, cast(sum(y) as bigint) as sum_y from e group by user_id, event_type""")
+def poly_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons encoded as one poly-polygon record per user, one polygon per event type, read back natively."""
+    e = table(spark, sf_dir, "events")
+    pair = F.concat(binary.little(F.col("event_id") % 32768 - 16384, 2), binary.little(F.floor("value") % 32768, 2))
+    polys = e.groupBy("user_id", "event_type").agg(F.sort_array(F.collect_list(F.struct("event_id", pair.alias("b")))).alias("p"))
+    parts = polys.select("user_id", "event_type", F.size("p").alias("n"), F.aggregate(F.transform("p", lambda x: x["b"]), F.lit(b""), lambda a, x: F.concat(a, x).cast("binary")).alias("b"))
+    whole = parts.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_type", "n", "b"))).alias("q"))
+    join = lambda f: F.aggregate(F.transform("q", f), F.lit(b""), lambda a, x: F.concat(a, x).cast("binary"))
+    body = F.concat(binary.little(F.size("q"), 2), join(lambda q: binary.little(q["n"], 2)), join(lambda q: q["b"]))
+    record = F.concat(binary.little(3 + F.octet_length(body) / 2, 4), binary.little(F.lit(0x0538), 2), body)
+    files = metafiles.build_wmf(whole.select("user_id", F.lit(0).alias("k"), record.alias("record")), ["user_id"], ["k"])
+    rows = points.polygons(metafiles.records(files, "user_id").filter("type = 1336"))
+    named = rows.select(F.col("file").cast("long").alias("user_id"), F.posexplode("polygons").alias("k", "p")).join(whole.select("user_id", F.posexplode("q").alias("k", "q")), ["user_id", "k"])
+    total = lambda axis: F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x[axis])
+    return named.select("user_id", F.col("q.event_type").alias("event_type"), F.size("p").cast("long").alias("n"), total("x").alias("sum_x"), total("y").alias("sum_y"))

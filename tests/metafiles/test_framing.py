@@ -103,3 +103,41 @@ def test_layout_tables_are_sound():
     assert len({(f, c) for f, c, _, _ in rows}) == len(rows)
     low = [c % 256 for f, c, _, _ in rows if f == "WMF"]
     assert len(set(low)) == len(low) == 70
+
+
+def test_polygons_stay_inside_their_record(spark):
+    from strokelake.functions import points
+
+    one = struct.pack("<IHH6h", 10, 0x0324, 3, 1, 2, -3, 4, 5, -6)
+    two = struct.pack("<IHH2H6h", 12, 0x0538, 2, 1, 2, 1, 2, -3, 4, 5, -6)
+    long = struct.pack("<IHH6h", 10, 0x0325, 4, 1, 2, -3, 4, 5, -6)
+    none = struct.pack("<IHH", 4, 0x0325, 0)
+    wide = struct.pack("<II16xI4i", 3, 44, 2, 70000, -70000, 7, 8)
+    files = spark.createDataFrame([("w", bytearray(wmf([one, two, long, none]))), ("e", bytearray(emf([wide])))], "path string, content binary")
+    got = {(r.file, r.seq): r.polygons and [[(p.x, p.y) for p in poly] for poly in r.polygons] for r in points.polygons(metafiles.records(files)).collect()}
+    assert got["w", 0] == [[(1, 2), (-3, 4), (5, -6)]] and got["w", 1] == [[(1, 2)], [(-3, 4), (5, -6)]]
+    assert got["w", 2] is None and got["w", 3] == [[]] and got["e", 1] == [[(70000, -70000), (7, 8)]] and got["w", 4] is None
+
+
+def test_playing_keeps_contexts(spark):
+    from strokelake.operators import play
+
+    color = lambda n: struct.pack("<IHHhhI", 8, 0x02FA, 0, 1, 0, n)
+    short = lambda code, *v: struct.pack(f"<IH{len(v)}h", 3 + len(v), code, *v)
+    made = [color(7), short(0x012D, 0), short(0x001E), short(0x020B, 5, 10), short(0x0214, 1, 2), short(0x0213, 3, 4), short(0x0127, -1), short(0x0213, 6, 8), short(0x0127, -1), short(0x01F0, 0), color(9), short(0x012D, 0), short(0x041B, 4, 3, 2, 1), struct.pack("<IHHHHHH", 8, 0x0548, 0, 0, 0, 0, 0)]
+    decoded = layouts.decode(metafiles.records(spark.createDataFrame([("f", bytearray(wmf(made)))], "path string, content binary")))
+    played = play.contexts(decoded)
+    ops = [(r.seq, r.shape, [(p.x, p.y) for p in r.points], r.color) for r in play.operations(decoded, played).orderBy("seq").collect()]
+    assert ops == [(5, "line", [(-8.0, -4.0), (-6.0, -2.0)], 7), (7, "line", [(0.0, 0.0), (8.0, 6.0)], 7), (12, "rectangle", [(1.0, 2.0), (3.0, 4.0)], 16777215)]
+    assert {(r.seq, r.reason) for r in play.reported(decoded, played).collect()} == {(8, "restore level"), (13, "flood fill")}
+
+
+def test_streamed_files(spark, tmp_path):
+    from strokelake.streaming import files
+
+    (tmp_path / "in").mkdir()
+    for i in range(5):
+        (tmp_path / "in" / f"{i}.wmf").write_bytes(wmf() if i else b"no file")
+    for frame, name in ((files.stream_records(spark, str(tmp_path / "in"), 2), "records"), (files.stream_issues(spark, str(tmp_path / "in"), 2), "issues")):
+        frame.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+    assert spark.table("records").filter("name = 'MoveTo'").count() == 4 and spark.table("issues").count() == 1
