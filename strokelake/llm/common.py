@@ -42,6 +42,15 @@ def checkpoint(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+#: Up to so many rows of one or two longs each (at most 32 MB) a side is broadcast; beyond that it is joined by shuffles.
+BROADCAST_ROWS = 1 << 20
+
+
+def maybe_broadcast(frame: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The frame with a broadcast hint if it has few enough rows. It should be cheap to count, e.g. checkpointed."""
+    return F.broadcast(frame) if frame.limit(most + 1).count() <= most else frame
+
+
 def arrow_limits(spark: SparkSession, rows: int = 512) -> None:
     """Small Arrow batches: long texts then bound a batch by rows x text, not by ten thousand texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -11,15 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import BROADCAST_ROWS, checkpoint, maybe_broadcast
 
 #: Shorter lines always stay: a few characters are no boilerplate, and one edit makes another word of them.
 MIN_CHARS = 20
 
-#: Up to so many rows of two longs each (32 MB) a side is broadcast; beyond that it is joined by shuffles.
-BROADCAST_ROWS = 1 << 20
-
-
 def _halves(line: Column) -> Column:
     """Hashes of both halves as they are compared with lines as long as this one and with lines one character shorter or longer.
 
@@ -45,11 +41,6 @@ def _identity(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("_h1"), F.xxhash64(F.lit(7), line).alias("_h2")]
 
 
-def _maybe_broadcast(frame: DataFrame, most: int) -> DataFrame:
-    """The frame with a broadcast hint if it has few enough rows. It should be cheap to count, e.g. checkpointed."""
-    return F.broadcast(frame) if frame.limit(most + 1).count() <= most else frame
-
-
 def near_lines(lines: DataFrame) -> DataFrame:
     """``_h1, _h2`` of the lines that have an earlier one at edit distance one, from distinct lines ``_h1, _h2, _place, _line``.
 
@@ -83,13 +74,13 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     distinct = checkpoint(hashed.withColumn("_halves", _halves(F.col("_line"))).groupBy("_h1", "_h2").agg(F.min("_place").alias("_place"), F.count(F.lit(1)).alias("_n"), F.first("_halves").alias("_halves")))
     halves = distinct.select("_place", F.explode(F.array_distinct("_halves")).alias("_half"))
     shared = halves.groupBy("_half").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_half")
-    wanted = _maybe_broadcast(checkpoint(halves.join(shared, "_half", "left_semi").select("_place").distinct()), broadcast_rows)
+    wanted = maybe_broadcast(checkpoint(halves.join(shared, "_half", "left_semi").select("_place").distinct()), broadcast_rows)
     # Each of these lines becomes as many rows as it has characters, so they are spread over more tasks than their bytes ask for.
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     gone = near_lines(checkpoint(hashed.join(wanted, "_place", "left_semi").dropDuplicates(["_place"]).repartition(parts, "_h1", "_h2")))
     # Only lines that go altogether or occur again have a say; the others needn't meet their texts once more.
     heads = distinct.join(gone.withColumn("_gone", F.lit(True)), ["_h1", "_h2"], "left").filter("_gone or _n > 1").select("_h1", "_h2", F.col("_place").alias("_first"), "_gone")
-    hit = hashed.select("_h1", "_h2", "_place").join(_maybe_broadcast(checkpoint(heads), broadcast_rows // 2), ["_h1", "_h2"])
+    hit = hashed.select("_h1", "_h2", "_place").join(maybe_broadcast(checkpoint(heads), broadcast_rows // 2), ["_h1", "_h2"])
     hit = hit.filter(F.col("_gone").isNotNull() | (F.col("_place") != F.col("_first"))).select("_place.*")
     return hit.groupBy("_id", "_text_hash").agg(F.collect_set("_no").alias("_dropped"))
 
@@ -102,7 +93,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty text has one; an empty table gives an empty result. The two new columns replace columns of these names.
     """
     dropped = dropped_lines(docs, id_col, text_col, broadcast_rows)
-    dropped = _maybe_broadcast(checkpoint(dropped), broadcast_rows // 4)
+    dropped = maybe_broadcast(checkpoint(dropped), broadcast_rows // 4)
     keyed = docs.withColumn("_text_hash", F.xxhash64(F.col(text_col)))
     rows = keyed.join(dropped, [keyed[id_col].eqNullSafe(dropped["_id"]), keyed["_text_hash"] == dropped["_text_hash"]], "left").drop("_id", "_text_hash")
     lines = F.split(F.col(text_col), "\n", -1)

@@ -1,10 +1,15 @@
 """MinHash near-duplicates with b-bit signatures, exact links and connected components.
 
 Texts with the same set of shingles form one class and go on as one row. Minima of many hash functions give band keys; rows that
-share a key are candidates. Of each bucket the most central row is the hub, and every other row is compared with it; rows that
-then still stand in different components of a bucket are compared with each other. Before the full sets are looked at, the
-packed low bits of the minima give an estimate of the similarity, corrected for agreements by chance, and pairs far below the
-threshold are left out. Components are found by passing the smallest id along the links.
+share a key are candidates. Packed low bits of the minima estimate their similarity, corrected for agreements by chance; pairs
+far below the threshold are left out, the rest is confirmed on the full sets.
+
+Candidates of a bucket are never listed as pairs. Its most central row is the hub, and every other row is compared with it.
+What remains are rows that the hub doesn't link. Two rows that link with each other, one of them not with the hub, have a
+shingle in common that the hub lacks, or else one of them lacks more of the hub than it adds: d = A + R being what a row adds
+to and removes from the hub h, a link of x and y needs |dx ^ dy| <= t (|x| + |y|), and x not linked |dx| > t (|x| + |h|), which
+together leave no other case. So unlinked rows are joined on added shingles, which few rows share, and on removed ones only
+with rows that remove more than they add. Rows that have little to do with their hub must share two buckets instead.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoGenerations, arrow_limits, byte_slices, checkpoint
+from .common import TwoGenerations, arrow_limits, byte_slices, checkpoint, maybe_broadcast
 
 
 @dataclass(frozen=True)
@@ -42,6 +47,11 @@ class Settings:
         return self.bands * self.rows
 
 
+#: Estimates from which a row is compared with its hub by sets, below which it is away from it, and below which another row may
+#: be its partner there. A link of two rows keeps their distances to the hub within 0.2 of one another, and estimates err by less
+#: than 0.2, so every pair is on one side or the other.
+AROUND, AWAY, AWAY_PARTNER = 0.5, 0.51, 1.0
+
 #: Odd multipliers and increments of a 64-bit mixing.
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33))
 
@@ -181,15 +191,14 @@ def plausible(a: str, b: str, settings: Settings) -> Column:
     return sizes & (estimate(F.col(f"{a}.bits"), F.col(f"{b}.bits"), settings) >= settings.percent / 100 - settings.margin)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataFrame:
-    """The pairs ``a, b`` that are linked by their full sets, which are built for the rows in question only."""
-    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+def with_sets(pairs: DataFrame, docs: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataFrame:
+    """Adds ``sa``, ``sb``, the full sets of ``a`` and ``b``, which are built for the rows in question only, and ``linked``."""
+    asked = maybe_broadcast(checkpoint(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()))  # else all texts are shuffled
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(asked, "id", "left_semi").dropDuplicates(["id"])
     sets = shingle_sets(texts, settings, "id", "text")
-    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = with_a.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return both.filter(100 * F.col("common") >= settings.percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
+    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.withColumn("linked", 100 * common >= settings.percent * (F.size("sa") + F.size("sb") - common))
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -236,20 +245,49 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     weight = bucketed.groupBy("id").agg(F.sum("n").alias("w"))
     weighed = checkpoint(bucketed.join(weight, "id").select("key", "id", "w"))
     hubs = weighed.groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("minus"))).alias("h")).select("key", (-F.col("h.minus")).alias("hub"))
-    spokes = weighed.join(hubs, "key").filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     known = reps.select("id", "n_shingles", "bits")
-    x, y = known.alias("x"), known.alias("y")
-    star = spokes.join(x, F.col("a") == F.col("x.id")).join(y, (F.col("b") == F.col("y.id")) & plausible("x", "y", settings)).select("a", "b")
-    links = checkpoint(confirm(checkpoint(star), docs, settings, id_col, text_col))
+    spokes = weighed.join(hubs, "key").filter("id <> hub").select("key", F.col("hub").alias("a"), F.col("id").alias("b"))
+    near = spokes.select("a", "b").distinct()
+    near = near.join(known.select(F.col("id").alias("a"), F.col("bits").alias("bits_a")), "a").join(known.select(F.col("id").alias("b"), F.col("bits").alias("bits_b")), "b")
+    near = checkpoint(near.select("a", "b", estimate(F.col("bits_a"), F.col("bits_b"), settings).alias("e")))
+    # Around the hub: who is linked, and what the others add to it or lack of it.
+    around = with_sets(near.filter(F.col("e") >= AROUND).select("a", "b"), docs, settings, id_col, text_col)
+    added, removed = F.array_except("sb", "sa"), F.array_except("sa", "sb")
+    around = checkpoint(around.select("a", "b", "linked", added.alias("added"), F.when(~F.col("linked") | (F.size(added) < F.size(removed)), removed).alias("removed")))
+    links = checkpoint(around.filter("linked").select("a", "b"))
     found = components(links)
-    # Rows of a bucket that are still apart, each with its component: compared across components only.
-    placed = weighed.select("key", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    left = placed.join(apart, "key", "left_semi").join(known, "id")
-    left = checkpoint(left)
-    p, q = left.alias("x"), left.alias("y")
-    rest = p.join(q, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & plausible("x", "y", settings)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    more = confirm(checkpoint(rest), docs, settings, id_col, text_col)
+
+    def placed(rows: DataFrame, column: str) -> DataFrame:
+        """Rows with the component, size and bits of the id in a column."""
+        rows = rows.join(known.withColumnRenamed("id", column), column).join(found.withColumnRenamed("id", column), column, "left")
+        return rows.withColumn("component", F.coalesce("component", column))
+
+    apart = (F.col("x.component") != F.col("y.component")) & plausible("x", "y", settings)
+    pair = (F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b"))
+    # Hubs with a row that they don't link.
+    open_hubs = around.filter(~F.col("linked")).select("a").distinct()
+    spread = placed(around.join(open_hubs, "a", "left_semi"), "b")
+    spread = checkpoint(spread.select("a", "b", "linked", "added", "removed", F.size("added").alias("n_added"), "component", "n_shingles", "bits"))
+    slim = ("a", "b", "linked", "component", "n_shingles", "bits")
+    adds = spread.select(*slim, F.explode("added").alias("shingle"))
+    met = adds.groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("n"), F.bool_and("linked").alias("all")).filter("n > 1 and not all").select("a", "shingle")
+    adds = adds.join(met, ["a", "shingle"], "left_semi")  # most added shingles are in one row only
+    one = adds.filter(~F.col("linked")).alias("x").join(adds.alias("y"), (F.col("x.a") == F.col("y.a")) & (F.col("x.shingle") == F.col("y.shingle")) & apart).select(*pair)
+    # y's removed shingles are in x's but for a few, so any of them beyond that number will meet: R - ((1 - t) A + (1 + t) R) / 2 + 1.
+    t = (100 - settings.percent) / (100 + settings.percent)
+    removed = F.size("removed")
+    few = F.floor(removed - ((1 - t) * F.col("n_added") + (1 + t) * removed) / 2 + 1e-9).cast("int") + 1
+    less = spread.filter(F.col("n_added") < removed).select(*slim, F.explode(F.slice("removed", F.lit(1), few)).alias("shingle"))
+    lacks = spread.filter(~F.col("linked")).join(less.select("a").distinct(), "a", "left_semi").select(*slim, F.explode("removed").alias("shingle"))
+    lacks = lacks.join(less.select("a", "shingle").distinct(), ["a", "shingle"], "left_semi")
+    two = lacks.alias("x").join(less.alias("y"), (F.col("x.a") == F.col("y.a")) & (F.col("x.shingle") == F.col("y.shingle")) & apart).select(*pair)
+    # Away from the hub: such rows share a bucket by a common passage or by chance, so a second one is asked for.
+    members = spokes.join(near, ["a", "b"]).filter(F.col("e") < AWAY_PARTNER).select("key", "b", "e")
+    members = members.join(members.filter(F.col("e") < AWAY).select("key").distinct(), "key", "left_semi")
+    second = placed(members.join(weighed.select(F.col("id").alias("b"), F.col("key").alias("key2")), "b").filter("key <> key2"), "b")
+    three = second.filter(F.col("e") < AWAY).alias("x").join(second.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.key2") == F.col("y.key2")) & apart).select(*pair)
+    rest = checkpoint(one.union(two).union(three).distinct())
+    more = with_sets(rest, docs, settings, id_col, text_col).filter("linked").select("a", "b")
     final = components(links.union(more))
     classed = member.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("id", "n_shingles").join(classed.distinct(), "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))

@@ -133,6 +133,10 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
 # --- word BPE: white space separates tokens and is dropped ---
 
+#: ASCII marks: a run of them is one pre-token.
+_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class WordEncoder:
     """Ids of a BPE that lower-cases, drops white space and marks word ends, as little-endian unsigned 32-bit bytes."""
 
@@ -140,12 +144,14 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.memo = _tokenizer(path), TwoGenerations(400_000)
-        self.plain = Tokenizer(self.tokenizer.model)  # for words of letters only, to which the rest of the normaliser does nothing
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # For words of letters only, to which the rest of the normaliser does nothing; a-z stand for themselves as bytes.
+        self.ascii, self.latin = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
+        self.ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.latin.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.stops = {c: np.array(self.tokenizer.encode(chr(c), add_special_tokens=False).ids, "<u4").tobytes() for c in b".,"}
+        self.marks: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [t.encode().lower().split() for t in texts]  # A-Z only; other letters are left to the library
@@ -156,27 +162,47 @@ class WordEncoder:
         return out
 
     @staticmethod
-    def _letters(word: bytes) -> bool:
+    def _latin(word: bytes) -> bool:
         """Letters of the Latin blocks only, composed: there, lower-casing is the same everywhere and nothing else applies."""
-        return word.isalpha() or not word.isascii() and (w := word.decode()).isalpha() and max(w) < "\u0250" and "\u0130" not in w and unicodedata.is_normalized("NFC", w)
+        return not word.isascii() and (w := word.decode()).isalpha() and max(w) < "\u0250" and "\u0130" not in w and unicodedata.is_normalized("NFC", w)
 
     def _learn(self, keys: set) -> None:
-        """A stop or comma behind letters is a token of its own, so such a word is its letters' ids and one more."""
-        memo = self.memo
+        """Marks behind letters are tokens of their own, so such a word is its letters' ids and those of the marks."""
+        memo, latin, ended = self.memo, self._latin, []
+        kinds: tuple[list, list, list] = [], [], []
+
+        def sort_out(words) -> None:
+            for k in words:
+                kinds[0 if k.isalpha() else 1 if latin(k) else 2].append(k)
+
         new = memo.missing(keys)
-        ended = [k for k in new if k[-1] in b".," and self._letters(k[:-1])]
-        bases = memo.missing({k[:-1] for k in ended}.union(k for k in new if self._letters(k)))
-        for a, b in byte_slices(bases, BATCH_BYTES):
-            ids = np.array(self.plain.encode(b" ".join(bases[a:b]).decode().lower(), add_special_tokens=False).ids, "<u4")
-            cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
-            raw = ids.tobytes()
-            memo.put(bases[a:b], [raw[x:y] for x, y in zip(cuts, cuts[1:])])
-        young = memo.young
-        memo.put(ended, [young[k[:-1]] + self.stops[k[-1]] for k in ended])
-        rest = [k for k in new if k not in young]
+        whole = []
+        for k in new:
+            base = k.rstrip(_MARKS)
+            if len(base) < len(k) and (base.isalpha() or latin(base)):
+                ended.append((k, base, k[len(base) :]))
+            else:
+                whole.append(k)
+        sort_out(whole)
+        if ended:
+            known = set(whole)
+            sort_out(k for k in memo.missing({base for _, base, _ in ended}) if k not in known)
+        for words, tokenizer in ((kinds[0], self.ascii), (kinds[1], self.latin)):
+            for a, b in byte_slices(words, BATCH_BYTES):
+                ids = np.array(tokenizer.encode(b" ".join(words[a:b]).decode().lower(), add_special_tokens=False).ids, "<u4")
+                cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+                raw = ids.tobytes()
+                memo.put(words[a:b], [raw[x:y] for x, y in zip(cuts, cuts[1:])])
+        rest = kinds[2]
         for a, b in byte_slices(rest, BATCH_BYTES):
             found = self.tokenizer.encode_batch_fast([k.decode() for k in rest[a:b]], add_special_tokens=False)
             memo.put(rest[a:b], [np.array(e.ids, "<u4").tobytes() for e in found])
+        young, marks = memo.young, self.marks
+        if len(marks) > 10_000:
+            marks.clear()
+        for m in {m for _, _, m in ended}.difference(marks):
+            marks[m] = np.array(self.tokenizer.encode(m.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        young.update((k, young[base] + marks[m]) for k, base, m in ended)
 
 
 _ENCODERS: dict = {}

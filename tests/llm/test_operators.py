@@ -263,6 +263,30 @@ def test_near_duplicates_equal_brute_force(spark, words, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_duplicates_in_a_large_group(spark):
+    """Copies with few to many edits, shared edits, cut copies and a common passage: links that no hub sees are found too."""
+    rng = np.random.default_rng(11)
+    base = [f"v{i}" for i in rng.integers(0, 5000, 150)]
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join(base)]
+    for k in range(150):
+        copy = list(base)
+        for at in rng.integers(0, 150, rng.integers(1, 12)):
+            copy[at] = f"u{rng.integers(0, 5000)}"
+        texts.append(" ".join(copy))
+        if k % 5 == 0:  # a twin far from the base
+            copy[int(rng.integers(0, 150))] = "twin"
+            texts.append(" ".join(copy))
+        if k % 7 == 0:
+            texts.append(" ".join(base[: int(rng.integers(60, 150))]))
+        if k % 6 == 0:
+            texts.append(" ".join(base + passage[: int(rng.integers(10, 60))]))
+        texts.append(" ".join([f"w{i}" for i in rng.integers(0, 9000, 80)] + passage))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = sorted(neardup.near_duplicates(frame).collect())
+    assert [(r.n_shingles, r.component_id) for r in got] == brute_groups(texts, 3, 85)
+
+
 def test_near_duplicates_of_awkward_rows(spark, docs, empty):
     got = neardup.near_duplicates(docs).collect()
     assert len(got) == len(TEXTS) + 2 and [r for r in got if r.doc_id is None][0].kept
