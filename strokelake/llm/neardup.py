@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import TwoGenerations, arrow_limits, byte_slices, checkpoint, maybe_broadcast
@@ -47,10 +47,8 @@ class Settings:
         return self.bands * self.rows
 
 
-#: Estimates from which a row is compared with its hub by sets, below which it is away from it, and below which another row may
-#: be its partner there. A link of two rows keeps their distances to the hub within 0.2 of one another, and estimates err by less
-#: than 0.2, so every pair is on one side or the other.
-AROUND, AWAY, AWAY_PARTNER = 0.5, 0.51, 1.0
+#: Estimates from which a row is compared with its hub by sets, and below which it is away from it: every row is one or the other.
+AROUND, AWAY = 0.5, 0.51
 
 #: Odd multipliers and increments of a 64-bit mixing.
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33))
@@ -226,6 +224,16 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def rarest(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Of each row ``a, b``, the first ``most`` of its ``total`` shingles, less those that ``counts`` doesn't hold.
+
+    Shingles without a partner stand first, then those that the fewest rows of the hub have: one order for all rows of a hub.
+    """
+    each = Window.partitionBy("a", "b")
+    met = rows.join(counts, ["a", "shingle"]).withColumns({"_alone": F.col("total") - F.count(F.lit(1)).over(each), "_rank": F.row_number().over(each.orderBy("n", "shingle"))})
+    return met.filter("_rank <= most - _alone").select("a", "b", "linked", "n_shingles", "shingle")
+
+
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_shingles, component_id, kept`` for each row.
 
@@ -245,7 +253,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     weight = bucketed.groupBy("id").agg(F.sum("n").alias("w"))
     weighed = checkpoint(bucketed.join(weight, "id").select("key", "id", "w"))
     hubs = weighed.groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("minus"))).alias("h")).select("key", (-F.col("h.minus")).alias("hub"))
-    known = reps.select("id", "n_shingles", "bits")
+    known = reps.select("id", "bits")
     spokes = weighed.join(hubs, "key").filter("id <> hub").select("key", F.col("hub").alias("a"), F.col("id").alias("b"))
     near = spokes.select("a", "b").distinct()
     near = near.join(known.select(F.col("id").alias("a"), F.col("bits").alias("bits_a")), "a").join(known.select(F.col("id").alias("b"), F.col("bits").alias("bits_b")), "b")
@@ -257,35 +265,48 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     links = checkpoint(around.filter("linked").select("a", "b"))
     found = components(links)
 
-    def placed(rows: DataFrame, column: str) -> DataFrame:
-        """Rows with the component, size and bits of the id in a column."""
-        rows = rows.join(known.withColumnRenamed("id", column), column).join(found.withColumnRenamed("id", column), column, "left")
-        return rows.withColumn("component", F.coalesce("component", column))
-
+    # Each row with its component, wherever one is asked for.
+    info = reps.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    info = checkpoint(info.select(F.col("id").alias("b"), "n_shingles", "bits", "keys", "component"))
     apart = (F.col("x.component") != F.col("y.component")) & plausible("x", "y", settings)
     pair = (F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b"))
     # Hubs with a row that they don't link.
     open_hubs = around.filter(~F.col("linked")).select("a").distinct()
-    spread = placed(around.join(open_hubs, "a", "left_semi"), "b")
-    spread = checkpoint(spread.select("a", "b", "linked", "added", "removed", F.size("added").alias("n_added"), "component", "n_shingles", "bits"))
-    slim = ("a", "b", "linked", "component", "n_shingles", "bits")
-    adds = spread.select(*slim, F.explode("added").alias("shingle"))
-    met = adds.groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("n"), F.bool_and("linked").alias("all")).filter("n > 1 and not all").select("a", "shingle")
-    adds = adds.join(met, ["a", "shingle"], "left_semi")  # most added shingles are in one row only
-    one = adds.filter(~F.col("linked")).alias("x").join(adds.alias("y"), (F.col("x.a") == F.col("y.a")) & (F.col("x.shingle") == F.col("y.shingle")) & apart).select(*pair)
+    spread = checkpoint(around.join(open_hubs, "a", "left_semi").join(info.select("b", "n_shingles"), "b").withColumns({"n_added": F.size("added"), "n_removed": F.size("removed")}))
+
+    def meet(x: DataFrame, y: DataFrame) -> DataFrame:
+        """Pairs of rows of one hub that have a listed shingle in common."""
+        x, y = (r.join(info.drop("keys", "n_shingles"), "b") for r in (x, y))
+        return x.alias("x").join(y.alias("y"), (F.col("x.a") == F.col("y.a")) & (F.col("x.shingle") == F.col("y.shingle")) & apart).select(*pair)
+
+    # A row adds at most the share 1 - t of its set to what a linked row has; so of its added shingles that many and one more
+    # hold one that both have. Those in no other row, or in linked rows only, come first, then the rarest.
+    share = F.floor((100 - settings.percent) * F.col("n_shingles") / 100).cast("int") + 1
+    adds = spread.select("a", "b", "linked", "n_shingles", F.col("n_added").alias("total"), share.alias("most"), F.explode("added").alias("shingle"))
+    counts = adds.groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("n"), F.bool_and("linked").alias("all")).filter("n > 1 and not all").select("a", "shingle", "n")
+    adds = checkpoint(rarest(adds, counts))
+    one = meet(adds.filter(~F.col("linked")), adds)
     # y's removed shingles are in x's but for a few, so any of them beyond that number will meet: R - ((1 - t) A + (1 + t) R) / 2 + 1.
     t = (100 - settings.percent) / (100 + settings.percent)
-    removed = F.size("removed")
-    few = F.floor(removed - ((1 - t) * F.col("n_added") + (1 + t) * removed) / 2 + 1e-9).cast("int") + 1
-    less = spread.filter(F.col("n_added") < removed).select(*slim, F.explode(F.slice("removed", F.lit(1), few)).alias("shingle"))
-    lacks = spread.filter(~F.col("linked")).join(less.select("a").distinct(), "a", "left_semi").select(*slim, F.explode("removed").alias("shingle"))
-    lacks = lacks.join(less.select("a", "shingle").distinct(), ["a", "shingle"], "left_semi")
-    two = lacks.alias("x").join(less.alias("y"), (F.col("x.a") == F.col("y.a")) & (F.col("x.shingle") == F.col("y.shingle")) & apart).select(*pair)
-    # Away from the hub: such rows share a bucket by a common passage or by chance, so a second one is asked for.
-    members = spokes.join(near, ["a", "b"]).filter(F.col("e") < AWAY_PARTNER).select("key", "b", "e")
-    members = members.join(members.filter(F.col("e") < AWAY).select("key").distinct(), "key", "left_semi")
-    second = placed(members.join(weighed.select(F.col("id").alias("b"), F.col("key").alias("key2")), "b").filter("key <> key2"), "b")
-    three = second.filter(F.col("e") < AWAY).alias("x").join(second.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.key2") == F.col("y.key2")) & apart).select(*pair)
+    few = F.floor(F.col("n_removed") - ((1 - t) * F.col("n_added") + (1 + t) * F.col("n_removed")) / 2 + 1e-9).cast("int") + 1
+    less = spread.filter("n_added < n_removed")
+    lacks = spread.filter(~F.col("linked")).join(less.select("a").distinct(), "a", "left_semi").select("a", "b", "n_shingles", F.explode("removed").alias("shingle"))
+    counts = lacks.groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("n"))
+    less = less.select("a", "b", "linked", "n_shingles", F.col("n_removed").alias("total"), few.alias("most"), F.explode("removed").alias("shingle"))
+    less = checkpoint(rarest(less, counts))
+    two = meet(lacks.join(less.select("a", "shingle").distinct(), ["a", "shingle"], "left_semi"), less)
+    # Away from the hub: such rows share a bucket by a common passage or by chance, so a second one is asked for. The estimates
+    # of two plausible rows against one hub differ by no more than their bits do, which tells who can be a partner there.
+    reach = 1 - (settings.percent / 100 - settings.margin) + 1e-9
+    members = checkpoint(spokes.join(near, ["a", "b"]).select("key", "b", "e"))
+    furthest = members.filter(F.col("e") < AWAY).groupBy("key").agg((F.max("e") + reach).alias("most"))
+    members = members.join(furthest, "key").filter("e <= most").join(info.select("b", "keys"), "b")
+    second = members.select("key", "b", "e", (F.array_position("keys", F.col("key")) - 1).cast("int").alias("at"), F.posexplode("keys").alias("at2", "key2")).filter("at <> at2")
+    shared = second.groupBy("key", "key2").agg(F.count(F.lit(1)).alias("n"), F.min("e").alias("low")).filter((F.col("n") > 1) & (F.col("low") < AWAY)).select("key", "key2")
+    second = checkpoint(second.join(shared, ["key", "key2"], "left_semi")).join(info, "b")
+    # Bands before the second one in which both have the same key: none but the first one, so that each pair meets once a bucket.
+    before = "size(filter(zip_with(slice(x.keys, 1, x.at2), slice(y.keys, 1, x.at2), (p, q) -> p = q), e -> e)) = int(x.at < x.at2)"
+    three = second.filter(F.col("e") < AWAY).alias("x").join(second.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.key2") == F.col("y.key2")) & apart & F.expr(before)).select(*pair)
     rest = checkpoint(one.union(two).union(three).distinct())
     more = with_sets(rest, docs, settings, id_col, text_col).filter("linked").select("a", "b")
     final = components(links.union(more))
