@@ -191,10 +191,14 @@ def plausible(a: str, b: str, settings: Settings) -> Column:
 
 def with_sets(pairs: DataFrame, docs: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataFrame:
     """Adds ``sa``, ``sb``, the full sets of ``a`` and ``b``, which are built for the rows in question only, and ``linked``."""
-    asked = maybe_broadcast(checkpoint(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()))  # else all texts are shuffled
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(asked, "id", "left_semi").dropDuplicates(["id"])
-    sets = shingle_sets(texts, settings, "id", "text")
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+
+    def sets(side: str, name: str) -> DataFrame:
+        """The sets of one side's rows only: hubs are few beside the rows that are compared with them."""
+        asked = maybe_broadcast(checkpoint(pairs.select(F.col(side).alias("id")).distinct()))  # else all texts are shuffled
+        texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(asked, "id", "left_semi").dropDuplicates(["id"])
+        return shingle_sets(texts, settings, "id", "text").select(F.col("id").alias(side), F.col("shingles").alias(name))
+
+    both = pairs.join(sets("b", "sb"), "b").join(sets("a", "sa"), "a")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.withColumn("linked", 100 * common >= settings.percent * (F.size("sa") + F.size("sb") - common))
 
@@ -216,8 +220,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         small = checkpoint(small)
         # Stars only: no smaller end is the larger end of another link, and no larger end has two smaller ones.
-        ends = small.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-        done = ends.filter("n > 1").limit(1).count() == 0 and small.select("v").join(ends, small["v"] == ends["u"], "left_semi").limit(1).count() == 0
+        ends = small.selectExpr("u as id", "1 as larger", "0 as smaller").union(small.selectExpr("v", "0", "1")).groupBy("id").agg(F.sum("larger").alias("larger"), F.max("smaller").alias("smaller"))
+        done = ends.filter("larger > 1 or larger > 0 and smaller > 0").limit(1).count() == 0
         edges = small
         if done:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
