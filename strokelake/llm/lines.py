@@ -16,6 +16,10 @@ from .common import BROADCAST_ROWS, checkpoint, maybe_broadcast
 #: Shorter lines always stay: a few characters are no boilerplate, and one edit makes another word of them.
 MIN_CHARS = 20
 
+#: A line with anything but white space.
+FILLED = r"[^\x20\x09-\x0D]"
+
+
 def _halves(line: Column) -> Column:
     """Hashes of both halves as they are compared with lines as long as this one and with lines one character shorter or longer.
 
@@ -106,6 +110,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def without_emptied(rows: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows of ``dedup_lines`` less the documents that lost every line of the minimum length, and less the two counts."""
-    left = F.exists(F.split(F.col(text_col), "\n", -1), lambda line: F.length(line) >= MIN_CHARS)
-    return rows.filter((F.col("n_dropped") == 0) | left).drop("n_lines", "n_dropped")
+    """Rows of ``dedup_lines`` less the documents that lost lines and have none left but blank ones, and less the two counts."""
+    return rows.filter((F.col("n_dropped") == 0) | F.col(text_col).rlike(FILLED)).drop("n_lines", "n_dropped")

@@ -343,6 +343,16 @@ def test_line_dedup_of_awkward_rows(docs, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_stage_keeps_documents_with_short_lines(spark):
+    import corpus_pipeline
+
+    shared = "this long line stands in every one of the documents"
+    texts = [shared, f"roses are red\n{shared}\nviolets are blue", f"{shared}\n", f"{shared}\n \t\n{shared}", f"{shared}\nx = 1"]
+    frame = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, frame, "").collect()}
+    assert got == {0: (shared, len(shared)), 1: ("roses are red\nviolets are blue", 30), 4: ("x = 1", 5)}
+
+
 def test_licences(spark, docs, empty):
     mit = licences.TEMPLATES["MIT"][2]
     texts = ["Intro.\nLicensed under the Apache License, Version 2.0.\nMore prose.", "prose and RELEASED under the  MIT license. And on.", mit, mit.replace("Software", "Program"), "the license of a plain text", None, "", "This work is licensed under the GNU General Public License, version 3."]
