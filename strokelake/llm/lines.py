@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, checkpoint, maybe_broadcast
 
-#: Shorter lines always stay: a few characters are no boilerplate, and one edit makes another word of them.
+#: Shorter lines are never compared by edits: one edit makes another word of them. Exact copies of them go if a caller asks for it.
 MIN_CHARS = 20
 
 #: A line with anything but white space.
@@ -34,10 +34,11 @@ def _halves(line: Column) -> Column:
     return F.array(*keys(n), *keys(n - 1))
 
 
-def exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``_id, _text_hash, _no, _line``: the lines of each row, numbered from 0, without those under the minimum length."""
+def exploded(docs: DataFrame, id_col: str, text_col: str, exact_chars: int = MIN_CHARS) -> DataFrame:
+    """``_id, _text_hash, _no, _line``: the lines of each row, numbered from 0, less blank ones and those under ``exact_chars`` among the short ones."""
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_text_hash"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("_no", "_line"))
-    return rows.filter(F.length("_line") >= MIN_CHARS)
+    n = F.length("_line")
+    return rows.filter((n >= MIN_CHARS) | ((n >= exact_chars) & F.col("_line").rlike(FILLED)))
 
 
 def _identity(line: Column) -> list[Column]:
@@ -66,16 +67,16 @@ def near_lines(lines: DataFrame) -> DataFrame:
     return met.join(lines, "_place").join(texts, "_other").filter(F.levenshtein("_line", "_earlier", 1) == 1).select("_h1", "_h2").distinct()
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS, exact_chars: int = MIN_CHARS) -> DataFrame:
     """``_id, _text_hash, _dropped``: for each text, the numbers of its lines that an earlier line of the corpus equals or nearly equals.
 
     Earlier is by id (null first), then by hash of the text, then by line number. Any earlier line counts, dropped or not.
     """
-    lines = exploded(docs, id_col, text_col)
+    lines = exploded(docs, id_col, text_col, exact_chars)
     place = F.struct("_id", "_text_hash", "_no").alias("_place")
     hashed = lines.select(*_identity(F.col("_line")), place, "_line")
     # All occurrences of a line meet as hashes; a frequent line is summed up before the shuffle.
-    distinct = checkpoint(hashed.withColumn("_halves", _halves(F.col("_line"))).groupBy("_h1", "_h2").agg(F.min("_place").alias("_place"), F.count(F.lit(1)).alias("_n"), F.first("_halves").alias("_halves")))
+    distinct = checkpoint(hashed.withColumn("_halves", F.when(F.length("_line") >= MIN_CHARS, _halves(F.col("_line")))).groupBy("_h1", "_h2").agg(F.min("_place").alias("_place"), F.count(F.lit(1)).alias("_n"), F.first("_halves").alias("_halves")))
     halves = distinct.select("_place", F.explode(F.array_distinct("_halves")).alias("_half"))
     shared = halves.groupBy("_half").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_half")
     wanted = maybe_broadcast(checkpoint(halves.join(shared, "_half", "left_semi").select("_place").distinct()), broadcast_rows)
@@ -89,14 +90,14 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return hit.groupBy("_id", "_text_hash").agg(F.collect_set("_no").alias("_dropped"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS, exact_chars: int = MIN_CHARS) -> DataFrame:
     """All rows and columns of ``docs`` with ``text_col`` less the dropped lines, and ``n_lines`` and ``n_dropped``.
 
-    A line that equals an earlier line of the corpus, or is one edit away from one, is dropped; lines under ``MIN_CHARS``
-    stay. Rows that share id and text are one document and keep the same lines. A null text stays null and has no lines, an
+    A line that equals an earlier line of the corpus, or is one edit away from one, is dropped. Lines under ``MIN_CHARS`` are
+    compared exactly from ``exact_chars`` characters on, blank ones never, and stay below that; by default they all stay. Rows that share id and text are one document and keep the same lines. A null text stays null and has no lines, an
     empty text has one; an empty table gives an empty result. The two new columns replace columns of these names.
     """
-    dropped = dropped_lines(docs, id_col, text_col, broadcast_rows)
+    dropped = dropped_lines(docs, id_col, text_col, broadcast_rows, exact_chars)
     dropped = maybe_broadcast(checkpoint(dropped), broadcast_rows // 4)
     keyed = docs.withColumn("_text_hash", F.xxhash64(F.col(text_col)))
     rows = keyed.join(dropped, [keyed[id_col].eqNullSafe(dropped["_id"]), keyed["_text_hash"] == dropped["_text_hash"]], "left").drop("_id", "_text_hash")

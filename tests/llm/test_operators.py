@@ -353,6 +353,15 @@ def test_line_dedup_stage_keeps_documents_with_short_lines(spark):
     assert got == {0: (shared, len(shared)), 1: ("roses are red\nviolets are blue", 30), 4: ("x = 1", 5)}
 
 
+def test_line_dedup_of_short_lines_is_exact(spark):
+    texts = ["a verse\n\nof short\n  ", "a verse\nof shore\n\nof short\nyes", None, "yes\nyes!\n  "]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.dedup_lines(frame, exact_chars=1).collect()}
+    assert got == {0: texts[0], 1: "of shore\n\nyes", 2: None, 3: "yes!\n  "}
+    assert [r.text for r in lines.dedup_lines(frame, exact_chars=5).filter("doc_id = 3").collect()] == [texts[3]]
+    assert [r.text for r in lines.dedup_lines(frame).orderBy("doc_id").collect()] == texts
+
+
 def test_licences(spark, docs, empty):
     mit = licences.TEMPLATES["MIT"][2]
     texts = ["Intro.\nLicensed under the Apache License, Version 2.0.\nMore prose.", "prose and RELEASED under the  MIT license. And on.", mit, mit.replace("Software", "Program"), "the license of a plain text", None, "", "This work is licensed under the GNU General Public License, version 3."]
