@@ -380,6 +380,30 @@ def test_licences(spark, docs, empty):
     assert licences.scan(docs).count() == len(TEXTS) + 2 and licences.scan(empty).count() == 0
 
 
+def test_licences_over_several_lines_and_sentences(spark):
+    import textwrap
+
+    prose = "A first line of plain prose stands here.\nAnd a second one, which says nothing at all.\n"
+    wrap = lambda name, k: "\n".join(" * " + line for line in textwrap.wrap(licences.TEMPLATES[name][k], 60))
+    bsd = "// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\n"
+    mit, mpl = licences.TEMPLATES["MIT"][2], licences.TEMPLATES["MPL-2.0"][0]
+    texts = [
+        prose + bsd + prose,
+        prose + wrap("MIT", 2) + "\n" + " ".join(f"w{i}" for i in range(400)),
+        wrap("GPL-3.0", 1) + "\n" + prose + wrap("ISC", 0) + "\n" + prose,
+        " ".join(f"w{i}." for i in range(200)) + " " + mpl + " " + " ".join(f"x{i}" for i in range(200)),
+        prose + bsd + prose + bsd + prose,
+        prose + "Licensed under the MIT License.\nLicensed under\nthe Apache License,\nVersion 2.0.\n" + prose,
+        prose * 3 + "the license file is used by this source code",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.licences, r.licence, round(r.dice, 6), r.n_matches) for r in licences.scan(frame).collect()}
+    assert got[0] == (["BSD-3-Clause"], "BSD-3-Clause", 1.0, 1) and got[1] == (["MIT"], "MIT", 1.0, 1)
+    assert got[2] == (["GPL-3.0", "ISC"], "GPL-3.0", 1.0, 2) and got[3] == (["MPL-2.0"], "MPL-2.0", 1.0, 1)
+    assert got[4] == (["BSD-3-Clause"], "BSD-3-Clause", 1.0, 2) and got[5] == (["Apache-2.0", "MIT"], "Apache-2.0", 1.0, 2)
+    assert got[6] == ([], None, 0.0, 0)
+
+
 def test_classifier(spark, docs, empty):
     rng = np.random.default_rng(0)
     prose = lambda: " ".join(rng.choice("the of and river stone walks under light with many small words".split(), 60))
