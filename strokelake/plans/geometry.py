@@ -82,6 +82,18 @@ def region_frame_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.frame(rects, ["g"], 1, 1).groupBy("g").agg(F.sum(F.col("x1") - F.col("x0")).alias("cells"))
 
 
+@query("""with r as (select l_returnflag as g, l_orderkey as x, l_partkey as y, cast(l_quantity as bigint) % 9 + 3 as w, l_linenumber % 6 + 3 as h from lineitem),
+ cells as (select distinct g, unnest(range(x, x + w)) as cx, y, h from r), grid as (select distinct g, cx, unnest(range(y, y + h)) as cy from cells),
+ side as (select unnest([-1, 0, 1]) as d), box as (select a.d as dx, b.d as dy from side a cross join side b), around as (select g, cx, cy, cx + dx as nx, cy + dy as ny from grid cross join box),
+ near as (select around.g, around.cx, around.cy, count(*) as n from around join grid b on around.g = b.g and around.nx = b.cx and around.ny = b.cy group by around.g, around.cx, around.cy)
+ select g, count(*) filter (n < 9) as cells from near group by g""")
+def region_frame_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frame, one cell wide, of the union of a rectangle for each line item, on a plane that grows with the table."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_orderkey").alias("left"), F.col("l_partkey").alias("top"), (F.col("l_quantity").cast("long") % 9 + 3).alias("w"), (F.col("l_linenumber") % 6 + 3).alias("h"))
+    rects = rows.select("g", "left", "top", (F.col("left") + F.col("w")).alias("right"), (F.col("top") + F.col("h")).alias("bottom")).distinct()
+    return regions.frame(rects, ["g"], 1, 1).groupBy("g").agg(F.sum(F.col("x1") - F.col("x0")).alias("cells"))
+
+
 @query("""with t as (select o_orderkey as k, (o_orderkey % 50)::double as ax, (o_custkey % 40)::double as ay, (o_custkey % 60 + 5)::double as bx, (o_orderkey % 45 + 3)::double as "by", (o_orderkey % 30)::double as cx, (o_custkey % 70 + 10)::double as cy from orders),
  e as (select k, ax as x0, ay as y0, bx as x1, "by" as y1 from t union all select k, bx, "by", cx, cy from t union all select k, cx, cy, ax, ay from t),
  l as (select k, y, x0 + (y + 0.5 - y0) * (x1 - x0) / (y1 - y0) as x from (select *, unnest(range(cast(ceil(least(y0, y1) - 0.5) as bigint), cast(ceil(greatest(y0, y1) - 0.5) as bigint))) as y from e where y0 <> y1)),
