@@ -5,6 +5,7 @@ from __future__ import annotations
 import codecs
 import unicodedata
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,12 +33,10 @@ def code_pages(spark: SparkSession, pages: tuple[int, ...] = (874, 1250, 1251, 1
 
 
 def decode_bytes(rows: DataFrame, data_col: str, page: int, out_col: str) -> DataFrame:
-    """Adds the text of single-byte data under a code page, by a lookup array; null stays null."""
+    """Adds the text of single-byte data under a code page, byte by byte; null stays null."""
     table = [r["code_point"] for r in code_pages(rows.sparkSession, (page,)).orderBy("byte").collect()]
-    lookup = F.array(*[F.lit(chr(c)) for c in table])
-    n = F.octet_length(data_col)
-    each = F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.element_at(lookup, F.conv(F.hex(F.substring(data_col, i, F.lit(1))), 16, 10).cast("int") + 1))
-    return rows.withColumn(out_col, F.when(F.col(data_col).isNotNull(), F.array_join(each, "")))
+    moved = [(chr(b), chr(c)) for b, c in enumerate(table) if b != c]
+    return rows.withColumn(out_col, F.translate(F.decode(F.col(data_col), "ISO-8859-1"), "".join(a for a, _ in moved), "".join(b for _, b in moved)))
 
 
 def origins(rows: DataFrame, keys: list[str], order: list[str], advance: Column) -> DataFrame:
@@ -103,9 +102,9 @@ def _order(levels: list[int]) -> list[int]:
 
 def bidi_levels(text: str) -> Column:
     """The embedding level of each code point; null stays null. Explicit controls count as neutral."""
-    return F.pandas_udf(lambda s: s.map(lambda t: None if t is None else _levels(t)), "array<int>")(text)
+    return F.pandas_udf(lambda s: s.map(lambda t: None if t is None else np.array(_levels(t), "int32")), "array<int>")(text)
 
 
 def display_order(levels: str) -> Column:
     """Logical indices in display order."""
-    return F.pandas_udf(lambda s: s.map(lambda x: None if x is None else _order(list(x))), "array<int>")(levels)
+    return F.pandas_udf(lambda s: s.map(lambda x: None if x is None else np.array(_order(list(x)), "int32")), "array<int>")(levels)

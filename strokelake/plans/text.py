@@ -39,9 +39,20 @@ def codepage_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.decode_bytes(rows, "data", 1252, "name").select("p_partkey", "name", F.length("name").cast("long").alias("n"))
 
 
+@query()
+def codepage_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of whole documents, undefined ones included, read under several code pages."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data"))
+    pages = (874, 1252, 1253, 1255, 1257)
+    for page in pages:
+        rows = text.decode_bytes(rows, "data", page, f"text_{page}")
+    return rows.select("doc_id", F.octet_length("data").cast("long").alias("n"), *[F.sha2(f"text_{p}", 256).alias(f"sha256_{p}") for p in pages])
+
+
 @query()
 def bidi_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names with a Hebrew word in the middle: levels and display order."""
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.substring("p_name", 1, 4), F.lit(" אבג 12 "), F.substring("p_name", 5, 4)).alias("name"))
-    rows = rows.withColumn("levels", text.bidi_levels("name"))
+    """Whole documents with a Hebrew word in the middle: levels and display order."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring("text", F.lit(1), half), F.lit(" אבג 12 "), F.substring("text", half + 1, F.length("text"))).alias("text"))
+    rows = rows.withColumn("levels", text.bidi_levels("text"))
     return rows.withColumn("display", text.display_order("levels"))

@@ -101,6 +101,20 @@ def test_code_pages_and_reordering(spark):
     assert rows[3].l == [] and rows[4].l is None
 
 
+def test_text_queries_read_whole_documents(spark, base):
+    import hashlib
+
+    whole = dict(base.execute("select doc_id, text from documents").fetchall())
+    for r in registry.queries()["bidi_levels"](spark, FOLDER).collect():
+        assert r.text.replace(" אבג 12 ", "", 1) == whole[r.doc_id] and len(r.levels) == len(r.text)
+        assert sorted(r.display) == list(range(len(r.text))) and any(r.levels)
+    pages = {(r.page, r.byte): chr(r.code_point) for r in text.code_pages(spark).collect()}
+    for r in registry.queries()["codepage_documents"](spark, FOLDER).collect():
+        data = whole[r.doc_id].encode()
+        for page in (874, 1252, 1253, 1255, 1257):
+            assert r[f"sha256_{page}"] == hashlib.sha256("".join(pages[page, b] for b in data).encode()).hexdigest()
+
+
 def test_entry_imports_without_the_training_operators(monkeypatch):
     import importlib
     import sys
