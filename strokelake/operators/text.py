@@ -19,6 +19,8 @@ EXCEPTIONS = [
 ]
 # Character sets of fonts to code pages.
 CHARSETS = {0: 1252, 77: 10000, 128: 932, 129: 949, 134: 936, 136: 950, 161: 1253, 162: 1254, 163: 1258, 177: 1255, 178: 1256, 186: 1257, 204: 1251, 222: 874, 238: 1250}
+# Pages whose characters have one or two bytes.
+DOUBLE_BYTE = (932, 936, 949, 950)
 
 
 def code_pages(spark: SparkSession, pages: tuple[int, ...] = (874, 1250, 1251, 1252, 1253, 1254, 1255, 1256, 1257, 1258)) -> DataFrame:
@@ -33,7 +35,9 @@ def code_pages(spark: SparkSession, pages: tuple[int, ...] = (874, 1250, 1251, 1
 
 
 def decode_bytes(rows: DataFrame, data_col: str, page: int, out_col: str) -> DataFrame:
-    """Adds the text of single-byte data under a code page, byte by byte; null stays null."""
+    """Adds the text of single-byte data under a code page, byte by byte; null stays null. Double-byte pages are refused."""
+    if page in DOUBLE_BYTE:
+        raise ValueError(f"code page {page} has characters of two bytes, which are not decoded")
     table = [r["code_point"] for r in code_pages(rows.sparkSession, (page,)).orderBy("byte").collect()]
     moved = [(chr(b), chr(c)) for b, c in enumerate(table) if b != c]
     return rows.withColumn(out_col, F.translate(F.decode(F.col(data_col), "ISO-8859-1"), "".join(a for a, _ in moved), "".join(b for _, b in moved)))

@@ -134,10 +134,13 @@ def tiff_packbits_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""with r as (select user_id, event_id % 7 + 1 as n, event_id % 16 as value from events) select user_id, value, cast(sum(n) as bigint) as pixels from r group by user_id, value""")
 def dib_rle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of colours per user, expanded and counted by colour."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 7 + 1).cast("int").alias("n"), (F.col("event_id") % 16).alias("value"))
-    runs = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "n", "value"))).alias("runs"))
-    return runs.select("user_id", F.explode(codecs.expand_runs(F.col("runs"))).alias("value")).groupBy("user_id", "value").agg(F.count(F.lit(1)).alias("pixels"))
+    """Image rows of 16 events' runs of colours, by turns as RLE8 and RLE4 bytes, decoded again and counted by colour."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 7 + 1).cast("int").alias("n"), (F.col("event_id") % 16).cast("int").alias("value"))
+    runs = e.groupBy("user_id", F.floor(F.col("event_id") / 16).alias("block")).agg(F.sort_array(F.collect_list(F.struct("event_id", "n", "value"))).alias("runs"))
+    rows = runs.select("user_id", F.when(F.col("block") % 2 == 0, 8).otherwise(4).alias("bits"), codecs.expand_runs(F.col("runs")).alias("row")).withColumn("width", F.size("row"))
+    back = codecs.decode_rle(codecs.encode_rle(F.col("row"), F.col("width"), F.col("bits")), F.col("width"), F.lit(1), F.col("bits"))
+    pixels = rows.select("user_id", back.alias("image")).select("user_id", F.explode("image.pixels").alias("value"))
+    return pixels.groupBy("user_id", F.col("value").cast("long").alias("value")).agg(F.count(F.lit(1)).alias("pixels"))
 
 
 def _drawing(spark: SparkSession, sf_dir: str) -> DataFrame:

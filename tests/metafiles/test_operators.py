@@ -101,6 +101,24 @@ def test_code_pages_and_reordering(spark):
     assert rows[3].l == [] and rows[4].l is None
 
 
+def test_rle_bytes(spark):
+    images = [([1, 1, 1, 2, 3, 4, 5, 5, 0, 0], 5, 4), ([7] * 300 + list(range(256)) + [9] * 44, 300, 8), ([3], 1, 4), ([1, 2, 1, 2, 1, 2, 1], 7, 4), ([], 0, 8)]
+    frame = spark.createDataFrame([(i, *x) for i, x in enumerate(images)], "i int, p array<int>, w int, b int").withColumn("h", F.when(F.col("w") > 0, F.size("p") / F.col("w")).otherwise(0).cast("int"))
+    back = frame.withColumn("d", codecs.encode_rle(F.col("p"), F.col("w"), F.col("b"))).withColumn("r", codecs.decode_rle(F.col("d"), F.col("w"), F.col("h"), F.col("b")))
+    assert {r.i: (r.r.pixels, r.r.fault) for r in back.collect()} == {i: (x[0], None) for i, x in enumerate(images)}
+    bad = {b"\x05\x01\0\1": "run outside row", b"\0\5\1\1": "run outside row", b"\0\0\0\0\0\0\0\1": "row overflow", b"\0\2\1": "delta", b"\0\2\0\2": "delta outside image", b"\0\4\1": "absolute bytes", b"\1": "command", b"\1\1": "missing end"}
+    rows = spark.createDataFrame([(bytearray(b),) for b in [*bad, b"\2\x09\0\2\1\1\1\x08\0\1"]], "d binary")
+    got = {bytes(r.d): r.r for r in rows.withColumn("r", codecs.decode_rle(F.col("d"), F.lit(4), F.lit(2), F.lit(8))).collect()}
+    assert {b: got[b].fault for b in bad} == bad and all(got[b].pixels is None for b in bad)
+    assert got[b"\2\x09\0\2\1\1\1\x08\0\1"].pixels == [None, None, None, 8, 9, 9, None, None]
+
+
+def test_double_byte_pages_are_refused(spark):
+    for page in text.DOUBLE_BYTE:
+        with pytest.raises(ValueError):
+            text.decode_bytes(spark.createDataFrame([(bytearray(b"a"),)], "d binary"), "d", page, "t")
+
+
 def test_text_queries_read_whole_documents(spark, base):
     import hashlib
 
