@@ -9,6 +9,7 @@ weights that grow with their similarity.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TwoGenerations, arrow_limits, byte_slices
+from .common import TwoGenerations, byte_slices
 
 #: Hash buckets of word shapes and repetitions, and of all terms.
 SHAPES, TERMS = 512, 4096
@@ -117,7 +118,6 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
     Labels of one id are averaged; null ids and labels are left out. Without any label every score is 0.5.
     """
     spark = docs.sparkSession
-    arrow_limits(spark)
     learn = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).filter(~held_out(F.col(id_col)))
     learn = learn.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.avg(label_col).alias("label")).orderBy(F.xxhash64("id"), "id").limit(settings.sample)
     chosen = learn.collect()  # at most ``sample`` pairs of numbers
@@ -137,21 +137,36 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
     found = rows.mapInArrow(sparse, "id long, label double, at binary, n binary").dropDuplicates(["id"]).toPandas().sort_values("id", ignore_index=True)
     if not len(found):
         return Model(np.zeros(0), np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(0), 0.5, settings)
-    counts = np.zeros((len(found), TERMS), np.float32)
-    for k, (at, n) in enumerate(zip(found["at"], found["n"])):
-        counts[k, np.frombuffer(at, "<u2")] = np.frombuffer(n, "<f4")
-    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    x = _weigh(counts, idf).astype(np.float32)
+    at, n = ([np.frombuffer(x, kind) for x in found[name]] for name, kind in (("at", "<u2"), ("n", "<f4")))
+    idf = (np.log((1 + len(found)) / (1 + np.bincount(np.concatenate(at), minlength=TERMS))) + 1).astype(np.float32)
+
+    def blocks() -> Iterator[tuple[slice, np.ndarray]]:
+        """Weighted rows, a few at a time: the counts stay sparse, and the driver never holds the whole matrix."""
+        for a in range(0, len(found), settings.block):
+            b = min(a + settings.block, len(found))
+            counts = np.zeros((b - a, TERMS), np.float32)
+            for k in range(a, b):
+                counts[k - a, at[k]] = n[k]
+            yield slice(a, b), _weigh(counts, idf)
+
+    def forward(basis: np.ndarray) -> np.ndarray:
+        return np.concatenate([x @ basis for _, x in blocks()])
+
+    def back(wide: np.ndarray) -> np.ndarray:
+        return sum((x.T @ wide[rows] for rows, x in blocks()), np.zeros((TERMS, wide.shape[1]), np.float32))
+
     # Randomised truncated decomposition.
-    wide = np.random.default_rng(settings.seed).standard_normal((len(x), settings.dimensions + 16)).astype(np.float32)
+    wide = np.random.default_rng(settings.seed).standard_normal((len(found), settings.dimensions + 16)).astype(np.float32)
     for _ in range(3):
-        basis, _ = np.linalg.qr(x.T @ wide)
-        wide, _ = np.linalg.qr(x @ basis)
-    basis, _ = np.linalg.qr(x.T @ wide)
-    _, _, turn = np.linalg.svd(x @ basis, full_matrices=False)
-    projection = np.ascontiguousarray((basis @ turn.T)[:, : settings.dimensions], np.float32)
+        basis, _ = np.linalg.qr(back(wide))
+        wide, _ = np.linalg.qr(forward(basis))
+    basis, _ = np.linalg.qr(back(wide))
+    placed = forward(basis)
+    _, _, turn = np.linalg.svd(placed, full_matrices=False)
+    turn = turn.T[:, : settings.dimensions]
+    projection = np.ascontiguousarray(basis @ turn, np.float32)
     label = found["label"].to_numpy(np.float64)
-    return Model(idf, projection, _unit(x @ projection), label, float(label.mean()), settings)
+    return Model(idf, projection, _unit(placed @ turn), label, float(label.mean()), settings)
 
 
 def held_out(id_column) -> F.Column:
@@ -165,7 +180,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    arrow_limits(spark)
     shared = spark.sparkContext.broadcast(model)  # of a size that the settings fix
 
     def run(batches):
@@ -183,7 +197,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def filter_quality(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All columns of the rows whose text scores at least the threshold."""
-    arrow_limits(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
