@@ -7,6 +7,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space that separates words, as a Java and Python pattern.
 SPACE = r"[\x20\x09-\x0D]"
@@ -42,18 +43,25 @@ def checkpoint(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
-#: Up to so many rows of one or two longs each (at most 32 MB) a side is broadcast; beyond that it is joined by shuffles.
-BROADCAST_ROWS = 1 << 20
+#: Up to so many bytes a side is broadcast; beyond that it is joined by shuffles.
+BROADCAST_BYTES = 16 << 20
 
 
-def maybe_broadcast(frame: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """The frame with a broadcast hint if it has few enough rows. It should be cheap to count, e.g. checkpointed."""
-    return F.broadcast(frame) if frame.limit(most + 1).count() <= most else frame
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    """About what a value takes in a row."""
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    if isinstance(kind, T.ArrayType):
+        return 16 + F.coalesce(F.aggregate(value, F.lit(0).cast("long"), lambda a, x: a + _bytes(x, kind.elementType)), F.lit(0))
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return 16 + F.coalesce(F.octet_length(value), F.lit(0))
+    return F.lit(8)
 
 
-def arrow_limits(spark: SparkSession, rows: int = 512) -> None:
-    """Small Arrow batches: long texts then bound a batch by rows x text, not by ten thousand texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def maybe_broadcast(frame: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """The frame with a broadcast hint if all its rows together take few enough bytes. It should be cheap to read, e.g. checkpointed."""
+    total = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in frame.schema.fields), F.lit(32))
+    return F.broadcast(frame) if (frame.agg(F.sum(total.cast("long"))).first()[0] or 0) <= most else frame
 
 
 def words_of(text: Column) -> Column:

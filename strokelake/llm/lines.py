@@ -3,7 +3,9 @@
 Two lines within one edit have a variant in common: a line itself, or a line less one character. Every distinct line emits the
 hashes of its variants, equal hashes are joined, the edit distance is verified on the texts, and of lines within the bound only
 the earliest in the corpus stays. Before that, lines that share neither half with any line of almost the same length are left
-out: an edit touches one half only, so this loses nothing, and far fewer variants are written.
+out: an edit touches one half only, so this loses nothing, and far fewer variants are written. Long lines are cut into segments;
+an edit touches one of them only, so its variants stand between the hashes of what is before and behind it, and a line costs about
+its length to the power 1.5.
 """
 
 from __future__ import annotations
@@ -11,11 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, checkpoint, maybe_broadcast
+from .common import BROADCAST_BYTES, checkpoint, maybe_broadcast
 
 #: Shorter lines are never compared by edits: one edit makes another word of them. Exact copies of them go if a caller asks for it.
 MIN_CHARS = 20
 
+#: Longer lines are cut into segments of the root of their length, but of so many characters at least.
+LONG, SEGMENT = 512, 64
+
 #: A line with anything but white space.
 FILLED = r"[^\x20\x09-\x0D]"
 
@@ -46,6 +51,63 @@ def _identity(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("_h1"), F.xxhash64(F.lit(7), line).alias("_h2")]
 
 
+def _less(text: Column, i: Column) -> Column:
+    """The text without its i-th character."""
+    return F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text)))
+
+
+def short_variants(lines: DataFrame) -> DataFrame:
+    """``_place, at, variant``: the hashes of a line (``at`` 0) and of the line less each of its characters."""
+    shorter = F.transform(F.sequence(F.lit(1), F.length("_line")), lambda i: F.struct(i.alias("at"), F.xxhash64(_less(F.col("_line"), i)).alias("variant")))
+    variants = F.concat(F.array(F.struct(F.lit(0).alias("at"), F.xxhash64("_line").alias("variant"))), shorter)
+    return lines.select("_place", F.explode(variants).alias("v")).select("_place", "v.*")
+
+
+def long_variants(lines: DataFrame) -> DataFrame:
+    """The same for long lines, segment by segment.
+
+    A pair is cut by the length of the shorter line: segments begin at fixed places from the start, and what is behind them is
+    counted from the end. So each line is cut by its own length, as the shorter or an equal one, and by one less, as the longer.
+    """
+
+    def segments(length: Column) -> Column:
+        size = F.greatest(F.lit(SEGMENT), F.ceil(F.sqrt(length)).cast("int"))
+        starts = F.sequence(F.lit(0), length - 1, size)
+
+        def cut(start: Column) -> Column:
+            behind = F.greatest(length - start - size, F.lit(0))
+            around = F.xxhash64(length, start, F.substring("_line", F.lit(1), start), F.substring("_line", F.length("_line") - behind + 1, behind))
+            return F.struct(start.alias("start"), around.alias("around"), F.substring("_line", start + 1, F.length("_line") - behind - start).alias("text"))
+
+        return F.transform(starts, cut)
+
+    def less_each(s: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(s["text"])), lambda i: F.struct((s["start"] + i).alias("at"), F.xxhash64(s["around"], _less(s["text"], i)).alias("variant")))
+
+    n = F.length("_line")
+    itself = lines.select("_place", F.explode(F.transform(segments(n), lambda s: F.struct(F.lit(0).alias("at"), F.xxhash64(s["around"], s["text"]).alias("variant")))).alias("v"))
+    # A line of LONG + 1 characters meets shorter ones by its whole variants.
+    cuts = F.concat(segments(n), F.when(n > LONG + 1, segments(n - 1)).otherwise(F.array().cast("array<struct<start: int, around: bigint, text: string>>")))
+    shorter = lines.select("_place", F.explode(cuts).alias("s")).select("_place", F.explode(less_each(F.col("s"))).alias("v"))
+    return itself.union(shorter).select("_place", "v.*")
+
+
+def one_edit_apart(pairs: DataFrame) -> DataFrame:
+    """Rows whose ``_line`` and ``_earlier`` are at edit distance one, in time proportional to their length but for a small factor.
+
+    Of long lines only what stands around the first difference is measured; behind it, counted from the end, both must be equal.
+    """
+    a, b = F.col("_line"), F.col("_earlier")
+    least = F.least(F.length(a), F.length(b))
+    part = lambda x, k: F.substring(x, k * LONG + 1, F.lit(LONG))
+    first = F.array_min(F.filter(F.sequence(F.lit(0), F.floor(least / LONG).cast("int")), lambda k: part(a, k) != part(b, k)))
+    cut = pairs.withColumn("_same", F.when(least > LONG, first * LONG).otherwise(0))
+    behind = F.greatest(least - F.col("_same") - LONG - 2, F.lit(0))
+    tail = lambda x: F.substring(x, F.length(x) - F.col("_behind") + 1, F.col("_behind"))
+    head = lambda x: F.substring(x, F.col("_same") + 1, F.length(x) - F.col("_same") - F.col("_behind"))
+    return cut.withColumn("_behind", F.when(least > LONG, behind).otherwise(0)).filter((tail(a) == tail(b)) & (F.levenshtein(head(a), head(b), 1) == 1)).drop("_same", "_behind")
+
+
 def near_lines(lines: DataFrame) -> DataFrame:
     """``_h1, _h2`` of the lines that have an earlier one at edit distance one, from distinct lines ``_h1, _h2, _place, _line``.
 
@@ -53,10 +115,7 @@ def near_lines(lines: DataFrame) -> DataFrame:
     character meet in the variant that lacks it at the same place. In each such meeting it is enough to look at the earliest
     line, so no pairs are listed: the later ones are compared with it.
     """
-    n = F.length("_line")
-    shorter = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("at"), F.xxhash64(F.concat(F.substring("_line", F.lit(1), i - 1), F.substring("_line", i + 1, n))).alias("variant")))
-    variants = F.concat(F.array(F.struct(F.lit(0).alias("at"), F.xxhash64("_line").alias("variant"))), shorter)
-    keyed = lines.select("_place", F.explode(variants).alias("v")).select("_place", "v.*")
+    keyed = short_variants(lines.filter(F.length("_line") <= LONG + 1)).unionByName(long_variants(lines.filter(F.length("_line") > LONG)))
     itself = F.expr("min(if(at = 0, _place, null)) over (partition by variant)")
     others = F.expr("min(if(at > 0, _place, null)) over (partition by variant)")
     same = F.expr("min(_place) over (partition by variant, at)")
@@ -64,10 +123,10 @@ def near_lines(lines: DataFrame) -> DataFrame:
     met = met.select("_place", F.explode(F.array("_same", F.when(F.col("at") > 0, F.col("_itself")), F.when(F.col("at") == 0, F.col("_others")))).alias("_other"))
     met = met.filter(F.col("_other") < F.col("_place")).distinct()
     texts = lines.select(F.col("_place").alias("_other"), F.col("_line").alias("_earlier"))
-    return met.join(lines, "_place").join(texts, "_other").filter(F.levenshtein("_line", "_earlier", 1) == 1).select("_h1", "_h2").distinct()
+    return one_edit_apart(met.join(lines, "_place").join(texts, "_other")).select("_h1", "_h2").distinct()
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS, exact_chars: int = MIN_CHARS) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES, exact_chars: int = MIN_CHARS) -> DataFrame:
     """``_id, _text_hash, _dropped``: for each text, the numbers of its lines that an earlier line of the corpus equals or nearly equals.
 
     Earlier is by id (null first), then by hash of the text, then by line number. Any earlier line counts, dropped or not.
@@ -79,26 +138,26 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     distinct = checkpoint(hashed.withColumn("_halves", F.when(F.length("_line") >= MIN_CHARS, _halves(F.col("_line")))).groupBy("_h1", "_h2").agg(F.min("_place").alias("_place"), F.count(F.lit(1)).alias("_n"), F.first("_halves").alias("_halves")))
     halves = distinct.select("_place", F.explode(F.array_distinct("_halves")).alias("_half"))
     shared = halves.groupBy("_half").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_half")
-    wanted = maybe_broadcast(checkpoint(halves.join(shared, "_half", "left_semi").select("_place").distinct()), broadcast_rows)
+    wanted = maybe_broadcast(checkpoint(halves.join(shared, "_half", "left_semi").select("_place").distinct()), broadcast_bytes)
     # Each of these lines becomes as many rows as it has characters, so they are spread over more tasks than their bytes ask for.
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     gone = near_lines(checkpoint(hashed.join(wanted, "_place", "left_semi").dropDuplicates(["_place"]).repartition(parts, "_h1", "_h2")))
     # Only lines that go altogether or occur again have a say; the others needn't meet their texts once more.
     heads = distinct.join(gone.withColumn("_gone", F.lit(True)), ["_h1", "_h2"], "left").filter("_gone or _n > 1").select("_h1", "_h2", F.col("_place").alias("_first"), "_gone")
-    hit = hashed.select("_h1", "_h2", "_place").join(maybe_broadcast(checkpoint(heads), broadcast_rows // 2), ["_h1", "_h2"])
+    hit = hashed.select("_h1", "_h2", "_place").join(maybe_broadcast(checkpoint(heads), broadcast_bytes), ["_h1", "_h2"])
     hit = hit.filter(F.col("_gone").isNotNull() | (F.col("_place") != F.col("_first"))).select("_place.*")
     return hit.groupBy("_id", "_text_hash").agg(F.collect_set("_no").alias("_dropped"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS, exact_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES, exact_chars: int = MIN_CHARS) -> DataFrame:
     """All rows and columns of ``docs`` with ``text_col`` less the dropped lines, and ``n_lines`` and ``n_dropped``.
 
     A line that equals an earlier line of the corpus, or is one edit away from one, is dropped. Lines under ``MIN_CHARS`` are
     compared exactly from ``exact_chars`` characters on, blank ones never, and stay below that; by default they all stay. Rows that share id and text are one document and keep the same lines. A null text stays null and has no lines, an
     empty text has one; an empty table gives an empty result. The two new columns replace columns of these names.
     """
-    dropped = dropped_lines(docs, id_col, text_col, broadcast_rows, exact_chars)
-    dropped = maybe_broadcast(checkpoint(dropped), broadcast_rows // 4)
+    dropped = dropped_lines(docs, id_col, text_col, broadcast_bytes, exact_chars)
+    dropped = maybe_broadcast(checkpoint(dropped), broadcast_bytes)
     keyed = docs.withColumn("_text_hash", F.xxhash64(F.col(text_col)))
     rows = keyed.join(dropped, [keyed[id_col].eqNullSafe(dropped["_id"]), keyed["_text_hash"] == dropped["_text_hash"]], "left").drop("_id", "_text_hash")
     lines = F.split(F.col(text_col), "\n", -1)

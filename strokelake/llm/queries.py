@@ -21,7 +21,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(common.documents(spark, sf_dir), neardup.Settings(words=3, percent=85))
+    return neardup.near_duplicates(common.documents(spark, sf_dir), neardup.Settings(words=3, percent=85)).drop("text_hash")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOUBLE_SPACE, TwoGenerations, arrow_limits, byte_slices
+from .common import DOUBLE_SPACE, TwoGenerations, byte_slices
 
 #: Bytes handed to the library at once.
 BATCH_BYTES = 256 << 10
@@ -111,7 +111,6 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     not read, so clashing names do no harm; an empty table gives an empty result.
     ``.json`` is read by tokenizers (byte-level BPE), ``.model`` by sentencepiece.
     """
-    arrow_limits(docs.sparkSession)
 
     def count(batches):
         if tokenizer_path not in _COUNTERS:
@@ -214,7 +213,6 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, limit: int = 2048, end_id
     Returns ``id_col, piece, start, length, ids_crc32`` and, if asked for, ``ids`` (array of int). A null or empty text is
     the end id alone. Repeated rows each give their pieces; other columns are not read; an empty table gives no piece.
     """
-    arrow_limits(docs.sparkSession)
     kind = "id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     tail = int(end_id).to_bytes(4, "little")
 

@@ -295,8 +295,40 @@ def test_near_duplicates_of_awkward_rows(spark, docs, empty):
 
 def test_components_of_long_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (500, 450)], "a long, b long")
-    found = {r.id: r.component for r in neardup.components(links).collect()}
-    assert all(found[i] == 0 for i in range(201)) and found[500] == found[450] == 400
+    for few in (1 << 17, 0):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(neardup, "FEW_LINKS", few)
+            found = {r.node: r.component for r in neardup.components(links).collect()}
+        assert all(found[i] == 0 for i in range(201)) and found[500] == found[450] == 400 and len(found) == 204
+    assert neardup.components(links.limit(0)).count() == 0
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, one), (5, two), (3, one), (5, two), (7, two + " more"), (8, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(frame).collect())
+    assert got == [(3, 38, 3, True), (5, 38, 3, False), (5, 38, 5, True), (5, 38, 5, True), (7, 39, 5, False), (8, 0, 8, True)]
+    left = neardup.first_of_group(frame.withColumn("kept", common.F.lit(1)))
+    assert left.columns == ["doc_id", "text", "kept"] and sorted((r.doc_id, r.text) for r in left.collect()) == [(3, one), (5, two), (5, two), (8, "")]
+
+
+def test_near_duplicates_without_broadcasts(spark):
+    """The same rows when nothing counts as small."""
+    rng = np.random.default_rng(5)
+    base = [f"v{i}" for i in rng.integers(0, 5000, 120)]
+    texts = []
+    for k in range(60):
+        copy = list(base)
+        for at in rng.integers(0, 120, rng.integers(0, 9)):
+            copy[at] = f"u{rng.integers(0, 5000)}"
+        texts.append(" ".join(copy))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(neardup, "maybe_broadcast", lambda rows: rows)
+        patch.setattr(neardup, "FEW_LINKS", 0)
+        got = sorted(neardup.near_duplicates(frame).collect())
+    assert [(r.n_shingles, r.component_id) for r in got] == brute_groups(texts, 3, 85)
 
 
 def distance_one(a, b):
@@ -308,8 +340,8 @@ def distance_one(a, b):
     return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
-@pytest.mark.parametrize("broadcast_rows", [1 << 20, 0])
-def test_line_dedup_equals_brute_force(spark, broadcast_rows):
+@pytest.mark.parametrize("broadcast_bytes", [1 << 25, 0])
+def test_line_dedup_equals_brute_force(spark, broadcast_bytes):
     rng = np.random.default_rng(1)
     bases = ["".join(rng.choice(list("abcde fgh"), 24 + k)) + "z" for k in range(6)]
     texts = [None, "", "short\nshort", "é" * 25 + "\n" + "é" * 26]
@@ -321,7 +353,7 @@ def test_line_dedup_equals_brute_force(spark, broadcast_rows):
             made.append([line, line[:at] + "Q" + line[at + 1 :], line[:at] + line[at + 1 :], line[:at] + "R" + line[at:], line[:at] + "QR" + line[at + 1 :]][kind])
         texts.append("\n".join(made))
     frame = spark.createDataFrame([(i, t, 3) for i, t in enumerate(texts)], "doc_id long, text string, _n int").repartition(3)
-    got = sorted(lines.dedup_lines(frame, broadcast_rows=broadcast_rows).collect(), key=lambda r: r.doc_id)
+    got = sorted(lines.dedup_lines(frame, broadcast_bytes=broadcast_bytes).collect(), key=lambda r: r.doc_id)
     earlier, want = [], []
     for t in texts:
         kept = []
@@ -337,6 +369,26 @@ def test_line_dedup_equals_brute_force(spark, broadcast_rows):
     assert [r.n_lines for r in got] == [0 if t is None else t.count("\n") + 1 for t in texts]
 
 
+def test_long_lines_one_edit_apart(spark):
+    """Lines around and over the length from which they are cut, with edits at the ends, inside and at the cuts."""
+    rng, texts = np.random.default_rng(2), []
+    for size in (512, 513, 514, 700, 5000):
+        base = "".join(rng.choice(list("abcdé fg"), size - 1)) + "."
+        step = max(64, int(np.ceil(np.sqrt(size))))
+        texts.append(base)
+        for at in (0, 1, step - 1, step, size // 2, size - step, size - 1):
+            texts += [base[:at] + "Q" + base[at + 1 :], base[:at] + base[at + 1 :], base[:at] + "R" + base[at:], base[:at] + "QQ" + base[at + 2 :] + "QQ"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [int(any(t == e or distance_one(t, e) for e in texts[:i])) for i, t in enumerate(texts)]
+    assert [r.n_dropped for r in sorted(lines.dedup_lines(frame).collect(), key=lambda r: r.doc_id)] == want and 0 < sum(want) < len(want)
+
+
+def test_very_long_lines_are_workable(spark):
+    line = "".join(chr(97 + k * k % 23) + str(k % 10) for k in range(100_000))
+    frame = spark.createDataFrame([(0, line), (1, line[:77_777] + "#" + line[77_778:]), (2, line[1:]), (3, line[:100] + "##" + line[100:])], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_dropped) for r in lines.dedup_lines(frame).collect()) == [(0, 0), (1, 1), (2, 1), (3, 0)]
+
+
 def test_line_dedup_of_awkward_rows(docs, empty):
     got = lines.dedup_lines(docs)
     assert got.count() == len(TEXTS) + 2 and set(docs.columns) <= set(got.columns)
