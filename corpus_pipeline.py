@@ -31,10 +31,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest id. Rows without id stay."""
-    found = neardup.near_duplicates(docs, neardup.Settings(words=5, percent=80, bands=32, rows=5))
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates: that of the smallest id. Rows without id stay, columns as given."""
+    return neardup.first_of_group(docs, neardup.Settings(words=5, percent=80, bands=32, rows=5))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
