@@ -2,7 +2,8 @@
 
 A conversation is formatted turn by turn. Prefix sums of the turns' token counts choose spans that begin and end at turns and
 fit a budget together with the system turn; every window after the first repeats some history, whose targets are masked, so
-each assistant turn is trained on exactly once.
+each assistant turn is trained on exactly once. Turns stream through in order: a conversation is never held as a whole, only
+its system turn and the last few turns that the next window may repeat.
 
 Template: ``[SYS]text[/SYS]``, ``[INST]text[/INST]`` and ``[ASST]text</s>`` for system, user and assistant, and
 ``[ROLE]name[/ROLE][INST]text[/INST]`` for any other role. Inside texts and role names a backslash becomes ``\\b``, ``[``
@@ -11,10 +12,15 @@ becomes ``\\s`` and ``<`` becomes ``\\l``: no control string can stand there, an
 
 from __future__ import annotations
 
-import numpy as np
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import vocabulary
+from .tokens import count_udf
+
 #: (before the text, after the text) by role.
 MARKS = {"system": ("[SYS]", "[/SYS]"), "user": ("[INST]", "[/INST]"), "assistant": ("[ASST]", "</s>")}
 
@@ -35,99 +41,120 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def format_turns(turns: DataFrame) -> DataFrame:
+def format_turns(turns: DataFrame, tokenizer_path: str) -> DataFrame:
     """One row per turn: ``conv_id, turn, role, head, body, tail, target, n_tokens``; head + body + tail is the formatted turn.
 
-    Null texts and roles are empty strings. Tokens are estimated natively, as runs of letters, digits or marks.
+    Null texts and roles are empty strings. ``n_tokens`` is the tokenizer's count for the formatted turn by itself.
     """
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     pick = lambda k: F.coalesce(*[F.when(role == r, F.lit(m[k])) for r, m in MARKS.items()], F.lit(MARKS["user"][k]))
     known = role.isin(*MARKS)
     head = F.concat(F.when(known, F.lit("")).otherwise(F.concat(F.lit("[ROLE]"), escape(role), F.lit("[/ROLE]"))), pick(0))
-    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), head.alias("head"), escape(text).alias("body"), pick(1).alias("tail"), (role == "assistant").alias("target"))
-    return rows.withColumn("n_tokens", F.expr(r"cast(regexp_count(body, '\\p{L}+|\\p{N}+|[^\\s\\p{L}\\p{N}]+') + 2 as int)"))
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), head.alias("head"), escape(text).alias("body"), pick(1).alias("tail"), (role == "assistant").alias("target"))
+    return rows.withColumn("n_tokens", count_udf(tokenizer_path)(F.concat("head", "body", "tail")))
 
 
-def windows_of(tokens: list[int], targets: list[bool], system: list[bool], budget: int, history: int) -> list[tuple[int, int, int]]:
-    """(first turn, first new turn, end) of each window over the turns that aren't the leading system turn.
+class Windows:
+    """Chooses the windows of one conversation turn by turn: greedy spans of prefix sums.
 
-    Turns from first to the first new one are repeated history; a turn over the budget gets a window of its own, uncut.
+    The leading system turn stands in every window and takes its part of the budget; one that takes all of it is shown in the
+    first window only. A turn that doesn't fit into what is left gets a window of its own, uncut, which is then over budget.
     """
-    lead = 1 if system and system[0] else 0
-    sums = np.concatenate([[0], np.cumsum(tokens)])
-    room = budget - int(sums[lead])
-    out, new, n = [], lead, len(tokens)
-    while new < n:
-        first = max(lead, new - history) if out else new
-        while first < new and sums[new + 1] - sums[first] > room:
-            first += 1  # less history rather than no progress
-        end = max(new + 1, int(np.searchsorted(sums, sums[first] + room, side="right")) - 1)
-        out.append((first, new, min(end, n)))
-        new = min(end, n)
-    if not out:
-        out.append((0, 0, n))  # the system turn alone
-    return out
 
+    def __init__(self, budget: int, history: int):
+        self.budget, self.history = budget, history
+        self.room, self.system, self.window, self.used = budget, None, -1, 0
+        self.last: deque = deque(maxlen=history)
+
+    def push(self, row: dict) -> list[tuple[int, dict, bool]]:
+        """(window, row, new) for a turn and what is repeated before it."""
+        size, out = row["n_tokens"], []
+        if self.window < 0 and self.system is None and row["role"] == "system":
+            self.system, self.window, self.room = row, 0, self.budget - size
+            if self.room <= 0:
+                self.room, self.system, self.used = self.budget, {}, self.budget  # the first window is full
+            return [(0, row, True)]
+        if self.window < 0 or self.used and self.used + size > self.room:
+            self.window += 1
+            repeated = list(self.last)
+            while repeated and sum(r["n_tokens"] for r in repeated) + size > self.room:
+                repeated.pop(0)  # less history rather than no progress
+            self.used = sum(r["n_tokens"] for r in repeated)
+            out = [(self.window, r, False) for r in ([self.system] if self.system else []) + repeated]
+        self.used += size
+        self.last.append(row)
+        return [*out, (self.window, row, True)]
+
+
+PLACED = "conv_id long, window int, place int, new boolean, head string, body string, tail string, target boolean, n_tokens long"
+
+
+def place_turns(formatted: DataFrame, budget: int, history: int) -> DataFrame:
+    """``conv_id, window, place, new, head, body, tail, target, n_tokens``: the turns of each window, in order."""
+    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "body")
+
+    def run(batches):
+        conversation, windows, place = object(), None, {}
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["conv_id"] != conversation:
+                    conversation, windows, place = row["conv_id"], Windows(budget, history), (-1, 0)
+                for window, r, new in windows.push(row):
+                    place = (window, place[1] + 1 if place[0] == window else 0)
+                    out.append({"conv_id": conversation, "window": window, "place": place[1], "new": new, "head": r["head"], "body": r["body"], "tail": r["tail"], "target": new and r["target"], "n_tokens": r["n_tokens"]})
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64()]
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema(list(zip(PLACED.replace(",", "").split()[::2], types))))
 
-WINDOWS = "conv_id long, windows array<struct<text: string, first: int, new: int, spans: array<struct<start: int, end: int>>>>, text string, spans array<struct<start: int, end: int>>"
+    return ordered.mapInArrow(run, PLACED)
 
 
-def format_conversations(turns: DataFrame, budget: int = 1024, history: int = 2) -> DataFrame:
-    """One row per conversation: its training ``windows``, and the formatted ``text`` with its loss ``spans``.
+def format_conversations(turns: DataFrame, budget: int = 1024, history: int = 2, tokenizer_path: str | None = None) -> DataFrame:
+    """One row per training window: ``conv_id, window, text, fresh, n_tokens, over_budget, spans``.
 
-    A window holds its text, its first turn, its first new turn and the loss spans (code points of its text, end excluded);
-    the system turn is repeated in every window and up to ``history`` turns before the first new one, all masked. ``text`` is
-    the whole conversation formatted once and ``spans`` its loss mask, put together from the windows.
+    ``text`` is the leading system turn, up to ``history`` turns that the window before showed, and from the code point ``fresh``
+    on the window's new turns; ``spans`` are the new assistant texts in it (code points, end excluded), all else is masked.
+    ``n_tokens`` is the sum of the turns' counts by the tokenizer, at most ``budget`` but for a turn that is longer than what
+    the system turn leaves: it stands uncut as the only new turn of its window, and ``over_budget`` tells so. A system turn that
+    leaves nothing stands alone in the first window and isn't repeated.
 
     Rows are ordered by turn, then role and text, so repeated rows and ties give one defined result; null turns come first;
     null texts are empty; rows with a null conv_id form a conversation of their own; other columns are not read; an empty
     table gives an empty result.
     """
-    rows = format_turns(turns)
-    spark_rows = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "body", "head", "tail", "target", "n_tokens"))).alias("turns"))
+    formatted = format_turns(turns, tokenizer_path or vocabulary("byte_bpe_50k.json"))
+    placed = place_turns(formatted, budget, history)
+    size = F.length("head") + F.length("body") + F.length("tail")
+    part = F.struct("place", F.concat("head", "body", "tail").alias("text"), size.alias("size"), F.length("head").alias("before"), F.length("body").alias("body"), "new", "target")
+    # The turns of one window only: as many as a budget holds.
+    rows = placed.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.sum("n_tokens").alias("n_tokens"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int>>").alias("spans"))
 
-    def build(batches):
-        for frame in batches:
-            out = []
-            for conv_id, listed in zip(frame["conv_id"], frame["turns"]):
-                listed = list(listed)
-                made = [t["head"] + t["body"] + t["tail"] for t in listed]
-                is_system = [t["role"] == "system" for t in listed]
-                chosen = windows_of([t["n_tokens"] for t in listed], [t["target"] for t in listed], is_system, budget, history)
-                lead = 1 if is_system and is_system[0] else 0
-                starts = np.concatenate([[0], np.cumsum([len(m) for m in made])]).tolist()
-                windows, whole = [], []
-                for first, new, end in chosen:
-                    shown = [*range(min(lead, first)), *range(first, end)]
-                    at, spans = 0, []
-                    for i in shown:
-                        if listed[i]["target"] and i >= new:
-                            a = at + len(listed[i]["head"])
-                            spans.append({"start": a, "end": a + len(listed[i]["body"])})
-                            a = starts[i] + len(listed[i]["head"])
-                            whole.append({"start": a, "end": a + len(listed[i]["body"])})
-                        at += len(made[i])
-                    windows.append({"text": "".join(made[i] for i in shown), "first": first, "new": new, "spans": spans})
-                out.append((conv_id, windows, "".join(made), whole))
-            import pandas as pd
-
-            yield pd.DataFrame({"conv_id": pd.array([r[0] for r in out], "Int64"), "windows": [r[1] for r in out], "text": [r[2] for r in out], "spans": [r[3] for r in out]})
-
-    return spark_rows.withColumn("conv_id", F.col("conv_id").cast("long")).mapInPandas(build, WINDOWS)
+    def add(state: Column, p: Column) -> Column:
+        begin = state["at"] + p["before"]
+        span = F.struct(begin.alias("start"), (begin + p["body"]).alias("end"))
+        return F.struct((state["at"] + p["size"]).alias("at"), F.when(p["target"], F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+
+    repeated = F.aggregate(F.filter("parts", lambda p: ~p["new"]), F.lit(0), lambda a, p: a + p["size"])
+    return rows.select("conv_id", "window", F.array_join("parts.text", "").alias("text"), repeated.alias("fresh"), "n_tokens", (F.col("n_tokens") > budget).alias("over_budget"), F.aggregate("parts", start, add, lambda s: s["spans"]).alias("spans"))
 
 
 #: A formatted turn: the name of an unusual role, the mark, the text. Texts hold no bare [ or <.
 _TURN = r"(\[ROLE\][^\[<]*+\[/ROLE\])?\[(SYS|INST|ASST)\]([^\[<]*+)(?:\[/SYS\]|\[/INST\]|</s>)"
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """Turns and loss text from formatted conversations: ``conv_id, turns (array of role, text), loss_text, formatted_chars``.
+def read_back(windows: DataFrame) -> DataFrame:
+    """Turns and loss text of whole conversations from their windows: ``conv_id, turns (array of role, text), loss_text, formatted_chars``.
 
-    The loss text is that under the masks of the windows, unescaped, in order.
+    Turns and characters are those of the windows' new parts, one after the other; the loss text is that under the masks,
+    unescaped, in order. A conversation becomes one row, so this is for checks and digests, not for training.
     """
-    part = lambda k: F.regexp_extract_all("text", F.lit(_TURN), F.lit(k))
-    rows = formatted.withColumn("_turns", F.arrays_zip(part(1).alias("name"), part(2).alias("mark"), part(3).alias("body")))
+    part = lambda k: F.regexp_extract_all("new_text", F.lit(_TURN), F.lit(k))
+    under = F.array_join(F.transform("spans", lambda s: F.substring("text", s["start"] + 1, s["end"] - s["start"])), "")
+    rows = windows.select("conv_id", "window", F.substring("text", F.col("fresh") + 1, F.length("text")).alias("new_text"), unescape(under).alias("loss"))
+    rows = rows.withColumn("_turns", F.arrays_zip(part(1).alias("name"), part(2).alias("mark"), part(3).alias("body")))
     usual = lambda mark: F.when(mark == "SYS", "system").when(mark == "ASST", "assistant").otherwise("user")
     turns = F.transform("_turns", lambda t: F.struct(F.when(t["name"] != "", unescape(F.substring(t["name"], F.lit(7), F.length(t["name"]) - 13))).otherwise(usual(t["mark"])).alias("role"), unescape(t["body"]).alias("text")))
-    under = F.transform("windows", lambda w: F.array_join(F.transform(w["spans"], lambda s: F.substring(w["text"], s["start"] + 1, s["end"] - s["start"])), ""))
-    return rows.select("conv_id", turns.alias("turns"), unescape(F.array_join(under, "")).alias("loss_text"), F.length("text").cast("long").alias("formatted_chars"))
+    rows = rows.select("conv_id", F.struct("window", turns.alias("turns"), "loss", F.length("new_text").cast("long").alias("chars")).alias("w"))
+    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("w")).alias("w"), F.sum("w.chars").alias("formatted_chars"))
+    return whole.select("conv_id", F.flatten("w.turns").alias("turns"), F.array_join("w.loss", "").alias("loss_text"), "formatted_chars")

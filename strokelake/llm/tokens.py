@@ -104,23 +104,39 @@ class ByteLevelCounter:
 _COUNTERS: dict = {}
 
 
+def _counter(path: str):
+    """The counter of this worker: ``.json`` is read by tokenizers (byte-level BPE), ``.model`` by sentencepiece."""
+    if path not in _COUNTERS:
+        if path.endswith(".model"):
+            from .pieces import PieceCounter
+
+            _COUNTERS[path] = PieceCounter(path)
+        else:
+            _COUNTERS[path] = ByteLevelCounter(path)
+    return _COUNTERS[path]
+
+
+def count_udf(tokenizer_path: str):
+    """An Arrow function of a text column that gives the library's token counts; null texts count 0."""
+
+    def count(texts):
+        import pandas as pd
+
+        listed = [t or "" for t in texts]
+        return pd.Series([n for a, b in byte_slices(listed, 4 << 20) for n in _counter(tokenizer_path).counts(listed[a:b])], dtype="int64")
+
+    return F.pandas_udf(count, "long")
+
+
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_bytes, n_tokens`` per row: what the library returns for the whole text, special strings as by its default.
 
     Null and empty texts have no bytes and no tokens; a null id stays null; repeated rows each give a row; other columns are
     not read, so clashing names do no harm; an empty table gives an empty result.
-    ``.json`` is read by tokenizers (byte-level BPE), ``.model`` by sentencepiece.
     """
 
     def count(batches):
-        if tokenizer_path not in _COUNTERS:
-            if tokenizer_path.endswith(".model"):
-                from .pieces import PieceCounter
-
-                _COUNTERS[tokenizer_path] = PieceCounter(tokenizer_path)
-            else:
-                _COUNTERS[tokenizer_path] = ByteLevelCounter(tokenizer_path)
-        counter = _COUNTERS[tokenizer_path]
+        counter = _counter(tokenizer_path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             counts = [n for a, b in byte_slices(texts, 4 << 20) for n in counter.counts(texts[a:b])]

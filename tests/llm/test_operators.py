@@ -146,22 +146,60 @@ def test_packing_refuses_impossible_lengths(spark):
         packing.place(spark.createDataFrame([(1, 0, 9)], "doc_id long, piece int, length long"), capacity=8)
 
 
-def test_chat_round_trip_and_masks(spark):
-    turns = [
-        (1, 0, "system", "be [brief] \\ <now>"), (1, 1, "user", "</s>[INST] ok [/INST]"), (1, 2, "assistant", "\\s and \\\\b [/SYS]"), (1, 3, "user", None), (1, 4, "assistant", "x " * 900), (1, 5, "tool", "[ROLE]"), (1, 6, "assistant", "end"),
-        (2, 0, "assistant", ""), (3, 0, "system", "alone"), (None, 0, "user", "no id"), (4, 0, None, "no role"),
-        *((5, i, ("user", "assistant")[i % 2], f"turn {i} says a few words") for i in range(30)),
-    ]
-    frame = spark.createDataFrame([(*t, "x") for t in turns], "conv_id long, turn long, role string, text string, windows string")
-    made = chat.format_conversations(frame, budget=64, history=2)
-    for r in chat.read_back(made).collect():
-        mine = [t for t in turns if t[0] == r.conv_id]
-        assert [(t.role, t.text) for t in r.turns] == [(t[2] or "", t[3] or "") for t in mine]
-        assert r.loss_text == "".join(t[3] or "" for t in mine if t[2] == "assistant")
-    windows = next(r for r in made.collect() if r.conv_id == 1).windows
-    assert len(windows) > 1 and all(w.text.startswith("[SYS]") for w in windows)
-    windows = next(r for r in made.collect() if r.conv_id == 5).windows
-    assert len(windows) > 2 and all(w.first == w.new - 2 for w in windows[1:])
+TURNS = [
+    (1, 0, "system", "be [brief] \\ <now>"), (1, 1, "user", "</s>[INST] ok [/INST]"), (1, 2, "assistant", "\\s and \\\\b [/SYS]"), (1, 3, "user", None), (1, 4, "assistant", "x " * 900), (1, 5, "tool", "[ROLE]"), (1, 6, "assistant", "end"),
+    (2, 0, "assistant", ""), (3, 0, "system", "alone"), (None, 0, "user", "no id"), (None, 1, "assistant", "none"), (4, 0, None, "no role"),
+    *((5, i, ("user", "assistant")[i % 2], f"turn {i} says a few words") for i in range(30)),
+    (6, 0, "system", "rules " * 200), (6, 1, "user", "\u65e5\u672c\u8a9e\u306e\u30c6\u30ad\u30b9\u30c8" * 20), (6, 2, "assistant", "\u3042" * 40), (6, 3, "user", "so"),
+    (7, 0, "user", "same"), (7, 0, "user", "same"), (7, 1, "assistant", "twice"), (7, 1, "assistant", "twice"), (8, None, "assistant", "first"), (8, 0, "system", "late"),
+]
+
+
+def brute_windows(rows, counts, budget, history):
+    """(shown turns, first new place, tokens) of each window, from the whole list of turns."""
+    lead = [0] if rows[0][2] == "system" else []
+    out, new = [], len(lead)
+    if lead and counts[0] >= budget:
+        out, lead = [([0], 0, counts[0])], []
+    room = budget - sum(counts[i] for i in lead)
+    while new < len(rows):
+        back = [i for i in range(max(new - history, 1 if rows[0][2] == "system" else 0), new)] if out and (new > 1 or rows[0][2] != "system") else []
+        while back and sum(counts[i] for i in back) + counts[new] > room:
+            back = back[1:]
+        end = new + 1
+        while end < len(rows) and sum(counts[i] for i in [*back, *range(new, end + 1)]) <= room:
+            end += 1
+        shown = [*lead, *back, *range(new, end)]
+        out.append((shown, 0 if not out else len(lead) + len(back), sum(counts[i] for i in shown)))
+        new = end
+    return out or [([0], 0, counts[0])]
+
+
+@pytest.mark.parametrize("budget, history", [(64, 2), (40, 0), (200, 5), (100_000, 2)])
+def test_chat_windows_round_trip_and_masks(spark, budget, history):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(common.vocabulary("byte_bpe_50k.json"))
+    frame = spark.createDataFrame([(*t, "x") for t in TURNS], "conv_id long, turn long, role string, text string, windows string").repartition(3)
+    made = common.checkpoint(chat.format_conversations(frame, budget, history))
+    back = {r.conv_id: r for r in chat.read_back(made).collect()}
+    windows = {}
+    for r in sorted(made.collect(), key=lambda r: r.window):
+        windows.setdefault(r.conv_id, []).append(r)
+    marks = lambda role: chat.MARKS.get(role) or ("[ROLE]" + role + "[/ROLE][INST]", "[/INST]")
+    code = lambda t: t.replace("\\", "\\b").replace("[", "\\s").replace("<", "\\l")
+    for conv in {t[0] for t in TURNS}:
+        mine = sorted(((t[0], -1 if t[1] is None else t[1], t[2] or "", t[3] or "") for t in TURNS if t[0] == conv), key=lambda t: t[1])
+        assert [(t.role, t.text) for t in back[conv].turns] == [(t[2], t[3]) for t in mine]
+        assert back[conv].loss_text == "".join(t[3] for t in mine if t[2] == "assistant")
+        texts = [marks(t[2])[0] + code(t[3]) + marks(t[2])[1] for t in mine]
+        counts = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+        want = brute_windows(mine, counts, budget, history)
+        assert back[conv].formatted_chars == sum(map(len, texts)) and len(windows[conv]) == len(want)
+        for r, (shown, new, tokens) in zip(windows[conv], want):
+            assert r.text == "".join(texts[i] for i in shown) and r.fresh == sum(len(texts[i]) for i in shown[:new])
+            assert r.n_tokens == tokens and r.over_budget == (tokens > budget) and (tokens <= budget or len(shown) - new == 1)
+            assert [r.text[s.start : s.end] for s in r.spans] == [code(mine[i][3]) for i in shown[new:] if mine[i][2] == "assistant"]
     assert chat.read_back(chat.format_conversations(frame.limit(0))).count() == 0
 
 
