@@ -196,7 +196,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def filter_quality(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of the rows whose text scores at least the threshold."""
+    """All columns of the rows whose text scores at least the threshold.
+
+    Null and empty texts score as in ``score``; repeated rows and ties are judged alike; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -17,19 +17,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import maybe_broadcast
+
 #: Groups over which the documents of one length are ranked, so that a length that a third of all rows has is no hot key.
 SALTS = 64
 
 
-def fill_patterns(lengths: np.ndarray, counts: np.ndarray, capacity: int, most: int = 6000, waste: int = 0) -> list[tuple[int, ...]]:
-    """Lengths that together fill a sequence: pairs, then triples of the more frequent lengths, within ``waste`` of full."""
+def fill_patterns(lengths: np.ndarray, counts: np.ndarray, capacity: int, most: int = 6000, waste: int = 0, common: int = 160) -> list[tuple[int, ...]]:
+    """Lengths that together fill a sequence: pairs, then triples of the more frequent lengths, within ``waste`` of full.
+
+    ``most`` patterns, and triples that begin with the ``common`` most frequent lengths, are what the fit looks at; documents
+    that no chosen pattern takes are packed best-fit, so these bounds on the driver's work leave nothing out.
+    """
     have = set(lengths.tolist())
     frequency = dict(zip(lengths.tolist(), counts.tolist()))
     out = [(a, b) for a in have for slack in range(waste + 1) if (b := capacity - slack - a) in have and b <= a and (a != b or frequency[a] > 1)]
-    common = sorted(have, key=lambda n: -frequency[n])[:160]
+    first = sorted(have, key=lambda n: -frequency[n])[:common]
     triples = []
-    for i, a in enumerate(common):
-        for b in common[i:]:
+    for i, a in enumerate(first):
+        for b in first[i:]:
             for slack in range(waste + 1):
                 if (c := capacity - slack - a - b) in have:
                     triples.append(tuple(sorted((a, b, c), reverse=True)))
@@ -63,8 +69,6 @@ def plan_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[
     """(lengths of one sequence, repeats) pairs that use every length exactly as often as the histogram has it."""
     left = {n: c for n, c in sorted(histogram.items()) if c > 0}
     plan: Counter = Counter()
-    if full := left.pop(capacity, 0):
-        plan[(capacity,)] = full
     lengths = np.array(list(left), np.int64)
     counts = np.array(list(left.values()), np.float64)
     patterns = fill_patterns(lengths, counts, capacity) if len(lengths) else []
@@ -130,11 +134,14 @@ def _slots(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int,
 def place(pieces: DataFrame, capacity: int = 2048, keys: tuple[str, ...] = ("doc_id", "piece"), length_col: str = "length") -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows of 1 to ``capacity`` tokens; each sequence is filled from 0 without gaps.
 
-    ``pieces`` is read twice, so give a checkpointed or stored frame. Ties and repeated rows each get a place of their own;
+    ``pieces`` is read three times, so give a checkpointed or stored frame. Ties and repeated rows each get a place of their own;
     null keys are keys like any other; an empty table gives an empty result. Lengths of null, under 1 or over ``capacity``
     are an error.
     """
     spark: SparkSession = pieces.sparkSession
+    # A full piece is a sequence by itself and needs no rank; its number is negative.
+    full = pieces.filter(F.col(length_col) == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    pieces = pieces.filter(F.col(length_col).isNull() | (F.col(length_col) != capacity))
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int"))
     groups = salted.groupBy(F.col(length_col).cast("int").alias("_length"), "_salt").agg(F.count(F.lit(1)).alias("_n"))
     found = groups.collect()  # at most capacity x SALTS counts
@@ -154,9 +161,9 @@ def place(pieces: DataFrame, capacity: int = 2048, keys: tuple[str, ...] = ("doc
     runs = spark.createDataFrame([(k, v) for k, v in slots.items()], T.StructType([T.StructField("_length", T.IntegerType()), T.StructField("_runs", T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("rank", "n", "sequence", "at")])))]))
     within = salted.withColumn("_rank", F.expr(f"row_number() over (partition by {length_col}, _salt order by {', '.join(keys)}) - 1"))
     within = within.withColumn("_length", F.col(length_col).cast("int"))
-    ranked = within.join(F.broadcast(starts), ["_length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_first"))
-    placed = ranked.join(F.broadcast(runs), "_length").withColumn("_run", F.expr("filter(_runs, r -> _rank >= r.rank and _rank < r.rank + r.n)[0]"))
-    return placed.withColumns({"sequence_id": F.expr("_run.sequence + _rank - _run.rank"), "offset": F.expr("_run.at")}).select(*pieces.columns, "sequence_id", "offset")
+    ranked = within.join(maybe_broadcast(starts), ["_length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_first"))
+    placed = ranked.join(maybe_broadcast(runs), "_length").withColumn("_run", F.expr("filter(_runs, r -> _rank >= r.rank and _rank < r.rank + r.n)[0]"))
+    return placed.withColumns({"sequence_id": F.expr("_run.sequence + _rank - _run.rank"), "offset": F.expr("_run.at")}).select(*pieces.columns, "sequence_id", "offset").unionByName(full)
 
 
 def assemble(placed: DataFrame, ids_col: str = "ids") -> DataFrame:

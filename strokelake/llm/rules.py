@@ -83,14 +83,20 @@ def default_rules() -> list[Rule]:
 def order_rules(measured_rows: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Rules by rejections per cost over those of ``sample_rows`` rows that pass the base, as one small read.
 
-    The rows are filtered here: a filter in the plan would be pushed below the projections and copy their expressions.
+    One after the other, the rule is next that rejects most per cost among the rows that those before it pass, so a rule that
+    only repeats what another one finds comes late. The rows are filtered here: a filter in the plan would be pushed below the projections and copy their expressions.
     """
     tests = [c for k, r in enumerate(rules) for c in (F.coalesce(r.rejects, F.lit(False)).alias(f"r{k}"), (r.touches * r.unit).cast("double").alias(f"t{k}"))]
     found = [r for r in measured_rows.select(base_failed().alias("failed"), *tests).limit(sample_rows).collect() if not r["failed"]]
     if not found:
         return rules
-    score = lambda k: (sum(x[f"r{k}"] for x in found) + 0.5) / (sum(x[f"t{k}"] for x in found) + 1.0)
-    return [rules[k] for k in sorted(range(len(rules)), key=lambda k: (-score(k), k))]
+    order, left = [], list(range(len(rules)))
+    while left:
+        score = {k: (sum(x[f"r{k}"] for x in found) + 0.5) / (sum(x[f"t{k}"] for x in found) + 1.0) for k in left}
+        order.append(max(left, key=lambda k: (score[k], -k)))
+        left.remove(order[-1])
+        found = [x for x in found if not x[f"r{order[-1]}"]]
+    return [rules[k] for k in order]
 
 
 def verdict(rows: DataFrame, rules: list[Rule] | None, sample_rows: int) -> Column:
@@ -113,7 +119,7 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_passing(docs: DataFrame, text_col: str = "text", rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """All columns of the rows that pass.
+    """All columns of the rows that pass; null and empty texts fail, repeated rows and ties are judged alike, an empty table stays empty.
 
     Rows go through a generator and not a filter, which would be pushed below the projections with copies of their expressions.
     """
