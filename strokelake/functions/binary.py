@@ -39,6 +39,13 @@ def little(value: Column, width: int) -> Column:
     return F.unhex(F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(width))]))
 
 
+def small_real(value: Column) -> Column:
+    """The four bytes of an integer from 0 to 2^24 as an IEEE single."""
+    power = F.floor(F.log2(F.greatest(value, F.lit(1)))).cast("int")
+    bits = (power + 127) * (1 << 23) + (value - F.pow(F.lit(2.0), power)).cast("long") * F.pow(F.lit(2.0), 23 - power).cast("long")
+    return little(F.when(value == 0, 0).otherwise(bits), 4)
+
+
 def words(data: Column) -> Column:
     """The 16-bit words of an even-sized binary."""
     n = (F.octet_length(data) / 2).cast("int")

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from . import binary
 
 # Record types of the published formats, with their fields from the first byte after the record's head.
-# A field is name:kind; kinds are i16, u16, i32, u32 and f32.
+# A field is name:kind; kinds are u8, i16, u16, i32, u32 and f32.
 WMF = """
 0x0000 EOF
 0x001E SaveDC
 0x0035 RealizePalette
-0x0037 SetPaletteEntries
-0x00F7 CreatePalette
+0x0037 SetPaletteEntries start:u16 n:u16
+0x00F7 CreatePalette start:u16 n:u16
 0x0102 SetBkMode mode:u16
 0x0103 SetMapMode mode:u16
 0x0104 SetROP2 mode:u16
@@ -29,7 +29,7 @@ WMF = """
 0x012D SelectObject object:u16
 0x012E SetTextAlign mode:u16
 0x0139 ResizePalette n:u16
-0x0142 DIBCreatePatternBrush
+0x0142 DIBCreatePatternBrush style:u16 usage:u16
 0x0149 SetLayout layout:u16
 0x01F0 DeleteObject object:u16
 0x01F9 CreatePatternBrush
@@ -49,10 +49,10 @@ WMF = """
 0x0231 SetMapperFlags flags:u32
 0x0234 SelectPalette palette:u16
 0x02FA CreatePenIndirect style:u16 width:i16 height:i16 color:u32
-0x02FB CreateFontIndirect
+0x02FB CreateFontIndirect height:i16 width:i16 escapement:i16 orientation:i16 weight:i16 italic:u8 underline:u8 strikeout:u8 charset:u8 outprecision:u8 clipprecision:u8 quality:u8 pitch:u8
 0x02FC CreateBrushIndirect style:u16 color:u32 hatch:u16
-0x0324 Polygon
-0x0325 Polyline
+0x0324 Polygon n:u16
+0x0325 Polyline n:u16
 0x0410 ScaleWindowExt ydenom:i16 ynum:i16 xdenom:i16 xnum:i16
 0x0412 ScaleViewportExt ydenom:i16 ynum:i16 xdenom:i16 xnum:i16
 0x0415 ExcludeClipRect bottom:i16 right:i16 top:i16 left:i16
@@ -62,31 +62,35 @@ WMF = """
 0x041B Rectangle bottom:i16 right:i16 top:i16 left:i16
 0x041F SetPixel color:u32 y:i16 x:i16
 0x0429 FrameRegion region:u16 brush:u16 height:i16 width:i16
-0x0436 AnimatePalette
-0x0521 TextOut
-0x0538 PolyPolygon
+0x0436 AnimatePalette start:u16 n:u16
+0x0521 TextOut length:u16
+0x0538 PolyPolygon n:u16
 0x0548 ExtFloodFill mode:u16 color:u32 y:i16 x:i16
 0x061C RoundRect height:i16 width:i16 bottom:i16 right:i16 top:i16 left:i16
 0x061D PatBlt rop:u32 height:i16 width:i16 y:i16 x:i16
-0x0626 Escape
-0x06FF CreateRegion
+0x0626 Escape function:u16 bytes:u16
+0x06FF CreateRegion next:i16 kind:i16 objects:i32 bytes:i16 scans:i16 longest:i16 left:i16 top:i16 right:i16 bottom:i16
 0x0817 Arc yend:i16 xend:i16 ystart:i16 xstart:i16 bottom:i16 right:i16 top:i16 left:i16
 0x081A Pie yend:i16 xend:i16 ystart:i16 xstart:i16 bottom:i16 right:i16 top:i16 left:i16
 0x0830 Chord yend:i16 xend:i16 ystart:i16 xstart:i16 bottom:i16 right:i16 top:i16 left:i16
-0x0922 BitBlt
-0x0940 DIBBitBlt
-0x0A32 ExtTextOut
-0x0B23 StretchBlt
-0x0B41 DIBStretchBlt
-0x0D33 SetDIBToDev
-0x0F43 StretchDIB
+0x0922 BitBlt rop:u32 ysrc:i16 xsrc:i16 height:i16 width:i16 y:i16 x:i16
+0x0940 DIBBitBlt rop:u32 ysrc:i16 xsrc:i16 height:i16 width:i16 y:i16 x:i16
+0x0A32 ExtTextOut y:i16 x:i16 length:i16 options:u16
+0x0B23 StretchBlt rop:u32 hsrc:i16 wsrc:i16 ysrc:i16 xsrc:i16 height:i16 width:i16 y:i16 x:i16
+0x0B41 DIBStretchBlt rop:u32 hsrc:i16 wsrc:i16 ysrc:i16 xsrc:i16 height:i16 width:i16 y:i16 x:i16
+0x0D33 SetDIBToDev usage:u16 scans:u16 start:u16 ysrc:i16 xsrc:i16 height:i16 width:i16 y:i16 x:i16
+0x0F43 StretchDIB rop:u32 usage:u16 hsrc:i16 wsrc:i16 ysrc:i16 xsrc:i16 height:i16 width:i16 y:i16 x:i16
 """
 
 EMF = """
 1 Header left:i32 top:i32 right:i32 bottom:i32 fleft:i32 ftop:i32 fright:i32 fbottom:i32
-2 PolyBezier
-3 Polygon
-4 Polyline
+2 PolyBezier left:i32 top:i32 right:i32 bottom:i32 n:u32
+3 Polygon left:i32 top:i32 right:i32 bottom:i32 n:u32
+4 Polyline left:i32 top:i32 right:i32 bottom:i32 n:u32
+5 PolyBezierTo left:i32 top:i32 right:i32 bottom:i32 n:u32
+6 PolylineTo left:i32 top:i32 right:i32 bottom:i32 n:u32
+7 PolyPolyline left:i32 top:i32 right:i32 bottom:i32 groups:u32 n:u32
+8 PolyPolygon left:i32 top:i32 right:i32 bottom:i32 groups:u32 n:u32
 9 SetWindowExtEx x:i32 y:i32
 10 SetWindowOrgEx x:i32 y:i32
 11 SetViewportExtEx x:i32 y:i32
@@ -101,6 +105,7 @@ EMF = """
 20 SetROP2 mode:u32
 21 SetStretchBltMode mode:u32
 22 SetTextAlign mode:u32
+23 SetColorAdjustment size:u16 flags:u16 illuminant:u16 redgamma:u16 greengamma:u16 bluegamma:u16 black:u16 white:u16 contrast:i16 brightness:i16 colourfulness:i16 tint:i16
 24 SetTextColor color:u32
 25 SetBkColor color:u32
 26 OffsetClipRgn x:i32 y:i32
@@ -126,11 +131,14 @@ EMF = """
 46 Chord left:i32 top:i32 right:i32 bottom:i32 xstart:i32 ystart:i32 xend:i32 yend:i32
 47 Pie left:i32 top:i32 right:i32 bottom:i32 xstart:i32 ystart:i32 xend:i32 yend:i32
 48 SelectPalette palette:u32
+49 CreatePalette palette:u32 version:u16 n:u16
+50 SetPaletteEntries palette:u32 start:u32 n:u32
 51 ResizePalette palette:u32 n:u32
 52 RealizePalette
 53 ExtFloodFill x:i32 y:i32 color:u32 mode:u32
 54 LineTo x:i32 y:i32
 55 ArcTo left:i32 top:i32 right:i32 bottom:i32 xstart:i32 ystart:i32 xend:i32 yend:i32
+56 PolyDraw left:i32 top:i32 right:i32 bottom:i32 n:u32
 57 SetArcDirection direction:u32
 58 SetMiterLimit limit:f32
 59 BeginPath
@@ -144,8 +152,56 @@ EMF = """
 67 SelectClipPath mode:u32
 68 AbortPath
 70 Comment
+71 FillRgn left:i32 top:i32 right:i32 bottom:i32 bytes:u32 brush:u32
+72 FrameRgn left:i32 top:i32 right:i32 bottom:i32 bytes:u32 brush:u32 width:i32 height:i32
+73 InvertRgn left:i32 top:i32 right:i32 bottom:i32 bytes:u32
+74 PaintRgn left:i32 top:i32 right:i32 bottom:i32 bytes:u32
+75 ExtSelectClipRgn bytes:u32 mode:u32
+76 BitBlt left:i32 top:i32 right:i32 bottom:i32 x:i32 y:i32 width:i32 height:i32 rop:u32 xsrc:i32 ysrc:i32 m11:f32 m12:f32 m21:f32 m22:f32 dx:f32 dy:f32 bkcolor:u32 usage:u32 bmi:u32 bmibytes:u32 bits:u32 bitbytes:u32
+77 StretchBlt left:i32 top:i32 right:i32 bottom:i32 x:i32 y:i32 width:i32 height:i32 rop:u32 xsrc:i32 ysrc:i32 m11:f32 m12:f32 m21:f32 m22:f32 dx:f32 dy:f32 bkcolor:u32 usage:u32 bmi:u32 bmibytes:u32 bits:u32 bitbytes:u32 wsrc:i32 hsrc:i32
+78 MaskBlt left:i32 top:i32 right:i32 bottom:i32 x:i32 y:i32 width:i32 height:i32 rop:u32 xsrc:i32 ysrc:i32 m11:f32 m12:f32 m21:f32 m22:f32 dx:f32 dy:f32 bkcolor:u32 usage:u32 bmi:u32 bmibytes:u32 bits:u32 bitbytes:u32 xmask:i32 ymask:i32 maskusage:u32 maskbmi:u32 maskbmibytes:u32 maskbits:u32 maskbitbytes:u32
+79 PlgBlt left:i32 top:i32 right:i32 bottom:i32 x0:i32 y0:i32 x1:i32 y1:i32 x2:i32 y2:i32 xsrc:i32 ysrc:i32 wsrc:i32 hsrc:i32 m11:f32 m12:f32 m21:f32 m22:f32 dx:f32 dy:f32 bkcolor:u32 usage:u32 bmi:u32 bmibytes:u32 bits:u32 bitbytes:u32 xmask:i32 ymask:i32 maskusage:u32 maskbmi:u32 maskbmibytes:u32 maskbits:u32 maskbitbytes:u32
+80 SetDIBitsToDevice left:i32 top:i32 right:i32 bottom:i32 x:i32 y:i32 xsrc:i32 ysrc:i32 wsrc:i32 hsrc:i32 bmi:u32 bmibytes:u32 bits:u32 bitbytes:u32 usage:u32 start:u32 scans:u32
+81 StretchDIBits left:i32 top:i32 right:i32 bottom:i32 x:i32 y:i32 xsrc:i32 ysrc:i32 wsrc:i32 hsrc:i32 bmi:u32 bmibytes:u32 bits:u32 bitbytes:u32 usage:u32 rop:u32 width:i32 height:i32
+82 ExtCreateFontIndirectW object:u32 height:i32 width:i32 escapement:i32 orientation:i32 weight:i32 italic:u8 underline:u8 strikeout:u8 charset:u8 outprecision:u8 clipprecision:u8 quality:u8 pitch:u8
+83 ExtTextOutA left:i32 top:i32 right:i32 bottom:i32 mode:u32 xscale:f32 yscale:f32 x:i32 y:i32 length:u32 text:u32 options:u32 cleft:i32 ctop:i32 cright:i32 cbottom:i32 advances:u32
+84 ExtTextOutW left:i32 top:i32 right:i32 bottom:i32 mode:u32 xscale:f32 yscale:f32 x:i32 y:i32 length:u32 text:u32 options:u32 cleft:i32 ctop:i32 cright:i32 cbottom:i32 advances:u32
+85 PolyBezier16 left:i32 top:i32 right:i32 bottom:i32 n:u32
+86 Polygon16 left:i32 top:i32 right:i32 bottom:i32 n:u32
+87 Polyline16 left:i32 top:i32 right:i32 bottom:i32 n:u32
+88 PolyBezierTo16 left:i32 top:i32 right:i32 bottom:i32 n:u32
+89 PolylineTo16 left:i32 top:i32 right:i32 bottom:i32 n:u32
+90 PolyPolyline16 left:i32 top:i32 right:i32 bottom:i32 groups:u32 n:u32
+91 PolyPolygon16 left:i32 top:i32 right:i32 bottom:i32 groups:u32 n:u32
+92 PolyDraw16 left:i32 top:i32 right:i32 bottom:i32 n:u32
+93 CreateMonoBrush object:u32 usage:u32 bmi:u32 bmibytes:u32 bits:u32 bitbytes:u32
+94 CreateDIBPatternBrushPt object:u32 usage:u32 bmi:u32 bmibytes:u32 bits:u32 bitbytes:u32
+95 ExtCreatePen object:u32 bmi:u32 bmibytes:u32 bits:u32 bitbytes:u32 style:u32 width:u32 brushstyle:u32 color:u32 hatch:u32 n:u32
+96 PolyTextOutA left:i32 top:i32 right:i32 bottom:i32 mode:u32 xscale:f32 yscale:f32 n:u32
+97 PolyTextOutW left:i32 top:i32 right:i32 bottom:i32 mode:u32 xscale:f32 yscale:f32 n:u32
 98 SetICMMode mode:u32
+99 CreateColorSpace object:u32
+100 SetColorSpace object:u32
+101 DeleteColorSpace object:u32
+102 GLSRecord bytes:u32
+103 GLSBoundedRecord left:i32 top:i32 right:i32 bottom:i32 bytes:u32
+104 PixelFormat size:u16 version:u16 flags:u32
+105 DrawEscape escape:u32 bytes:u32
+106 ExtEscape escape:u32 bytes:u32
+108 SmallTextOut x:i32 y:i32 length:u32 options:u32 mode:u32 xscale:f32 yscale:f32
+109 ForceUFIMapping checksum:u32 index:u32
+110 NamedEscape escape:u32 driver:u32 bytes:u32
+111 ColorCorrectPalette palette:u32 first:u32 n:u32 unused:u32
+112 SetICMProfileA flags:u32 namebytes:u32 bytes:u32
+113 SetICMProfileW flags:u32 namebytes:u32 bytes:u32
+114 AlphaBlend left:i32 top:i32 right:i32 bottom:i32 x:i32 y:i32 width:i32 height:i32 blend:u32 xsrc:i32 ysrc:i32 m11:f32 m12:f32 m21:f32 m22:f32 dx:f32 dy:f32 bkcolor:u32 usage:u32 bmi:u32 bmibytes:u32 bits:u32 bitbytes:u32 wsrc:i32 hsrc:i32
 115 SetLayout layout:u32
+116 TransparentBlt left:i32 top:i32 right:i32 bottom:i32 x:i32 y:i32 width:i32 height:i32 color:u32 xsrc:i32 ysrc:i32 m11:f32 m12:f32 m21:f32 m22:f32 dx:f32 dy:f32 bkcolor:u32 usage:u32 bmi:u32 bmibytes:u32 bits:u32 bitbytes:u32 wsrc:i32 hsrc:i32
+118 GradientFill left:i32 top:i32 right:i32 bottom:i32 vertices:u32 shapes:u32 mode:u32
+119 SetLinkedUFIs n:u32
+120 SetTextJustification extra:i32 count:i32
+121 ColorMatchToTargetW action:u32 flags:u32 namebytes:u32 bytes:u32
+122 CreateColorSpaceW object:u32
 """
 
 EMFPLUS = """
@@ -155,7 +211,25 @@ EMFPLUS = """
 0x4004 GetDC
 0x4008 Object
 0x4009 Clear color:u32
-0x400A FillRects
+0x400A FillRects brush:u32 n:u32
+0x400B DrawRects n:u32
+0x400C FillPolygon brush:u32 n:u32
+0x400D DrawLines n:u32
+0x400E FillEllipse brush:u32
+0x400F DrawEllipse
+0x4010 FillPie brush:u32 start:f32 sweep:f32
+0x4011 DrawPie start:f32 sweep:f32
+0x4012 DrawArc start:f32 sweep:f32
+0x4013 FillRegion brush:u32
+0x4014 FillPath brush:u32
+0x4015 DrawPath pen:u32
+0x4016 FillClosedCurve brush:u32 tension:f32 n:u32
+0x4017 DrawClosedCurve tension:f32 n:u32
+0x4018 DrawCurve tension:f32 offset:u32 segments:u32 n:u32
+0x4019 DrawBeziers n:u32
+0x401A DrawImage attributes:u32 unit:i32 sx:f32 sy:f32 sw:f32 sh:f32
+0x401B DrawImagePoints attributes:u32 unit:i32 sx:f32 sy:f32 sw:f32 sh:f32 n:u32
+0x401C DrawString brush:u32 format:u32 length:u32 x:f32 y:f32 width:f32 height:f32
 0x401D SetRenderingOrigin x:i32 y:i32
 0x401E SetAntiAliasMode
 0x401F SetTextRenderingHint
@@ -178,12 +252,19 @@ EMFPLUS = """
 0x4030 SetPageTransform scale:f32
 0x4031 ResetClip
 0x4032 SetClipRect x:f32 y:f32 width:f32 height:f32
+0x4033 SetClipPath
+0x4034 SetClipRegion
 0x4035 OffsetClip dx:f32 dy:f32
+0x4036 DrawDriverString brush:u32 options:u32 matrix:u32 n:u32
+0x4037 StrokeFillPath brush:u32
+0x4038 SerializableObject guid1:u32 guid2:u32 guid3:u32 guid4:u32 bytes:u32
+0x4039 SetTSGraphics modes:u32 xorigin:i16 yorigin:i16 contrast:u16
+0x403A SetTSClip
 """
 
 #: Bytes before the body: size and function; type and size; type, flags, size and data size.
 HEADS = {"WMF": 6, "EMF": 8, "EMF+": 12}
-_SIZES = {"i16": 2, "u16": 2, "i32": 4, "u32": 4, "f32": 4}
+_SIZES = {"u8": 1, "i16": 2, "u16": 2, "i32": 4, "u32": 4, "f32": 4}
 
 
 def layout_rows() -> list[tuple]:
@@ -214,7 +295,7 @@ def decode(records: DataFrame) -> DataFrame:
     raw = F.col("raw")
 
     def read(s):
-        return F.when(s["kind"] == "i16", binary.signed(raw, s["at"], 2)).when(s["kind"] == "u16", binary.unsigned(raw, s["at"], 2)).when(s["kind"] == "i32", binary.signed(raw, s["at"], 4)).when(s["kind"] == "u32", binary.unsigned(raw, s["at"], 4)).cast("double")
+        return F.when(s["kind"] == "u8", binary.unsigned(raw, s["at"], 1)).when(s["kind"] == "i16", binary.signed(raw, s["at"], 2)).when(s["kind"] == "u16", binary.unsigned(raw, s["at"], 2)).when(s["kind"] == "i32", binary.signed(raw, s["at"], 4)).when(s["kind"] == "u32", binary.unsigned(raw, s["at"], 4)).cast("double")
 
     value = lambda s: F.when(s["kind"] == "f32", binary.real32(raw, s["at"])).otherwise(read(s))
     found = rows.join(F.broadcast(table), ["format", "_code"], "left")  # the table is fixed and small

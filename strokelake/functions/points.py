@@ -55,3 +55,28 @@ def polygons(records: DataFrame) -> DataFrame:
             here = (F.col("format") == form) & code.isin([t for t, x in table.items() if x == layout])
             out = F.when(here, _split(form, layout)) if out is None else out.when(here, _split(form, layout))
     return records.withColumn("polygons", out)
+
+
+def plus_points(raw: Column, at: Column, n: Column, flags: Column) -> Column:
+    """The ``n`` points of an EMF+ record from a byte on, in the coding that its flags name; null where they don't fit.
+
+    Flag 0x0800: steps from point to point, each number in one byte (seven bits) or two (fifteen, first byte with its top bit
+    set); 0x4000: 16-bit integers; else singles. Numbers of one and two bytes are told apart in one pass over the bytes.
+    """
+    size = F.octet_length(raw)
+    fixed = lambda width, read: F.when(at + n * 2 * width <= size, _many(n, lambda i: F.struct(read(at + i * 2 * width).alias("x"), read(at + i * 2 * width + width).alias("y"))))
+    compressed = fixed(2, lambda where: binary.signed(raw, where, 2).cast("double"))
+    single = fixed(4, lambda where: binary.real32(raw, where))
+
+    def step(state: Column, _) -> Column:
+        first, second = binary.unsigned(raw, state["at"], 1), binary.unsigned(raw, state["at"] + 1, 1)
+        short = F.when(first >= 64, first - 128).otherwise(first)
+        long = (first - 128) * 256 + second
+        value = F.when(first < 128, short).otherwise(F.when(long >= 1 << 14, long - (1 << 15)).otherwise(long))
+        return F.struct((state["at"] + F.when(first < 128, 1).otherwise(2)).alias("at"), F.concat(state["values"], F.array(value.cast("double"))).alias("values"))
+
+    start = F.struct(at.cast("long").alias("at"), F.array().cast("array<double>").alias("values"))
+    steps = F.aggregate(F.sequence(F.lit(1), (2 * n).cast("int")), start, step, lambda s: s["values"])
+    total = lambda values, axis, i: F.aggregate(F.filter(F.slice(values, F.lit(1), 2 * i + 2), lambda _, k: k % 2 == axis), F.lit(0.0), lambda a, x: a + x)
+    relative = F.element_at(F.transform(F.array(steps), lambda v: F.when(~F.exists(v, lambda x: x.isNull()), _many(n, lambda i: F.struct(total(v, 0, i).alias("x"), total(v, 1, i).alias("y"))))), 1)
+    return F.when(flags.bitwiseAND(F.lit(0x800)) != 0, F.when(at + 2 * n <= size, relative)).when(flags.bitwiseAND(F.lit(0x4000)) != 0, compressed).otherwise(single)
