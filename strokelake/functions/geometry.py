@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,14 +33,18 @@ def page_matrix(window_org: tuple, window_ext: tuple, viewport_org: tuple, viewp
     return {"m11": sx, "m12": F.lit(0.0), "m21": F.lit(0.0), "m22": sy, "dx": viewport_org[0] - window_org[0] * sx, "dy": viewport_org[1] - window_org[1] * sy}
 
 
-def mode_scale(mode: Column, pixels_per_mm: Column, extents: tuple[Column, Column]) -> tuple[Column, Column]:
-    """Device units per logical unit: mode 1 is one to one, 2 to 6 are metric with y up, 7 and 8 keep the extents' ratios."""
-    metric = F.coalesce(*[F.when(mode == k, pixels_per_mm / F.lit(u)) for k, u in UNITS_PER_MM.items()])
-    x = F.when(mode == 1, 1.0).when(mode.between(2, 6), metric).when(mode.isin(7, 8), extents[0])
-    y = F.when(mode == 1, 1.0).when(mode.between(2, 6), -metric).when(mode.isin(7, 8), extents[1])
-    # Mode 7 shrinks the axis of the larger scale, keeping its sign.
-    least = F.least(F.abs(x), F.abs(y))
-    return F.when(mode == 7, least * F.signum(x)).otherwise(x), F.when(mode == 7, least * F.signum(y)).otherwise(y)
+def mode_scale(mode: Column, pixels_per_mm: Column | tuple[Column, Column], extents: tuple[Column, Column]) -> tuple[Column, Column]:
+    """Device units per logical unit: mode 1 is one to one, 2 to 6 are metric with y up, 7 and 8 keep the extents' ratios.
+
+    ``pixels_per_mm`` is that of both axes, or one for each.
+    """
+    dense = pixels_per_mm if isinstance(pixels_per_mm, tuple) else (pixels_per_mm, pixels_per_mm)
+    metric = lambda d: F.coalesce(*[F.when(mode == k, d / F.lit(u)) for k, u in UNITS_PER_MM.items()])
+    x = F.when(mode == 1, 1.0).when(mode.between(2, 6), metric(dense[0])).when(mode.isin(7, 8), extents[0])
+    y = F.when(mode == 1, 1.0).when(mode.between(2, 6), -metric(dense[1])).when(mode.isin(7, 8), extents[1])
+    # Mode 7 shrinks the axis on which a unit is longer by the ruler, keeping its sign.
+    wide, high = F.abs(x) / dense[0], F.abs(y) / dense[1]
+    return F.when((mode == 7) & (wide > high), F.signum(x) * high * dense[0]).otherwise(x), F.when((mode == 7) & (high > wide), F.signum(y) * wide * dense[1]).otherwise(y)
 
 
 def points_of_frame(left: Column, top: Column, right: Column, bottom: Column) -> tuple[Column, Column]:
@@ -56,8 +62,14 @@ def points_of_bounds(left: Column, top: Column, right: Column, bottom: Column, p
 
 
 def arc_angle(x: Column, y: Column, cx: Column, cy: Column, rx: Column, ry: Column) -> Column:
-    """Angle of a radial in the parameter space of an ellipse, y down."""
-    return F.atan2((y - cy) / ry, (x - cx) / rx)
+    """Angle of a radial in the parameter space of an ellipse, growing against the clock although y points down."""
+    return F.atan2(-(y - cy) * rx, (x - cx) * ry)
+
+
+def arc_sweep(start: Column, end: Column, against_clock: Column) -> Column:
+    """Signed angle from one radial to the other, both from ``arc_angle``; radials of one direction make a full turn."""
+    d = end - start
+    return F.when(against_clock, F.when(d <= 0, d + 2 * math.pi).otherwise(d)).otherwise(F.when(d >= 0, d - 2 * math.pi).otherwise(d))
 
 
 def arc_control_length(sweep: Column) -> Column:

@@ -69,6 +69,35 @@ def allocate_slots(rows: DataFrame, keys: list[str], order: list[str], op_col: s
     return rows.groupBy(*keys).applyInPandas(fold, kind.replace(":", " ").replace(",", ", "))
 
 
+#: Handles of stock objects have the top bit set; these numbers name none.
+STOCK, NO_STOCK = 0x80000000, (9, 15)
+
+
+def resolve_handles(rows: DataFrame, keys: list[str], order: list[str], op_col: str, handle_col: str, kind_col: str, slots: int = 65_536) -> DataFrame:
+    """Adds ``object`` and ``fault`` to records that create, select or delete objects by handle.
+
+    ``object`` is the place (the last of ``order``) of the creation that a record refers to; null for stock objects. Each
+    handle's latest creation or deletion before a record tells whether it is in use, so the windows run by file and handle.
+    A creation needs a free handle from 1 below ``slots``; a selection one in use that isn't a palette or a colour space, or a
+    stock object; a deletion one in use. A stream ends at its first fault: take the least place with one of each file.
+    """
+    op, handle = F.col(op_col), F.col(handle_col)
+    before = _over([*keys, handle_col], order).rowsBetween(Window.unboundedPreceding, -1)
+    effect = F.when(op == "create", F.struct(F.col(order[-1]).alias("object"), F.col(kind_col).alias("kind"), F.lit(True).alias("alive"))).when(op == "delete", F.struct(F.lit(None).cast(rows.schema[order[-1]].dataType).alias("object"), F.lit(None).cast("string").alias("kind"), F.lit(False).alias("alive")))
+    last = F.last(effect, ignorenulls=True).over(before)
+    alive, stock = F.coalesce(last["alive"], F.lit(False)), handle >= STOCK
+    number = handle - STOCK
+    fault = (
+        F.when((op == "create") & ((handle <= 0) | (handle >= slots) | alive), "creation handle")
+        .when((op == "select") & stock & ((number > 19) | number.isin(*NO_STOCK)), "stock object")
+        .when((op == "delete") & stock, "stock object")
+        .when(op.isin("select", "delete") & ~stock & ~alive, "undefined handle")
+        .when((op == "select") & ~stock & last["kind"].isin("palette", "colour space"), "not selectable")
+    )
+    refers = F.when(op.isin("select", "delete") & ~stock, last["object"])
+    return rows.withColumns({"fault": fault, "object": F.when(fault.isNull(), refers)})
+
+
 def resolve_objects(rows: DataFrame, keys: list[str], order: list[str], created: Column) -> Column:
     """The object that a use refers to: the latest created before the row, if any."""
     return F.last(created, ignorenulls=True).over(_over(keys, order).rowsBetween(Window.unboundedPreceding, -1))

@@ -39,6 +39,29 @@ def map_mode_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", mode.alias("mode"), F.round(sx, 6).alias("sx"), F.round(sy, 6).alias("sy"))
 
 
+@query("""with o as (select o_orderkey, o_orderkey % 8 + 1 as mode, (o_custkey % 7 + 1)::double as ex, -(o_custkey % 5 + 1)::double as ey, 3.0 + o_custkey % 3 as px, 2.5 + o_orderkey % 4 as py from orders),
+ s as (select *, case mode when 2 then 10 when 3 then 100 when 4 then 100 / 25.4 when 5 then 1000 / 25.4 when 6 then 1440 / 25.4 end as u from o),
+ v as (select o_orderkey, mode, px::double as px, py::double as py, case when mode = 1 then 1 when mode <= 6 then px / u else ex end::double as x, case when mode = 1 then 1 when mode <= 6 then -py / u else ey end::double as y from s)
+ select o_orderkey, mode, round(case when mode = 7 and abs(x) / px > abs(y) / py then sign(x) * abs(y) / py * px else x end, 6) as sx, round(case when mode = 7 and abs(y) / py > abs(x) / px then sign(y) * abs(x) / px * py else y end, 6) as sy from v""")
+def map_mode_physical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mapping modes on devices whose pixels aren't square: the isotropic mode compares physical sizes."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    sx, sy = geometry.mode_scale(k % 8 + 1, (3.0 + c % 3, 2.5 + k % 4), ((c % 7 + 1).cast("double"), (-(c % 5 + 1)).cast("double")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", (k % 8 + 1).alias("mode"), F.round(sx, 6).alias("sx"), F.round(sy, 6).alias("sy"))
+
+
+@query("""with o as (select o_orderkey, o_custkey % 40 + 10 as rx, o_orderkey % 30 + 5 as ry, o_orderkey % 97 - 48 as xs, o_orderkey % 89 - 44 as ys, o_custkey % 83 - 41 as xe, o_custkey % 79 - 39 as ye from orders),
+ a as (select o_orderkey, atan2(-(ys - 3) * rx, (xs - 2) * ry) as a, atan2(-(ye - 3) * rx, (xe - 2) * ry) as e from o)
+ select o_orderkey, round(a, 6) as start, round(case when o_orderkey % 2 = 0 then case when e - a <= 0 then e - a + 2 * pi() else e - a end else case when e - a >= 0 then e - a - 2 * pi() else e - a end end, 6) as sweep from a""")
+def arc_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start angle and sweep of arcs around (2, 3), with and against the clock."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    rx, ry = c % 40 + 10, k % 30 + 5
+    start = geometry.arc_angle(k % 97 - 48, k % 89 - 44, F.lit(2), F.lit(3), rx, ry)
+    end = geometry.arc_angle(c % 83 - 41, c % 79 - 39, F.lit(2), F.lit(3), rx, ry)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(start, 6).alias("start"), F.round(geometry.arc_sweep(start, end, k % 2 == 0), 6).alias("sweep"))
+
+
 @query("""with o as (select o_orderkey, abs(o_custkey - o_orderkey % 1000) * 72 / 2540.0::double as w, abs(cast(floor(o_totalprice) as bigint) % 1000) * 72 / 2540.0::double as h from orders)
  select o_orderkey, round(case when w > 0 and h > 0 then w end, 6) as width, round(case when w > 0 and h > 0 then h end, 6) as height from o""")
 def physical_size(spark: SparkSession, sf_dir: str) -> DataFrame:

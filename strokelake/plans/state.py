@@ -63,6 +63,21 @@ def object_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("object", state.resolve_objects(e, KEYS, ORDER, created)).filter("event_type = 'click'").select("user_id", "event_id", "object")
 
 
+_HANDLES = """case event_type when 'signup' then 'create' when 'purchase' then 'create' when 'error' then 'delete' else 'select' end as op, case when event_id % 19 = 0 then 2147483648 + event_id % 23 else event_id % 7 end as handle,
+ case event_id % 5 when 0 then 'pen' when 1 then 'brush' when 2 then 'font' when 3 then 'palette' else 'colour space' end as kind"""
+
+
+@query(f"""with e as (select user_id, event_id, {_HANDLES} from events),
+ l as (select *, last_value(case when op = 'create' then event_id when op = 'delete' then -1 end ignore nulls) over w as made, last_value(case when op = 'create' then kind when op = 'delete' then '' end ignore nulls) over w as was from e window w as (partition by user_id, handle order by event_id rows between unbounded preceding and 1 preceding)),
+ f as (select *, coalesce(made, -1) >= 0 as alive, handle >= 2147483648 as stock, handle - 2147483648 as num from l),
+ g as (select *, case when op = 'create' and (handle <= 0 or handle >= 65536 or alive) then 'creation handle' when op = 'select' and stock and (num > 19 or num in (9, 15)) then 'stock object' when op = 'delete' and stock then 'stock object' when op <> 'create' and not stock and not alive then 'undefined handle' when op = 'select' and not stock and was in ('palette', 'colour space') then 'not selectable' end as fault from f)
+ select user_id, event_id, fault, case when fault is null and op <> 'create' and not stock then made end as object from g""")
+def handle_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects created, selected and deleted by handle, stock objects and kinds that can't be selected included."""
+    e = table(spark, sf_dir, "events").selectExpr("user_id", "event_id", "case event_type when 'signup' then 'create' when 'purchase' then 'create' when 'error' then 'delete' else 'select' end as op", "case when event_id % 19 = 0 then 2147483648 + event_id % 23 else event_id % 7 end as handle", "element_at(array('pen', 'brush', 'font', 'palette', 'colour space'), cast(event_id % 5 as int) + 1) as kind")
+    return state.resolve_handles(e, KEYS, ORDER, "op", "handle", "kind").select("user_id", "event_id", "fault", "object")
+
+
 @query("""select user_id, event_id, event_type = 'view' and coalesce(lead(event_type) over w = 'click', false) and lead(event_id % 2) over w is not distinct from event_id % 2 as fused from events window w as (partition by user_id order by event_id)""")
 def sprite_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strokelake.functions import geometry, pixels
-from strokelake.operators import codecs, regions, state, text
+from strokelake.operators import codecs, play, regions, state, text
 from strokelake.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
@@ -142,3 +142,39 @@ def test_entry_imports_without_the_training_operators(monkeypatch):
     entry = importlib.import_module("__spark_entry__")
     assert "walk_wmf_summary" in entry.queries() and not any(n.startswith("op") or n == "pipeline" for n in entry.queries())
     sys.modules.pop("__spark_entry__", None)
+
+
+def test_playing_objects_modes_and_reports(spark):
+    rows = [
+        ("CreateFontIndirect", {"height": 9.0}), ("CreatePenIndirect", {"color": 255.0}), ("CreateBrushIndirect", {"color": 7.0}), ("SelectObject", {"object": 1.0}), ("SelectObject", {"object": 2.0}),
+        ("LineTo", {"x": 4.0, "y": 4.0}), ("DeleteObject", {"object": 1.0}), ("LineTo", {"x": 5.0, "y": 5.0}), ("DeleteObject", {"object": 1.0}), ("Rectangle", {"left": 9.0, "top": 8.0, "right": 1.0, "bottom": 2.0}),
+        ("SetMapMode", {"mode": 2.0}), ("SetPixel", {"x": 1.0, "y": 1.0, "color": 3.0}), ("Polygon", {"n": 3.0}), ("TextOut", {"length": 1.0}), (None, None), ("SelectObject", {"object": float(0x80000006)}), ("LineTo", {"x": 0.0, "y": 0.0}), ("SetMapMode", {"mode": 9.0}), ("SetPixel", {"x": 1.0, "y": 1.0, "color": 3.0}), ("EOF", {}),
+    ]
+    frame = spark.createDataFrame([("f", k, "WMF", n, f) for k, (n, f) in enumerate(rows)], "file string, seq int, format string, name string, fields map<string, double>")
+    played = play.contexts(frame)
+    drawn = {r.seq: r for r in play.operations(frame, played, far_edges=False).collect()}
+    # The font takes slot 0; the deleted pen gives way to the black one; a WMF box is ordered and leaves out its far edges.
+    assert (drawn[5].color, drawn[7].color, drawn[16].color) == (255, 0, 0xFFFFFF) and drawn[9].color == 7
+    assert [tuple(p) for p in drawn[9].points] == [(1.0, 2.0), (8.0, 7.0)]
+    scale = 96 / 25.4 / 10
+    assert [tuple(p) for p in drawn[11].points] == [(math.floor(scale), math.floor(-scale))] == [tuple(p) for p in drawn[18].points]
+    assert {r.seq: r.reason for r in play.reported(frame, played).collect()} == {8: "unknown object", 12: "not drawn", 13: "not drawn", 14: "unknown record"}
+
+
+def test_every_type_of_the_formats_has_a_name():
+    from collections import Counter
+
+    from strokelake.functions import layouts
+
+    assert Counter(r[0] for r in layouts.layout_rows()) == {"WMF": 70, "EMF": 119, "EMF+": 55}
+    assert len({(r[0], r[2]) for r in layouts.layout_rows()}) == 244
+
+
+def test_plus_points_refuse_what_does_not_fit(spark):
+    from strokelake.functions import points
+
+    rows = [(b"\x01\x7f\x40\x05", 2, 0x800), (b"\x01\x7f\x40\x85\x00", 2, 0x800), (b"\x01\x7f\x40\x85", 2, 0x800), (b"\x01\x7f\x40", 2, 0x800), (b"\x01\x00\xff\xff", 1, 0x4000), (b"\x01\x00\xff", 1, 0x4000), (b"\0\0\x80\x3f\0\0\0\xc0", 1, 0), (b"", 0, 0)]
+    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, raw binary, n long, flags int")
+    got = {r.k: r.p and [tuple(x) for x in r.p] for r in frame.select("k", points.plus_points(F.col("raw"), F.lit(0), F.col("n"), F.col("flags")).alias("p")).collect()}
+    assert got[0] == [(1.0, -1.0), (-63.0, 4.0)] and got[1] == [(1.0, -1.0), (-63.0, 1279.0)] and got[4] == [(1.0, -1.0)] and got[6] == [(1.0, -2.0)]
+    assert got[2] is None and got[3] is None and got[5] is None and got[7] == []
