@@ -107,9 +107,10 @@ class Model:
         cosines = _unit(_weigh(counts, self.idf) @ self.projection) @ self.vectors.T
         k = min(s.neighbours, len(self.labels))
         near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosines, near, 1), 1e-3).astype(np.float64) ** s.power
+        near_cosines = np.take_along_axis(cosines, near, 1)
+        weight = np.maximum(near_cosines, 1e-3).astype(np.float64) ** s.power
         voted = (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
-        return np.where(counts.sum(axis=1) > 0, np.clip(voted, 0, 1), self.prior)
+        return np.where((counts.sum(axis=1) > 0) & (near_cosines.max(axis=1) > 1e-3), np.clip(voted, 0, 1), self.prior)
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
@@ -176,7 +177,7 @@ def held_out(id_column) -> F.Column:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, score`` for each row, from the text alone.
 
-    Null and empty texts get the share of label 1 among the labelled; repeated rows each give a row; a null id stays; other
+    Null and empty texts, and those with no neighbour at all, get the share of label 1 among the labelled; repeated rows each give a row; a null id stays; other
     columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
