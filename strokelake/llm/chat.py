@@ -13,6 +13,7 @@ becomes ``\\s`` and ``<`` becomes ``\\l``: no control string can stand there, an
 from __future__ import annotations
 
 from collections import deque
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -54,6 +55,15 @@ def format_turns(turns: DataFrame, tokenizer_path: str) -> DataFrame:
     return rows.withColumn("n_tokens", count_udf(tokenizer_path)(F.concat("head", "body", "tail")))
 
 
+class Turn(NamedTuple):
+    role: str
+    head: str
+    body: str
+    tail: str
+    target: bool
+    n_tokens: int
+
+
 class Windows:
     """Chooses the windows of one conversation turn by turn: greedy spans of prefix sums.
 
@@ -66,47 +76,75 @@ class Windows:
         self.room, self.system, self.window, self.used = budget, None, -1, 0
         self.last: deque = deque(maxlen=history)
 
-    def push(self, row: dict) -> list[tuple[int, dict, bool]]:
-        """(window, row, new) for a turn and what is repeated before it."""
-        size, out = row["n_tokens"], []
-        if self.window < 0 and self.system is None and row["role"] == "system":
+    def push(self, row: Turn) -> list[tuple[int, Turn, bool]]:
+        """(window, turn, new) for a turn and what is repeated before it."""
+        size, out = row.n_tokens, []
+        if self.window < 0 and self.system is None and row.role == "system":
             self.system, self.window, self.room = row, 0, self.budget - size
             if self.room <= 0:
-                self.room, self.system, self.used = self.budget, {}, self.budget  # the first window is full
+                self.room, self.system, self.used = self.budget, False, self.budget  # the first window is full
             return [(0, row, True)]
         if self.window < 0 or self.used and self.used + size > self.room:
             self.window += 1
             repeated = list(self.last)
-            while repeated and sum(r["n_tokens"] for r in repeated) + size > self.room:
+            while repeated and sum(r.n_tokens for r in repeated) + size > self.room:
                 repeated.pop(0)  # less history rather than no progress
-            self.used = sum(r["n_tokens"] for r in repeated)
+            self.used = sum(r.n_tokens for r in repeated)
             out = [(self.window, r, False) for r in ([self.system] if self.system else []) + repeated]
         self.used += size
         self.last.append(row)
         return [*out, (self.window, row, True)]
 
 
-PLACED = "conv_id long, window int, place int, new boolean, head string, body string, tail string, target boolean, n_tokens long"
+class Window:
+    """A window as it fills: its text, where its new part begins, and its loss spans."""
+
+    def __init__(self, number: int):
+        self.number, self.parts, self.size, self.fresh, self.n_tokens, self.spans = number, [], 0, 0, 0, []
+
+    def add(self, turn: Turn, new: bool) -> None:
+        begin = self.size + len(turn.head)
+        if new and turn.target:
+            self.spans.append((begin, begin + len(turn.body)))
+        self.parts += turn.head, turn.body, turn.tail
+        self.size = begin + len(turn.body) + len(turn.tail)
+        self.fresh += 0 if new else self.size - self.fresh
+        self.n_tokens += turn.n_tokens
 
 
-def place_turns(formatted: DataFrame, budget: int, history: int) -> DataFrame:
-    """``conv_id, window, place, new, head, body, tail, target, n_tokens``: the turns of each window, in order."""
-    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "body")
+SPANS = "array<struct<start: int, end: int>>"
+
+
+def windows_of(formatted: DataFrame, budget: int, history: int) -> DataFrame:
+    """``conv_id, window, text, fresh, n_tokens, spans``: turns in order go through a task, and each window leaves when it is full."""
+    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "body").select("conv_id", *Turn._fields)
+    names = ["conv_id", "window", "text", "fresh", "n_tokens", "spans"]
+    types = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
+
+    def batch_of(done: list[tuple]) -> pa.RecordBatch:
+        rows = [(c, w.number, "".join(w.parts), w.fresh, w.n_tokens, [{"start": a, "end": b} for a, b in w.spans]) for c, w in done]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
     def run(batches):
-        conversation, windows, place = object(), None, {}
+        conversation, chooser, open_window = object(), None, None
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                if row["conv_id"] != conversation:
-                    conversation, windows, place = row["conv_id"], Windows(budget, history), (-1, 0)
-                for window, r, new in windows.push(row):
-                    place = (window, place[1] + 1 if place[0] == window else 0)
-                    out.append({"conv_id": conversation, "window": window, "place": place[1], "new": new, "head": r["head"], "body": r["body"], "tail": r["tail"], "target": new and r["target"], "n_tokens": r["n_tokens"]})
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64()]
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema(list(zip(PLACED.replace(",", "").split()[::2], types))))
-
-    return ordered.mapInArrow(run, PLACED)
+            done = []
+            for key, *fields in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))):
+                if chooser is None or key != conversation:
+                    if open_window:
+                        done.append((conversation, open_window))
+                    conversation, chooser, open_window = key, Windows(budget, history), None
+                for number, turn, new in chooser.push(Turn(*fields)):
+                    if open_window is None or open_window.number != number:
+                        if open_window:
+                            done.append((conversation, open_window))
+                        open_window = Window(number)
+                    open_window.add(turn, new)
+            yield batch_of(done)
+        if open_window:
+            yield batch_of([(conversation, open_window)])
+
+    return ordered.mapInArrow(run, f"conv_id long, window int, text string, fresh int, n_tokens long, spans {SPANS}")
 
 
 def format_conversations(turns: DataFrame, budget: int = 1024, history: int = 2, tokenizer_path: str | None = None) -> DataFrame:
@@ -123,20 +161,8 @@ def format_conversations(turns: DataFrame, budget: int = 1024, history: int = 2,
     table gives an empty result.
     """
     formatted = format_turns(turns, tokenizer_path or vocabulary("byte_bpe_50k.json"))
-    placed = place_turns(formatted, budget, history)
-    size = F.length("head") + F.length("body") + F.length("tail")
-    part = F.struct("place", F.concat("head", "body", "tail").alias("text"), size.alias("size"), F.length("head").alias("before"), F.length("body").alias("body"), "new", "target")
-    # The turns of one window only: as many as a budget holds.
-    rows = placed.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.sum("n_tokens").alias("n_tokens"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int>>").alias("spans"))
-
-    def add(state: Column, p: Column) -> Column:
-        begin = state["at"] + p["before"]
-        span = F.struct(begin.alias("start"), (begin + p["body"]).alias("end"))
-        return F.struct((state["at"] + p["size"]).alias("at"), F.when(p["target"], F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
-
-    repeated = F.aggregate(F.filter("parts", lambda p: ~p["new"]), F.lit(0), lambda a, p: a + p["size"])
-    return rows.select("conv_id", "window", F.array_join("parts.text", "").alias("text"), repeated.alias("fresh"), "n_tokens", (F.col("n_tokens") > budget).alias("over_budget"), F.aggregate("parts", start, add, lambda s: s["spans"]).alias("spans"))
+    made = windows_of(formatted, budget, history)
+    return made.select("conv_id", "window", "text", "fresh", "n_tokens", (F.col("n_tokens") > budget).alias("over_budget"), "spans")
 
 
 #: A formatted turn: the name of an unusual role, the mark, the text. Texts hold no bare [ or <.
