@@ -44,7 +44,7 @@ def checkpoint(frame: DataFrame) -> DataFrame:
 
 
 #: Up to so many bytes a side is broadcast; beyond that it is joined by shuffles.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 32 << 20
 
 
 def _bytes(value: Column, kind: T.DataType) -> Column:
