@@ -54,11 +54,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; between them rows stand in the shared checkpoint folder."""
+    """Applies the stages to ``documents``; between them rows stand in the shared checkpoint folder until the next stage is written.
+
+    The last stage reads its own checkpoint, so its input goes with the others.
+    """
     common.ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     rows = common.documents(spark, sf_dir)
+    written = None
     for name, stage in STAGES[:-1]:
         stage(spark, rows, sf_dir).write.parquet(f"{folder}/{name}")
         rows = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, rows, sf_dir)
+        if written:
+            common.delete_folder(spark, written)
+        written = f"{folder}/{name}"
+    packed = STAGES[-1][1](spark, rows, sf_dir)
+    common.delete_folder(spark, folder)
+    return packed
