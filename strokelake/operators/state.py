@@ -122,6 +122,12 @@ def path_bracket(rows: DataFrame, keys: list[str], order: list[str], op_col: str
     return rows.withColumn("fault", fault)
 
 
+def open_brackets(rows: DataFrame, keys: list[str], order: list[str], op_col: str) -> DataFrame:
+    """``keys, order`` of the begin of each file whose path bracket is still open at its end; a grouping, combined before the shuffle."""
+    latest = rows.filter(F.col(op_col).isin("begin", "end", "draw")).groupBy(*keys).agg(F.max(F.struct(*order, F.col(op_col).alias("_op"))).alias("_last"))
+    return latest.filter("_last._op = 'begin'").select(*keys, *[F.col(f"_last.{c}").alias(c) for c in order])
+
+
 def sprite_pairs(rows: DataFrame, keys: list[str], order: list[str], rop_col: str, same: list[str]) -> DataFrame:
     """Adds ``fused``: true on a mask (SRCAND) followed at once by its image (SRCPAINT) with equal placement."""
     over = _over(keys, order)
