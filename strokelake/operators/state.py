@@ -128,6 +128,17 @@ def open_brackets(rows: DataFrame, keys: list[str], order: list[str], op_col: st
     return latest.filter("_last._op = 'begin'").select(*keys, *[F.col(f"_last.{c}").alias(c) for c in order])
 
 
+def bind_effects(rows: DataFrame, keys: list[str], order: list[str], described: Column, used: Column) -> DataFrame:
+    """Adds ``effect`` and ``fault`` to records: a draw that uses an effect has the place (the last of ``order``) of the latest description before it.
+
+    ``described`` tells records that hold a serialized effect, ``used`` draws with the effect flag. A description stays in force
+    until the next one; a draw that uses one before any has a fault. Null conditions count as false.
+    """
+    described, used = F.coalesce(described, F.lit(False)), F.coalesce(used, F.lit(False))
+    latest = F.last(F.when(described, F.col(order[-1])), ignorenulls=True).over(_over(keys, order).rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumns({"effect": F.when(used, latest), "fault": F.when(used & latest.isNull(), "effect without description")})
+
+
 def sprite_pairs(rows: DataFrame, keys: list[str], order: list[str], rop_col: str, same: list[str]) -> DataFrame:
     """Adds ``fused``: true on a mask (SRCAND) followed at once by its image (SRCPAINT) with equal placement."""
     over = _over(keys, order)

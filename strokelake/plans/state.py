@@ -56,6 +56,15 @@ def open_path_at_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.open_brackets(e, KEYS, ORDER, "op")
 
 
+@query("""select u.user_id, u.event_id, c.event_id as effect, case when c.event_id is null then 'effect without description' end as fault from (select * from events where event_type = 'click' and event_id % 2 = 0) u asof left join (select * from events where event_type = 'signup') c on u.user_id = c.user_id and u.event_id > c.event_id""")
+def effect_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signups describe effects; clicks draw images, those of even ids with the effect flag."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    used = (F.col("event_type") == "click") & (F.col("event_id") % 2 == 0)
+    bound = state.bind_effects(e, KEYS, ORDER, F.col("event_type") == "signup", used)
+    return bound.filter(used).select("user_id", "event_id", "effect", "fault")
+
+
 @query()
 def slot_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
