@@ -50,7 +50,7 @@ def path_bracket_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select user_id, max(event_id) as event_id from events where event_type in ('signup', 'error', 'purchase') group by user_id having arg_max(event_type, event_id) = 'signup'""")
-def open_path_at_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+def path_open_at_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     e = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(kind == "signup", "begin").when(kind == "error", "end").when(kind == "purchase", "draw").alias("op"))
     return state.open_brackets(e, KEYS, ORDER, "op")

@@ -178,3 +178,17 @@ def test_plus_points_refuse_what_does_not_fit(spark):
     got = {r.k: r.p and [tuple(x) for x in r.p] for r in frame.select("k", points.plus_points(F.col("raw"), F.lit(0), F.col("n"), F.col("flags")).alias("p")).collect()}
     assert got[0] == [(1.0, -1.0), (-63.0, 4.0)] and got[1] == [(1.0, -1.0), (-63.0, 1279.0)] and got[4] == [(1.0, -1.0)] and got[6] == [(1.0, -2.0)]
     assert got[2] is None and got[3] is None and got[5] is None and got[7] == []
+
+
+def test_open_brackets_and_effects(spark):
+    from pyspark.sql import functions as F
+
+    from strokelake.operators import state
+
+    rows = [("a", 1, "begin"), ("a", 2, "end"), ("a", 3, "begin"), ("a", 4, None), ("b", 1, "begin"), ("b", 2, "end"), ("c", 1, "describe"), ("c", 2, "use"), ("c", 3, "describe"), ("c", 4, "use"), ("d", 1, "use"), ("d", 2, "describe")]
+    frame = spark.createDataFrame(rows, "file string, seq int, op string")
+    opened = lambda f: [tuple(r) for r in state.open_brackets(f, ["file"], ["seq"], "op").collect()]
+    assert opened(frame) == [("a", 3)] and opened(frame.limit(0)) == []
+    bound = state.bind_effects(frame, ["file"], ["seq"], F.col("op") == "describe", F.col("op") == "use")
+    assert {(r.file, r.seq): (r.effect, r.fault) for r in bound.filter("op = 'use'").collect()} == {("c", 2): (1, None), ("c", 4): (3, None), ("d", 1): (None, "effect without description")}
+    assert bound.filter("op is null or op <> 'use'").filter("effect is not null or fault is not null").count() == 0
