@@ -53,4 +53,26 @@ OP9 = rf"""with w as (select doc_id, coalesce(text, '') as text, list_filter(str
  select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and word_chars >= 2 * n_words and word_chars <= 14 * n_words and not n_symbols > 0.1 * n_words and not n_dup_lines > 0.4 * n_lines
  and not length(regexp_replace(text, '\P{{Lu}}+', '', 'g')) > 0.4 * word_chars and not len(list_filter(words, lambda x: not regexp_matches(x, '\p{{L}}'))) > 0.3 * n_words as kept from f"""
 
-ORACLES = {"op1_licences": OP1, "op3_neardup": OP3, "op5_chat": OP5, "op7_line_dedup": OP7, "op9_quality_rules": OP9}
+OP11 = """with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as x
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+ s as (select a.vec_id as a, b.vec_id as b, a.label = b.label as same, cast(list_inner_product(cast(a.x as double[]), cast(b.x as double[])) as bigint) as score from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+ p as (select a, b, score from s where same qualify row_number() over (partition by a order by score desc, b) <= 5),
+ w as (select p.a as anchor_id, p.b as positive_id, p.score as positive_score, s.b as negative_id, s.score as negative_score, row_number() over (partition by p.a, p.b order by s.score desc, s.b) as rank
+  from p join s on p.a = s.a where not s.same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score)
+ select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from w where rank <= 10"""
+
+_FLOOR = "(s - ((s % n) + n) % n) // n"
+
+
+def _op13(k: int = 16, rounds: int = 3) -> str:
+    """The rounds one after the other: a0, c1, a1, ..., each centroid as a list of whole numbers."""
+    nearest = "select vec_id, x, i, d from (select v.vec_id, v.row, v.x, c.i, cast(list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as bigint) as d from v, c{r} c) qualify row_number() over (partition by row order by d, i) = 1"
+    moved = f"select c.i, coalesce(m.x, c.x) as x from c{{r}} c left join (select i, list(cast({_FLOOR} as bigint) order by j) as x from (select i, j, sum(y) as s, count(*) as n from (select i, unnest(x) as y, generate_subscripts(x, 1) as j from a{{r}}) group by i, j) group by i) m on c.i = m.i"
+    steps = [step for r in range(rounds) for step in (f"a{r} as materialized ({nearest.format(r=r)})", f"c{r + 1} as materialized ({moved.format(r=r)})")]
+    return f"""with v as materialized (select row_number() over () as row, vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as x from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+ c0 as materialized (select row_number() over (order by sha256('1:' || vec_id), x) - 1 as i, x from v qualify i < {k}),
+ {", ".join(steps)}, a as ({nearest.format(r=rounds)})
+ select vec_id, cast(a.i as int) as cluster, d as distance, cast(sum(d) over (partition by a.i) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia, sha256(array_to_string(c{rounds}.x, ',')) as centroid_sha256 from a join c{rounds} using (i)"""
+
+
+ORACLES = {"op1_licences": OP1, "op3_neardup": OP3, "op5_chat": OP5, "op7_line_dedup": OP7, "op9_quality_rules": OP9, "op11_hard_negatives": OP11, "op13_clusters": _op13()}

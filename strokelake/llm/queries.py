@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, common, fingerprints, licences, lines, neardup, packing, pieces, rules, tokens
+from . import chat, classifier, clusters, common, fingerprints, licences, lines, neardup, negatives, packing, pieces, rules, token_files, tokens
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -72,4 +72,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place(common.checkpoint(found), capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_licences, op2_quality_classifier, op3_neardup, op4_sentencepiece, op5_chat, op6_token_counts, op7_line_dedup, op8_fingerprints, op9_quality_rules, op10_packing)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = rows.withColumn("label", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)"))
+    return negatives.mine_negatives(rows, F.expr("vec_id % 100 = 0"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.files_folder(spark)
+    shards = token_files.write_token_files(common.documents(spark, sf_dir), common.vocabulary("word_bpe_49k.json"), folder, end_id=1)
+    return token_files.read_token_files(shards, folder)
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=16, rounds=3, dims=64, scale=64, seed=1)
+
+
+QUERIES = {f.__name__: f for f in (op1_licences, op2_quality_classifier, op3_neardup, op4_sentencepiece, op5_chat, op6_token_counts, op7_line_dedup, op8_fingerprints, op9_quality_rules, op10_packing, op11_hard_negatives, op12_token_files, op13_clusters)}
