@@ -73,6 +73,18 @@ def maybe_broadcast(frame: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(frame) if (frame.agg(F.sum(total.cast("long"))).first()[0] or 0) <= most else frame
 
 
+def numbered(rows: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with columns named c0, c1 and so on, which no internal name meets, and the new name of each column."""
+    names = {c: f"c{i}" for i, c in enumerate(rows.columns)}
+    return rows.toDF(*names.values()), names
+
+
+def renamed(rows: DataFrame, names: dict[str, str], results: dict[str, str]) -> DataFrame:
+    """The columns under their own names again, and behind them the results (name, internal name), which replace columns of their names."""
+    taken = {r.lower() for r in results}
+    return rows.select(*[F.col(n).alias(c) for c, n in names.items() if c.lower() not in taken], *[F.col(n).alias(r) for r, n in results.items()])
+
+
 def words_of(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; null gives an empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")

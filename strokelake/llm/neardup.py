@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TwoGenerations, byte_slices, checkpoint, maybe_broadcast
+from .common import TwoGenerations, byte_slices, checkpoint, maybe_broadcast, numbered, renamed
 
 
 @dataclass(frozen=True)
@@ -387,8 +387,11 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
 def first_of_group(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` less those that are near-duplicates of a row of a smaller id.
 
-    Of each group the rows of the smallest id stay; so do rows of a null id, and rows that repeat an id and its text.
+    Of each group the rows of the smallest id stay; so do rows of a null id, and rows that repeat an id and its text. Columns of
+    any name go with their rows; an empty table stays empty.
     """
-    found = near_duplicates(docs, settings, id_col, text_col)
-    gone = found.filter(~F.col("kept")).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(gone, (docs[id_col].cast("long") == F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_hash")), "left_anti")
+    rows, names = numbered(docs)
+    i, t = names[id_col], names[text_col]
+    found = near_duplicates(rows, settings, i, t)
+    gone = found.filter(~F.col("kept")).select(F.col(i).alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    return renamed(rows.join(gone, (rows[i].cast("long") == F.col("_id")) & (F.xxhash64(rows[t]) == F.col("_hash")), "left_anti"), names, {})

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import maybe_broadcast
+from .common import maybe_broadcast, numbered, renamed
 
 #: Groups over which the documents of one length are ranked, so that a length that a third of all rows has is no hot key.
 SALTS = 64
@@ -135,15 +135,18 @@ def place(pieces: DataFrame, capacity: int = 2048, keys: tuple[str, ...] = ("doc
     """Adds ``sequence_id`` and ``offset`` to rows of 1 to ``capacity`` tokens; each sequence is filled from 0 without gaps.
 
     ``pieces`` is read three times, so give a checkpointed or stored frame. Ties and repeated rows each get a place of their own;
-    null keys are keys like any other; an empty table gives an empty result. Lengths of null, under 1 or over ``capacity``
+    null keys are keys like any other; an empty table gives an empty result. Columns of any name go with their rows, but that the
+    two new ones replace those of their names. Lengths of null, under 1 or over ``capacity``
     are an error.
     """
     spark: SparkSession = pieces.sparkSession
+    rows, names = numbered(pieces)
+    length, ordered = names[length_col], [names[k] for k in keys]
     # A full piece is a sequence by itself and needs no rank; its number is negative.
-    full = pieces.filter(F.col(length_col) == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    pieces = pieces.filter(F.col(length_col).isNull() | (F.col(length_col) != capacity))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int"))
-    groups = salted.groupBy(F.col(length_col).cast("int").alias("_length"), "_salt").agg(F.count(F.lit(1)).alias("_n"))
+    full = rows.filter(F.col(length) == capacity).withColumns({"_sequence": -1 - F.monotonically_increasing_id(), "_offset": F.lit(0).cast("long")})
+    rows = rows.filter(F.col(length).isNull() | (F.col(length) != capacity))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*ordered), F.lit(SALTS)).cast("int")).withColumn("_length", F.col(length).cast("int"))
+    groups = salted.groupBy("_length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     found = groups.collect()  # at most capacity x SALTS counts
     if any(r["_length"] is None or not 1 <= r["_length"] <= capacity for r in found):
         raise ValueError(f"lengths must be from 1 to {capacity}")
@@ -156,14 +159,14 @@ def place(pieces: DataFrame, capacity: int = 2048, keys: tuple[str, ...] = ("doc
     # Both tables are bounded by capacity x SALTS rows and by the patterns in use, whatever the number of documents.
     starts = spark.createDataFrame(first, "_length int, _salt int, _first long")
     slots: dict[int, list] = {}
-    for length, rank, n, sequence, at in _slots(plan):
-        slots.setdefault(length, []).append((rank, n, sequence, at))
+    for n_tokens, rank, n, sequence, at in _slots(plan):
+        slots.setdefault(n_tokens, []).append((rank, n, sequence, at))
     runs = spark.createDataFrame([(k, v) for k, v in slots.items()], T.StructType([T.StructField("_length", T.IntegerType()), T.StructField("_runs", T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("rank", "n", "sequence", "at")])))]))
-    within = salted.withColumn("_rank", F.expr(f"row_number() over (partition by {length_col}, _salt order by {', '.join(keys)}) - 1"))
-    within = within.withColumn("_length", F.col(length_col).cast("int"))
+    within = salted.withColumn("_rank", F.expr(f"row_number() over (partition by _length, _salt order by {', '.join(ordered)}) - 1"))
     ranked = within.join(maybe_broadcast(starts), ["_length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_first"))
     placed = ranked.join(maybe_broadcast(runs), "_length").withColumn("_run", F.expr("filter(_runs, r -> _rank >= r.rank and _rank < r.rank + r.n)[0]"))
-    return placed.withColumns({"sequence_id": F.expr("_run.sequence + _rank - _run.rank"), "offset": F.expr("_run.at")}).select(*pieces.columns, "sequence_id", "offset").unionByName(full)
+    placed = placed.select(*names.values(), F.expr("_run.sequence + _rank - _run.rank").alias("_sequence"), F.expr("_run.at").alias("_offset")).unionByName(full)
+    return renamed(placed, names, {"sequence_id": "_sequence", "offset": "_offset"})
 
 
 def assemble(placed: DataFrame, ids_col: str = "ids") -> DataFrame:
