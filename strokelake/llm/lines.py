@@ -13,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, checkpoint, maybe_broadcast
+from .common import BROADCAST_BYTES, checkpoint, maybe_broadcast, numbered, renamed
 
-#: Shorter lines are never compared by edits: one edit makes another word of them. Exact copies of them go if a caller asks for it.
+#: Shorter lines are compared exactly, not by edits, unless a caller asks for it: one edit makes another word or number of them.
 MIN_CHARS = 20
 
 #: Longer lines are cut into segments of the root of their length, but of so many characters at least.
@@ -39,11 +39,10 @@ def _halves(line: Column) -> Column:
     return F.array(*keys(n), *keys(n - 1))
 
 
-def exploded(docs: DataFrame, id_col: str, text_col: str, exact_chars: int = MIN_CHARS) -> DataFrame:
-    """``_id, _text_hash, _no, _line``: the lines of each row, numbered from 0, less blank ones and those under ``exact_chars`` among the short ones."""
+def exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``_id, _text_hash, _no, _line``: the lines of each row, numbered from 0, less blank ones."""
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_text_hash"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("_no", "_line"))
-    n = F.length("_line")
-    return rows.filter((n >= MIN_CHARS) | ((n >= exact_chars) & F.col("_line").rlike(FILLED)))
+    return rows.filter(F.col("_line").rlike(FILLED))
 
 
 def _identity(line: Column) -> list[Column]:
@@ -126,49 +125,64 @@ def near_lines(lines: DataFrame) -> DataFrame:
     return one_edit_apart(met.join(lines, "_place").join(texts, "_other")).select("_h1", "_h2").distinct()
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES, exact_chars: int = MIN_CHARS) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 1, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``_id, _text_hash, _dropped``: for each text, the numbers of its lines that an earlier line of the corpus equals or nearly equals.
 
     Earlier is by id (null first), then by hash of the text, then by line number. Any earlier line counts, dropped or not.
     """
-    lines = exploded(docs, id_col, text_col, exact_chars)
+    if edits not in (0, 1):
+        raise ValueError("lines are compared within no or one edit")
+    lines = exploded(docs, id_col, text_col)
     place = F.struct("_id", "_text_hash", "_no").alias("_place")
     hashed = lines.select(*_identity(F.col("_line")), place, "_line")
     # All occurrences of a line meet as hashes; a frequent line is summed up before the shuffle.
-    distinct = checkpoint(hashed.withColumn("_halves", F.when(F.length("_line") >= MIN_CHARS, _halves(F.col("_line")))).groupBy("_h1", "_h2").agg(F.min("_place").alias("_place"), F.count(F.lit(1)).alias("_n"), F.first("_halves").alias("_halves")))
-    halves = distinct.select("_place", F.explode(F.array_distinct("_halves")).alias("_half"))
-    shared = halves.groupBy("_half").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_half")
-    wanted = maybe_broadcast(checkpoint(halves.join(shared, "_half", "left_semi").select("_place").distinct()), broadcast_bytes)
-    # Each of these lines becomes as many rows as it has characters, so they are spread over more tasks than their bytes ask for.
-    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    gone = near_lines(checkpoint(hashed.join(wanted, "_place", "left_semi").dropDuplicates(["_place"]).repartition(parts, "_h1", "_h2")))
+    halves = F.when(F.length("_line") >= min_chars, _halves(F.col("_line"))) if edits else F.lit(None).cast("array<bigint>")
+    distinct = checkpoint(hashed.withColumn("_halves", halves).groupBy("_h1", "_h2").agg(F.min("_place").alias("_place"), F.count(F.lit(1)).alias("_n"), F.first("_halves").alias("_halves")))
+    heads = distinct.withColumn("_gone", F.lit(None).cast("boolean"))
+    if edits:
+        halves = distinct.select("_place", F.explode(F.array_distinct("_halves")).alias("_half"))
+        shared = halves.groupBy("_half").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_half")
+        wanted = maybe_broadcast(checkpoint(halves.join(shared, "_half", "left_semi").select("_place").distinct()), broadcast_bytes)
+        # Each of these lines becomes as many rows as it has characters, so they are spread over more tasks than their bytes ask for.
+        parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        gone = near_lines(checkpoint(hashed.join(wanted, "_place", "left_semi").dropDuplicates(["_place"]).repartition(parts, "_h1", "_h2")))
+        heads = distinct.join(gone.withColumn("_gone", F.lit(True)), ["_h1", "_h2"], "left")
     # Only lines that go altogether or occur again have a say; the others needn't meet their texts once more.
-    heads = distinct.join(gone.withColumn("_gone", F.lit(True)), ["_h1", "_h2"], "left").filter("_gone or _n > 1").select("_h1", "_h2", F.col("_place").alias("_first"), "_gone")
+    heads = heads.filter("_gone or _n > 1").select("_h1", "_h2", F.col("_place").alias("_first"), "_gone")
     hit = hashed.select("_h1", "_h2", "_place").join(maybe_broadcast(checkpoint(heads), broadcast_bytes), ["_h1", "_h2"])
     hit = hit.filter(F.col("_gone").isNotNull() | (F.col("_place") != F.col("_first"))).select("_place.*")
     return hit.groupBy("_id", "_text_hash").agg(F.collect_set("_no").alias("_dropped"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES, exact_chars: int = MIN_CHARS) -> DataFrame:
+def _deduped(docs: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int, broadcast_bytes: int) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with their remaining text and ``_n_lines, _n_dropped``, columns numbered, and the numbers' names."""
+    docs, names = numbered(docs)
+    i, t = names[id_col], names[text_col]
+    dropped = maybe_broadcast(checkpoint(dropped_lines(docs, i, t, edits, min_chars, broadcast_bytes)), broadcast_bytes)
+    keyed = docs.withColumn("_hash", F.xxhash64(t))
+    rows = keyed.join(dropped, [keyed[i].eqNullSafe(dropped["_id"]), keyed["_hash"] == dropped["_text_hash"]], "left")
+    lines = F.split(F.col(t), "\n", -1)
+    kept = F.array_join(F.filter(lines, lambda line, k: ~F.array_contains("_dropped", k)), "\n")
+    counts = {
+        "_n_lines": F.when(F.col(t).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"),
+        "_n_dropped": F.when(F.col("_dropped").isNull(), F.lit(0)).otherwise(F.size("_dropped")).cast("long"),
+    }
+    return rows.withColumns(counts | {t: F.when(F.col("_dropped").isNull(), F.col(t)).otherwise(kept)}), names
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 1, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """All rows and columns of ``docs`` with ``text_col`` less the dropped lines, and ``n_lines`` and ``n_dropped``.
 
-    A line that equals an earlier line of the corpus, or is one edit away from one, is dropped. Lines under ``MIN_CHARS`` are
-    compared exactly from ``exact_chars`` characters on, blank ones never, and stay below that; by default they all stay. Rows that share id and text are one document and keep the same lines. A null text stays null and has no lines, an
-    empty text has one; an empty table gives an empty result. The two new columns replace columns of these names.
+    A line that equals an earlier line of the corpus goes, whatever its length; so does one of ``min_chars`` characters or more that is
+    within ``edits`` (0 or 1) of an earlier one of as many. Blank lines stay. Rows that share id and text are one document and keep
+    the same lines. A null text stays null and has no lines, an empty text has one; an empty table gives an empty result.
+    Columns of any name go with their rows, but that the two new ones replace those of their names.
     """
-    dropped = dropped_lines(docs, id_col, text_col, broadcast_bytes, exact_chars)
-    dropped = maybe_broadcast(checkpoint(dropped), broadcast_bytes)
-    keyed = docs.withColumn("_text_hash", F.xxhash64(F.col(text_col)))
-    rows = keyed.join(dropped, [keyed[id_col].eqNullSafe(dropped["_id"]), keyed["_text_hash"] == dropped["_text_hash"]], "left").drop("_id", "_text_hash")
-    lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("_dropped", i)), "\n")
-    counts = {
-        "n_lines": F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"),
-        "n_dropped": F.when(F.col("_dropped").isNull(), F.lit(0)).otherwise(F.size("_dropped")).cast("long"),
-    }
-    return rows.withColumns(counts | {text_col: F.when(F.col("_dropped").isNull(), F.col(text_col)).otherwise(kept)}).drop("_dropped")
+    rows, names = _deduped(docs, id_col, text_col, edits, min_chars, broadcast_bytes)
+    return renamed(rows, names, {"n_lines": "_n_lines", "n_dropped": "_n_dropped"})
 
 
-def without_emptied(rows: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows of ``dedup_lines`` less the documents that lost lines and have none left but blank ones, and less the two counts."""
-    return rows.filter((F.col("n_dropped") == 0) | F.col(text_col).rlike(FILLED)).drop("n_lines", "n_dropped")
+def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = 1, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The columns of ``docs`` with ``text_col`` as ``dedup_lines`` leaves it, less documents that lost lines and have none left but blank ones."""
+    rows, names = _deduped(docs, id_col, text_col, edits, min_chars, broadcast_bytes)
+    return renamed(rows.filter((F.col("_n_dropped") == 0) | F.col(names[text_col]).rlike(FILLED)), names, {})

@@ -39,10 +39,10 @@ OP5 = r"""with t as (select conv_id, turn, role, coalesce(text, '') as text from
  sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256, cast(sum(n) as bigint) as formatted_chars from f group by conv_id"""
 
 OP7 = """with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as k from documents),
- d as (select line, min(struct_pack(doc_id := doc_id, k := k)) as first from l where length(line) >= 20 group by line),
- n as (select line, first, length(line) as n from d),
+ d as (select line, min(struct_pack(doc_id := doc_id, k := k)) as first from l where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by line),
+ n as (select line, first, length(line) as n from d where length(line) >= 20),
  gone as (select b.line from n a join n b on a.n = b.n and a.first < b.first where levenshtein(a.line, b.line) = 1 union select b.line from n a join n b on a.n = b.n + 1 and a.first < b.first where levenshtein(a.line, b.line) = 1 union select b.line from n a join n b on a.n = b.n - 1 and a.first < b.first where levenshtein(a.line, b.line) = 1),
- m as (select l.doc_id, l.k, l.line, length(l.line) >= 20 and (gone.line is not null or struct_pack(doc_id := l.doc_id, k := l.k) <> d.first) as dropped from l left join d on l.line = d.line left join gone on l.line = gone.line)
+ m as (select l.doc_id, l.k, l.line, d.line is not null and (gone.line is not null or struct_pack(doc_id := l.doc_id, k := l.k) <> d.first) as dropped from l left join d on l.line = d.line left join gone on l.line = gone.line)
  select doc_id, count(*) as n_lines, count(*) filter (dropped) as n_dropped, length(coalesce(string_agg(line, chr(10) order by k) filter (not dropped), '')) as clean_chars, sha256(coalesce(string_agg(line, chr(10) order by k) filter (not dropped), '')) as clean_sha256 from m group by doc_id"""
 
 OP9 = rf"""with w as (select doc_id, coalesce(text, '') as text, list_filter(string_split_regex(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '') as words, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from documents),

@@ -382,7 +382,7 @@ def distance_one(a, b):
 def test_line_dedup_equals_brute_force(spark, broadcast_bytes):
     rng = np.random.default_rng(1)
     bases = ["".join(rng.choice(list("abcde fgh"), 24 + k)) + "z" for k in range(6)]
-    texts = [None, "", "short\nshort", "é" * 25 + "\n" + "é" * 26]
+    texts = [None, "", "short\nshort\nshore", "short\n\n" + " " * 30 + "\n" + " " * 30, "é" * 25 + "\n" + "é" * 26]
     for _ in range(40):
         made = []
         for _ in range(4):
@@ -396,10 +396,8 @@ def test_line_dedup_equals_brute_force(spark, broadcast_bytes):
     for t in texts:
         kept = []
         for line in (t or "").split("\n"):
-            if len(line) < lines.MIN_CHARS:
-                kept.append(line)
-                continue
-            if not any(line == e or distance_one(line, e) for e in earlier):
+            near = lambda e: min(len(e), len(line)) >= lines.MIN_CHARS and distance_one(line, e)
+            if not line.strip() or not any(line == e or near(e) for e in earlier):
                 kept.append(line)
             earlier.append(line)
         want.append(None if t is None else "\n".join(kept))
@@ -446,10 +444,48 @@ def test_line_dedup_stage_keeps_documents_with_short_lines(spark):
 def test_line_dedup_of_short_lines_is_exact(spark):
     texts = ["a verse\n\nof short\n  ", "a verse\nof shore\n\nof short\nyes", None, "yes\nyes!\n  "]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.text for r in lines.dedup_lines(frame, exact_chars=1).collect()}
+    got = {r.doc_id: r.text for r in lines.dedup_lines(frame).collect()}
     assert got == {0: texts[0], 1: "of shore\n\nyes", 2: None, 3: "yes!\n  "}
-    assert [r.text for r in lines.dedup_lines(frame, exact_chars=5).filter("doc_id = 3").collect()] == [texts[3]]
-    assert [r.text for r in lines.dedup_lines(frame).orderBy("doc_id").collect()] == texts
+    got = {r.doc_id: r.text for r in lines.dedup_lines(frame, min_chars=3).collect()}
+    assert got == {0: texts[0], 1: "\nyes", 2: None, 3: "  "}
+
+
+def test_line_dedup_without_edits_is_exact(spark):
+    long = "a line of more than twenty characters"
+    texts = [long, f"{long}!\n{long}", f"{long}!"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.text for r in lines.dedup_lines(frame, edits=0).orderBy("doc_id").collect()] == [long, f"{long}!", ""]
+    assert [r.text for r in lines.dedup_lines(frame).orderBy("doc_id").collect()] == [long, "", ""]
+    with pytest.raises(ValueError):
+        lines.dedup_lines(frame, edits=2)
+
+
+#: Every name that an operator or its result uses inside, as a column of the caller's.
+INSIDE = sorted({n for f in ("lines", "neardup", "packing", "common") for n in re.findall(r"[\"' .(]([_a-z][_a-z0-9]{0,15})[\"' ,)]", open(f"strokelake/llm/{f}.py").read())})
+
+
+def test_columns_of_any_name_go_with_their_rows(spark):
+    import corpus_pipeline
+
+    shared = "this long line stands in every one of the documents"
+    texts = [shared, f"roses are red\n{shared}\nviolets are blue", None, f"{shared}\nx = 1", " ".join(f"word{i}" for i in range(60))]
+    texts.append(texts[-1])
+    extra = [n for n in INSIDE if n not in ("doc_id", "text", "n_chars", "length", "piece")]
+    assert {"_dropped", "_id", "_hash", "_text_hash", "_salt", "_rank", "_length", "sequence_id", "n_lines", "c0", "c1"} <= {*extra, "c0", "c1", "sequence_id"}
+    extra = sorted({*extra, "c0", "c1", "sequence_id"})
+    rows = [(i, t, 7, 40 + i, 0, *[f"{i} {n}" for n in extra]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "n_chars long", "length long", "piece int", *[f"`{n}` string" for n in extra]])).repartition(2)
+    own = lambda r, but=(): all(r[n] == f"{r['doc_id']} {n}" for n in extra if n not in but)
+    got = lines.dedup_lines(docs).collect()
+    assert len(got) == 6 and all(own(r, ("n_lines", "n_dropped")) for r in got) and [r.n_dropped for r in sorted(got, key=lambda r: r.doc_id)] == [0, 1, 0, 1, 0, 1]
+    got = corpus_pipeline.line_dedup(spark, docs, "")
+    assert got.columns == docs.columns and all(map(own, got.collect())) and got.count() == 5
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns and all(map(own, got.collect())) and got.count() == 5
+    got = packing.place(docs, 64).collect()
+    assert len(got) == 6 and all(own(r, ("sequence_id", "offset")) and r.length == 40 + r.doc_id for r in got)
+    got = corpus_pipeline.quality_rules(spark, docs, "")
+    assert got.columns == docs.columns and all(map(own, got.collect()))
 
 
 def test_licences(spark, docs, empty):
