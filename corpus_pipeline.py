@@ -26,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that stand earlier in the corpus, ``n_chars`` counted again; documents left without a line go."""
-    cleaned = lines.without_emptied(lines.dedup_lines(docs, exact_chars=1))
+    cleaned = lines.dedup_documents(docs)
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
