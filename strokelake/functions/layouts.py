@@ -51,8 +51,8 @@ WMF = """
 0x02FA CreatePenIndirect style:u16 width:i16 height:i16 color:u32
 0x02FB CreateFontIndirect height:i16 width:i16 escapement:i16 orientation:i16 weight:i16 italic:u8 underline:u8 strikeout:u8 charset:u8 outprecision:u8 clipprecision:u8 quality:u8 pitch:u8
 0x02FC CreateBrushIndirect style:u16 color:u32 hatch:u16
-0x0324 Polygon n:u16
-0x0325 Polyline n:u16
+0x0324 Polygon n:i16
+0x0325 Polyline n:i16
 0x0410 ScaleWindowExt ydenom:i16 ynum:i16 xdenom:i16 xnum:i16
 0x0412 ScaleViewportExt ydenom:i16 ynum:i16 xdenom:i16 xnum:i16
 0x0415 ExcludeClipRect bottom:i16 right:i16 top:i16 left:i16
@@ -63,7 +63,7 @@ WMF = """
 0x041F SetPixel color:u32 y:i16 x:i16
 0x0429 FrameRegion region:u16 brush:u16 height:i16 width:i16
 0x0436 AnimatePalette start:u16 n:u16
-0x0521 TextOut length:u16
+0x0521 TextOut length:i16
 0x0538 PolyPolygon n:u16
 0x0548 ExtFloodFill mode:u16 color:u32 y:i16 x:i16
 0x061C RoundRect height:i16 width:i16 bottom:i16 right:i16 top:i16 left:i16
@@ -78,10 +78,18 @@ WMF = """
 0x0A32 ExtTextOut y:i16 x:i16 length:i16 options:u16
 0x0B23 StretchBlt rop:u32 hsrc:i16 wsrc:i16 ysrc:i16 xsrc:i16 height:i16 width:i16 y:i16 x:i16
 0x0B41 DIBStretchBlt rop:u32 hsrc:i16 wsrc:i16 ysrc:i16 xsrc:i16 height:i16 width:i16 y:i16 x:i16
-0x0D33 SetDIBToDev usage:u16 scans:u16 start:u16 ysrc:i16 xsrc:i16 height:i16 width:i16 y:i16 x:i16
+0x0D33 SetDIBToDev usage:u16 scans:u16 start:u16 ysrc:u16 xsrc:u16 height:u16 width:u16 y:u16 x:u16
 0x0F43 StretchDIB rop:u32 usage:u16 hsrc:i16 wsrc:i16 ysrc:i16 xsrc:i16 height:i16 width:i16 y:i16 x:i16
 """
 
+# The same records in their form without a bitmap, whose size in words is the function's high byte and three.
+WMF_BARE = """
+0x0922 BitBlt rop:u32 ysrc:i16 xsrc:i16 reserved:u16 height:i16 width:i16 y:i16 x:i16
+0x0940 DIBBitBlt rop:u32 ysrc:i16 xsrc:i16 reserved:u16 height:i16 width:i16 y:i16 x:i16
+0x0B23 StretchBlt rop:u32 hsrc:i16 wsrc:i16 ysrc:i16 xsrc:i16 reserved:u16 height:i16 width:i16 y:i16 x:i16
+0x0B41 DIBStretchBlt rop:u32 hsrc:i16 wsrc:i16 ysrc:i16 xsrc:i16 reserved:u16 height:i16 width:i16 y:i16 x:i16
+"""
+
 EMF = """
 1 Header left:i32 top:i32 right:i32 bottom:i32 fleft:i32 ftop:i32 fright:i32 fbottom:i32
 2 PolyBezier left:i32 top:i32 right:i32 bottom:i32 n:u32
@@ -267,29 +275,35 @@ HEADS = {"WMF": 6, "EMF": 8, "EMF+": 12}
 _SIZES = {"u8": 1, "i16": 2, "u16": 2, "i32": 4, "u32": 4, "f32": 4}
 
 
-def layout_rows() -> list[tuple]:
-    """(format, type, name, fields) with each field's offset in the record."""
+def _placed(form: str, text: str) -> list[tuple]:
     out = []
-    for form, text in (("WMF", WMF), ("EMF", EMF), ("EMF+", EMFPLUS)):
-        for line in text.strip().splitlines():
-            code, name, *fields = line.split()
-            at, listed = HEADS[form], []
-            for field in fields:
-                label, kind = field.split(":")
-                listed.append((label, kind, at))
-                at += _SIZES[kind]
-            out.append((form, int(code, 0), name, listed))
+    for line in text.strip().splitlines():
+        code, name, *fields = line.split()
+        at, listed = HEADS[form], []
+        for field in fields:
+            label, kind = field.split(":")
+            listed.append((label, kind, at))
+            at += _SIZES[kind]
+        out.append((form, int(code, 0), name, listed))
     return out
 
 
+def layout_rows() -> list[tuple]:
+    """(format, type, name, fields) with each field's offset in the record."""
+    return [row for form, text in (("WMF", WMF), ("EMF", EMF), ("EMF+", EMFPLUS)) for row in _placed(form, text)]
+
+
 def decode(records: DataFrame) -> DataFrame:
     """Adds ``name`` and ``fields`` (map of double) to records; null where the type is unknown, no fields where none are fixed.
 
-    WMF types are told by their low byte, as writers vary the parameter count in the high byte. A field beyond the end of the
-    record is null.
+    WMF types are told by their low byte, as writers vary the parameter count in the high byte; their transfers have another
+    layout where the record's size leaves no place for a bitmap. A field beyond the end of the record is null.
     """
     spark = records.sparkSession
-    table = spark.createDataFrame(layout_rows(), "format string, code int, name string, layout array<struct<label: string, kind: string, at: int>>")
+    bare = {code: fields for _, code, _, fields in _placed("WMF", WMF_BARE)}
+    rows = [(form, code, name, fields, bare.get(code) if form == "WMF" else None) for form, code, name, fields in layout_rows()]
+    field = "array<struct<label: string, kind: string, at: int>>"
+    table = spark.createDataFrame(rows, f"format string, code int, name string, layout {field}, bare {field}")
     table = table.withColumn("_code", F.when(F.col("format") == "WMF", F.col("code") % 256).otherwise(F.col("code"))).drop("code")
     rows = records.withColumn("_code", F.when(F.col("format") == "WMF", F.col("type") % 256).otherwise(F.col("type")))
     raw = F.col("raw")
@@ -299,4 +313,39 @@ def decode(records: DataFrame) -> DataFrame:
 
     value = lambda s: F.when(s["kind"] == "f32", binary.real32(raw, s["at"])).otherwise(read(s))
     found = rows.join(F.broadcast(table), ["format", "_code"], "left")  # the table is fixed and small
-    return found.withColumn("fields", F.map_from_entries(F.transform("layout", lambda s: F.struct(s["label"].alias("key"), value(s).alias("value"))))).select(*records.columns, "name", "fields")
+    layout = F.when(F.col("bare").isNotNull() & (F.octet_length(raw) / 2 == F.shiftright("type", 8) + 3), F.col("bare")).otherwise(F.col("layout"))
+    fields = F.map_from_entries(F.transform(layout, lambda s: F.struct(s["label"].alias("key"), value(s).alias("value"))))
+    return found.withColumn("fields", fields).select(*records.columns, "name", "fields")
+
+
+#: (format, names, test of the fields, fault): what the decoder refuses beyond sizes.
+RANGES = [
+    ("WMF", ("ScaleWindowExt", "ScaleViewportExt"), lambda f: (f["xdenom"] == 0) | (f["ydenom"] == 0), "zero scale denominator"),
+    ("WMF", ("Polygon",), lambda f: f["n"] < 2, "point count"),
+    ("WMF", ("Polyline",), lambda f: f["n"] < 0, "point count"),
+    ("WMF", ("TextOut", "ExtTextOut"), lambda f: f["length"] < 0, "text length"),
+    ("WMF", ("ExtFloodFill",), lambda f: f["mode"] > 1, "flood fill mode"),
+    ("WMF", ("CreatePalette",), lambda f: f["start"] != 0x300, "palette version"),
+    ("WMF", ("RestoreDC",), lambda f: f["level"] == 0, "restore level"),
+    ("EMF", ("RestoreDC",), lambda f: f["level"] >= 0, "restore level"),
+    ("EMF", ("ScaleWindowExtEx", "ScaleViewportExtEx"), lambda f: (f["xnum"] == 0) | (f["xdenom"] == 0) | (f["ynum"] == 0) | (f["ydenom"] == 0), "zero scale factor"),
+    ("EMF", ("ModifyWorldTransform",), lambda f: ~f["mode"].between(1, 4), "world transform mode"),
+    ("EMF", ("CreatePalette",), lambda f: f["version"] != 0x300, "palette version"),
+    ("EMF", ("ResizePalette",), lambda f: ~f["n"].between(1, 1024), "palette size"),
+    ("EMF", ("ExtFloodFill",), lambda f: f["mode"] > 1, "flood fill mode"),
+    ("EMF", ("PolyBezier", "PolyBezier16"), lambda f: (f["n"] < 4) | ((f["n"] - 1) % 3 != 0), "Bezier point count"),
+    ("EMF", ("PolyBezierTo", "PolyBezierTo16"), lambda f: (f["n"] == 0) | (f["n"] % 3 != 0), "Bezier point count"),
+    ("EMF", ("ExtSelectClipRgn",), lambda f: ~f["mode"].between(1, 5) | ((f["bytes"] == 0) & (f["mode"] != 5)), "region mode"),
+    ("EMF", ("AlphaBlend",), lambda f: (f["blend"] % 256 != 0) | (F.floor(f["blend"] / (1 << 24)) > 1) | (f["width"] <= 0) | (f["height"] <= 0) | (f["wsrc"] <= 0) | (f["hsrc"] <= 0), "alpha blend parameters"),
+]
+
+#: EMF+ types that stand in the format's list but in no file.
+RESERVED = (0x4005, 0x4006, 0x4007)
+
+
+def range_faults(decoded: DataFrame) -> DataFrame:
+    """Adds ``fault`` to decoded records: what is wrong with a value, or a reserved type; null where nothing is."""
+    f, fault = F.col("fields"), F.when((F.col("format") == "EMF+") & F.col("type").isin(*RESERVED), "reserved type")
+    for form, names, test, said in RANGES:
+        fault = fault.when((F.col("format") == form) & F.col("name").isin(*names) & F.coalesce(test(f), F.lit(False)), said)
+    return decoded.withColumn("fault", fault)

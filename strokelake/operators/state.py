@@ -1,13 +1,13 @@
-"""Ordered per-file state over records, as windows; folds only where a stack or a heap is the state."""
+"""Ordered per-file state over records: windows where the latest record tells, segmented scans where a stack is the state."""
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import scan
+
 
 def _over(keys: list[str], order: list[str]):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -22,49 +22,119 @@ def running(value: Column, keys: list[str], order: list[str]) -> Column:
     return F.sum(value).over(_over(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
-def save_restore(rows: DataFrame, keys: list[str], order: list[str], op_col: str, value_col: str, initial: int = 0) -> DataFrame:
+def _values(rows: DataFrame, keys: list[str], position: str, op: Column, pops: Column, value: Column, initial: int, block: int) -> DataFrame:
+    """Adds ``state`` and ``depth`` after each row: ``save`` pushes the value, ``pops`` entries are popped, ``set`` changes it."""
+    saves = F.when(op == "save", F.array(F.struct(F.lit(0).cast("bigint").alias("key"), scan.keep().alias("value")))).otherwise(F.array().cast(f"array<struct<key:bigint,value:{scan.SET}>>"))
+    element = scan.frame(scan.SET, F.when(op == "set", scan.put(value)).otherwise(scan.keep()), F.array_repeat(F.lit(scan.ANY).cast("bigint"), pops), saves)
+    seen = scan.scan(rows, keys, position, element, scan.stacked(scan.SET, scan.keep(), scan.later_value), block)
+    cur = F.col("_upto.cur")
+    return seen.withColumns({"state": F.when(cur["set"], cur["v"]).otherwise(initial), "depth": F.size("_upto.stack")}).drop("_before", "_upto")
+
+
+def save_restore(rows: DataFrame, keys: list[str], position: str, op_col: str, value_col: str, initial: int = 0, block: int = scan.BLOCK) -> DataFrame:
     """Adds ``state`` and ``depth`` after each row: ``save`` pushes the value, ``restore`` pops it (nothing if none is saved), ``set`` changes it.
 
-    The stack is the state, so each file is folded in order inside its group; a file's records are bounded by its limits.
+    A file's records are summed up by blocks, so it may have any number of them. Which restores find a saved value is known from
+    the running balance less its least value so far; then what each block does to value and stack is combined. ``position`` counts from 0
+    up, with gaps as it likes; a null operation changes nothing.
     """
-    kind = rows.schema.simpleString()[7:-1] + ",state:bigint,depth:int"
+    op = F.col(op_col)
+    step = F.when(op == "save", 1).when(op == "restore", -1).otherwise(0).cast("bigint")
+    balance = scan.scan(rows, keys, position, F.struct(step.alias("sum"), F.least(step, F.lit(0).cast("bigint")).alias("low")), lambda a, b: F.struct((a["sum"] + b["sum"]).alias("sum"), F.least(a["low"], a["sum"] + b["low"]).alias("low")), block)
+    saved = F.coalesce(F.col("_before.sum") - F.col("_before.low"), F.lit(0))
+    known = balance.withColumn("_pops", F.when((op == "restore") & (saved > 0), 1).otherwise(0)).drop("_before", "_upto")
+    return _values(known, keys, position, op, F.col("_pops"), F.col(value_col), initial, block).drop("_pops")
 
-    def fold(frame):
-        frame = frame.sort_values(order, ignore_index=True)
-        value, stack, states, depths = initial, [], [], []
-        for op, given in zip(frame[op_col], frame[value_col]):
-            if op == "save":
-                stack.append(value)
-            elif op == "restore" and stack:
-                value = stack.pop()
-            elif op == "set":
-                value = int(given)
-            states.append(value)
-            depths.append(len(stack))
-        return frame.assign(state=states, depth=depths)
 
-    return rows.groupBy(*keys).applyInPandas(fold, kind.replace(":", " ").replace(",", ", "))
+#: States that may be saved at a time.
+SAVED_STATES = 1024
+
 
+def restore_levels(rows: DataFrame, keys: list[str], position: str, op_col: str, value_col: str, level_col: str, initial: int = 0, most: int = SAVED_STATES, block: int = scan.BLOCK) -> DataFrame:
+    """Adds ``state``, ``depth`` and ``fault``: as ``save_restore``, but a restore names its level, and a file ends with its first fault.
 
-def allocate_slots(rows: DataFrame, keys: list[str], order: list[str], op_col: str, slots: int) -> DataFrame:
-    """Adds ``slot``: ``create`` takes the lowest free slot (null when none is left), ``delete`` frees the one taken last."""
-    kind = rows.schema.simpleString()[7:-1] + ",slot:int"
+    A level under 0 counts back from the latest saved state, one over 0 from the first. A level of no saved state (0 included)
+    is the fault ``restore level``, a save beyond ``most`` states ``saved states``; state and depth are null there, and later rows are left out.
+    """
+    op, level = F.col(op_col), F.col(level_col).cast("bigint")
+    back = (op == "restore") & (level < 0)
+    count = F.struct(((op == "restore") & (level > 0)).alias("fixed"), F.when(op == "save", 1).when(back, level).when(op == "restore", level - 1).otherwise(0).cast("bigint").alias("by"))
+    counted = scan.scan(rows, keys, position, count, lambda a, b: F.when(b["fixed"], b).otherwise(F.struct(a["fixed"].alias("fixed"), (a["by"] + b["by"]).alias("by"))), block)
+    depth = F.coalesce(F.col("_before.by"), F.lit(0))
+    to = F.when(level < 0, depth + level).otherwise(level - 1)
+    wrong = (level == 0) | (to < 0) | (to >= depth)
+    fault = F.when((op == "restore") & F.coalesce(wrong, F.lit(True)), "restore level").when((op == "save") & (depth >= most), "saved states")
+    known = counted.withColumns({"fault": fault, "_pops": F.when(op == "restore", depth - to).otherwise(0).cast("int")}).drop("_before", "_upto")
+    # The first fault of each file, one row a file at most.
+    ends = known.filter("fault is not null").groupBy(F.struct(*keys).alias("_key")).agg(F.min(position).alias("_end"))
+    known = known.withColumn("_key", F.struct(*keys)).join(ends, "_key", "left").filter(F.col("_end").isNull() | (F.col(position) <= F.col("_end"))).drop("_key", "_end")
+    rest = _values(known.withColumn("_pops", F.when(F.col("fault").isNull(), F.col("_pops")).otherwise(0)), keys, position, F.when(F.col("fault").isNull(), op), F.col("_pops"), F.col(value_col), initial, block)
+    sound = F.col("fault").isNull()
+    return rest.withColumns({"state": F.when(sound, F.col("state")), "depth": F.when(sound, F.col("depth"))}).select(*rows.columns, "state", "depth", "fault")
+
+
+def plus_transforms(rows: DataFrame, keys: list[str], position: str, op_col: str, index_col: str, matrix_col: str, block: int = scan.BLOCK) -> DataFrame:
+    """Adds ``world`` and ``container`` (matrices of {a, b, c, d, e, f}), ``depth`` and ``fault`` after each EMF+ record that has to do with transforms.
+
+    Operations: ``set``, ``reset``, ``before`` and ``after`` (multiplied in front of or behind the world), ``save`` and ``restore`` with an
+    index, ``begin`` and ``end`` of a container with an index. A container takes the mapping of its rectangles (the matrix column;
+    null: none), the world and the container around it together; inside, the world begins as the identity. A restore or an end goes
+    back to the latest save or container of its index, whatever stands above it; without one it is the fault ``saved state
+    index``, which ends the file: its values are null, and later rows are left out.
+    """
+    op, m, index = F.col(op_col), F.col(matrix_col), F.col(index_col).cast("bigint")
+    one = scan.identity_matrix()
+    cur = F.when(op == "set", scan.change(m, fixed=True)).when(op == "reset", scan.change(fixed=True)).when(op == "before", scan.change(m)).when(op == "after", scan.change(None, m))
+    cur = cur.when(op == "begin", scan.change(fixed=True, container=F.coalesce(m, one))).otherwise(scan.change())
+    key = 2 * index + F.when(op.isin("begin", "end"), 1).otherwise(0)
+    saves = F.when(op.isin("save", "begin"), F.array(F.struct(key.alias("key"), scan.change().alias("value")))).otherwise(F.array().cast(f"array<struct<key:bigint,value:{scan.CHANGE}>>"))
+    pops = F.when(op.isin("restore", "end"), F.array(key)).otherwise(F.array().cast("array<bigint>"))
+    seen = scan.scan(rows, keys, position, scan.frame(scan.CHANGE, cur, pops, saves), scan.stacked(scan.CHANGE, scan.change(), scan.later_change), block)
+    seen = seen.withColumn("fault", F.when(F.size("_upto.pops") > 0, "saved state index"))
+    ends = seen.filter("fault is not null").groupBy(F.struct(*keys).alias("_key")).agg(F.min(position).alias("_end"))
+    seen = seen.withColumn("_key", F.struct(*keys)).join(ends, "_key", "left").filter(F.col("_end").isNull() | (F.col(position) <= F.col("_end")))
+    sound, c = F.col("fault").isNull(), F.col("_upto.cur")
+    # The file begins with the identity for both, so a world that isn't fixed is l * r.
+    world = F.when(c["fixed"], c["l"]).otherwise(scan.times(c["l"], c["r"]))
+    container = F.when(c["uses"], scan.times(c["p"], c["q"])).otherwise(c["p"])
+    return seen.withColumns({"world": F.when(sound, world), "container": F.when(sound, container), "depth": F.when(sound, F.size("_upto.stack"))}).select(*rows.columns, "world", "container", "depth", "fault")
+
+
+def allocate_slots(rows: DataFrame, keys: list[str], order: list[str], op_col: str, handle_col: str, slots: int) -> DataFrame:
+    """Adds ``slot`` and ``fault``: ``create`` takes the lowest free slot, ``delete`` frees the one its handle names, ``select`` uses it.
+
+    A creation without a free slot and a handle that names none in use are faults; a file ends with its first, and later rows are left out.
+    The free slots are a heap, so each file is folded in order inside its group: ``keys`` should name files of bounded size.
+    """
+    kind = rows.schema.simpleString()[7:-1] + ",slot:int,fault:string"
 
     def fold(frame):
+        import heapq
+
         import pandas as pd
 
         frame = frame.sort_values(order, ignore_index=True)
-        free, taken, out = list(range(slots)), [], []
-        for op in frame[op_col]:
+        free, used, out, fault = list(range(slots)), set(), [], None
+        for op, handle in zip(frame[op_col], frame[handle_col]):
             slot = None
-            if op == "create" and free:
-                slot = heapq.heappop(free)
-                taken.append(slot)
-            elif op == "delete" and taken:
-                slot = taken.pop()
-                heapq.heappush(free, slot)
-            out.append(slot)
-        return frame.assign(slot=pd.array(out, "Int32"))
+            if op == "create":
+                if free:
+                    slot = heapq.heappop(free)
+                    used.add(slot)
+                else:
+                    fault = "slots"
+            elif op in ("delete", "select"):
+                if handle in used:
+                    slot = int(handle)
+                    if op == "delete":
+                        used.remove(slot)
+                        heapq.heappush(free, slot)
+                else:
+                    fault = "undefined handle"
+            out.append((slot, fault))
+            if fault:
+                break
+        return frame.head(len(out)).assign(slot=pd.array([s for s, _ in out], "Int32"), fault=[f for _, f in out])
 
     return rows.groupBy(*keys).applyInPandas(fold, kind.replace(":", " ").replace(",", ", "))
 

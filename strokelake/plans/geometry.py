@@ -92,19 +92,6 @@ def region_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-_SPARSE = "select l_returnflag as g, l_partkey * 7 % 300 as x, l_suppkey * 13 % 200 as y, cast(l_quantity as bigint) % 9 + 3 as w, l_linenumber % 6 + 3 as h from lineitem where l_linenumber = 1 and l_partkey % 10 = 0"
-
-
-@query(f"""with cells as (select distinct g, unnest(range(x, x + w)) as cx, y, h from ({_SPARSE})), grid as (select distinct g, cx, unnest(range(y, y + h)) as cy from cells),
- near as (select a.g, a.cx, a.cy, count(*) as n from grid a join grid b on a.g = b.g and b.cx between a.cx - 1 and a.cx + 1 and b.cy between a.cy - 1 and a.cy + 1 group by a.g, a.cx, a.cy)
- select g, count(*) filter (n < 9) as cells from near group by g""")
-def region_frame_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The frame, one cell wide, of the union of rectangles."""
-    rows = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1 and l_partkey % 10 = 0").select(F.col("l_returnflag").alias("g"), (F.col("l_partkey") * 7 % 300).alias("left"), (F.col("l_suppkey") * 13 % 200).alias("top"), (F.col("l_quantity").cast("long") % 9 + 3).alias("w"), (F.col("l_linenumber") % 6 + 3).alias("h"))
-    rects = rows.select("g", "left", "top", (F.col("left") + F.col("w")).alias("right"), (F.col("top") + F.col("h")).alias("bottom")).distinct()
-    return regions.frame(rects, ["g"], 1, 1).groupBy("g").agg(F.sum(F.col("x1") - F.col("x0")).alias("cells"))
-
-
 @query("""with r as (select l_returnflag as g, l_orderkey as x, l_partkey as y, cast(l_quantity as bigint) % 9 + 3 as w, l_linenumber % 6 + 3 as h from lineitem),
  cells as (select distinct g, unnest(range(x, x + w)) as cx, y, h from r), grid as (select distinct g, cx, unnest(range(y, y + h)) as cy from cells),
  side as (select unnest([-1, 0, 1]) as d), box as (select a.d as dx, b.d as dy from side a cross join side b), around as (select g, cx, cy, cx + dx as nx, cy + dy as ny from grid cross join box),

@@ -26,7 +26,62 @@ def state_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def save_restore_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     e = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(kind == "signup", "save").when(kind == "error", "restore").when(kind == "purchase", "set").otherwise("draw").alias("op"), F.floor("value").cast("long").alias("v"))
-    return state.save_restore(e, KEYS, ORDER, "op", "v").select("user_id", "event_id", "state", "depth")
+    return state.save_restore(e, KEYS, "event_id", "op", "v").select("user_id", "event_id", "state", "depth")
+
+
+#: Saves, restores by a level that counts back or from the first, and values.
+_LEVELS = "case when event_type in ('signup', 'view') then 'save' when event_type = 'error' then 'restore' when event_type = 'purchase' then 'set' else 'draw' end as op, cast(floor(value) as bigint) as v, case event_id % 5 when 0 then -2 when 1 then 1 + event_id // 5 % 3 when 2 then -3 else -1 end as level"
+
+
+@query(f"""with recursive e as (select user_id, event_id, {_LEVELS}, row_number() over (partition by user_id order by event_id) as k from events),
+ r(user_id, k, event_id, state, stack, fault) as (select user_id, cast(0 as bigint), cast(null as bigint), cast(0 as bigint), cast([] as bigint[]), cast(null as varchar) from e where k = 1
+  union all select e.user_id, e.k, e.event_id,
+   case when op = 'set' then v when op = 'restore' and len(stack) > 0 and case when level < 0 then len(stack) + level else level - 1 end between 0 and len(stack) - 1 then stack[case when level < 0 then len(stack) + level else level - 1 end + 1] else state end,
+   case when op = 'save' then list_append(stack, state) when op = 'restore' then stack[:case when level < 0 then len(stack) + level else level - 1 end] else stack end,
+   case when op = 'restore' and not case when level < 0 then len(stack) + level else level - 1 end between 0 and len(stack) - 1 then 'restore level' end
+  from r join e on e.user_id = r.user_id and e.k = r.k + 1 where r.fault is null)
+ select user_id, event_id, case when fault is null then state end as state, case when fault is null then cast(len(stack) as int) end as depth, fault from r where k > 0""")
+def dc_restore_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Device contexts saved and restored by signed levels, up to the first restore of a state that isn't there."""
+    e = table(spark, sf_dir, "events").selectExpr("user_id", "event_id", "case when event_type in ('signup', 'view') then 'save' when event_type = 'error' then 'restore' when event_type = 'purchase' then 'set' else 'draw' end as op", "cast(floor(value) as bigint) as v", "case event_id % 5 when 0 then -2 when 1 then 1 + event_id div 5 % 3 when 2 then -3 else -1 end as level")
+    return state.restore_levels(e, KEYS, "event_id", "op", "v", "level").select("user_id", "event_id", "state", "depth", "fault")
+
+
+#: EMF+ records of transforms: signed permutations with whole offsets, so that products are exact.
+_PLUS = """case when event_type = 'signup' then case event_id % 3 when 0 then 'set' when 1 then 'reset' else 'save' end when event_type = 'view' then case event_id % 4 when 0 then 'save' when 1 then 'begin' when 2 then 'save' else 'before' end
+ when event_type = 'click' then case event_id % 2 when 0 then 'before' else 'after' end when event_type = 'purchase' then 'begin' else case event_id % 6 when 0 then 'restore' when 1 then 'end' else 'draw' end end as op, event_id % 2 as idx,
+ cast(case event_id % 8 when 0 then 1 when 1 then 0 when 2 then -1 when 3 then 0 when 4 then 1 when 5 then 0 when 6 then -1 else 0 end as double) as a, cast(case event_id % 8 when 1 then 1 when 3 then -1 when 5 then 1 when 7 then -1 else 0 end as double) as b,
+ cast(case event_id % 8 when 1 then -1 when 3 then 1 when 5 then 1 when 7 then -1 else 0 end as double) as c, cast(case event_id % 8 when 0 then 1 when 2 then -1 when 4 then -1 when 6 then 1 else 0 end as double) as d, cast(event_id % 11 - 5 as double) as e, cast(event_id % 13 - 6 as double) as f"""
+
+
+def _times(x: str, y: str) -> str:
+    """SQL list of the product, first x, then y."""
+    return f"[{x}[1]*{y}[1]+{x}[2]*{y}[3], {x}[1]*{y}[2]+{x}[2]*{y}[4], {x}[3]*{y}[1]+{x}[4]*{y}[3], {x}[3]*{y}[2]+{x}[4]*{y}[4], {x}[5]*{y}[1]+{x}[6]*{y}[3]+{y}[5], {x}[5]*{y}[2]+{x}[6]*{y}[4]+{y}[6]]"
+
+
+_ONE = "[1.0::double, 0.0::double, 0.0::double, 1.0::double, 0.0::double, 0.0::double]"
+_HIT = "list_position(list_reverse(list_transform(stack, lambda s: s.key)), idx * 2 + case op when 'end' then 1 else 0 end)"
+
+
+@query(f"""with recursive e as (select user_id, event_id, op, idx, [a, b, c, d, e, f] as m, row_number() over (partition by user_id order by event_id) as k from (select user_id, event_id, {_PLUS} from events)),
+ r(user_id, k, event_id, world, container, stack, fault) as (select user_id, cast(0 as bigint), cast(null as bigint), {_ONE}, {_ONE}, cast([] as struct(key bigint, world double[], container double[])[]), cast(null as varchar) from e where k = 1
+  union all select user_id, k, event_id, case op when 'set' then m when 'reset' then {_ONE} when 'begin' then {_ONE} when 'before' then {_times('m', 'world')} when 'after' then {_times('world', 'm')} when 'restore' then stack[len(stack) - hit + 1].world when 'end' then stack[len(stack) - hit + 1].world else world end,
+   case op when 'begin' then {_times('mw', 'container')} when 'restore' then stack[len(stack) - hit + 1].container when 'end' then stack[len(stack) - hit + 1].container else container end,
+   case when op in ('save', 'begin') then list_append(stack, struct_pack(key := idx * 2 + case op when 'begin' then 1 else 0 end, world := world, container := container)) when op in ('restore', 'end') then stack[:len(stack) - hit] else stack end,
+   case when op in ('restore', 'end') and hit is null then 'saved state index' end
+  from (select e.*, r.world, r.container, r.stack, {_times('m', 'world')} as mw, nullif({_HIT}, 0) as hit from r join e on e.user_id = r.user_id and e.k = r.k + 1 where r.fault is null))
+ select user_id, event_id, cast(len(stack) as int) as depth, fault, """ + ", ".join(f"cast({n}[{i + 1}] as bigint) as {n}_{x}" for n in ("world", "container") for i, x in enumerate("abcdef")) + " from (select user_id, k, event_id, fault, case when fault is null then world end as world, case when fault is null then container end as container, case when fault is null then stack end as stack from r) where k > 0")
+def plus_world_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """World and container matrices after each EMF+ record, through saves, restores and containers told by their index."""
+    e = table(spark, sf_dir, "events").selectExpr("user_id", "event_id", *_split(_PLUS))
+    e = e.select("user_id", "event_id", "op", "idx", F.struct("a", "b", "c", "d", "e", "f").alias("m"))
+    found = state.plus_transforms(e, KEYS, "event_id", "op", "idx", "m")
+    return found.select("user_id", "event_id", "depth", "fault", *[F.col(f"{n}.{x}").cast("long").alias(f"{n}_{x}") for n in ("world", "container") for x in "abcdef"])
+
+
+def _split(columns: str) -> list[str]:
+    """The expressions of a select list without commas of their own."""
+    return columns.replace("\n", " ").split(", ")
 
 
 _STREAM = "case event_type when 'signup' then 'EMF+' when 'error' then 'EMF+' else 'EMF' end as format, case event_type when 'signup' then 16388 when 'error' then 16393 when 'view' then 70 else 54 end as type"
@@ -65,11 +120,16 @@ def effect_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bound.filter(used).select("user_id", "event_id", "effect", "fault")
 
 
-@query()
+@query("""with recursive e as (select event_id // 512 as file, event_id, case when event_type in ('signup', 'purchase', 'view') then 'create' when event_type = 'error' then 'delete' else 'select' end as op, event_id * 7 % (1 + event_id % 4) as handle, row_number() over (partition by event_id // 512 order by event_id) as k from events),
+ r(file, k, event_id, used, slot, fault) as (select file, cast(0 as bigint), cast(null as bigint), cast([] as bigint[]), cast(null as bigint), cast(null as varchar) from e where k = 1
+  union all select file, k, event_id, case when fault is not null then used when op = 'create' then list_append(used, slot) when op = 'delete' then list_filter(used, lambda x: x <> handle) else used end, case when fault is null then slot end, fault
+  from (select e.*, used, case when op = 'create' then free else handle end as slot, case when op = 'create' then case when free is null then 'slots' end when not list_contains(used, handle) then 'undefined handle' end as fault
+   from (select e.*, r.used, list_min(list_filter(range(0, 16), lambda x: not list_contains(r.used, x))) as free from r join e on e.file = r.file and e.k = r.k + 1 where r.fault is null) e) )
+ select file, event_id, cast(slot as int) as slot, fault from r where k > 0""")
 def slot_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("event_type")
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(kind.isin("signup", "purchase"), "create").when(kind == "error", "delete").otherwise("use").alias("op"))
-    return state.allocate_slots(e, KEYS, ORDER, "op", 16)
+    """WMF files of 512 records: objects take the lowest free slot, and are selected and deleted by it."""
+    e = table(spark, sf_dir, "events").selectExpr("event_id div 512 as file", "event_id", "case when event_type in ('signup', 'purchase', 'view') then 'create' when event_type = 'error' then 'delete' else 'select' end as op", "event_id * 7 % (1 + event_id % 4) as handle")
+    return state.allocate_slots(e, ["file"], ["event_id"], "op", "handle", 16).select("file", "event_id", "slot", "fault")
 
 
 @query("""with e as (select user_id, event_id, event_type from events) select u.user_id, u.event_id, c.event_id as object from (select * from e where event_type = 'click') u asof left join (select * from e where event_type = 'signup') c on u.user_id = c.user_id and u.event_id > c.event_id""")

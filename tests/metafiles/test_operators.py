@@ -85,10 +85,10 @@ def test_codecs(spark):
 
 
 def test_slots_are_the_lowest_free(spark):
-    ops = ["create", "create", "create", "delete", "create", "create", "delete", "delete", "create"]
-    frame = spark.createDataFrame([(1, i, op) for i, op in enumerate(ops)], "user_id int, event_id int, op string")
-    got = state.allocate_slots(frame, ["user_id"], ["event_id"], "op", 3).orderBy("event_id").collect()
-    assert [r.slot for r in got] == [0, 1, 2, 2, 2, None, 2, 1, 1]
+    ops = [("create", 0)] * 3 + [("delete", 1), ("create", 0), ("select", 2), ("delete", 0), ("delete", 2), ("create", 9), ("create", 9), ("create", 9), ("select", 0)]
+    frame = spark.createDataFrame([(1, i, *op) for i, op in enumerate(ops)] + [(2, 0, "delete", 0), (2, 1, "create", 0), (None, 5, "create", 0)], "user_id int, event_id int, op string, handle int")
+    got = [(r.user_id, r.slot, r.fault) for r in state.allocate_slots(frame, ["user_id"], ["event_id"], "op", "handle", 3).orderBy("user_id", "event_id").collect()]
+    assert got == [(None, 0, None), *[(1, n, None) for n in (0, 1, 2, 1, 1, 2, 0, 2, 0, 2)], (1, None, "slots"), (2, None, "undefined handle")]
 
 
 def test_code_pages_and_reordering(spark):
