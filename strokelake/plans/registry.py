@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import formats, geometry, pixels, records, state, text  # noqa: F401
+    from . import clips, formats, geometry, objects, pixels, records, state, text  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
