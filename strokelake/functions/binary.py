@@ -55,3 +55,9 @@ def words(data: Column) -> Column:
 def xor_words(data: Column) -> Column:
     """Exclusive or of all 16-bit words."""
     return F.aggregate(words(data), F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(w))
+
+
+def byte_values(data: Column) -> Column:
+    """All bytes as an array of integers; empty for none."""
+    letters = F.split(F.decode(data, "ISO-8859-1"), "")
+    return F.when(F.octet_length(data) > 0, F.transform(letters, lambda c: F.ascii(c))).otherwise(F.array().cast("array<int>"))
