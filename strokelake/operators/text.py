@@ -23,23 +23,82 @@ CHARSETS = {0: 1252, 77: 10000, 128: 932, 129: 949, 134: 936, 136: 950, 161: 125
 DOUBLE_BYTE = (932, 936, 949, 950)
 
 
+def _page_rows(page: int) -> list[tuple[int, int, int]]:
+    odd, out = {(p, b): c for p, b, c in EXCEPTIONS}, []
+    for byte in range(256):
+        text = codecs.decode(bytes([byte]), f"cp{page}", "ignore")
+        out.append((page, byte, odd.get((page, byte), ord(text) if text else byte)))
+    return out
+
+
 def code_pages(spark: SparkSession, pages: tuple[int, ...] = (874, 1250, 1251, 1252, 1253, 1254, 1255, 1256, 1257, 1258)) -> DataFrame:
     """``page, byte, code_point`` of single-byte pages, from Python's codecs; undefined bytes stand for themselves but for the exceptions."""
-    odd = {(p, b): c for p, b, c in EXCEPTIONS}
-    rows = []
-    for page in pages:
-        for byte in range(256):
-            text = codecs.decode(bytes([byte]), f"cp{page}", "ignore")
-            rows.append((page, byte, odd.get((page, byte), ord(text) if text else byte)))
-    return spark.createDataFrame(rows, "page int, byte int, code_point int")
+    return spark.createDataFrame([row for page in pages for row in _page_rows(page)], "page int, byte int, code_point int")
+
+
+# Of each double-byte page the default character, the ranges of lead bytes, and the single bytes that Python's codecs leave out.
+DOUBLE = {
+    932: (0x30FB, ((0x81, 0x9F), (0xE0, 0xFC)), {0x80: 0x80, 0xA0: 0xF8F0, 0xFD: 0xF8F1, 0xFE: 0xF8F2, 0xFF: 0xF8F3}),
+    936: (0x3F, ((0x81, 0xFE),), {0x80: 0x20AC, 0xFF: 0xF8F5}),
+    949: (0x3F, ((0x81, 0xFE),), {0x80: 0x80, 0xFF: 0xF8F7}),
+    950: (0x3F, ((0x81, 0xFE),), {0x80: 0x80, 0xFF: 0xF8F8}),
+}
+# Where the pages have characters of the user's own: first and last lead byte, ranges of trail bytes, first character.
+OWN_CHARACTERS = {
+    936: [(0xAA, 0xAF, ((0xA1, 0xFE),), 0xE000), (0xF8, 0xFE, ((0xA1, 0xFE),), 0xE234), (0xA1, 0xA7, ((0x40, 0x7E), (0x80, 0xA0)), 0xE4C6)],
+    949: [(0xC9, 0xC9, ((0xA1, 0xFE),), 0xE000), (0xFE, 0xFE, ((0xA1, 0xFE),), 0xE05E)],
+    950: [(0xFA, 0xFE, ((0x40, 0x7E), (0xA1, 0xFE)), 0xE000), (0x8E, 0xA0, ((0x40, 0x7E), (0xA1, 0xFE)), 0xE311), (0x81, 0x8D, ((0x40, 0x7E), (0xA1, 0xFE)), 0xEEB8), (0xC6, 0xC6, ((0xA1, 0xFE),), 0xF6B1), (0xC7, 0xC8, ((0x40, 0x7E), (0xA1, 0xFE)), 0xF70F)],
+}
+#: Stands for a code without a character while a page is looked up.
+NONE = "\uffff"
+
+
+def is_lead(page: int, byte: int) -> bool:
+    return any(a <= byte <= b for a, b in DOUBLE[page][1])
+
+
+def double_byte_table(page: int) -> list[str]:
+    """A character for each code, which is the byte itself or 256 times the lead byte and the trail byte; from Python's codecs and the rules above."""
+    table = [NONE] * 65536
+    for byte in range(256):
+        if not is_lead(page, byte):
+            table[byte] = chr(DOUBLE[page][2].get(byte, 0)) if byte in DOUBLE[page][2] else codecs.decode(bytes([byte]), f"cp{page}")
+            continue
+        for trail in range(1, 256):
+            try:
+                text = codecs.decode(bytes([byte, trail]), f"cp{page}")
+            except UnicodeDecodeError:
+                continue
+            if len(text) == 1:
+                table[256 * byte + trail] = text
+    for first, last, trails, at in OWN_CHARACTERS.get(page, []):
+        listed = [t for a, b in trails for t in range(a, b + 1)]
+        for k, (lead, trail) in enumerate((lead, t) for lead in range(first, last + 1) for t in listed):
+            table[256 * lead + trail] = chr(at + k)
+    return table
+
+
+def decode_double(data: Column, page: int) -> Column:
+    """{units, spans} of data under a double-byte page: its characters, and how many bytes each of them came from; null for null.
+
+    A lead byte takes the next byte with it unless that is NUL or missing; which bytes are leads is told by matching from the start. A pair or
+    a lone lead without a character gives the page's default character. Every byte is in one span.
+    """
+    default, leads, _ = DOUBLE[page]
+    ranges = "".join(f"\\x{a:02x}-\\x{b:02x}" for a, b in leads)
+    table = F.split(F.lit("".join(double_byte_table(page))), "")
+    tokens = F.regexp_extract_all(F.decode(data, "ISO-8859-1"), F.lit(f"(?s)[{ranges}][^\\x00]|."), F.lit(0))
+    code = lambda t: F.when(F.length(t) == 2, F.ascii(t) * 256 + F.ascii(F.substring(t, 2, 1))).otherwise(F.ascii(t))
+    unit = lambda t: F.get(table, code(t))
+    known = lambda u: F.when(u == NONE, chr(default)).otherwise(u)
+    return F.when(data.isNotNull(), F.struct(F.transform(F.transform(tokens, unit), known).alias("units"), F.transform(tokens, lambda t: F.length(t)).alias("spans")))
 
 
 def decode_bytes(rows: DataFrame, data_col: str, page: int, out_col: str) -> DataFrame:
-    """Adds the text of single-byte data under a code page, byte by byte; null stays null. Double-byte pages are refused."""
+    """Adds the text of data under a code page; null stays null."""
     if page in DOUBLE_BYTE:
-        raise ValueError(f"code page {page} has characters of two bytes, which are not decoded")
-    table = [r["code_point"] for r in code_pages(rows.sparkSession, (page,)).orderBy("byte").collect()]
-    moved = [(chr(b), chr(c)) for b, c in enumerate(table) if b != c]
+        return rows.withColumn(out_col, F.array_join(decode_double(F.col(data_col), page)["units"], ""))
+    moved = [(chr(b), chr(c)) for _, b, c in _page_rows(page) if b != c]
     return rows.withColumn(out_col, F.translate(F.decode(F.col(data_col), "ISO-8859-1"), "".join(a for a, _ in moved), "".join(b for _, b in moved)))
 
 

@@ -56,3 +56,32 @@ def bidi_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring("text", F.lit(1), half), F.lit(" אבג 12 "), F.substring("text", half + 1, F.length("text"))).alias("text"))
     rows = rows.withColumn("levels", text.bidi_levels("text"))
     return rows.withColumn("display", text.display_order("levels"))
+
+
+_PAGES = {0: 932, 1: 936, 2: 949, 3: 950}
+
+
+@query("""with d as (select doc_id, hex(encode(coalesce(text, ''))) as hx from documents),
+ t as (select doc_id, regexp_extract_all(hx, case when doc_id % 4 = 0 then '(8[1-9A-F]|9[0-9A-F]|E[0-9A-F]|F[0-9A-C])(0[1-9A-F]|[1-9A-F][0-9A-F])|..' else '(8[1-9A-F]|[9A-E][0-9A-F]|F[0-9A-E])(0[1-9A-F]|[1-9A-F][0-9A-F])|..' end) as tokens from d)
+ select doc_id, cast(len(tokens) as bigint) as n_units, cast(len(list_filter(tokens, lambda x: length(x) = 4)) as bigint) as n_double, cast(coalesce(list_sum(list_transform(tokens, lambda x, i: i * length(x) // 2)), 0) as bigint) as weighted from t""")
+def dbcs_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of whole documents under the four double-byte pages: which bytes belong together."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+    out = None
+    for k, page in _PAGES.items():
+        part = d.filter(F.col("doc_id") % 4 == k).select("doc_id", text.decode_double(F.col("data"), page)["spans"].alias("spans"))
+        out = part if out is None else out.unionByName(part)
+    return out.select("doc_id", F.size("spans").cast("long").alias("n_units"), F.size(F.filter("spans", lambda n: n == 2)).cast("long").alias("n_double"), F.aggregate(F.transform("spans", lambda n, i: n * (i + 1).cast("long")), F.lit(0).cast("long"), lambda a, n: a + n).alias("weighted"))
+
+
+@query("""with d as (select doc_id, regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '?', 'g') as t from documents),
+ w as (select doc_id, array_to_string(list_transform(string_split(t, ''), lambda c: case when c between '!' and '~' then case when doc_id % 2 = 0 and c = '$' then chr(65509) when doc_id % 2 = 1 and c = '\\' then chr(65510) when c = '~' then chr(65507) else chr(ord(c) + 65248) end else c end), '') as wide from d)
+ select doc_id, length(wide) as n_chars, sha256(wide) as text_sha256 from w""")
+def dbcs_fullwidth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents written in the full-width forms of two pages, a lead byte A3 and a trail byte each, and read back."""
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "?")
+    wide = lambda c: F.when(F.ascii(c).between(33, 126), F.concat(F.lit("A3"), F.hex((F.ascii(c) + 128).cast("long")))).otherwise(F.lpad(F.hex(F.ascii(c).cast("long")), 2, "0"))
+    data = F.when(F.length("t") > 0, F.unhex(F.array_join(F.transform(F.split("t", ""), wide), ""))).otherwise(F.lit(b""))
+    d = table(spark, sf_dir, "documents").select("doc_id", plain.alias("t")).select("doc_id", data.alias("data"))
+    parts = [text.decode_bytes(d.filter(F.col("doc_id") % 2 == k), "data", page, "read") for k, page in ((0, 936), (1, 949))]
+    return parts[0].unionByName(parts[1]).select("doc_id", F.length("read").cast("long").alias("n_chars"), F.sha2("read", 256).alias("text_sha256"))
