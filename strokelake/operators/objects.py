@@ -66,6 +66,13 @@ def assemble(frags: DataFrame, keys: list[str], position: str, most: int = OBJEC
     total or more than three bytes past it, an empty object, a total of 0 or over ``most``, and an object still open at the end (at its first
     fragment). A file's objects count up to its first fault. Other columns are not read; keys may be null; no fragments give neither.
     """
+    # Null keys are keys as well: a struct of them is never null.
+    named = frags.select(F.struct(*keys).alias("_file"), position, "id", "type", "continued", "total", "data")
+    whole, faults = _assemble(named, ["_file"], position, most)
+    return whole.select("_file.*", *whole.columns[1:]), faults.select("_file.*", *faults.columns[1:])
+
+
+def _assemble(frags: DataFrame, keys: list[str], position: str, most: int) -> tuple[DataFrame, DataFrame]:
     size = F.octet_length("data").cast("bigint")
     heads = frags.select(*keys, F.col(position).cast("bigint"), F.col("id").cast("int"), F.col("type").cast("int"), "continued", F.col("total").cast("bigint"), size.alias("_size"))
     kind = F.struct("id", "type", "total", "continued")
