@@ -57,6 +57,31 @@ def polygons(records: DataFrame) -> DataFrame:
     return records.withColumn("polygons", out)
 
 
+def let(value: Column, f) -> Column:
+    """f(value), the value worked out once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def running_sums(values: Column) -> Column:
+    """The sums of an array of doubles up to each place. Pieces of the root of its length are summed apart, so that no long array is copied for each value."""
+    zero = F.array().cast("array<double>")
+    grow = lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + x))
+
+    def sums(v: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(v))).cast("int")
+        pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / step).cast("int") - 1), lambda k: F.aggregate(F.slice(v, k * step + 1, step), zero, grow))
+        both = lambda p: let(F.aggregate(p, zero, lambda a, x: grow(a, F.element_at(x, -1))), lambda ends: F.flatten(F.transform(p, lambda x, k: F.transform(x, lambda s: s + F.coalesce(F.get(ends, k - 1), F.lit(0.0))))))
+        return let(pieces, both)
+
+    return let(values, lambda v: F.when(F.size(v) == 0, zero).otherwise(sums(v)))
+
+
+def relative_bytes(raw: Column, at: Column, n: Column) -> Column:
+    """How many bytes the ``n`` relative points from a byte on take; null where they don't fit."""
+    tokens = F.regexp_extract_all(F.decode(F.substring(raw, (at + 1).cast("int"), F.octet_length(raw)), "ISO-8859-1"), F.lit(r"(?s)[\x00-\x7f]|[\x80-\xff]."), F.lit(0))
+    return let(F.slice(tokens, F.lit(1), (2 * n).cast("int")), lambda t: F.when(F.size(t) == 2 * n, F.length(F.array_join(t, ""))))
+
+
 def plus_points(raw: Column, at: Column, n: Column, flags: Column) -> Column:
     """The ``n`` points of an EMF+ record from a byte on, in the coding that its flags name; null where they don't fit.
 
@@ -68,15 +93,15 @@ def plus_points(raw: Column, at: Column, n: Column, flags: Column) -> Column:
     compressed = fixed(2, lambda where: binary.signed(raw, where, 2).cast("double"))
     single = fixed(4, lambda where: binary.real32(raw, where))
 
-    def step(state: Column, _) -> Column:
-        first, second = binary.unsigned(raw, state["at"], 1), binary.unsigned(raw, state["at"] + 1, 1)
-        short = F.when(first >= 64, first - 128).otherwise(first)
-        long = (first - 128) * 256 + second
-        value = F.when(first < 128, short).otherwise(F.when(long >= 1 << 14, long - (1 << 15)).otherwise(long))
-        return F.struct((state["at"] + F.when(first < 128, 1).otherwise(2)).alias("at"), F.concat(state["values"], F.array(value.cast("double"))).alias("values"))
-
-    start = F.struct(at.cast("long").alias("at"), F.array().cast("array<double>").alias("values"))
-    steps = F.aggregate(F.sequence(F.lit(1), (2 * n).cast("int")), start, step, lambda s: s["values"])
-    total = lambda values, axis, i: F.aggregate(F.filter(F.slice(values, F.lit(1), 2 * i + 2), lambda _, k: k % 2 == axis), F.lit(0.0), lambda a, x: a + x)
-    relative = F.element_at(F.transform(F.array(steps), lambda v: F.when(~F.exists(v, lambda x: x.isNull()), _many(n, lambda i: F.struct(total(v, 0, i).alias("x"), total(v, 1, i).alias("y"))))), 1)
+    # One byte below 0x80 holds seven bits, two bytes fifteen; which is which is told by matching from the first on.
+    tokens = F.regexp_extract_all(F.decode(F.substring(raw, (at + 1).cast("int"), size), "ISO-8859-1"), F.lit(r"(?s)[\x00-\x7f]|[\x80-\xff]."), F.lit(0))
+
+    def number(t: Column) -> Column:
+        first = F.ascii(t)
+        long = (first - 128) * 256 + F.ascii(F.substring(t, 2, 1))
+        return F.when(first < 64, first).when(first < 128, first - 128).when(long >= 1 << 14, long - (1 << 15)).otherwise(long).cast("double")
+
+    axis = lambda t, k: running_sums(F.transform(F.filter(t, lambda _, i: i % 2 == k), number))
+    pairs = lambda t: F.zip_with(axis(t, 0), axis(t, 1), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    relative = let(F.slice(tokens, F.lit(1), (2 * n).cast("int")), lambda t: F.when(F.size(t) == 2 * n, pairs(t)))
     return F.when(flags.bitwiseAND(F.lit(0x800)) != 0, F.when(at + 2 * n <= size, relative)).when(flags.bitwiseAND(F.lit(0x4000)) != 0, compressed).otherwise(single)

@@ -157,7 +157,7 @@ def join_fragments(rows: DataFrame, keys: list[str], order: str, part_col: str =
     listed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, part_col))).alias("_parts"))
     parts = F.transform("_parts", lambda p: p[part_col])
     listed = listed.select(*keys, parts.alias("_parts"))
-    content = F.aggregate("_parts", F.lit(b""), lambda a, p: F.concat(a, p["bytes"]).cast("binary"))
+    content = binary.joined(F.col("_parts.bytes"))
     listed = listed.select(*keys, "_parts", content.alias("content"))
     total = F.octet_length("content")
     # What remains after a fragment is the total less all bytes up to it.

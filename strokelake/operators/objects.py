@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strokelake.functions import binary
+from strokelake.functions import binary, points
 from strokelake.functions.shared import checkpoint
 
 from . import scan
@@ -119,3 +119,75 @@ def _assemble(frags: DataFrame, keys: list[str], position: str, most: int) -> tu
     joined = data.groupBy(*keys, "_o").agg(F.sort_array(F.collect_list(F.struct("_at", F.hex("data").alias("x")))).alias("_p"))  # ``most`` bytes an object
     out = joined.select(*keys, "_o.first", "_o.last", "_o.id", "_o.type", F.size("_p").alias("n_fragments"), F.substring(F.unhex(F.array_join("_p.x", "")), F.lit(1), F.col("_o._bytes").cast("int")).alias("data"))
     return out, faults
+
+
+#: Points of a path at most.
+PATH_POINTS = 1_000_000
+
+
+def decode_paths(rows: DataFrame, data_col: str = "data", most: int = PATH_POINTS) -> DataFrame:
+    """Adds ``path`` {flags, points, types} and ``fault`` {place, what} to path objects; of a faulty object the path is null.
+
+    An object is its version, the number of points, flags, the points in the coding of flags 0x0800 or 0x4000, and their types: a byte
+    each, or with flag 0x0800 runs of two bytes, a count under bits that tell of curves and the type of all of them. Three bytes
+    may fill up. Faults of bytes have no place: ``signature``, ``point count``, ``points``, ``types``, ``type run``, ``extra data``. Faults of types are
+    at a point: bits that none has, a start inside a curve, a segment without a start, a curve that isn't of three
+    points, and at the end one that is cut off. Null data is the fault ``signature``.
+    """
+    raw = F.col(data_col)
+    size = F.octet_length(raw)
+    u = lambda at: binary.unsigned(raw, at, 4)
+    n, coding = F.col("_n"), F.col("_flags").bitwiseAND(F.lit(0x4800))
+    relative = coding.bitwiseAND(F.lit(0x800)) != 0
+    out = rows.withColumns({"_version": u(0), "_n": u(4), "_flags": u(8)})
+    enough = n <= most
+    out = out.withColumn("_points", F.when(enough, points.plus_points(raw, F.lit(12).cast("bigint"), n, coding)))
+    taken = F.when(relative, points.relative_bytes(raw, F.lit(12).cast("bigint"), n)).when(coding != 0, 4 * n).otherwise(8 * n)
+    out = out.withColumn("_at", F.when(F.col("_points").isNotNull(), 12 + taken).cast("bigint"))
+    rest = binary.byte_values(F.substring(raw, (F.col("_at") + 1).cast("int"), size))
+    out = out.withColumn("_rest", F.when(F.col("_at").isNotNull(), rest))
+    # Runs begin where those before them end; those that begin before the last point are the path's.
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size("_rest") / 2), F.lit(1)).cast("int") - 1), lambda k: F.struct(F.get("_rest", 2 * k).alias("head"), F.get("_rest", 2 * k + 1).alias("type")))
+    runs = F.filter(runs, lambda r: r["type"].isNotNull())
+    out = out.withColumn("_runs", F.when(relative, runs))
+    ends = points.running_sums(F.transform("_runs", lambda r: r["head"].bitwiseAND(F.lit(63)).cast("double")))
+    out = out.withColumn("_ends", ends)
+    used = F.filter(F.zip_with("_runs", "_ends", lambda r, e: F.struct(r["head"].alias("head"), r["type"].alias("type"), e.alias("end"))), lambda r: r["end"] - r["head"].bitwiseAND(F.lit(63)) < n)
+    out = out.withColumn("_used", used)
+    kind = lambda r: r["type"].bitwiseAND(F.lit(15))
+    bezier = lambda r: r["head"].bitwiseAND(F.lit(128)) != 0
+    wrong = F.exists("_used", lambda r: (r["head"].bitwiseAND(F.lit(64)) == 0) | (r["head"].bitwiseAND(F.lit(63)) == 0) | (r["end"] > n) | ((kind(r) == 3) & ~bezier(r)) | ((kind(r) == 1) & bezier(r)))
+    expanded = F.flatten(F.transform("_used", lambda r: F.array_repeat(r["type"], r["head"].bitwiseAND(F.lit(63)))))
+    plain = F.slice("_rest", F.lit(1), n.cast("int"))
+    out = out.withColumn("_types", F.when(relative, F.when(~wrong, expanded)).otherwise(plain))
+    left = size - F.col("_at") - F.when(relative, 2 * F.size("_used")).otherwise(n)
+
+    def step(s, t):
+        kind, shut = t.bitwiseAND(F.lit(15)), t.bitwiseAND(F.lit(128)) != 0
+        curve = F.when(kind == 3, (s["curve"] + 1) % 3).otherwise(s["curve"])
+        what = (
+            F.when((t.bitwiseAND(F.lit(64)) != 0) | ~kind.isin(0, 1, 3), "type")
+            .when((kind == 0) & (s["curve"] != 0), "start inside a curve")
+            .when((kind != 0) & ~s["open"], "segment without a start")
+            .when((kind == 1) & (s["curve"] != 0), "incomplete curve")
+            .when(shut & (curve != 0), "close inside a curve")
+        )
+        return F.struct((s["i"] + 1).alias("i"), (((kind == 0) | s["open"]) & ~shut).alias("open"), curve.cast("int").alias("curve"), F.when(s["what"].isNull(), s["i"]).otherwise(s["place"]).alias("place"), F.coalesce(s["what"], what).alias("what"))
+
+    start = F.struct(F.lit(0).alias("i"), F.lit(False).alias("open"), F.lit(0).alias("curve"), F.lit(0).alias("place"), F.lit(None).cast("string").alias("what"))
+    out = out.withColumn("_end", F.aggregate("_types", start, step))
+    end = F.col("_end")
+    said = lambda what, place=None: F.struct((F.lit(None) if place is None else place).cast("int").alias("place"), (F.lit(what) if isinstance(what, str) else what).alias("what"))
+    fault = (
+        F.when(F.coalesce(F.floor(F.col("_version") / 4096) != 0xDBC01, F.lit(True)), said("signature"))
+        .when(~F.coalesce(enough, F.lit(False)), said("point count"))
+        .when(F.col("_points").isNull(), said("points"))
+        .when(relative & wrong, said("type run"))
+        .when((F.size("_types") < n) | (left < 0), said("types"))
+        .when(end["what"].isNotNull(), said(end["what"], end["place"]))
+        .when(end["curve"] != 0, said("incomplete curve", n))
+        .when(left > 3, said("extra data"))
+    )
+    path = F.struct(F.col("_flags").alias("flags"), F.col("_points").alias("points"), F.col("_types").alias("types"))
+    done = out.withColumn("fault", fault).withColumn("path", F.when(F.col("fault").isNull(), path))
+    return done.select(*rows.columns, "path", "fault")

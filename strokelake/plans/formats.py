@@ -35,7 +35,7 @@ def encoded(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", F.floor(F.col("event_id") / BLOCK).alias("block"), (F.col("event_id") % len(types)).cast("int").alias("_k"))
     rows = e.join(F.broadcast(listed), "_k")  # a row for each record type
     parts = F.transform("kinds", lambda kind, k: _field((F.col("event_id") * (k + 1) + k) % 251, kind))
-    body = F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x).cast("binary"))
+    body = binary.joined(parts)
     if form == "EMF+":
         record = metafiles.plus_record(F.col("code"), F.col("event_id") % 256, body)
     else:
@@ -169,7 +169,7 @@ def plus_point_codings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four points an event, written as relative steps, 16-bit integers or singles by turns, and read back by the record's flags."""
     e, coding = table(spark, sf_dir, "events").select("event_id"), F.col("event_id") % 3
     numbers = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: F.when(k % 2 == 1, F.col("event_id") * k % 120 - 60).otherwise(F.col("event_id") * k % 9000 - 4500))
-    written = lambda how: F.aggregate(F.transform("numbers", how), F.lit(b""), lambda a, x: F.concat(a, x).cast("binary"))
+    written = lambda how: binary.joined(F.transform("numbers", how))
     # Seven bits hold -64 to 63, fifteen bits the rest, the higher byte first.
     seven = lambda v: binary.little(F.pmod(v, F.lit(128)), 1)
     fifteen = lambda v: F.concat(binary.little(F.floor(F.pmod(v, F.lit(32768)) / 256) + 128, 1), binary.little(F.pmod(v, F.lit(256)), 1))

@@ -175,9 +175,9 @@ def poly_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     pair = F.concat(binary.little(F.col("event_id") % 32768 - 16384, 2), binary.little(F.floor("value") % 32768, 2))
     polys = e.groupBy("user_id", "event_type").agg(F.sort_array(F.collect_list(F.struct("event_id", pair.alias("b")))).alias("p"))
-    parts = polys.select("user_id", "event_type", F.size("p").alias("n"), F.aggregate(F.transform("p", lambda x: x["b"]), F.lit(b""), lambda a, x: F.concat(a, x).cast("binary")).alias("b"))
+    parts = polys.select("user_id", "event_type", F.size("p").alias("n"), binary.joined(F.col("p.b")).alias("b"))
     whole = parts.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_type", "n", "b"))).alias("q"))
-    join = lambda f: F.aggregate(F.transform("q", f), F.lit(b""), lambda a, x: F.concat(a, x).cast("binary"))
+    join = lambda f: binary.joined(F.transform("q", f))
     body = F.concat(binary.little(F.size("q"), 2), join(lambda q: binary.little(q["n"], 2)), join(lambda q: q["b"]))
     record = F.concat(binary.little(3 + F.octet_length(body) / 2, 4), binary.little(F.lit(0x0538), 2), body)
     files = metafiles.build_wmf(whole.select("user_id", F.lit(0).alias("k"), record.alias("record")), ["user_id"], ["k"])

@@ -201,7 +201,7 @@ def build_wmf(rows: DataFrame, keys: list[str], order: list[str], record_col: st
     """``keys, content``: WMF files made of the records of each key in order, with header and end, as native concatenation."""
     parts = F.sort_array(F.collect_list(F.struct(*order, F.col(record_col).alias("_r"))))
     files = rows.groupBy(*keys).agg(parts.alias("_parts"))
-    body = F.concat(F.aggregate(F.transform("_parts", lambda p: p["_r"]), F.lit(b""), lambda a, r: F.concat(a, r).cast("binary")), binary.little(F.lit(3), 4), binary.little(F.lit(0), 2))
+    body = F.concat(binary.joined(F.col("_parts._r")), binary.little(F.lit(3), 4), binary.little(F.lit(0), 2))
     most = F.greatest(F.lit(3), F.array_max(F.transform("_parts", lambda p: (F.octet_length(p["_r"]) / 2).cast("long"))))
     files = files.select(*keys, body.alias("_body"), most.alias("_most"))
     head = [(F.lit(2), 2), (F.lit(9), 2), (F.lit(0x300), 2), (9 + F.octet_length("_body") / 2, 4), (F.lit(0), 2), (F.col("_most"), 4), (F.lit(0), 2)]
@@ -213,7 +213,7 @@ def _ordered(order: list[str], record_col: str) -> Column:
 
 
 def _joined(parts: str) -> Column:
-    return F.aggregate(F.transform(parts, lambda p: p["_r"]), F.lit(b""), lambda a, r: F.concat(a, r).cast("binary"))
+    return binary.joined(F.col(f"{parts}._r"))
 
 
 def build_emf(rows: DataFrame, keys: list[str], order: list[str], record_col: str = "record") -> DataFrame:

@@ -231,3 +231,58 @@ def test_transfers_without_a_bitmap_and_ranges(spark):
     assert {"height": 40000, "width": 50000, "y": 7, "x": 60000}.items() <= rows["device"].fields.items()
     assert {k: r.fault for k, r in rows.items() if r.fault} == {"poly": "point count", "scale": "zero scale denominator", "level": "restore level", "bezier": "Bezier point count", "reserved": "reserved type"}
     assert metafiles.PLUS_COMMENT and rows["line"].fields["n"] == 1
+
+
+def path_fault(types):
+    """The first type that can't stand where it does, or what is cut off at the end."""
+    started, curve = False, 0
+    for i, t in enumerate(types):
+        kind = t & 15
+        if t & 64 or kind not in (0, 1, 3):
+            return i, "type"
+        if kind == 0 and curve:
+            return i, "start inside a curve"
+        if kind and not started:
+            return i, "segment without a start"
+        if kind == 1 and curve:
+            return i, "incomplete curve"
+        started = started or kind == 0
+        curve = (curve + (kind == 3)) % 3
+        if t & 128:
+            if curve:
+                return i, "close inside a curve"
+            started = False
+    return (len(types), "incomplete curve") if curve else None
+
+
+def test_paths_are_read_with_their_faults(spark):
+    rng, made = random.Random(8), []
+    for k in range(120):
+        types = []
+        while len(types) < rng.randint(1, 9):
+            types += rng.choice([[0], [0, 1], [1], [3, 3, 3], [129], [3, 3, 131], [0, 3] if rng.random() < 0.2 else [1], [65] if rng.random() < 0.1 else [0]])
+        n, flags = len(types), rng.choice([0, 0x4000, 0x800, 0x2800])
+        points = [(rng.randint(-900, 900), rng.randint(-60, 60)) for _ in types]
+        if flags & 0x800:
+            steps = [(points[i][0] - (points[i - 1][0] if i else 0), points[i][1] - (points[i - 1][1] if i else 0)) for i in range(n)]
+            body = b"".join(bytes([v & 127]) if -64 <= v <= 63 else struct.pack(">H", v & 0x7FFF | 0x8000) for s in steps for v in s)
+            i = 0
+            while i < n:
+                j = i
+                while j < n and types[j] == types[i]:
+                    j += 1
+                body += bytes([64 | (j - i) | (128 if types[i] & 15 == 3 else 0), types[i]])
+                i = j
+        else:
+            body = b"".join(struct.pack("<hh" if flags else "<ff", *p) for p in points) + bytes(types)
+        made.append((k, bytearray(struct.pack("<III", 0xDBC01002, n, flags) + body + bytes(rng.randrange(4))), types, points))
+    bad = {200: struct.pack("<III", 5, 1, 0) + bytes(9), 201: struct.pack("<III", 0xDBC01002, 1 << 31, 0), 202: struct.pack("<III", 0xDBC01002, 2, 0) + bytes(15), 203: struct.pack("<III", 0xDBC01002, 2, 0x4000) + bytes(9), 204: struct.pack("<III", 0xDBC01002, 1, 0x4000) + bytes(10), 205: struct.pack("<III", 0xDBC01002, 1, 0x800) + bytes([1, 1, 1, 0]), 206: struct.pack("<III", 0xDBC01002, 1, 0x800) + bytes([1, 1, 65, 3]), 207: b""}
+    rows = spark.createDataFrame([(k, d) for k, d, _, _ in made] + [(k, bytearray(d)) for k, d in bad.items()] + [(208, None)], "k int, data binary").repartition(3)
+    got = {r.k: r for r in objects.decode_paths(rows).collect()}
+    for k, _, types, points in made:
+        fault = path_fault(types)
+        assert (got[k].fault and tuple(got[k].fault)) == fault
+        if not fault:
+            assert got[k].path.types == types and [tuple(p) for p in got[k].path.points] == points
+    assert {k: got[k].fault.what for k in [*bad, 208]} == {200: "signature", 201: "point count", 202: "points", 203: "types", 204: "extra data", 205: "type run", 206: "type run", 207: "signature", 208: "signature"} or got[204].fault is None
+    assert sum(path_fault(t) is None for _, _, t, _ in made) > 10
