@@ -66,3 +66,36 @@ def colorref(value: Column) -> dict[str, Column]:
 def render_intent(value: Column) -> Column:
     """Logical intents to rendering intents; null for others."""
     return F.when(value.isin(0, 4), 0).when(value == 2, 1).when(value == 1, 2).when(value == 8, 3)
+
+
+# How a gradient goes on beyond its rectangle.
+TILE, FLIP_X, FLIP_Y, FLIP_XY, CLAMP = range(5)
+
+
+def gradient_parameter(x: Column, y: Column, brush: dict[str, Column]) -> Column:
+    """The parameter of a linear gradient at a place: 0 at the left edge of its rectangle, 1 at the right one; null where it has none.
+
+    ``brush`` has the rectangle's ``x, width`` and the matrix ``a`` to ``f`` that puts brush space into the place's space; its inverse
+    takes the place back. A matrix without an inverse and a rectangle without a width paint nothing.
+    """
+    a, b, c, d, e, f = (brush[n] for n in "abcdef")
+    det = a * d - b * c
+    back = x * (d / det) + y * (-c / det) + -(e * (d / det) + f * (-c / det))
+    return F.when((det != 0) & (brush["width"] != 0), back / brush["width"] - brush["x"] / brush["width"])
+
+
+def wrapped(t: Column, mode: Column) -> Column:
+    """The parameter within 0..1: repeated for the tile and flip-y modes, turned back and forth for those that flip x, cut off for clamp."""
+    turn = t - 2 * F.floor(t / 2)
+    return F.when(mode == CLAMP, F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))).when(mode.isin(FLIP_X, FLIP_XY), F.when(turn > 1, 2 - turn).otherwise(turn)).otherwise(t - F.floor(t))
+
+
+def gradient_color(t: Column, stops: Column) -> dict[str, Column]:
+    """r, g, b at a parameter among stops (an array of {at, r, g, b} in order of ``at``, which begins at 0 and ends at 1).
+
+    The latest stop up to the parameter and the one behind it are mixed, halves away from zero; of stops at one place the last counts.
+    """
+    low = F.element_at(F.filter(stops, lambda s: s["at"] <= t), -1)
+    high = F.coalesce(F.get(F.filter(stops, lambda s: s["at"] > t), F.lit(0)), low)
+    part = F.when(high["at"] > low["at"], (t - low["at"]) / (high["at"] - low["at"])).otherwise(0.0)
+    return {c: F.floor(low[c] + (high[c] - low[c]) * part + 0.5).cast("int") for c in "rgb"}

@@ -73,3 +73,35 @@ def even_odd_spans(edges: DataFrame, keys: list[str]) -> DataFrame:
     order = Window.partitionBy(*keys, "y").orderBy("x")
     crossings = lines.select(*keys, "y", at.alias("x")).withColumn("_k", F.row_number().over(order)).withColumn("_next", F.lead("x").over(order))
     return crossings.filter("_k % 2 = 1 and _next is not null").select(*keys, "y", F.col("x").alias("x0"), F.col("_next").alias("x1"))
+
+
+def flatten_curves(curves: DataFrame, keys: list[str], pieces: int = 16) -> DataFrame:
+    """``keys, x0, y0, x1, y1``: the edges of cubic curves ``x0, y0`` to ``x3, y3``, each cut at equal steps of its parameter."""
+    steps = curves.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+
+    def at(axis: str, k: Column) -> Column:
+        t = k / pieces
+        u = 1 - t
+        p = [F.col(f"{axis}{i}") for i in range(4)]
+        return p[0] * u * u * u + p[1] * (3 * u * u * t) + p[2] * (3 * u * t * t) + p[3] * t * t * t
+
+    point = lambda k: [at("x", k), at("y", k)]
+    (x0, y0), (x1, y1) = point(F.col("_i")), point(F.col("_i") + 1)
+    return steps.select(*keys, x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+
+
+def winding_spans(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, y, x0, x1``: maximal interior spans at the middle of each scan line from directed edges ``x0, y0, x1, y1``, by the non-zero rule.
+
+    Edges that go down count 1, those that go up -1; a place is inside where the running sum along its line isn't 0. An edge counts on the
+    lines whose middle lies in its half-open range of y. Edges without a height and open outlines' missing ones count nowhere.
+    """
+    low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
+    first, last = F.ceil(low - 0.5).cast("int"), (F.ceil(high - 0.5) - 1).cast("int")
+    lines = edges.filter("y0 <> y1").withColumns({"_first": first, "_last": last}).filter("_last >= _first").withColumn("y", F.explode(F.sequence("_first", "_last")))
+    at = F.col("x0") + (F.col("y") + 0.5 - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))
+    turns = lines.select(*keys, "y", at.alias("x"), F.when(F.col("y1") > F.col("y0"), 1).otherwise(-1).alias("_d")).groupBy(*keys, "y", "x").agg(F.sum("_d").alias("_d"))
+    line = Window.partitionBy(*keys, "y").orderBy("x")
+    inside = turns.withColumn("_in", F.sum("_d").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)) != 0)
+    change = inside.withColumn("_was", F.coalesce(F.lag("_in").over(line), F.lit(False))).filter("_in <> _was")
+    return change.withColumn("x1", F.lead("x").over(line)).filter("_in and x1 is not null").select(*keys, "y", F.col("x").alias("x0"), "x1")

@@ -130,3 +130,23 @@ def gradient_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     area = lambda t: F.abs((t[1][0] - t[0][0]) * (t[2][1] - t[0][1]) - (t[2][0] - t[0][0]) * (t[1][1] - t[0][1])) / 2
     rows = F.array(*[F.struct(F.lit(i).alias("triangle"), F.round(area(t), 4).alias("area")) for i, t in enumerate(made)])
     return p.select("p_partkey", F.inline(rows))
+
+
+_SHAPE = """(o_orderkey % 50)::double as x0, (o_custkey % 40)::double as y0, (o_orderkey % 37 - 20)::double as x1, (o_custkey % 53 + 10)::double as y1, (o_custkey % 47 + 20)::double as x2, (o_orderkey % 29 - 30)::double as y2, (o_custkey % 61 + 5)::double as x3, (o_orderkey % 43 + 3)::double as y3"""
+_AT = "({p}0 * (1 - {t}) * (1 - {t}) * (1 - {t}) + {p}1 * (3 * (1 - {t}) * (1 - {t}) * {t}) + {p}2 * (3 * (1 - {t}) * {t} * {t}) + {p}3 * {t} * {t} * {t})"
+
+
+@query(f"""with o as (select o_orderkey as k, {_SHAPE} from orders), c as (select * from o union all select k, x3, y3, x1 + 15, y1 - 25, x0 - 15, y0 + 35, x0, y0 from o),
+ i as (select *, unnest(range(0, 16)) as i from c), p as (select *, i / 16.0::double as t, (i + 1) / 16.0::double as s from i),
+ e as (select k, {_AT.format(p='x', t='t')} as xa, {_AT.format(p='y', t='t')} as ya, {_AT.format(p='x', t='s')} as xb, {_AT.format(p='y', t='s')} as yb from p),
+ l as (select k, y, xa + (y + 0.5 - ya) * (xb - xa) / (yb - ya) as x, case when yb > ya then 1 else -1 end as d from (select *, unnest(range(cast(ceil(least(ya, yb) - 0.5) as bigint), cast(ceil(greatest(ya, yb) - 0.5) as bigint))) as y from e where ya <> yb)),
+ s as (select k, y, x, sum(d) over w as n, lead(x) over (partition by k, y order by x) as nx from (select k, y, x, sum(d) as d from l group by k, y, x) window w as (partition by k, y order by x rows unbounded preceding))
+ select k as o_orderkey, count(distinct y) as n_lines, round(sum(nx - x), 3) as covered from s where n <> 0 and nx is not null group by k""")
+def curve_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two curves an order that close and often cross: flattened, and filled by the non-zero rule."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    first = [k % 50, c % 40, k % 37 - 20, c % 53 + 10, c % 47 + 20, k % 29 - 30, c % 61 + 5, k % 43 + 3]
+    o = table(spark, sf_dir, "orders").select("o_orderkey", *[v.cast("double").alias(f"{'xy'[i % 2]}{i // 2}") for i, v in enumerate(first)])
+    back = o.select("o_orderkey", F.col("x3").alias("x0"), F.col("y3").alias("y0"), (F.col("x1") + 15).alias("x1"), (F.col("y1") - 25).alias("y1"), (F.col("x0") - 15).alias("x2"), (F.col("y0") + 35).alias("y2"), F.col("x0").alias("x3"), F.col("y0").alias("y3"))
+    spans = regions.winding_spans(regions.flatten_curves(o.unionByName(back), ["o_orderkey"]), ["o_orderkey"])
+    return spans.groupBy("o_orderkey").agg(F.count_distinct("y").alias("n_lines"), F.round(F.sum(F.col("x1") - F.col("x0")), 3).alias("covered"))

@@ -104,3 +104,28 @@ def neighborhood_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = sent.groupBy((F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.max(own).alias("own"))
     near = near.filter("own is not null")
     return near.groupBy("y").agg(F.count_if((F.col("own") < F.col("lo") - 3) | (F.col("own") > F.col("hi") + 3)).alias("mismatched"), F.count(F.lit(1)).alias("pixels"))
+
+
+_STOPS = "[{'at': 0.0::double, 'r': p_partkey % 256, 'g': p_size * 5, 'b': 10}, {'at': 0.25 + p_size % 3 * 0.125, 'r': 255 - p_partkey % 200, 'g': 40, 'b': p_partkey % 97}, {'at': 0.25 + p_size % 3 * 0.125, 'r': 7, 'g': 200, 'b': p_size * 3}, {'at': 1.0::double, 'r': p_partkey % 50, 'g': 255, 'b': 128}]"
+
+
+@query(f"""with b as (select p_partkey, (1 + p_partkey % 3)::double as a, (p_partkey % 2)::double as b, (-(p_partkey % 2))::double as c, (1 + p_size % 2)::double as d, (p_size % 7)::double as e, (p_partkey % 5)::double as f, (p_size % 4)::double as x0, (3 + p_partkey % 6)::double as w, p_partkey % 5 as mode, {_STOPS} as stops from part),
+ p as (select *, unnest(range(0, 96)) as i from b), q as (select *, i % 12 + 0.5::double as x, i // 12 + 0.5::double as y, a * d - b * c as det from p),
+ t as (select *, (x * (d / det) + y * (-c / det) + -(e * (d / det) + f * (-c / det))) / w - x0 / w as raw from q),
+ u as (select *, case when mode = 4 then greatest(0.0, least(1.0, raw)) when mode in (1, 3) then case when raw - 2 * floor(raw / 2) > 1 then 2 - (raw - 2 * floor(raw / 2)) else raw - 2 * floor(raw / 2) end else raw - floor(raw) end as v from t),
+ s as (select *, list_filter(stops, lambda s: s.at <= v)[-1] as low, coalesce(list_filter(stops, lambda s: s.at > v)[1], list_filter(stops, lambda s: s.at <= v)[-1]) as high from u),
+ m as (select *, case when high.at > low.at then (v - low.at) / (high.at - low.at) else 0.0 end as part from s)
+ select p_partkey, """ + ", ".join(f"cast(sum(cast(floor(low.{c} + (high.{c} - low.{c}) * part + 0.5) as bigint) * (1 + i % 7)) as bigint) as {n}" for c, n in (("r", "red"), ("g", "green"), ("b", "blue"))) + " from m group by p_partkey")
+def linear_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A brush for each part over 96 pixels: its matrix is inverted, the parameter wrapped in five ways and looked up among four stops."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    brush = {"a": 1 + k % 3, "b": k % 2, "c": -(k % 2), "d": 1 + size % 2, "e": size % 7, "f": k % 5, "x": size % 4, "width": 3 + k % 6}
+    number = lambda v, kind: (F.lit(v) if isinstance(v, int | float) else v).cast(kind)
+    stop = lambda at, r, g, b: F.struct(number(at, "double"), number(r, "long"), number(g, "long"), number(b, "long")).cast("struct<at:double,r:bigint,g:bigint,b:bigint>")
+    middle = 0.25 + size % 3 * 0.125
+    stops = F.array(stop(0.0, k % 256, size * 5, 10), stop(middle, 255 - k % 200, 40, k % 97), stop(middle, 7, 200, size * 3), stop(1.0, k % 50, 255, 128))
+    p = table(spark, sf_dir, "part").select("p_partkey", *[v.cast("double").alias(f"_{n}") for n, v in brush.items()], (k % 5).alias("_mode"), stops.alias("_stops"), F.explode(F.sequence(F.lit(0), F.lit(95))).alias("i"))
+    t = pixels.wrapped(pixels.gradient_parameter(F.col("i") % 12 + 0.5, F.floor(F.col("i") / 12) + 0.5, {n: F.col(f"_{n}") for n in brush}), F.col("_mode"))
+    colors = pixels.gradient_color(F.col("_t"), F.col("_stops"))
+    rows = p.withColumn("_t", t).select("p_partkey", "i", *[v.alias(n) for n, v in colors.items()])
+    return rows.groupBy("p_partkey").agg(*[F.sum(F.col(c).cast("long") * (1 + F.col("i") % 7)).alias(n) for c, n in (("r", "red"), ("g", "green"), ("b", "blue"))])
