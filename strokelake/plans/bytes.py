@@ -11,7 +11,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strokelake.functions import layouts
+from strokelake.functions import binary, layouts, plus
+from strokelake.sources import metafiles
 
 from .registry import query, table
 
@@ -182,3 +183,59 @@ def decode_record_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = layouts.decode(e.select("format", "type", raw.alias("raw"))).select("format", F.col("type").alias("code"), F.explode("fields").alias("label", "value"))
     scaled = (F.col("value") * (1 << 22)).cast("long")
     return fields.groupBy("format", "code", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(scaled, F.lit(1000003))).alias("total"), F.count_if(scaled < 0).alias("n_negative"))
+
+
+# EMF+ types with something in their flags or a body of boxes or points.
+_PLUS = "[16394, 16395, 16396, 16397, 16398, 16399, 16400, 16401, 16402, 16403, 16404, 16405, 16406, 16407, 16408, 16409, 16410, 16411, 16414, 16420, 16423, 16428, 16431, 16432, 16435, 16436]"
+
+
+@query(f"""with e as (select event_id, {_PLUS}[event_id % 26 + 1] as t, event_id // 26 as m from events),
+ f as (select *, (m * 5 % 67) as id, case when t in (16423) then m % 3 else m * 5 % 67 end as low, m % 2 = 0 as b8, m % 3 = 0 as b4, m % 5 < 2 as b2, 3 + m % 5 as n, m * 11 % 80 as brush, m % 7 as r from e),
+ g as (select *, b8 or t not in (16394, 16396, 16398, 16400, 16403, 16404, 16406) as brushed from f),
+ x as (select *, case when t in (16395, 16397, 16399, 16401, 16402, 16403, 16404, 16405, 16407, 16408, 16409, 16410, 16411, 16435, 16436) and low > 63 then 'object number' when t in (16394, 16396, 16398, 16400, 16403, 16404, 16406) and not b8 and brush > 63 then 'brush number' when t = 16405 and brush > 63 then 'pen number'
+   when t = 16409 and n % 3 <> 1 then 'count' when t = 16411 and n <> 3 then 'count' when t = 16408 and 1 + m % 3 + m % 4 >= n then 'curve range' when t in (16410, 16411) and m % 4 = 3 then 'source unit' when t = 16423 and low <> 0 then 'container flags' end as fault from g),
+ s as (select *, case when t in (16394, 16395) then n when t in (16398, 16399, 16400, 16401, 16402, 16410) then 1 end as n_boxes, case when t in (16396, 16397, 16406, 16407, 16408, 16409, 16411) then n end as n_points from x)
+ select t as type, fault, count(*) as n, cast(sum(case when t in (16395, 16397, 16399, 16401, 16402, 16403, 16404, 16405, 16407, 16408, 16409, 16410, 16411, 16435, 16436) then low end) as bigint) as objects,
+  count(*) filter (b8 and t in (16394, 16396, 16398, 16400, 16403, 16404, 16406)) as n_solid, count(*) filter (t in (16396, 16406, 16407) or t = 16397 and b2) as n_closed, count(*) filter (t = 16406 and b2) as n_winding, count(*) filter (t in (16428, 16431) and b2) as n_append, count(*) filter (t = 16411 and b2) as n_effect,
+  cast(sum(case when t in (16435, 16436) then r end) as bigint) as modes, cast(sum(case when t = 16432 then low when t = 16423 then r + case when b8 then 128 else 0 end + case when b4 then 64 else 0 end + case when b2 then 32 else 0 end end) as bigint) as units,
+  cast(sum(case when t in (16414, 16420) then low + 256 * r + case when b8 then 32768 else 0 end + case when b4 then 16384 else 0 end + case when b2 then 8192 else 0 end end) as bigint) as property_values,
+  cast(sum(case when n_boxes > 0 then list_sum(list_transform(range(0, 4 * n_boxes), lambda i: (i + 1) * ((m + i) % 200 - case when b4 then 100 else 0 end))) end) as bigint) as box_sum,
+  cast(sum(case when n_points > 0 then list_sum(list_transform(range(0, 2 * n_points), lambda i: (i + 1) * ((m + i) % 200 - case when b4 then 100 else 0 end))) end) as bigint) as point_sum
+ from s group by t, fault""")
+def plus_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EMF+ records of all kinds of bodies: what their flags say, their boxes and points in both codings, and their faults."""
+    types = [int(x) for x in re.findall(r"\d+", _PLUS)]
+    m, kind = F.col("m"), F.col("type")
+    e = table(spark, sf_dir, "events").select(F.element_at(F.array(*[F.lit(t) for t in types]), (F.col("event_id") % 26 + 1).cast("int")).alias("type"), F.floor(F.col("event_id") / 26).alias("m"))
+    short = m % 3 == 0
+    flags = F.when(kind == 0x4027, m % 3).otherwise(m * 5 % 67) + 256 * (m % 7) + F.when(m % 2 == 0, 0x8000).otherwise(0) + F.when(short, 0x4000).otherwise(0) + F.when(m % 5 < 2, 0x2000).otherwise(0)
+    n, brush = 3 + m % 5, m * 11 % 80
+    word = lambda v: binary.little(v if not isinstance(v, int) else F.lit(v), 4)
+    zero = F.lit(bytes(4))
+    values = lambda many: binary.joined(F.transform(F.sequence(F.lit(0).cast("long"), many - 1), lambda i: F.when(short, binary.little((m + i) % 200 - 100, 2)).otherwise(binary.small_real((m + i) % 200))))
+    unit = word(F.when(m % 4 == 3, 1).otherwise(2))
+    source = F.concat(word(0), unit, *[zero] * 4)
+    head = (
+        F.when(kind.isin(0x400A, 0x400C), F.concat(word(brush), word(n)))
+        .when(kind.isin(0x400B, 0x400D, 0x4019), word(n))
+        .when(kind.isin(0x400E, 0x4013, 0x4014, 0x4015), word(brush))
+        .when(kind == 0x400F, F.lit(b""))
+        .when(kind == 0x4010, F.concat(word(brush), zero, zero))
+        .when(kind.isin(0x4011, 0x4012), F.concat(zero, zero))
+        .when(kind == 0x4016, F.concat(word(brush), zero, word(n)))
+        .when(kind == 0x4017, F.concat(zero, word(n)))
+        .when(kind == 0x4018, F.concat(zero, word(1 + m % 3), word(m % 4), word(n)))
+        .when(kind == 0x401A, source)
+        .when(kind == 0x401B, F.concat(source, word(n)))
+        .otherwise(F.lit(bytes(36)))
+    )
+    many = F.when(kind.isin(0x400A, 0x400B), 4 * n).when(kind.isin(0x400C, 0x400D, 0x4016, 0x4017, 0x4018, 0x4019, 0x401B), 2 * n).when(kind.isin(0x400E, 0x400F, 0x4010, 0x4011, 0x4012, 0x401A), 4)
+    parts = e.select("m", "type", flags.cast("int").alias("flags"), head.alias("head"), many.alias("many")).withColumn("body", F.when(F.col("many").isNull(), F.col("head")).otherwise(F.concat("head", values(F.col("many")))))
+    rows = parts.select("m", "type", "flags", metafiles.plus_record(kind, F.col("flags"), F.col("body")).alias("raw"))
+    d = plus.decode_bodies(rows)
+    total = lambda column, names: F.aggregate(F.flatten(F.transform(column, lambda b: F.array(*[b[x] for x in names]))), F.struct(F.lit(0.0).alias("s"), F.lit(1).alias("i")), lambda a, v: F.struct((a["s"] + a["i"] * v).alias("s"), (a["i"] + 1).alias("i")), lambda a: a["s"])
+    d = d.withColumns({"_boxes": total("boxes", ("x", "y", "width", "height")), "_points": total("points", ("x", "y"))})
+    return d.groupBy("type", "fault").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("object").alias("objects"), F.count_if("solid").alias("n_solid"), F.count_if("closed").alias("n_closed"), F.count_if("winding").alias("n_winding"), F.count_if("append").alias("n_append"), F.count_if("effect").alias("n_effect"),
+        F.sum("mode").alias("modes"), F.sum("unit").alias("units"), F.sum("value").alias("property_values"), F.sum("_boxes").cast("long").alias("box_sum"), F.sum("_points").cast("long").alias("point_sum"),
+    )
