@@ -113,10 +113,10 @@ def test_rle_bytes(spark):
     assert got[b"\2\x09\0\2\1\1\1\x08\0\1"].pixels == [None, None, None, 8, 9, 9, None, None]
 
 
-def test_double_byte_pages_are_refused(spark):
-    for page in text.DOUBLE_BYTE:
-        with pytest.raises(ValueError):
-            text.decode_bytes(spark.createDataFrame([(bytearray(b"a"),)], "d binary"), "d", page, "t")
+def test_double_byte_pages_are_read(spark):
+    frame = spark.createDataFrame([(bytearray(b"A\x83\x53\x81"),), (None,)], "d binary")
+    got = text.decode_bytes(frame, "d", 932, "t").collect()
+    assert [r.t for r in got] == ["Aゴ・", None]
 
 
 def test_text_queries_read_whole_documents(spark, base):
