@@ -143,11 +143,11 @@ def contexts(decoded: DataFrame, slots: int = 4096) -> DataFrame:
     return decoded.select("file", "seq", "name", "fields").groupBy("file").applyInPandas(fold, SCHEMA)
 
 
-def operations(decoded: DataFrame, played: DataFrame, far_edges: bool = True) -> DataFrame:
+def operations(decoded: DataFrame, played: DataFrame, far_edges: bool = False) -> DataFrame:
     """``file, seq, op, shape, points, color``: lines, boxes and pixels in device space from records and their contexts.
 
     Only records without a fault draw; pens that do nothing (ROP2 11) draw nothing. Pixels stand at whole
-    numbers. Without ``far_edges``, boxes of WMF leave out their right and bottom edge in device space, as that format has it.
+    numbers. Boxes of WMF leave out their right and bottom edge in device space, as that format has it, unless ``far_edges`` keeps them.
     """
     rows = decoded.join(played.filter("fault is null"), ["file", "seq"])
     f, c = F.col("fields"), F.col

@@ -49,9 +49,9 @@ def color_matrix_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with p as ({_PIXEL}), lut as (select p_partkey - 1 as i, p_size as v from part where p_partkey <= 256) select l_returnflag, cast(sum(coalesce(v, r)) as bigint) as total from p left join lut on r = i group by l_returnflag""")
 def lut_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A look-up table of at most 256 entries, broadcast for its fixed bound."""
+    """A look-up table, joined by pixel value; Spark broadcasts it where its measured size allows."""
     lut = table(spark, sf_dir, "part").filter("p_partkey <= 256").select((F.col("p_partkey") - 1).cast("int").alias("r"), F.col("p_size").alias("v"))
-    rows = _pixels(spark, sf_dir).join(F.broadcast(lut), "r", "left")
+    rows = _pixels(spark, sf_dir).join(lut, "r", "left")
     return rows.groupBy("l_returnflag").agg(F.sum(F.coalesce("v", "r")).alias("total"))
 
 

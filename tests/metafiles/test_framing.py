@@ -127,7 +127,7 @@ def test_playing_keeps_contexts(spark):
     made = [color(7), short(0x012D, 0), short(0x001E), short(0x020B, 5, 10), short(0x0214, 1, 2), short(0x0213, 3, 4), short(0x0127, -1), short(0x0213, 6, 8), short(0x0127, -1), short(0x01F0, 0), color(9), short(0x012D, 0), short(0x041B, 4, 3, 2, 1), struct.pack("<IHHHHHH", 8, 0x0548, 0, 0, 0, 0, 0)]
     decoded = layouts.decode(metafiles.records(spark.createDataFrame([("f", bytearray(wmf(made)))], "path string, content binary")))
     played = play.contexts(decoded)
-    ops = [(r.seq, r.shape, [(p.x, p.y) for p in r.points], r.color) for r in play.operations(decoded, played).orderBy("seq").collect()]
+    ops = [(r.seq, r.shape, [(p.x, p.y) for p in r.points], r.color) for r in play.operations(decoded, played, far_edges=True).orderBy("seq").collect()]
     assert ops == [(5, "line", [(-8.0, -4.0), (-6.0, -2.0)], 7), (7, "line", [(0.0, 0.0), (8.0, 6.0)], 7), (12, "rectangle", [(1.0, 2.0), (3.0, 4.0)], 16777215)]
     assert {(r.seq, r.reason) for r in play.reported(decoded, played).collect()} == {(8, "restore level"), (13, "flood fill")}
 
