@@ -53,8 +53,9 @@ def words(data: Column) -> Column:
 
 
 def xor_words(data: Column) -> Column:
-    """Exclusive or of all 16-bit words."""
-    return F.aggregate(words(data), F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(w))
+    """Exclusive or of all 16-bit words of an even-sized binary."""
+    part = lambda b, k: F.aggregate(F.filter(b, lambda _, i: i % 2 == k), F.lit(0), lambda a, x: a.bitwiseXOR(x)).cast("long")
+    return F.element_at(F.transform(F.array(byte_values(data)), lambda b: part(b, 0) + 256 * part(b, 1)), 1)
 
 
 def byte_values(data: Column) -> Column:

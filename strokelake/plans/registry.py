@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import bytes as _bytes, clips, formats, geometry, images, objects, pixels, records, state, text  # noqa: F401
+    from . import bytes as _bytes, clips, formats, geometry, images, nested, objects, pixels, records, state, text  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
