@@ -71,7 +71,7 @@ class Shingler:
     """Distinct shingle hashes of texts: lower-cased A-Z, words of anything but ASCII white space."""
 
     def __init__(self, settings: Settings):
-        self.words, self.memo = settings.words, TwoGenerations(400_000)
+        self.words, self.memo = settings.words, TwoGenerations(150_000)
 
     def sets(self, texts: list[str]) -> list[np.ndarray]:
         import xxhash
