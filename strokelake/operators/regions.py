@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from . import batches
+
+#: Lines and columns of a tile of the plane.
+TILE = (64, 4096)
+
 #: What each operation keeps, from the two coverings.
 OPERATIONS = {
     "intersect": lambda a, b: a & b,
@@ -46,19 +56,110 @@ def union(rects: DataFrame, keys: list[str]) -> DataFrame:
     return combine(spans, spans.limit(0), keys, "union")
 
 
-def frame(rects: DataFrame, keys: list[str], width: int, height: int) -> DataFrame:
-    """Spans of the region within ``width`` and ``height`` of its outside: the region less itself shrunk by that box.
-
-    A place belongs to the shrunken region if the whole box around it is covered: on each of the lines from -height to +height,
-    spans shrunk by width at both ends meet there, which a running count finds.
+def _joined(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal stretches of stretches on one axis."""
+    order = np.argsort(start)
+    start, end = start[order], np.maximum.accumulate(end[order])
+    first = np.append(True, start[1:] > end[:-1])
+    return start[first], end[np.append(np.flatnonzero(first[1:]), len(end) - 1)]
+
+
+def _covered(starts: list[np.ndarray], ends: list[np.ndarray], times: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches that so many of the given ones cover."""
+    turns = np.sort(np.concatenate([x * 2 + 1 for x in starts] + [x * 2 for x in ends]))
+    at = np.flatnonzero(np.cumsum((turns & 1) * 2 - 1) == times)
+    return turns[at] >> 1, turns[at + 1] >> 1
+
+
+class _Tiles:
+    """The frames of many tiles at once: their scan lines, each with its margin, stand behind one another on one axis."""
+
+    def __init__(self, keys: list[str], width: int, height: int):
+        self.keys, self.width, self.height = [*keys, "_ty", "_tx"], width, height
+        self.lines, self.stride = TILE[0] + 2 * height, TILE[1] + 2 * width + 1
+
+    def union(self, rows: pa.Table, tile: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        left, top, right, bottom = (rows.column(c).to_numpy().astype("int64") for c in ("_l", "_t", "_r", "_b"))
+        high = bottom - top
+        which = np.repeat(np.arange(len(high)), high)
+        y = np.arange(len(which)) - (np.cumsum(high) - high - top)[which]
+        line = (tile[which] * self.lines + y) * self.stride
+        return _joined(line + left[which], line + right[which])
+
+    def shorter(self, rows: pa.Table) -> pa.Table:
+        """The rectangles of one tile as the spans of their union, of which a tile holds a bounded number."""
+        start, end = self.union(rows, np.zeros(rows.num_rows, "int64"))
+        if len(start) >= rows.num_rows:
+            return rows
+        y, out = start // self.stride, rows.slice(0, 1).take(np.zeros(len(start), "int64"))
+        for name, value in (("_l", start % self.stride), ("_t", y), ("_r", end - y * self.stride), ("_b", y + 1)):
+            out = out.set_column(out.schema.get_field_index(name), out.schema.field(name), pa.array(value.astype("int32")))
+        return out
+
+    def frames(self, rows: pa.Table) -> pa.Table:
+        w, h, stride, lines = self.width, self.height, self.stride, self.lines
+        new = batches.beginnings(rows, self.keys)
+        start, end = self.union(rows, np.cumsum(new) - 1)
+        line = start // stride
+        a, b, y = start + w, end - w, line % lines
+        thick, a_all, b_all = b > a, [], []
+        for d in range(-h, h + 1):
+            near = thick & (y + d >= h) & (y + d < h + TILE[0])
+            a_all.append(a[near] + d * stride)
+            b_all.append(b[near] + d * stride)
+        core = _covered(a_all, b_all, 2 * h + 1)
+        a, b = np.maximum(start, line * stride + w), np.minimum(end, line * stride + w + TILE[1])
+        inner = (y >= h) & (y < h + TILE[0]) & (b > a)
+        start, end = _covered([a[inner], core[1]], [b[inner], core[0]], 1)
+        line = start // stride
+        tile, y, x0, x1 = line // lines, line % lines, start % stride, end - line * stride
+        # Equal spans on lines that follow one another are one box, which is fewer rows to hand over.
+        size = (int(tile[-1]) + 1 if len(tile) else 1) * stride * stride * lines
+        y1 = y + 1
+        if size < 2**62:
+            packed = np.sort(((tile * stride + x0) * stride + x1) * lines + y)
+            begins = np.append(True, packed[1:] != packed[:-1] + 1)[: len(packed)] | (packed % lines == 0)
+            at = np.flatnonzero(begins)
+            first, y = packed[at], packed[at] % lines
+            y1 = y + np.diff(np.append(at, len(packed)))
+            tile, x0, x1 = first // lines // stride // stride, first // lines // stride % stride, first // lines % stride
+        of = np.flatnonzero(new)[tile]
+        out = rows.select(self.keys).take(of)
+        ty, tx = (out.column(c).to_numpy() for c in ("_ty", "_tx"))
+        made = {"y0": ty * TILE[0] + y - h, "y1": ty * TILE[0] + y1 - h, "x0": tx * TILE[1] + x0 - w, "x1": tx * TILE[1] + x1 - w}
+        out = out.select(self.keys[:-2])
+        for name, value in made.items():
+            out = out.append_column(name, pa.array(value))
+        return out
+
+    def run(self, given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches.whole_groups(given, self.keys, self.shorter):
+            yield from self.frames(rows).to_batches()
+
+
+def frame_boxes(rects: DataFrame, keys: list[str], width: int, height: int) -> DataFrame:
+    """``keys, y0, y1, x0, x1``: disjoint boxes of the places of the region within ``width`` and ``height`` of its outside: the region less itself shrunk by that box.
+
+    The plane is cut into tiles; a rectangle goes to each tile that it or its margin touches, and what is more than a margin away has no
+    say. So rectangles are shuffled once, as such, and lines are made inside the tasks. Boxes end at the edges of tiles.
     """
-    region = union(rects, keys)
-    shrunk = region.select(*keys, F.explode(F.sequence(F.col("y") - height, F.col("y") + height)).alias("y"), (F.col("x0") + width).alias("x0"), (F.col("x1") - width).alias("x1")).filter("x1 > x0")
-    edges = shrunk.select(*keys, "y", F.col("x0").alias("x"), F.lit(1).alias("d")).union(shrunk.select(*keys, "y", "x1", F.lit(-1)))
-    line = Window.partitionBy(*keys, "y").orderBy("x")
-    covered = F.sum("d").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    core = edges.groupBy(*keys, "y", "x").agg(F.sum("d").alias("d")).withColumn("n", covered).withColumn("x1", F.lead("x").over(line)).filter(F.col("n") == 2 * height + 1).select(*keys, "y", F.col("x").alias("x0"), "x1")
-    return combine(region, core, keys, "difference")
+    tall, wide = TILE
+    down = F.sequence(F.floor((F.col("top") - height) / tall), F.floor((F.col("bottom") + (height - 1)) / tall))
+    across = F.sequence(F.floor((F.col("left") - width) / wide), F.floor((F.col("right") + (width - 1)) / wide))
+    rows = rects.filter("right > left and bottom > top").withColumn("_ty", F.explode(down)).withColumn("_tx", F.explode(across))
+    # Places count from the corner of the tile's margin and end with it.
+    local = lambda c, tile, size, margin: F.greatest(F.lit(0), F.least(F.lit(size + 2 * margin), F.col(c) - F.col(tile) * size + margin)).cast("int")
+    rows = rows.select(*keys, "_ty", "_tx", local("left", "_tx", wide, width).alias("_l"), local("top", "_ty", tall, height).alias("_t"), local("right", "_tx", wide, width).alias("_r"), local("bottom", "_ty", tall, height).alias("_b"))
+    dealt = rows.repartition(*keys, "_ty", "_tx").sortWithinPartitions("_ty", "_tx", *keys)
+    kind = T.StructType([*[dealt.schema[k] for k in keys], *[T.StructField(c, T.LongType()) for c in ("y0", "y1", "x0", "x1")]])
+    made = dealt.mapInArrow(_Tiles(keys, width, height).run, kind)
+    as_given = {c: F.col(c).cast(rects.schema[of].dataType) for c, of in (("y0", "top"), ("y1", "top"), ("x0", "left"), ("x1", "left"))}
+    return made.withColumns(as_given)
+
+
+def frame(rects: DataFrame, keys: list[str], width: int, height: int) -> DataFrame:
+    """``keys, y, x0, x1``: the spans of ``frame_boxes``, line by line."""
+    return frame_boxes(rects, keys, width, height).select(*keys, F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y"), "x0", "x1")
 
 
 def even_odd_spans(edges: DataFrame, keys: list[str]) -> DataFrame:

@@ -100,8 +100,8 @@ def region_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def region_frame_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frame, one cell wide, of the union of a rectangle for each line item, on a plane that grows with the table."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_orderkey").alias("left"), F.col("l_partkey").alias("top"), (F.col("l_quantity").cast("long") % 9 + 3).alias("w"), (F.col("l_linenumber") % 6 + 3).alias("h"))
-    rects = rows.select("g", "left", "top", (F.col("left") + F.col("w")).alias("right"), (F.col("top") + F.col("h")).alias("bottom")).distinct()
-    return regions.frame(rects, ["g"], 1, 1).groupBy("g").agg(F.sum(F.col("x1") - F.col("x0")).alias("cells"))
+    rects = rows.select("g", "left", "top", (F.col("left") + F.col("w")).alias("right"), (F.col("top") + F.col("h")).alias("bottom"))
+    return regions.frame_boxes(rects, ["g"], 1, 1).groupBy("g").agg(F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("cells"))
 
 
 @query("""with t as (select o_orderkey as k, (o_orderkey % 50)::double as ax, (o_custkey % 40)::double as ay, (o_custkey % 60 + 5)::double as bx, (o_orderkey % 45 + 3)::double as "by", (o_orderkey % 30)::double as cx, (o_custkey % 70 + 10)::double as cy from orders),
