@@ -6,11 +6,17 @@ all trees at once. A clip is a list of operations that don't commute; what a pla
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from strokelake.functions.shared import checkpoint
+from . import batches
 
 # Node types of the published format: five operations, then the kinds of leaves.
 AND, OR, XOR, EXCLUDE, COMPLEMENT, RECT, PATH, EMPTY, INFINITE = 1, 2, 3, 4, 5, 0x10000000, 0x10000001, 0x10000002, 0x10000003
@@ -19,51 +25,135 @@ AND, OR, XOR, EXCLUDE, COMPLEMENT, RECT, PATH, EMPTY, INFINITE = 1, 2, 3, 4, 5,
 NESTING, CLIP_STEPS = 256, 4096
 
 
-def combined(op: Column, a: Column, b: Column) -> Column:
+def _keep(how: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """What an operation keeps: 1 both, 2 any, 3 one of both, 4 the first without the second, 5 the second without the first."""
-    return F.when(op == AND, a & b).when(op == OR, a | b).when(op == XOR, a != b).when(op == EXCLUDE, a & ~b).when(op == COMPLEMENT, ~a & b)
+    return np.select([how == AND, how == OR, how == XOR, how == EXCLUDE, how == COMPLEMENT], [a & b, a | b, a != b, a & ~b, ~a & b], False)
 
 
-def tree_links(nodes: DataFrame, keys: list[str], position: str = "node", type_col: str = "type") -> DataFrame:
-    """Adds ``parent``, ``left`` and ``fault`` to nodes in preorder.
+def _links(type_: np.ndarray, tree: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parents (-1 for none), which nodes are left children, and the fault of each tree ("" for none), from nodes in preorder.
 
     The balance before a node counts the operations so far less the leaves. A node behind an operation is its left child; any other
     is the right child of the latest operation of the same balance. A node for which there is none is beyond the tree; a tree
-    whose balance doesn't end at -1 lacks nodes. Trees are bounded by the object limits, so each is one window. ``fault`` is the
-    tree's: ``node type``, ``extra nodes``, ``missing nodes``, or null.
+    whose balance doesn't end at -1 lacks nodes.
     """
-    order = Window.partitionBy(*keys).orderBy(position)
-    op = F.col(type_col).between(AND, COMPLEMENT)
-    step = F.when(op, 1).otherwise(-1)
-    known = op | F.col(type_col).isin(RECT, EMPTY, INFINITE)
-    rows = nodes.withColumns({"_known": F.coalesce(known, F.lit(False)), "_op": F.coalesce(op, F.lit(False)), "_balance": F.coalesce(F.sum(step).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    behind = F.lag("_op").over(order)
-    rows = rows.withColumns({"left": F.coalesce(behind, F.lit(False)), "_before": F.lag(position).over(order)})
-    same = Window.partitionBy(*keys, "_balance").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("parent", F.when(F.col("left"), F.col("_before")).otherwise(F.last(F.when(F.col("_op"), F.col(position)), ignorenulls=True).over(same)))
-    tree = Window.partitionBy(*keys)
-    extra = F.count_if((F.col("_balance") < 0)).over(tree) > 0
-    missing = F.sum(step).over(tree) != -1
-    fault = F.when(F.count_if(~F.col("_known")).over(tree) > 0, "node type").when(extra, "extra nodes").when(missing, "missing nodes")
-    return rows.withColumn("fault", fault).drop("_known", "_op", "_balance", "_before")
-
-
-def banded(rects: DataFrame, keys: list[str], own: list[str]) -> DataFrame:
-    """Rectangles ``keys, own, left, top, right, bottom`` as ``keys, own, y0, y1, x0, x1`` in the bands between all edges of their key."""
-    rects = rects.filter("right > left and bottom > top")
-    edges = rects.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array("top", "bottom"))))).alias("_ys"))
-    key = lambda c: F.struct(*[F.col(f"{c}.{k}") for k in keys])
-    both = rects.alias("r").join(edges.alias("e"), key("r") == key("e")).select("r.*", "_ys")
-    bands = F.transform(F.slice("_ys", F.lit(1), F.size("_ys") - 1), lambda y, i: F.struct(y.alias("y0"), F.get("_ys", i + 1).alias("y1")))
-    inside = F.filter(bands, lambda b: (b["y0"] >= F.col("top")) & (b["y1"] <= F.col("bottom")))
-    return both.select(*keys, *own, F.explode(inside).alias("_b"), F.col("left").alias("x0"), F.col("right").alias("x1")).select(*keys, *own, "_b.y0", "_b.y1", "x0", "x1")
+    op = (type_ >= AND) & (type_ <= COMPLEMENT)
+    step = np.where(op, 1, -1)
+    before = np.cumsum(step) - step
+    balance = before - before[first][tree]
+    known = op | np.isin(type_, (RECT, EMPTY, INFINITE))
+    faults = [np.logical_or.reduceat(~known, first), np.logical_or.reduceat(balance < 0, first), np.add.reduceat(step, first) != -1]
+    fault = np.select(faults, ["node type", "extra nodes", "missing nodes"], "")
+    at = np.arange(len(op))
+    left = np.append(False, op[:-1])
+    left[first] = False
+    # Nodes of one balance of one tree stand together, in order; the latest operation before each is its parent.
+    order = np.lexsort((balance, tree))
+    latest = np.append(-1, np.maximum.accumulate(np.where(op[order], at, -1))[:-1])
+    found = np.where(latest >= 0, order[latest], -1)
+    own = (found >= 0) & (tree[found] == tree[order]) & (balance[found] == balance[order])
+    parent = np.empty(len(op), "int64")
+    parent[order] = np.where(own, found, -1)
+    return np.where(left, at - 1, parent), left, fault
+
+
+def _levels(parent: np.ndarray) -> np.ndarray:
+    """The level of each node, by jumps of doubling reach."""
+    level, reach = (parent >= 0).astype("int64"), parent.copy()
+    at = np.flatnonzero(reach >= 0)
+    while len(at):
+        to = reach[at]
+        level[at], reach[at] = level[at] + level[to], reach[to]
+        at = at[reach[at] >= 0]
+    return level
+
+
+def _ordered(line: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The order by line, then by x, both whole numbers from 0."""
+    wide = int(x.max(initial=0)) + 1
+    return np.argsort(line * wide + x) if (int(line.max(initial=0)) + 1) * wide < 2**62 else np.lexsort((x, line))
+
+
+class _Trees:
+    """Many trees at once: levels are combined from the deepest up, by running sums along the bands of each node."""
+
+    def __init__(self, keys: list[str]):
+        self.keys = keys
+
+    def evaluate(self, rows: pa.Table) -> pa.Table:
+        first = np.flatnonzero(batches.beginnings(rows, self.keys))
+        tree = np.repeat(np.arange(len(first)), np.diff(np.append(first, rows.num_rows)))
+        type_ = pc.fill_null(rows.column("_type"), -1).to_numpy()
+        parent, left, fault = _links(type_, tree, first)
+        sound = fault[tree] == ""
+        level = np.zeros(len(tree), "int64")
+        level[sound] = _levels(np.where(sound, parent, -1))[sound]
+        deep = np.zeros(len(first), bool)
+        deep[tree[level > NESTING]] = True
+        fault = np.where(deep, "nesting", fault)
+        box = [rows.column(c) for c in ("_l", "_t", "_r", "_b")]
+        leaf = np.flatnonzero((fault[tree] == "") & np.isin(type_, (RECT, INFINITE)) & pc.fill_null(pc.and_(pc.greater(box[2], box[0]), pc.greater(box[3], box[1])), False).to_numpy())
+        l, t, r, b = (c.take(leaf).to_numpy() for c in box)
+        # Bands lie between all edges of a tree; they and the places across are numbered.
+        ys, y = np.unique(np.concatenate([t, b]), return_inverse=True)
+        xs, x = np.unique(np.concatenate([l, r]), return_inverse=True)
+        (top, bottom), (begin, end) = (v.reshape(2, len(leaf)) for v in (y, x))
+        edges = np.unique(tree[leaf] * (len(ys) + 1) + np.array([top, bottom]))
+        low, high = (np.searchsorted(edges, tree[leaf] * (len(ys) + 1) + v) for v in (top, bottom))
+        each = np.repeat(np.arange(len(leaf)), high - low)
+        band = np.arange(len(each)) - (np.cumsum(high - low) - high)[each]
+        node, x0, x1 = leaf[each], begin[each], end[each]
+        by_level = np.argsort(level[node], kind="stable")
+        node, band, x0, x1 = node[by_level], band[by_level], x0[by_level], x1[by_level]
+        deepest = int(level[node[-1]]) if len(node) else 0
+        part = np.searchsorted(level[node], np.arange(deepest + 2))
+        spans = [v[:0] for v in (node, band, x0, x1)]
+        for n in range(deepest, -1, -1):
+            spans = [np.concatenate([s, v[part[n] : part[n + 1]]]) for s, v in zip(spans, (node, band, x0, x1))]
+            if n:
+                spans = self.above(*spans, parent, left, type_)
+        node, band, x0, x1 = spans
+        out = rows.select(self.keys).take(first[tree[node]])
+        for name, value in (("y0", ys[edges[band] % (len(ys) + 1)]), ("y1", ys[edges[np.minimum(band + 1, len(edges) - 1)] % (len(ys) + 1)]), ("x0", xs[x0]), ("x1", xs[x1])):
+            out = out.append_column(name, pa.array(value, rows.schema.field("_l").type))
+        out = out.append_column("fault", pa.nulls(out.num_rows, pa.string()))
+        bad = np.flatnonzero(fault != "")
+        wrong = rows.select(self.keys).take(first[bad])
+        for name in ("y0", "y1", "x0", "x1"):
+            wrong = wrong.append_column(name, pa.nulls(len(bad), out.schema.field(name).type))
+        return pa.concat_tables([out, wrong.append_column("fault", pa.array(fault[bad].tolist(), pa.string()))])
+
+    @staticmethod
+    def above(node, band, x0, x1, parent, left, type_):
+        """The spans of the parents of nodes of one level."""
+        up = np.tile(parent[node], 2)
+        sides, bands, x = np.tile(left[node], 2), np.tile(band, 2), np.concatenate([x0, x1])
+        step = np.repeat([1, -1], len(node))
+        wide = int(bands.max(initial=0)) + 1
+        line = up * wide + bands
+        order = _ordered(line, x)
+        line, x, up, bands = line[order], x[order], up[order], bands[order]
+        step, sides = step[order], sides[order]
+        a, b = np.cumsum(np.where(sides, step, 0)), np.cumsum(np.where(sides, 0, step))
+        last = np.append((line[1:] != line[:-1]) | (x[1:] != x[:-1]), True)[: len(x)]
+        # Each line ends with nothing covered, so the sums need no new beginning.
+        line, x, up, bands = line[last], x[last], up[last], bands[last]
+        inside = _keep(type_[up], a[last] > 0, b[last] > 0)
+        turn = np.flatnonzero(inside != np.append(False, inside[:-1])[: len(inside)])
+        on, off = turn[::2], turn[1::2]
+        return [up[on], bands[on], x[on], x[off]]
+
+    def run(self, given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches.whole_groups(given, self.keys):
+            yield from self.evaluate(rows).combine_chunks().to_batches()
 
 
 def evaluate_trees(nodes: DataFrame, keys: list[str], surface: tuple, position: str = "node", type_col: str = "type") -> tuple[DataFrame, DataFrame]:
     """Spans ``keys, y0, y1, x0, x1`` of region trees on a surface (left, top, right, bottom), and ``keys, fault`` of those that are no trees.
 
     Nodes have ``left, top, right, bottom`` where they are rectangles; the infinite region is the whole surface. Rectangles may be empty,
-    a region without area has no span. Keys may be null.
+    a region without area has no span. Keys may be null. Trees are bounded by the object limits: nodes are shuffled once by tree, and each
+    task works on many trees at once. A tree of more than ``NESTING`` levels below its root is the fault ``nesting``.
     """
     x0, y0, x1, y1 = (F.lit(v) for v in surface)
     infinite = F.col(type_col) == INFINITE
@@ -71,40 +161,12 @@ def evaluate_trees(nodes: DataFrame, keys: list[str], surface: tuple, position:
         "_l": F.when(infinite, x0).otherwise(F.greatest("left", x0)), "_t": F.when(infinite, y0).otherwise(F.greatest("top", y0)),
         "_r": F.when(infinite, x1).otherwise(F.least("right", x1)), "_b": F.when(infinite, y1).otherwise(F.least("bottom", y1)),
     }
-    given = nodes.select(F.struct(*keys).alias("_key"), F.col(position).alias("_node"), F.col(type_col).alias("_type"), *[v.alias(k) for k, v in box.items()])
-    linked = checkpoint(tree_links(given, ["_key"], "_node", "_type").withColumnRenamed("left", "_left").withColumnRenamed("parent", "_parent"))
-    faults = linked.filter("fault is not null").groupBy("_key").agg(F.min("fault").alias("fault"))
-    sound = linked.filter("fault is null")
-    # The level of each node, from the root down.
-    level, levels, at = sound.filter("_parent is null").select("_key", "_node", F.lit(0).alias("_level")), None, 0
-    while not level.isEmpty() and at <= NESTING:
-        levels = level if levels is None else levels.union(level)
-        at += 1
-        level = checkpoint(sound.join(level.select("_key", F.col("_node").alias("_parent")), ["_key", "_parent"]).select("_key", "_node", F.lit(at).alias("_level")))
-    if levels is None:
-        spans = linked.limit(0).select("_key.*", *[F.col(a).alias(b) for a, b in (("_t", "y0"), ("_b", "y1"), ("_l", "x0"), ("_r", "x1"))])
-        return spans, faults.select("_key.*", "fault")
-    if not level.isEmpty():
-        deep = sound.join(level.select("_key").distinct(), "_key").select("_key").distinct().withColumn("fault", F.lit("nesting"))
-        faults, sound = faults.unionByName(deep), sound.join(deep.select("_key"), "_key", "left_anti")
-    up = sound.select("_key", F.col("_node").alias("_parent"), F.col("_type").alias("_how"))
-    sound = checkpoint(sound.join(levels, ["_key", "_node"]).join(up, ["_key", "_parent"], "left"))
-    leaves = sound.filter(F.col("_type").isin(RECT, INFINITE)).select("_key", "_node", "_level", *[F.col(a).alias(b) for a, b in (("_l", "left"), ("_t", "top"), ("_r", "right"), ("_b", "bottom"))])
-    leaves = checkpoint(banded(leaves, ["_key"], ["_node", "_level"]))
-    links = sound.select("_key", "_node", "_parent", "_left", "_how")
-    spans = leaves.filter(F.col("_level") == at - 1).drop("_level")
-    for n in range(at - 1, 0, -1):
-        child = spans.join(links, ["_key", "_node"])
-        edge = lambda x, d: F.struct(F.col(x).alias("x"), F.when(F.col("_left"), d).otherwise(0).alias("a"), F.when(F.col("_left"), 0).otherwise(d).alias("b"))
-        edges = child.select("_key", "_parent", "_how", "y0", "y1", F.explode(F.array(edge("x0", 1), edge("x1", -1))).alias("_e"))
-        edges = edges.groupBy("_key", "_parent", "_how", "y0", "y1", "_e.x").agg(F.sum("_e.a").alias("a"), F.sum("_e.b").alias("b"))
-        line = Window.partitionBy("_key", "_parent", "y0").orderBy("x")
-        upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        marked = edges.withColumn("_in", combined(F.col("_how"), F.sum("a").over(upto) > 0, F.sum("b").over(upto) > 0))
-        turns = marked.withColumn("_was", F.coalesce(F.lag("_in").over(line), F.lit(False))).filter("_in <> _was")
-        made = turns.withColumn("x1", F.lead("x").over(line)).filter("_in").select("_key", F.col("_parent").alias("_node"), "y0", "y1", F.col("x").alias("x0"), "x1")
-        spans = checkpoint(made.unionByName(leaves.filter(F.col("_level") == n - 1).drop("_level")))
-    return spans.select("_key.*", "y0", "y1", "x0", "x1"), faults.select("_key.*", "fault")
+    given = nodes.select(*keys, F.col(position).alias("_node"), F.col(type_col).cast("long").alias("_type"), *[v.alias(k) for k, v in box.items()])
+    dealt = given.repartition(*keys).sortWithinPartitions(*keys, "_node")
+    number = dealt.schema["_l"].dataType
+    kind = T.StructType([*[dealt.schema[k] for k in keys], *[T.StructField(c, number) for c in ("y0", "y1", "x0", "x1")], T.StructField("fault", T.StringType())])
+    made = dealt.mapInArrow(_Trees(keys).run, kind)
+    return made.filter("fault is null").drop("fault"), made.filter("fault is not null").select(*keys, "fault")
 
 
 def clip_spans(steps: DataFrame, keys: list[str], position: str, surface: tuple, most: int = CLIP_STEPS) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ import random
 
 import pyarrow as pa
 
-from strokelake.operators import batches, regions
+from strokelake.operators import batches, clips, regions
 
 
 def exchanges(frame):
@@ -36,3 +36,14 @@ def test_a_tile_of_many_rectangles_is_held_as_spans():
     parts = (pa.RecordBatch.from_pylist(rows[i : i + 50], kind) for i in range(0, len(rows), 50))
     cut = list(batches.whole_groups(parts, tiles.keys, tiles.shorter, 100))
     assert max(t.num_rows for t in cut) < 200 and boxes(cut) == boxes([pa.Table.from_pylist(rows, kind)]) != []
+
+
+def test_trees_of_any_depth_from_one_shuffle(spark):
+    n = clips.NESTING
+    chain = lambda k, deep: [(k, i, clips.XOR, None, None, None, None) for i in range(deep)] + [(k, deep + i, clips.RECT, i, 0, i + 2, 3) for i in range(deep + 1)]
+    rows = chain("fits", n) + chain("deep", n + 1) + chain(None, 2)
+    table = spark.createDataFrame(rows, "k string, node int, type int, left int, top int, right int, bottom int")
+    spans, faults = clips.evaluate_trees(table, ["k"], (0, 0, 300, 2))
+    assert exchanges(spans) == 1
+    assert sorted((str(r.k), r.y0, r.y1, r.x0, r.x1) for r in spans.collect()) == [("None", 0, 2, 0, 1), ("None", 0, 2, 3, 4), ("fits", 0, 2, 0, 1), ("fits", 0, 2, n + 1, n + 2)]
+    assert [tuple(r) for r in faults.collect()] == [("deep", "nesting")]
