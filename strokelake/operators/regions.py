@@ -16,6 +16,9 @@ from . import batches
 #: Lines and columns of a tile of the plane.
 TILE = (64, 4096)
 
+#: Scan lines of a band; one band has y = 0 in its middle.
+BAND = 1024
+
 #: What each operation keeps, from the two coverings.
 OPERATIONS = {
     "intersect": lambda a, b: a & b,
@@ -162,18 +165,89 @@ def frame(rects: DataFrame, keys: list[str], width: int, height: int) -> DataFra
     return frame_boxes(rects, keys, width, height).select(*keys, F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("y"), "x0", "x1")
 
 
+class _Sweep:
+    """The crossings of many shapes' edges with the middles of scan lines, by the even-odd or the non-zero rule."""
+
+    def __init__(self, keys: list[str], even_odd: bool, totals: bool):
+        self.keys, self.even_odd, self.totals = [*keys, "_band"], even_odd, totals
+
+    def crossings(self, rows: pa.Table, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Line (numbered through all groups), place and direction of each crossing, in the order of lines and places."""
+        x0, y0, x1, y1 = (rows.column(c).to_numpy().astype("float64") for c in ("x0", "y0", "x1", "y1"))
+        begin = rows.column("_band").to_numpy() * BAND - BAND // 2
+        fine = np.isfinite(x0) & np.isfinite(x1) & np.isfinite(y0) & np.isfinite(y1)
+        low, high = (np.where(fine, f(y0, y1), 0) for f in (np.minimum, np.maximum))
+        first, last = np.maximum(np.ceil(low - 0.5), begin), np.minimum(np.ceil(high - 0.5), begin + BAND)
+        n = np.maximum(last - first, 0).astype("int64")
+        e = np.repeat(np.arange(len(n)), n)
+        y = np.arange(len(e)) - (np.cumsum(n) - n)[e] + first[e]
+        x = x0[e] + (y + 0.5 - y0[e]) * (x1 - x0)[e] / (y1 - y0)[e]
+        line = group[e] * BAND + (y - begin[e]).astype("int64")
+        order = np.lexsort((x, line))
+        return line[order], x[order], np.where(y1 > y0, 1, -1)[e][order]
+
+    def spans(self, line: np.ndarray, x: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self.even_odd:
+            at = np.arange(len(line))
+            start = np.maximum.accumulate(np.where(np.append(True, line[1:] != line[:-1])[: len(line)], at, 0))
+            inside = (at - start) % 2 == 0
+        else:
+            last = np.append((line[1:] != line[:-1]) | (x[1:] != x[:-1]), True)[: len(line)]
+            line, x, total = line[last], x[last], np.cumsum(turn)[last]
+            start = np.append(True, line[1:] != line[:-1])[: len(line)]
+            before = np.append(0, total[:-1])[: len(line)]
+            inside = total - before[np.maximum.accumulate(np.where(start, np.arange(len(line)), 0))] != 0
+            change = inside != (np.append(False, inside[:-1])[: len(line)] & ~start)
+            line, x, inside = line[change], x[change], inside[change]
+        on = np.flatnonzero(inside[:-1] & (line[1:] == line[:-1]))
+        return line[on], x[on], x[on + 1]
+
+    def made(self, rows: pa.Table) -> pa.Table:
+        new = batches.beginnings(rows, self.keys)
+        line, x0, x1 = self.spans(*self.crossings(rows, np.cumsum(new) - 1))
+        group, heads = line // BAND, rows.select(self.keys).take(np.flatnonzero(new))
+        if self.totals:
+            first = np.flatnonzero(np.append(True, group[1:] != group[:-1])[: len(group)])
+            fresh = np.append(True, line[1:] != line[:-1])[: len(line)].astype("int64")
+            sums = [np.diff(np.append(first, len(group))), *(np.add.reduceat(v, first) if len(first) else v[:0] for v in (fresh, x1 - x0))]
+            columns, group = dict(zip(("n_spans", "n_lines", "covered"), sums)), group[first]
+        else:
+            columns = {"y": (heads.column("_band").to_numpy()[group] * BAND - BAND // 2 + line % BAND).astype("int32"), "x0": x0, "x1": x1}
+        out = heads.select(self.keys[:-1]).take(group)
+        for name, value in columns.items():
+            out = out.append_column(name, pa.array(value))
+        return out
+
+    def run(self, given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches.whole_groups(given, self.keys):
+            yield from self.made(rows).combine_chunks().to_batches()
+
+    def over(self, dealt: DataFrame) -> DataFrame:
+        """The spans, or the totals by key, of edges that stand together by key and band."""
+        keys = self.keys[:-1]
+        columns = [("n_spans", T.LongType()), ("n_lines", T.LongType()), ("covered", T.DoubleType())] if self.totals else [("y", T.IntegerType()), ("x0", T.DoubleType()), ("x1", T.DoubleType())]
+        kind = T.StructType([*[dealt.schema[k] for k in keys], *[T.StructField(n, t) for n, t in columns]])
+        swept = dealt.select(*self.keys, *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]).mapInArrow(self.run, kind)
+        return swept.groupBy(*keys).agg(*[F.sum(n).alias(n) for n, _ in columns]) if self.totals else swept
+
+
+def _dealt(shapes: DataFrame, keys: list[str], ys: list[str]) -> DataFrame:
+    """Shapes shuffled once, as such, to the bands of scan lines between their lowest and highest y; lines are made inside the tasks."""
+    band = lambda f: F.floor((f(*ys) + BAND // 2) / BAND)
+    return shapes.withColumn("_band", F.explode(F.sequence(band(F.least), band(F.greatest)))).repartition(*keys, "_band").sortWithinPartitions(*keys, "_band")
+
+
 def even_odd_spans(edges: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, y, x0, x1``: interior spans at the middle of each scan line from polygon edges ``x0, y0, x1, y1``, even-odd.
 
     An edge counts on the lines whose middle lies in its half-open range of y.
     """
-    low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
-    first, last = F.ceil(low - 0.5).cast("int"), (F.ceil(high - 0.5) - 1).cast("int")
-    lines = edges.withColumn("_first", first).withColumn("_last", last).filter("_last >= _first").withColumn("y", F.explode(F.sequence("_first", "_last")))
-    at: Column = F.col("x0") + (F.col("y") + 0.5 - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))
-    order = Window.partitionBy(*keys, "y").orderBy("x")
-    crossings = lines.select(*keys, "y", at.alias("x")).withColumn("_k", F.row_number().over(order)).withColumn("_next", F.lead("x").over(order))
-    return crossings.filter("_k % 2 = 1 and _next is not null").select(*keys, "y", F.col("x").alias("x0"), F.col("_next").alias("x1"))
+    return _Sweep(keys, True, False).over(_dealt(edges, keys, ["y0", "y1"]))
+
+
+def even_odd_totals(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, n_spans, n_lines, covered`` of ``even_odd_spans``: spans, lines that have one, and summed widths, for keys with any."""
+    return _Sweep(keys, True, True).over(_dealt(edges, keys, ["y0", "y1"]))
 
 
 def flatten_curves(curves: DataFrame, keys: list[str], pieces: int = 16) -> DataFrame:
@@ -197,12 +271,10 @@ def winding_spans(edges: DataFrame, keys: list[str]) -> DataFrame:
     Edges that go down count 1, those that go up -1; a place is inside where the running sum along its line isn't 0. An edge counts on the
     lines whose middle lies in its half-open range of y. Edges without a height and open outlines' missing ones count nowhere.
     """
-    low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
-    first, last = F.ceil(low - 0.5).cast("int"), (F.ceil(high - 0.5) - 1).cast("int")
-    lines = edges.filter("y0 <> y1").withColumns({"_first": first, "_last": last}).filter("_last >= _first").withColumn("y", F.explode(F.sequence("_first", "_last")))
-    at = F.col("x0") + (F.col("y") + 0.5 - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))
-    turns = lines.select(*keys, "y", at.alias("x"), F.when(F.col("y1") > F.col("y0"), 1).otherwise(-1).alias("_d")).groupBy(*keys, "y", "x").agg(F.sum("_d").alias("_d"))
-    line = Window.partitionBy(*keys, "y").orderBy("x")
-    inside = turns.withColumn("_in", F.sum("_d").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)) != 0)
-    change = inside.withColumn("_was", F.coalesce(F.lag("_in").over(line), F.lit(False))).filter("_in <> _was")
-    return change.withColumn("x1", F.lead("x").over(line)).filter("_in and x1 is not null").select(*keys, "y", F.col("x").alias("x0"), "x1")
+    return _Sweep(keys, False, False).over(_dealt(edges, keys, ["y0", "y1"]))
+
+
+def curve_totals(curves: DataFrame, keys: list[str], pieces: int = 16) -> DataFrame:
+    """``keys, n_spans, n_lines, covered`` of the non-zero filling of cubic curves, flattened after the shuffle; a curve stays between its four points."""
+    dealt = _dealt(curves, keys, [f"y{i}" for i in range(4)])
+    return _Sweep(keys, False, True).over(flatten_curves(dealt, [*keys, "_band"], pieces))

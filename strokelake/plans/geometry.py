@@ -148,5 +148,4 @@ def curve_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = [k % 50, c % 40, k % 37 - 20, c % 53 + 10, c % 47 + 20, k % 29 - 30, c % 61 + 5, k % 43 + 3]
     o = table(spark, sf_dir, "orders").select("o_orderkey", *[v.cast("double").alias(f"{'xy'[i % 2]}{i // 2}") for i, v in enumerate(first)])
     back = o.select("o_orderkey", F.col("x3").alias("x0"), F.col("y3").alias("y0"), (F.col("x1") + 15).alias("x1"), (F.col("y1") - 25).alias("y1"), (F.col("x0") - 15).alias("x2"), (F.col("y0") + 35).alias("y2"), F.col("x0").alias("x3"), F.col("y0").alias("y3"))
-    spans = regions.winding_spans(regions.flatten_curves(o.unionByName(back), ["o_orderkey"]), ["o_orderkey"])
-    return spans.groupBy("o_orderkey").agg(F.count_distinct("y").alias("n_lines"), F.round(F.sum(F.col("x1") - F.col("x0")), 3).alias("covered"))
+    return regions.curve_totals(o.unionByName(back), ["o_orderkey"]).select("o_orderkey", "n_lines", F.round("covered", 3).alias("covered"))

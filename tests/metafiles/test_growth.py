@@ -47,3 +47,37 @@ def test_trees_of_any_depth_from_one_shuffle(spark):
     assert exchanges(spans) == 1
     assert sorted((str(r.k), r.y0, r.y1, r.x0, r.x1) for r in spans.collect()) == [("None", 0, 2, 0, 1), ("None", 0, 2, 3, 4), ("fits", 0, 2, 0, 1), ("fits", 0, 2, n + 1, n + 2)]
     assert [tuple(r) for r in faults.collect()] == [("deep", "nesting")]
+
+
+def test_shapes_over_bands_from_one_shuffle(spark):
+    rng = random.Random(5)
+    rows = [(k, *(float(v) for v in (a, b, c, d))) for k in (1, None) for pts in [[(rng.randint(0, 40), rng.randint(-700, 700)) for _ in range(7)]] for (a, b), (c, d) in zip(pts, pts[1:] + pts[:1])]
+    edges = spark.createDataFrame(rows, "k int, x0 double, y0 double, x1 double, y1 double")
+    for spans, totals, odd in ((regions.even_odd_spans(edges, ["k"]), regions.even_odd_totals(edges, ["k"]), True), (regions.winding_spans(edges, ["k"]), None, False)):
+        assert exchanges(spans) == 1
+        want = {}
+        for k in (1, None):
+            for y in range(-700, 700):
+                hits = sorted((x0 + (y + 0.5 - y0) * (x1 - x0) / (y1 - y0), 1 if y1 > y0 else -1) for e, x0, y0, x1, y1 in rows if e == k and min(y0, y1) <= y + 0.5 < max(y0, y1))
+                n, inside = 0, []
+                for (x, d), (nx, _) in zip(hits, hits[1:]):
+                    n += 1 if odd else d
+                    if (n % 2 if odd else n) and nx > x:
+                        inside.append((x, nx))
+                if inside:
+                    want[k, y] = sum(b - a for a, b in inside)
+        got = {}
+        for r in spans.collect():
+            got[r.k, r.y] = got.get((r.k, r.y), 0) + r.x1 - r.x0
+        assert {i: round(v, 6) for i, v in got.items() if v} == {i: round(v, 6) for i, v in want.items()} != {}
+        if totals is not None:
+            assert {r.k: round(r.covered, 4) for r in totals.collect()} == {k: round(sum(v for (i, _), v in want.items() if i == k), 4) for k in (1, None)}
+
+
+def test_curves_are_shuffled_before_they_are_cut(spark):
+    curves = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 3000.0, 40.0, -3000.0, 40.0, 5.0), (1, 40.0, 5.0, 30.0, 9.0, 9.0, 7.0, 0.0, 0.0)], "k int, x0 double, y0 double, x1 double, y1 double, x2 double, y2 double, x3 double, y3 double")
+    got = regions.curve_totals(curves, ["k"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 2 and plan[plan.rindex("Exchange ") :].count("Generate explode") == 1
+    spans = regions.winding_spans(regions.flatten_curves(curves, ["k"]), ["k"]).collect()
+    assert tuple(got.first())[1:3] == (len(spans), len({r.y for r in spans})) and abs(got.first().covered - sum(r.x1 - r.x0 for r in spans)) < 1e-6 and len(spans) > regions.BAND
