@@ -116,8 +116,7 @@ def coverage_scanlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "orders").select(k.alias("k"), *[v.cast("double").alias(f"{n}{axis}") for n, (x, y) in corner.items() for axis, v in (("x", x), ("y", y))])
     sides = F.array(*[F.struct(F.col(f"{p}x").alias("x0"), F.col(f"{p}y").alias("y0"), F.col(f"{q}x").alias("x1"), F.col(f"{q}y").alias("y1")) for p, q in ("ab", "bc", "ca")])
     edges = t.select("k", F.inline(sides)).filter("y0 <> y1")
-    spans = regions.even_odd_spans(edges, ["k"])
-    return spans.groupBy("k").agg(F.count(F.lit(1)).alias("n_spans"), F.round(F.sum(F.col("x1") - F.col("x0")), 4).alias("covered"))
+    return regions.even_odd_totals(edges, ["k"]).select("k", "n_spans", F.round("covered", 4).alias("covered"))
 
 
 @query("""select p_partkey, v.t as triangle, round(abs((v.bx - v.ax) * (v.cy - v.ay) - (v.cx - v.ax) * (v."by" - v.ay)) / 2, 4) as area from (select p_partkey, unnest([
