@@ -1,11 +1,10 @@
 """Near-duplicate lines by a deletion-neighbourhood join.
 
-Two lines within one edit have a variant in common: a line itself, or a line less one character. Every distinct line emits the
-hashes of its variants, equal hashes are joined, the edit distance is verified on the texts, and of lines within the bound only
-the earliest in the corpus stays. Before that, lines that share neither half with any line of almost the same length are left
-out: an edit touches one half only, so this loses nothing, and far fewer variants are written. Long lines are cut into segments;
-an edit touches one of them only, so its variants stand between the hashes of what is before and behind it, and a line costs about
-its length to the power 1.5.
+Two lines within one edit have a variant in common: a line itself, or a line less one character. The edit distance is verified on
+the texts, and of lines within the bound only the earliest in the corpus stays. Before variants are written, lines that share neither half
+with any line of almost the same length are left out: an edit touches one half only, so this loses nothing. The others are cut into
+segments; an edit touches one of them only, so only segments with all around them in common with another line's are varied, between the
+hashes of what is before and behind them. A line costs a row a segment, and of a group of near copies no more than its open segments vary.
 """
 
 from __future__ import annotations
@@ -18,8 +17,8 @@ from .common import BROADCAST_BYTES, checkpoint, maybe_broadcast, numbered, rena
 #: Shorter lines are compared exactly, not by edits, unless a caller asks for it: one edit makes another word or number of them.
 MIN_CHARS = 20
 
-#: Longer lines are cut into segments of the root of their length, but of so many characters at least.
-LONG, SEGMENT = 512, 64
+#: Of lines longer than the first only a part is measured; all are cut into segments of the root of their length, but of so many characters at least.
+LONG, SEGMENT = 512, 12
 
 #: A line with anything but white space.
 FILLED = r"[^\x20\x09-\x0D]"
@@ -55,40 +54,34 @@ def _less(text: Column, i: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text)))
 
 
-def short_variants(lines: DataFrame) -> DataFrame:
-    """``_place, at, variant``: the hashes of a line (``at`` 0) and of the line less each of its characters."""
-    shorter = F.transform(F.sequence(F.lit(1), F.length("_line")), lambda i: F.struct(i.alias("at"), F.xxhash64(_less(F.col("_line"), i)).alias("variant")))
-    variants = F.concat(F.array(F.struct(F.lit(0).alias("at"), F.xxhash64("_line").alias("variant"))), shorter)
-    return lines.select("_place", F.explode(variants).alias("v")).select("_place", "v.*")
-
-
-def long_variants(lines: DataFrame) -> DataFrame:
-    """The same for long lines, segment by segment.
+def shared_segments(lines: DataFrame) -> DataFrame:
+    """``_place, itself, around, start, text``: the segments of lines that have all around them in common with another line's.
 
     A pair is cut by the length of the shorter line: segments begin at fixed places from the start, and what is behind them is
-    counted from the end. So each line is cut by its own length, as the shorter or an equal one, and by one less, as the longer.
+    counted from the end. So each line is cut by its own length (``itself``), as the shorter or an equal one, and by one less, as the longer.
     """
 
-    def segments(length: Column) -> Column:
+    def segments(length: Column, itself: bool) -> Column:
         size = F.greatest(F.lit(SEGMENT), F.ceil(F.sqrt(length)).cast("int"))
-        starts = F.sequence(F.lit(0), length - 1, size)
+        starts = F.sequence(F.lit(0), F.greatest(length - 1, F.lit(0)), size)
 
         def cut(start: Column) -> Column:
             behind = F.greatest(length - start - size, F.lit(0))
             around = F.xxhash64(length, start, F.substring("_line", F.lit(1), start), F.substring("_line", F.length("_line") - behind + 1, behind))
-            return F.struct(start.alias("start"), around.alias("around"), F.substring("_line", start + 1, F.length("_line") - behind - start).alias("text"))
+            return F.struct(F.lit(itself).alias("itself"), around.alias("around"), start.alias("start"), F.substring("_line", start + 1, F.length("_line") - behind - start).alias("text"))
 
         return F.transform(starts, cut)
 
-    def less_each(s: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.length(s["text"])), lambda i: F.struct((s["start"] + i).alias("at"), F.xxhash64(s["around"], _less(s["text"], i)).alias("variant")))
-
     n = F.length("_line")
-    itself = lines.select("_place", F.explode(F.transform(segments(n), lambda s: F.struct(F.lit(0).alias("at"), F.xxhash64(s["around"], s["text"]).alias("variant")))).alias("v"))
-    # A line of LONG + 1 characters meets shorter ones by its whole variants.
-    cuts = F.concat(segments(n), F.when(n > LONG + 1, segments(n - 1)).otherwise(F.array().cast("array<struct<start: int, around: bigint, text: string>>")))
-    shorter = lines.select("_place", F.explode(cuts).alias("s")).select("_place", F.explode(less_each(F.col("s"))).alias("v"))
-    return itself.union(shorter).select("_place", "v.*")
+    cuts = lines.select("_place", F.explode(F.concat(segments(n, True), F.filter(segments(n - 1, False), lambda _: n > 1))).alias("_s")).select("_place", "_s.*")
+    return cuts.withColumn("_n", F.expr("count(*) over (partition by around)")).filter("_n > 1").drop("_n")
+
+
+def segment_variants(cuts: DataFrame) -> DataFrame:
+    """``_place, at, variant``: the hashes of segments as they are (``at`` 0) and less each of their characters, with what is around them."""
+    at_each = F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.struct((F.col("start") + i).alias("at"), F.xxhash64("around", _less(F.col("text"), i)).alias("variant")))
+    whole = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64("around", "text").alias("variant")))
+    return cuts.select("_place", F.explode(F.concat(F.filter(whole, lambda _: F.col("itself")), at_each)).alias("v")).select("_place", "v.*")
 
 
 def one_edit_apart(pairs: DataFrame) -> DataFrame:
@@ -114,7 +107,7 @@ def near_lines(lines: DataFrame) -> DataFrame:
     character meet in the variant that lacks it at the same place. In each such meeting it is enough to look at the earliest
     line, so no pairs are listed: the later ones are compared with it.
     """
-    keyed = short_variants(lines.filter(F.length("_line") <= LONG + 1)).unionByName(long_variants(lines.filter(F.length("_line") > LONG)))
+    keyed = segment_variants(shared_segments(lines))
     itself = F.expr("min(if(at = 0, _place, null)) over (partition by variant)")
     others = F.expr("min(if(at > 0, _place, null)) over (partition by variant)")
     same = F.expr("min(_place) over (partition by variant, at)")

@@ -419,6 +419,18 @@ def test_long_lines_one_edit_apart(spark):
     assert [r.n_dropped for r in sorted(lines.dedup_lines(frame).collect(), key=lambda r: r.doc_id)] == want and 0 < sum(want) < len(want)
 
 
+def test_near_copies_vary_only_where_they_may_differ(spark):
+    """Lines that share a half but differ in several places cost a row a segment, not one a character."""
+    line = "".join(chr(97 + k * k % 23) + str(k % 10) for k in range(100))
+    far = [line[:a] + "#" * 9 + line[a + 9 :] + f"{a:05d}" * 3 for a in range(100, 190, 9)]
+    rows = [(i, t) for i, t in enumerate([line, line[:50] + "!" + line[51:], *far])]
+    frame = spark.createDataFrame(rows, "_place long, _line string")
+    varied = lines.segment_variants(lines.shared_segments(frame))
+    assert {r._place for r in varied.select("_place").distinct().collect()} == {0, 1} and varied.count() < len(line)
+    hashed = frame.withColumns({"_h1": lines.F.col("_place"), "_h2": lines.F.col("_place")})
+    assert [r._h1 for r in lines.near_lines(hashed).collect()] == [1]
+
+
 def test_very_long_lines_are_workable(spark):
     line = "".join(chr(97 + k * k % 23) + str(k % 10) for k in range(100_000))
     frame = spark.createDataFrame([(0, line), (1, line[:77_777] + "#" + line[77_778:]), (2, line[1:]), (3, line[:100] + "##" + line[100:])], "doc_id long, text string")
