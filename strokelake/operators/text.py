@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import functools
 import unicodedata
 
 import numpy as np
@@ -94,10 +95,29 @@ def decode_double(data: Column, page: int) -> Column:
     return F.when(data.isNotNull(), F.struct(F.transform(F.transform(tokens, unit), known).alias("units"), F.transform(tokens, lambda t: F.length(t)).alias("spans")))
 
 
+@functools.cache
+def _double_units(page: int) -> tuple[np.ndarray, np.ndarray]:
+    """The code point of each code of a page, its default where there is none, and which bytes are leads."""
+    units = [DOUBLE[page][0] if c == NONE else ord(c) for c in double_byte_table(page)]
+    return np.array(units, "<u4"), np.array([is_lead(page, b) for b in range(256)])
+
+
+def _read_double(data: bytes, page: int) -> str:
+    """The text of ``decode_double``: in a run of lead bytes every other one, from the first, takes the next byte with it."""
+    units, leads = _double_units(page)
+    b = np.frombuffer(data, "uint8").astype("int64")
+    at, lead = np.arange(len(b)), leads[b]
+    begin = np.maximum.accumulate(np.where(lead, 0, at + 1))
+    behind = np.append(b[1:], 0)[: len(b)]
+    pair = lead & ((at - begin) % 2 == 0) & (behind != 0)
+    single = ~np.append(False, pair[:-1])[: len(b)]
+    return units[np.where(pair, b * 256 + behind, b)[single]].tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def decode_bytes(rows: DataFrame, data_col: str, page: int, out_col: str) -> DataFrame:
     """Adds the text of data under a code page; null stays null."""
     if page in DOUBLE_BYTE:
-        return rows.withColumn(out_col, F.array_join(decode_double(F.col(data_col), page)["units"], ""))
+        return rows.withColumn(out_col, F.pandas_udf(lambda s: s.map(lambda b: None if b is None else _read_double(b, page)), "string")(data_col))
     moved = [(chr(b), chr(c)) for _, b, c in _page_rows(page) if b != c]
     return rows.withColumn(out_col, F.translate(F.decode(F.col(data_col), "ISO-8859-1"), "".join(a for a, _ in moved), "".join(b for _, b in moved)))
 
@@ -118,56 +138,56 @@ def justify(rows: DataFrame, keys: list[str], order: list[str], extra: Column, b
 _RTL, _NUMBER = {"R", "AL"}, {"EN", "AN"}
 
 
-def _levels(text: str) -> list[int]:
+# Kinds of code points: neutral, left to right, right to left, number.
+_NEUTRAL, _LEFT, _RIGHT, _DIGIT = range(4)
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """The kind of each code point; unassigned ones count as left to right."""
+    kind = lambda k: _RIGHT if k in _RTL else _LEFT if k in ("L", "") else _DIGIT if k in _NUMBER else _NEUTRAL
+    return np.array([kind(unicodedata.bidirectional(chr(c))) for c in range(0x110000)], "uint8")
+
+
+def _levels(text: str) -> np.ndarray:
     """Embedding levels of text without explicit controls: strong runs, numbers, and neutrals between them."""
-    kinds = [unicodedata.bidirectional(c) or "L" for c in text]
-    base = next((1 if k in _RTL else 0 for k in kinds if k in _RTL or k == "L"), 0)
-    strong = [("R" if k in _RTL else "L" if k == "L" else "N" if k in _NUMBER else None) for k in kinds]
+    kinds = _kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+    at = np.arange(len(kinds))
+    strong = (kinds == _LEFT) | (kinds == _RIGHT)
+    base = int(len(kinds) > 0 and kinds[np.argmax(strong)] == _RIGHT)
+    own = _RIGHT if base else _LEFT
     # A number after a left-to-right letter is part of its run.
-    last = "R" if base else "L"
-    for i, s in enumerate(strong):
-        if s == "N" and last == "L":
-            strong[i] = "L"
-        elif s in ("L", "R"):
-            last = s
+    latest = np.maximum.accumulate(np.where(strong, at, -1))
+    last = np.where(latest >= 0, kinds[latest], own)
+    kinds = np.where((kinds == _DIGIT) & (last == _LEFT), _LEFT, kinds)
     # Neutrals take the direction of both sides if these agree, else the base's; numbers count as right to left.
-    n, i = len(strong), 0
-    side = lambda s: "L" if s == "L" else "R"
-    while i < n:
-        if strong[i] is None:
-            j = i
-            while j < n and strong[j] is None:
-                j += 1
-            before = side(strong[i - 1]) if i else ("R" if base else "L")
-            after = side(strong[j]) if j < n else ("R" if base else "L")
-            for k in range(i, j):
-                strong[k] = before if before == after else ("R" if base else "L")
-            i = j
-        else:
-            i += 1
-    level = {"L": base if base % 2 == 0 else base + 1, "R": base if base % 2 else base + 1, "N": base + 2 if base % 2 == 0 else base + 1}
-    return [level[s] for s in strong]
-
-
-def _order(levels: list[int]) -> list[int]:
+    side = np.where(kinds == _LEFT, _LEFT, _RIGHT)
+    given = kinds != _NEUTRAL
+    before, after = np.maximum.accumulate(np.where(given, at, -1)), np.minimum.accumulate(np.where(given, at, len(at))[::-1])[::-1]
+    left = np.where(before >= 0, side[before], own)
+    right = np.where(after < len(at), side[np.minimum(after, len(at) - 1)], own)
+    kinds = np.where(given, kinds, np.where(left == right, left, own))
+    return np.array([0, 2 * base, 1, 2], "int32")[kinds]
+
+
+def _order(levels: np.ndarray) -> np.ndarray:
     """Display order: runs are reversed from the highest level down to the lowest odd one."""
-    order = list(range(len(levels)))
-    for level in range(max(levels, default=0), 0, -1):
-        i = 0
-        while i < len(order):
-            j = i
-            while j < len(order) and levels[order[j]] >= level:
-                j += 1
-            order[i:j] = order[i:j][::-1]
-            i = max(j, i + 1)
+    order = np.arange(len(levels), dtype="int32")
+    for level in range(int(levels.max(initial=0)), 0, -1):
+        high = levels[order] >= level
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], high.astype("int8"), [0]])))
+        begin, end = edges[::2], edges[1::2]
+        to = np.arange(len(order))
+        to[high] = np.repeat(begin + end - 1, end - begin) - to[high]
+        order = order[to]
     return order
 
 
 def bidi_levels(text: str) -> Column:
     """The embedding level of each code point; null stays null. Explicit controls count as neutral."""
-    return F.pandas_udf(lambda s: s.map(lambda t: None if t is None else np.array(_levels(t), "int32")), "array<int>")(text)
+    return F.pandas_udf(lambda s: s.map(lambda t: None if t is None else _levels(t)), "array<int>")(text)
 
 
 def display_order(levels: str) -> Column:
     """Logical indices in display order."""
-    return F.pandas_udf(lambda s: s.map(lambda x: None if x is None else np.array(_order(list(x)), "int32")), "array<int>")(levels)
+    return F.pandas_udf(lambda s: s.map(lambda x: None if x is None else _order(np.asarray(x))), "array<int>")(levels)
