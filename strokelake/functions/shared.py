@@ -16,3 +16,8 @@ def checkpoint(frame: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return frame.checkpoint(eager=True)
+
+
+def spread(frame: DataFrame, *keys) -> DataFrame:
+    """The rows dealt by key into as many partitions as the session shuffles into; adaptive execution, which goes by bytes, merges none of them."""
+    return frame.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

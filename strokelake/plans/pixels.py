@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strokelake.functions import pixels
+from strokelake.operators import paint
 
 from .registry import query, table
 
@@ -124,8 +125,6 @@ def linear_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
     stop = lambda at, r, g, b: F.struct(number(at, "double"), number(r, "long"), number(g, "long"), number(b, "long")).cast("struct<at:double,r:bigint,g:bigint,b:bigint>")
     middle = 0.25 + size % 3 * 0.125
     stops = F.array(stop(0.0, k % 256, size * 5, 10), stop(middle, 255 - k % 200, 40, k % 97), stop(middle, 7, 200, size * 3), stop(1.0, k % 50, 255, 128))
-    p = table(spark, sf_dir, "part").select("p_partkey", *[v.cast("double").alias(f"_{n}") for n, v in brush.items()], (k % 5).alias("_mode"), stops.alias("_stops"), F.explode(F.sequence(F.lit(0), F.lit(95))).alias("i"))
-    t = pixels.wrapped(pixels.gradient_parameter(F.col("i") % 12 + 0.5, F.floor(F.col("i") / 12) + 0.5, {n: F.col(f"_{n}") for n in brush}), F.col("_mode"))
-    colors = pixels.gradient_color(F.col("_t"), F.col("_stops"))
-    rows = p.withColumn("_t", t).select("p_partkey", "i", *[v.alias(n) for n, v in colors.items()])
-    return rows.groupBy("p_partkey").agg(*[F.sum(F.col(c).cast("long") * (1 + F.col("i") % 7)).alias(n) for c, n in (("r", "red"), ("g", "green"), ("b", "blue"))])
+    rows = paint.linear_gradients(table(spark, sf_dir, "part").select("p_partkey", *[v.cast("double").alias(n) for n, v in brush.items()], (k % 5).alias("mode"), stops.alias("stops")), ["p_partkey"], 12, 8)
+    weight = 1 + (F.col("py") * 12 + F.col("px")) % 7
+    return rows.groupBy("p_partkey").agg(*[F.sum(F.col(c).cast("long") * weight).alias(n) for c, n in (("r", "red"), ("g", "green"), ("b", "blue"))])

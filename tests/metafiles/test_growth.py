@@ -5,8 +5,10 @@ import random
 import time
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from strokelake.operators import batches, clips, regions, text
+from strokelake.functions import pixels
+from strokelake.operators import batches, clips, paint, regions, text
 
 
 def exchanges(frame):
@@ -120,3 +122,19 @@ def test_bidi_and_double_bytes_in_bulk():
     long, began = "ab אב 12 " * 100_000, time.process_time()
     text._order(text._levels(long)), text._read_double(b"\xa3\xb1a" * 300_000, 936)
     assert time.process_time() - began < 1.5
+
+
+def test_gradients_from_one_shuffle_of_the_brushes(spark):
+    stops = "array(named_struct('at', 0D, 'r', 0L, 'g', 9L, 'b', 255L), named_struct('at', 0.5D, 'r', 100L, 'g', 9L, 'b', 9L), named_struct('at', 0.5D, 'r', 10L, 'g', 7L, 'b', 0L), named_struct('at', 1D, 'r', 20L, 'g', 200L, 'b', 0L))"
+    rows = [(k, float(1 + (k or 0) % 3), 1.0, -1.0, float(k != 4), 2.0, 3.0, 1.0, float(k != 3), (k or 0) % 5) for k in (0, 1, 2, 3, None, 5, 6, 8, 9)] + [(4, 1.0, 1.0, 1.0, 1.0, 0.0, 0.0, 0.0, 5.0, 0)]
+    brushes = spark.createDataFrame(rows, "k int, a double, b double, c double, d double, e double, f double, x double, width double, mode int").withColumn("stops", F.expr(stops))
+    made = paint.linear_gradients(brushes, ["k"], 5, 3)
+    assert exchanges(made) == 1
+    p = brushes.filter("k is null or k not in (3, 4)").select("*", F.explode(F.sequence(F.lit(0), F.lit(14))).alias("i"))
+    t = pixels.wrapped(pixels.gradient_parameter(F.col("i") % 5 + 0.5, F.floor(F.col("i") / 5) + 0.5, {n: F.col(n) for n in "abcdefx"} | {"width": F.col("width")}), F.col("mode"))
+    want = p.withColumn("t", t).select("k", (F.col("i") % 5).alias("px"), F.floor(F.col("i") / 5).cast("int").alias("py"), *[c.alias(n) for n, c in pixels.gradient_color(F.col("t"), F.col("stops")).items()])
+    assert sorted(map(str, made.filter("r is not null").collect())) == sorted(map(str, want.collect()))
+    assert [(r.k, r["count"]) for r in made.filter("r is null").groupBy("k").count().orderBy("k").collect()] == [(3, 15), (4, 15)]
+    cut = paint._Gradients(["k"], 100, 3000)
+    batch = brushes.filter("k = 5").toArrow().to_batches()[0]
+    assert max(b.num_rows for b in cut.run(iter([batch]))) <= paint.PIXELS
