@@ -1,7 +1,11 @@
-"""Device-independent bitmaps, packed as in WMF: heads checked, and rows of pixels unpacked, as native expressions."""
+"""Device-independent bitmaps, packed as in WMF: heads checked by native expressions, and rows of pixels unpacked by whole arrays."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +14,11 @@ from . import binary
 #: Pixels of an image at most.
 IMAGE_PIXELS = 16_000_000
 
+#: Pixels to work on at once.
+PIXELS = 1 << 18
+
+OPAQUE = 0xFF000000
+
 
 def _low(mask: Column) -> Column:
     """The lowest bit of a mask."""
@@ -95,48 +104,105 @@ def pixel_values(row: Column, bits: Column, width: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), width.cast("int") - 1), one)
 
 
-def mask_value(v: Column, mask: Column) -> Column:
-    """The part of a number under a mask, scaled to 0..255 and rounded."""
-    low = _low(mask)
-    most = (mask / low).cast("long")
-    return F.floor(((v.bitwiseAND(mask) / low).cast("long") * 255 + F.floor(most / 2)) / most)
+class _Lines:
+    """Lines of pixels out of the bytes of sound images, by whole arrays; a bounded number of pixels at once."""
+
+    def __init__(self, keys: int, usage: int, names: list[str]):
+        self.keys, self.usage, self.names = keys, usage, names
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, pixels = [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                content, head, logical = (batch.column(self.keys + k)[i] for k in range(3))
+                if not head.is_valid:
+                    continue
+                for y, colors in self.image(np.frombuffer(content.as_buffer(), "uint8"), head.as_py(), logical.as_py()):
+                    made.append((batch, i, y, colors))
+                    pixels += colors.size
+                    if pixels >= PIXELS:
+                        yield self.rows(made)
+                        made, pixels = [], 0
+        if made:
+            yield self.rows(made)
+
+    def rows(self, made: list[tuple]) -> pa.RecordBatch:
+        keys = [pa.concat_arrays([pa.repeat(batch.column(k)[i], len(colors)) for batch, i, _, colors in made]) for k in range(self.keys)]
+        beyond = np.concatenate([(colors < 0).any(axis=1) for *_, colors in made])
+        y = np.concatenate([y + np.arange(len(colors), dtype="int32") for _, _, y, colors in made])
+        ends = np.cumsum(np.concatenate([np.full(len(colors), colors.shape[1]) for *_, colors in made]))
+        places = np.concatenate([[0], ends]).astype("int32")
+        lists = pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate([colors.ravel() for *_, colors in made])), mask=pa.array(beyond))
+        fault = pa.array(np.where(beyond, "palette index", None), pa.string())
+        arrays = [*keys, pa.array(y, pa.int32()), lists, fault]
+        return pa.RecordBatch.from_arrays(arrays, names=self.names)
+
+    def image(self, data: np.ndarray, d: dict, logical: list | None) -> Iterator[tuple[int, np.ndarray]]:
+        """The first line and the colours of some lines at a time; -1 stands for numbers beyond the palette."""
+        bits, width, height, stride = d["bits"], d["width"], d["height"], d["stride"]
+        lines = data[d["pixels_at"] : d["pixels_at"] + stride * height].reshape(height, stride)
+        lines = lines if d["top_down"] else lines[::-1]
+        palette = self.palette(data, d, logical) if bits <= 8 else None
+        step = max(1, PIXELS // width)
+        for y in range(0, height, step):
+            v = _numbers(lines[y : y + step], bits, width)
+            if bits <= 8:
+                yield y, palette[v]
+            elif bits == 24:
+                yield y, v | OPAQUE
+            else:
+                red, green, blue, alpha = (_scaled(v, m) if m else None for m in d["masks"])
+                yield y, (OPAQUE if alpha is None else alpha << 24) + (red << 16) + (green << 8) + blue
+
+    def palette(self, data: np.ndarray, d: dict, logical: list | None) -> np.ndarray:
+        out = np.full(256, -1, "int64")
+        named = np.array([-1 if c is None else c for c in logical or []], "int64")
+        entries = data[d["palette_at"] : d["palette_at"] + d["colors"] * d["entry"]].reshape(d["colors"], d["entry"]).astype("int64")
+        if self.usage == 2:
+            found = named[:256]
+        elif self.usage == 1:
+            number = entries[:, 0] + entries[:, 1] * 256
+            found = np.where(number < len(named), np.append(named, -1)[np.minimum(number, len(named))], -1)
+        else:
+            found = OPAQUE + entries[:, 0] + entries[:, 1] * 256 + entries[:, 2] * 65536
+        out[: len(found)] = found
+        return out
+
+
+def _numbers(lines: np.ndarray, bits: int, width: int) -> np.ndarray:
+    """The first ``width`` numbers of 1, 4, 8, 16, 24 or 32 bits of each line."""
+    if bits == 1:
+        return np.unpackbits(lines, axis=1)[:, :width]
+    if bits == 4:
+        return np.stack([lines >> 4, lines & 15], axis=2).reshape(len(lines), -1)[:, :width]
+    if bits == 8:
+        return lines[:, :width]
+    if bits == 24:
+        v = lines[:, : 3 * width].reshape(len(lines), width, 3).astype("int64")
+        return v[..., 0] | v[..., 1] << 8 | v[..., 2] << 16
+    return np.ascontiguousarray(lines[:, : bits // 8 * width]).view(f"<u{bits // 8}").astype("int64")
+
+
+def _scaled(v: np.ndarray, mask: int) -> np.ndarray:
+    """The part of numbers under a mask, scaled to 0..255 and rounded."""
+    low = mask & -mask
+    most = mask // low
+    part = (v & mask) // low
+    return part if most == 255 else (part * 255 + most // 2) // most
 
 
 def pixel_rows(images: DataFrame, keys: list[str], content_col: str = "content", usage: int = 0, logical_col: str | None = None) -> DataFrame:
     """``keys, y, colors, fault``: one row a line of each image from the top down, its pixels as 0xAARRGGBB.
 
-    A line is cut out of the bytes, so an image is spread over as many rows as it has lines. Palettes hold up to 256 colours; a number
-    beyond the palette makes the line's ``fault`` ``palette index`` and its colours null. Images with a fault give no lines.
+    An image is spread over as many rows as it has lines. Palettes hold up to 256 colours; a number beyond the palette makes the
+    line's ``fault`` ``palette index`` and its colours null. Images with a fault give no lines.
     """
-    c = F.col(content_col)
     sound = heads(images, content_col, usage, logical_col)
-    d = F.col("dib")
-    listed = binary.byte_values(F.substring(c, (d["palette_at"] + 1).cast("int"), (d["colors"] * d["entry"]).cast("int")))
-    opaque = F.lit(0xFF000000)
-    entry = lambda i: F.get("_bytes", i)
-    color = lambda i: opaque + entry((i * d["entry"]).cast("int")) + entry((i * d["entry"] + 1).cast("int")) * 256 + entry((i * d["entry"] + 2).cast("int")) * 65536
-    number = lambda i: entry(2 * i) + entry(2 * i + 1) * 256
-    each = F.sequence(F.lit(0), F.greatest(d["colors"], F.lit(1)).cast("int") - 1)
-    if usage == 2:
-        palette = F.col(logical_col)
-    elif usage == 1:
-        palette = F.transform(each, lambda i: F.get(F.col(logical_col), number(i)))
-    else:
-        palette = F.transform(each, color)
-    few = d["bits"] <= 8
-    rows = sound.withColumn("_bytes", F.when(few, listed)).withColumn("_palette", F.when(few, palette))
-    # The generator leaves images with a fault out; a filter would be pushed below the projections with copies of their expressions.
-    rows = rows.withColumn("y", F.explode(F.when(d.isNotNull(), F.sequence(F.lit(0), d["height"].cast("int") - 1))))
-    line = F.when(d["top_down"], F.col("y")).otherwise(d["height"] - 1 - F.col("y"))
-    rows = rows.withColumn("_row", binary.byte_values(F.substring(c, (d["pixels_at"] + line * d["stride"] + 1).cast("int"), d["stride"].cast("int"))))
-    rows = rows.withColumn("_values", pixel_values(F.col("_row"), d["bits"], d["width"]))
-    mask = lambda i: F.get(d["masks"], F.lit(i))
-    alpha = lambda v: F.when(mask(3) == 0, 255).otherwise(mask_value(v, F.when(mask(3) == 0, 1).otherwise(mask(3))))
-    masked = lambda v: alpha(v) * (1 << 24) + mask_value(v, mask(0)) * 65536 + mask_value(v, mask(1)) * 256 + mask_value(v, mask(2))
-    colors = F.when(few, F.transform("_values", lambda v: F.get("_palette", v.cast("int")).cast("long"))).when(d["bits"] == 24, F.transform("_values", lambda v: v + opaque)).otherwise(F.transform("_values", masked))
-    rows = rows.withColumn("_colors", colors)
-    beyond = F.exists("_colors", lambda v: v.isNull())
-    return rows.select(*keys, "y", F.when(~beyond, F.col("_colors")).alias("colors"), F.when(beyond, "palette index").alias("fault"))
+    logical = F.col(logical_col).cast("array<bigint>") if logical_col else F.lit(None).cast("array<bigint>")
+    # Images with a fault go as nulls; a filter would be pushed below the projections with copies of their expressions.
+    given = sound.select(*keys, F.when(F.col("dib").isNotNull(), F.col(content_col)).alias("_content"), "dib", logical.alias("_logical"))
+    kinds = [f"{k} {images.schema[k].dataType.simpleString()}" for k in keys]
+    return given.mapInArrow(_Lines(len(keys), usage, [*keys, "y", "colors", "fault"]).run, ", ".join([*kinds, "y int, colors array<bigint>, fault string"]))
 
 
 def mono_rows(images: DataFrame, keys: list[str], content_col: str = "content") -> DataFrame:

@@ -52,7 +52,7 @@ _BYTE = "((instr('0123456789ABCDEF', substr(hx, 2 * ({i}) + 1, 1)) - 1) * 16 + i
 def dib_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels of bitmaps of all depths, headers, masks and orders of lines; sums weigh each pixel by its place."""
     rows = dib.pixel_rows(_images(spark, sf_dir), ["doc_id"])
-    weight = lambda x: 1 + (x + 7 * F.col("y")) % 11
-    part = lambda shift: F.aggregate(F.transform("colors", lambda v, x: F.shiftright(v, shift).bitwiseAND(F.lit(255).cast("long")) * weight(x)), F.lit(0).cast("long"), lambda a, v: a + v)
-    lines = rows.select("doc_id", F.size("colors").alias("n"), *[part(s).alias(c) for c, s in (("red", 16), ("green", 8), ("blue", 0), ("alpha", 24))])
-    return lines.groupBy("doc_id").agg(F.sum("n").alias("n_pixels"), *[F.sum(c).alias(c) for c in ("red", "green", "blue", "alpha")])
+    pixels = rows.select("doc_id", "y", F.posexplode("colors").alias("x", "v"))
+    weight = 1 + (F.col("x") + 7 * F.col("y")) % 11
+    part = lambda shift: F.sum(F.shiftright("v", shift).bitwiseAND(F.lit(255).cast("long")) * weight)
+    return pixels.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pixels"), *[part(s).alias(c) for c, s in (("red", 16), ("green", 8), ("blue", 0), ("alpha", 24))])

@@ -7,7 +7,7 @@ import time
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from strokelake.functions import pixels
+from strokelake.functions import dib, pixels
 from strokelake.operators import batches, clips, paint, regions, text
 
 
@@ -138,3 +138,27 @@ def test_gradients_from_one_shuffle_of_the_brushes(spark):
     cut = paint._Gradients(["k"], 100, 3000)
     batch = brushes.filter("k = 5").toArrow().to_batches()[0]
     assert max(b.num_rows for b in cut.run(iter([batch]))) <= paint.PIXELS
+
+
+def test_lines_of_bitmaps_by_whole_arrays(spark):
+    rng = random.Random(6)
+    w, h = 37, 9
+    for bits in (1, 4, 8, 16, 24, 32):
+        stride = (w * bits + 31) // 32 * 4
+        data = rng.randbytes(stride * h)
+        head = {"width": w, "height": h, "stride": stride, "top_down": bits == 8, "bits": bits, "masks": [0x7C00, 0x3E0, 0x1F, 0] if bits == 16 else [0x3FF00000, 0xFFC00, 0x3FF, 0xC0000000], "colors": 1 << bits if bits < 9 else 0, "entry": 4, "palette_at": 2, "pixels_at": 2 + (4 << bits if bits < 9 else 0)}
+        colors = rng.randbytes(4 << bits) if bits < 9 else b""
+        made = list(dib._Lines(1, 0, []).image(dib.np.frombuffer(b"xx" + colors + data, "uint8"), head, None))
+        for y, x in itertools.product(range(h), range(w)):
+            line = data[(y if bits == 8 else h - 1 - y) * stride :]
+            v = int.from_bytes(line[:stride], "little") >> (x * bits) & (1 << bits) - 1
+            if bits < 8:
+                v = line[x * bits // 8] >> 8 - bits - x * bits % 8 & (1 << bits) - 1
+            scaled = lambda at, most: ((v >> at & most) * 255 + most // 2) // most
+            want = {16: lambda: (255, scaled(10, 31), scaled(5, 31), scaled(0, 31)), 24: lambda: (255, v >> 16, v >> 8 & 255, v & 255), 32: lambda: (scaled(30, 3), scaled(20, 1023), scaled(10, 1023), scaled(0, 1023))}.get(bits, lambda: (255, *colors[4 * v : 4 * v + 3][::-1]))()
+            assert int(made[0][1][y, x]) == int.from_bytes(bytes(want), "big"), (bits, x, y)
+    # An image of more pixels than are held at once comes in several batches.
+    content = (40).to_bytes(4, "little") + (16000).to_bytes(4, "little") + (50).to_bytes(4, "little") + (1).to_bytes(2, "little") + (8).to_bytes(2, "little") + bytes(24) + bytes(1024) + bytes(16000 * 50)
+    head = dib.heads(spark.createDataFrame([(1, bytearray(content))], "k int, content binary")).select("k", "content", "dib", F.lit(None).cast("array<bigint>").alias("l")).toArrow().to_batches()
+    parts = list(dib._Lines(1, 0, ["k", "y", "colors", "fault"]).run(iter(head)))
+    assert len(parts) == 2 and sum(p.num_rows for p in parts) == 50 and [y for p in parts for y in p.column(1).to_pylist()] == list(range(50))
