@@ -1,12 +1,13 @@
-"""Ordered per-file state over records: windows where the latest record tells, segmented scans where a stack is the state."""
+"""Ordered per-file state over records: windows where the latest record tells; where a stack is the state, files are stepped through, long ones by segmented scans."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from . import scan
+from . import replay, scan
 
 
 def _over(keys: list[str], order: list[str]):
@@ -22,6 +23,88 @@ def running(value: Column, keys: list[str], order: list[str]) -> Column:
     return F.sum(value).over(_over(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
+class _Values:
+    """A value with saved states; with ``levels`` a restore names its level, and a file ends with its first fault."""
+
+    def __init__(self, initial: int, levels: bool = False, most: int = 0):
+        self.initial, self.levels, self.most = initial, levels, most
+
+    def begin(self) -> None:
+        self.value, self.stack, self.ended = self.initial, [], False
+
+    def step(self, op: str | None, value: int | None, level: int | None = None) -> tuple | None:
+        if self.ended:
+            return None
+        stack, fault = self.stack, None
+        if op == "save":
+            if self.levels and len(stack) >= self.most:
+                fault = "saved states"
+            else:
+                stack.append(self.value)
+        elif op == "restore":
+            if self.levels:
+                to = -1 if not level else len(stack) + level if level < 0 else level - 1
+                if 0 <= to < len(stack):
+                    self.value = stack[to]
+                    del stack[to:]
+                else:
+                    fault = "restore level"
+            elif stack:
+                self.value = stack.pop()
+        elif op == "set":
+            self.value = value
+        if fault:
+            self.ended = True
+            return None, None, fault
+        return (self.value, len(stack), None) if self.levels else (self.value, len(stack))
+
+
+def _product(x: tuple | None, y: tuple | None) -> tuple | None:
+    """First x, then y; null where either is."""
+    if x is None or y is None:
+        return None
+    a, b, c, d, e, f = x
+    p, q, r, s, t, u = y
+    return a * p + b * r, a * q + b * s, c * p + d * r, c * q + d * s, e * p + f * r + t, e * q + f * s + u
+
+
+class _Transforms:
+    """World and container matrix of EMF+ records, with saves and containers told by their index."""
+
+    ONE = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
+
+    def begin(self) -> None:
+        self.world, self.container, self.stack, self.ended = self.ONE, self.ONE, [], False
+
+    def step(self, op: str | None, index: int | None, *m: float | None) -> tuple | None:
+        if self.ended:
+            return None
+        m = None if None in m else m
+        if op == "before":
+            self.world = _product(m, self.world)
+        elif op == "after":
+            self.world = _product(self.world, m)
+        elif op == "set":
+            self.world = m
+        elif op == "reset":
+            self.world = self.ONE
+        elif op in ("save", "begin"):
+            self.stack.append(((index, op == "begin"), self.world, self.container))
+            if op == "begin":
+                self.world, self.container = self.ONE, _product(_product(m or self.ONE, self.world), self.container)
+        elif op in ("restore", "end"):
+            key, k = (index, op == "end"), len(self.stack) - 1
+            while k >= 0 and (index is None or self.stack[k][0] != key):
+                k -= 1
+            if k < 0:
+                self.ended = True
+                return None, None, None, "saved state index"
+            _, self.world, self.container = self.stack[k]
+            del self.stack[k:]
+        named = lambda x: None if x is None else dict(zip("abcdef", x))
+        return named(self.world), named(self.container), len(self.stack), None
+
+
 def _values(rows: DataFrame, keys: list[str], position: str, op: Column, pops: Column, value: Column, initial: int, block: int) -> DataFrame:
     """Adds ``state`` and ``depth`` after each row: ``save`` pushes the value, ``pops`` entries are popped, ``set`` changes it."""
     saves = F.when(op == "save", F.array(F.struct(F.lit(0).cast("bigint").alias("key"), scan.keep().alias("value")))).otherwise(F.array().cast(f"array<struct<key:bigint,value:{scan.SET}>>"))
@@ -34,10 +117,16 @@ def _values(rows: DataFrame, keys: list[str], position: str, op: Column, pops: C
 def save_restore(rows: DataFrame, keys: list[str], position: str, op_col: str, value_col: str, initial: int = 0, block: int = scan.BLOCK) -> DataFrame:
     """Adds ``state`` and ``depth`` after each row: ``save`` pushes the value, ``restore`` pops it (nothing if none is saved), ``set`` changes it.
 
-    A file's records are summed up by blocks, so it may have any number of them. Which restores find a saved value is known from
-    the running balance less its least value so far; then what each block does to value and stack is combined. ``position`` counts from 0
-    up, with gaps as it likes; a null operation changes nothing.
+    A file may have any number of records: short ones are stepped through, those of long ones summed up by blocks. There, which restores find a saved
+    value is known from the running balance less its least value so far; then what each block does to value and stack is combined.
+    ``position`` counts from 0 up, with gaps as it likes; a null operation changes nothing.
     """
+    added = StructType.fromDDL("state bigint, depth int")
+    long = lambda part: _save_restore(part, keys, position, op_col, value_col, initial, block)
+    return replay.replay(rows, keys, position, _Values(initial), [F.col(op_col), F.col(value_col).cast("bigint")], added, long, block * replay.SHORT_BLOCKS)
+
+
+def _save_restore(rows: DataFrame, keys: list[str], position: str, op_col: str, value_col: str, initial: int, block: int) -> DataFrame:
     op = F.col(op_col)
     step = F.when(op == "save", 1).when(op == "restore", -1).otherwise(0).cast("bigint")
     balance = scan.scan(rows, keys, position, F.struct(step.alias("sum"), F.least(step, F.lit(0).cast("bigint")).alias("low")), lambda a, b: F.struct((a["sum"] + b["sum"]).alias("sum"), F.least(a["low"], a["sum"] + b["low"]).alias("low")), block)
@@ -56,6 +145,13 @@ def restore_levels(rows: DataFrame, keys: list[str], position: str, op_col: str,
     A level under 0 counts back from the latest saved state, one over 0 from the first. A level of no saved state (0 included)
     is the fault ``restore level``, a save beyond ``most`` states ``saved states``; state and depth are null there, and later rows are left out.
     """
+    added = StructType.fromDDL("state bigint, depth int, fault string")
+    inputs = [F.col(op_col), F.col(value_col).cast("bigint"), F.col(level_col).cast("bigint")]
+    long = lambda part: _restore_levels(part, keys, position, op_col, value_col, level_col, initial, most, block)
+    return replay.replay(rows, keys, position, _Values(initial, True, most), inputs, added, long, block * replay.SHORT_BLOCKS)
+
+
+def _restore_levels(rows: DataFrame, keys: list[str], position: str, op_col: str, value_col: str, level_col: str, initial: int, most: int, block: int) -> DataFrame:
     op, level = F.col(op_col), F.col(level_col).cast("bigint")
     back = (op == "restore") & (level < 0)
     count = F.struct(((op == "restore") & (level > 0)).alias("fixed"), F.when(op == "save", 1).when(back, level).when(op == "restore", level - 1).otherwise(0).cast("bigint").alias("by"))
@@ -82,6 +178,13 @@ def plus_transforms(rows: DataFrame, keys: list[str], position: str, op_col: str
     back to the latest save or container of its index, whatever stands above it; without one it is the fault ``saved state
     index``, which ends the file: its values are null, and later rows are left out.
     """
+    added = StructType.fromDDL(f"world {scan.MATRIX}, container {scan.MATRIX}, depth int, fault string")
+    inputs = [F.col(op_col), F.col(index_col).cast("bigint"), *[F.col(matrix_col)[n].cast("double") for n in "abcdef"]]
+    long = lambda part: _plus_transforms(part, keys, position, op_col, index_col, matrix_col, block)
+    return replay.replay(rows, keys, position, _Transforms(), inputs, added, long, block * replay.SHORT_BLOCKS)
+
+
+def _plus_transforms(rows: DataFrame, keys: list[str], position: str, op_col: str, index_col: str, matrix_col: str, block: int) -> DataFrame:
     op, m, index = F.col(op_col), F.col(matrix_col), F.col(index_col).cast("bigint")
     one = scan.identity_matrix()
     cur = F.when(op == "set", scan.change(m, fixed=True)).when(op == "reset", scan.change(fixed=True)).when(op == "before", scan.change(m)).when(op == "after", scan.change(None, m))

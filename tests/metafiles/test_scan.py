@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strokelake.operators import scan, state
+from strokelake.operators import replay, scan, state
 
 
 def made(n, seed, ops, gaps=2):
@@ -118,3 +118,24 @@ def test_world_and_container_matrices(spark, block):
         want[at] = (None, None, None, fault) if fault else (world, box, len(stack), None)
     found = {r.at: (r.world and tuple(r.world), r.container and tuple(r.container), r.depth, r.fault) for r in got.collect()}
     assert found == want and len(want) > 20
+
+
+def test_short_files_are_stepped_through_and_long_ones_scanned(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(k, i, rng.choice(["save", "save", "save", "restore", "set", "before", "after", "begin", None]), rng.randint(0, 9), -1, i % 2, (0.0, 1.0, -1.0, 0.0, float(i), 1.0)) for k, n in ((0, 60), (1, 9), (None, 40), (None, 0)) for i in range(n)]
+    frame = spark.createDataFrame(rows, f"k int, at long, op string, v long, n int, idx int, m {scan.MATRIX}").repartition(3)
+    runs = (
+        lambda: state.save_restore(frame, ["k"], "at", "op", "v", 5, 6),
+        lambda: state.restore_levels(frame, ["k"], "at", "op", "v", "n", 5, 1024, 6),
+        lambda: state.plus_transforms(frame, ["k"], "at", "op", "idx", "m", 6),
+    )
+    for run in runs:
+        made = run()
+        # One shuffle, and no interpreted loops over blocks.
+        assert made._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+        found = []
+        for blocks in (512, 5, 0):
+            monkeypatch.setattr(replay, "SHORT_BLOCKS", blocks)
+            found.append(sorted(str(r).replace("=-0.0", "=0.0") for r in run().select(*made.columns).collect()))
+        monkeypatch.undo()
+        assert found[0] == found[1] == found[2] and len(found[0]) > 20
