@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from . import binary
+from pyspark.sql.types import StructType
 
 # Record types of the published formats, with their fields from the first byte after the record's head.
 # A field is name:kind; kinds are u8, i16, u16, i32, u32 and f32.
@@ -293,29 +297,72 @@ def layout_rows() -> list[tuple]:
     return [row for form, text in (("WMF", WMF), ("EMF", EMF), ("EMF+", EMFPLUS)) for row in _placed(form, text)]
 
 
+class _Decoder:
+    """Names and fields of records, a batch at a time: the values of one field of all records of a type are read at once."""
+
+    def __init__(self, form: int, kind: int, raw: int, names: list[str]):
+        self.at, self.names = (form, kind, raw), names
+        rows, bare = layout_rows(), {code: fields for _, code, _, fields in _placed("WMF", WMF_BARE)}
+        self.layouts = [(name, fields) for *_, name, fields in rows]
+        self.ids = {(form, code % 256 if form == "WMF" else code): k for k, (form, code, *_) in enumerate(rows)}
+        self.bare = {}
+        for k, (form, code, name, _) in enumerate(rows):
+            if form == "WMF" and code in bare:
+                self.bare[k] = len(self.layouts)
+                self.layouts.append((name, bare[code]))
+        self.labels = sorted({label for _, fields in self.layouts for label, *_ in fields})
+        self.places = {label: k for k, label in enumerate(self.labels)}
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            form, kind, raw = (batch.column(k) for k in self.at)
+            ids = self.types(form, kind, raw)
+            name = pa.array([n for n, _ in self.layouts]).take(pa.array(ids, mask=ids < 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, name, self.fields(ids, raw)], names=self.names)
+
+    def types(self, form: pa.Array, kind: pa.Array, raw: pa.Array) -> np.ndarray:
+        """The number of each record's layout; -1 for unknown types."""
+        known = ~np.asarray(pc.is_null(kind)) & ~np.asarray(pc.is_null(form))
+        code, ids = np.asarray(pc.fill_null(kind, 0)).astype("int64"), np.full(len(kind), -1)
+        for name in pc.unique(form).to_pylist():
+            mine = known & np.asarray(pc.fill_null(pc.equal(form, name), False)) if name is not None else np.zeros(len(kind), bool)
+            codes, which = np.unique(np.fmod(code[mine], 256) if name == "WMF" else code[mine], return_inverse=True)
+            ids[mine] = np.array([self.ids.get((name, c), -1) for c in codes.tolist()], "int64")[which]
+        fits = np.asarray(pc.fill_null(pc.binary_length(raw), -1)) == 2 * ((code >> 8) + 3)
+        for k, other in self.bare.items():
+            ids[(ids == k) & fits] = other
+        return ids
+
+    def fields(self, ids: np.ndarray, raw: pa.Array) -> pa.MapArray:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(raw), 0)).astype("int64")
+        starts = np.cumsum(sizes) - sizes
+        data = np.frombuffer(b"".join(v.as_buffer() for v in raw if v.is_valid) + bytes(4), "uint8")
+        counts = np.where(ids < 0, 0, np.array([len(f) for _, f in self.layouts])[ids])
+        ends = np.cumsum(counts)
+        keys, values, none = np.zeros(ends[-1] if len(ends) else 0, "int32"), np.zeros(ends[-1] if len(ends) else 0), np.zeros(ends[-1] if len(ends) else 0, bool)
+        order = np.argsort(ids, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(ids[order])) + 1):
+            if not len(part) or ids[part[0]] < 0:
+                continue
+            for j, (label, kind, at) in enumerate(self.layouts[ids[part[0]]][1]):
+                to, size = ends[part] - counts[part] + j, _SIZES[kind]
+                inside = sizes[part] >= at + size
+                place = np.where(inside, starts[part] + at, 0)
+                bytes_ = np.stack([data[place + k] for k in range(size)], axis=1)
+                value = bytes_.view(f"<{kind[0]}{size}").ravel().astype("float64")
+                keys[to], values[to], none[to] = self.places[label], value, ~inside | ~np.isfinite(value)
+        offsets = pa.array(np.append(0, ends).astype("int32"), mask=np.append(ids < 0, False))
+        return pa.MapArray.from_arrays(offsets, pa.array(self.labels).take(pa.array(keys)), pa.array(values, mask=none))
+
+
 def decode(records: DataFrame) -> DataFrame:
     """Adds ``name`` and ``fields`` (map of double) to records; null where the type is unknown, no fields where none are fixed.
 
     WMF types are told by their low byte, as writers vary the parameter count in the high byte; their transfers have another
     layout where the record's size leaves no place for a bitmap. A field beyond the end of the record is null.
     """
-    spark = records.sparkSession
-    bare = {code: fields for _, code, _, fields in _placed("WMF", WMF_BARE)}
-    rows = [(form, code, name, fields, bare.get(code) if form == "WMF" else None) for form, code, name, fields in layout_rows()]
-    field = "array<struct<label: string, kind: string, at: int>>"
-    table = spark.createDataFrame(rows, f"format string, code int, name string, layout {field}, bare {field}")
-    table = table.withColumn("_code", F.when(F.col("format") == "WMF", F.col("code") % 256).otherwise(F.col("code"))).drop("code")
-    rows = records.withColumn("_code", F.when(F.col("format") == "WMF", F.col("type") % 256).otherwise(F.col("type")))
-    raw = F.col("raw")
-
-    def read(s):
-        return F.when(s["kind"] == "u8", binary.unsigned(raw, s["at"], 1)).when(s["kind"] == "i16", binary.signed(raw, s["at"], 2)).when(s["kind"] == "u16", binary.unsigned(raw, s["at"], 2)).when(s["kind"] == "i32", binary.signed(raw, s["at"], 4)).when(s["kind"] == "u32", binary.unsigned(raw, s["at"], 4)).cast("double")
-
-    value = lambda s: F.when(s["kind"] == "f32", binary.real32(raw, s["at"])).otherwise(read(s))
-    found = rows.join(F.broadcast(table), ["format", "_code"], "left")  # the table is fixed and small
-    layout = F.when(F.col("bare").isNotNull() & (F.octet_length(raw) / 2 == F.shiftright("type", 8) + 3), F.col("bare")).otherwise(F.col("layout"))
-    fields = F.map_from_entries(F.transform(layout, lambda s: F.struct(s["label"].alias("key"), value(s).alias("value"))))
-    return found.withColumn("fields", fields).select(*records.columns, "name", "fields")
+    kind = StructType([*records.schema.fields, *StructType.fromDDL("name string, fields map<string, double>").fields])
+    return records.mapInArrow(_Decoder(*[records.columns.index(c) for c in ("format", "type", "raw")], kind.names).run, kind)
 
 
 #: (format, names, test of the fields, fault): what the decoder refuses beyond sizes.

@@ -177,10 +177,12 @@ def decode_record_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     skipped = {("EMF", 1), ("EMF", 14), ("EMF", 70), ("EMF+", 0x4001), ("EMF+", 0x4002)}
     types = sorted((form, code) for form, code, _, fields in layouts.layout_rows() if fields and (form, code) not in skipped)
     listed = spark.createDataFrame([(k, form, code, _BYTES[form]) for k, (form, code) in enumerate(types)], "_k int, format string, type int, size int")
-    at = F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda j: F.when(j % 4 == 3, 64 + 128 * ((F.col("event_id") + j) % 2)).otherwise((F.col("event_id") * 37 + j * 101 + 13) % 256))
+    at = F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda j: F.when(j % 4 == 3, 64 + 128 * ((F.col("_m") + j) % 2)).otherwise((F.col("_m") * 37 + j * 101 + 13) % 256))
     raw = F.unhex(F.array_join(F.transform(at, lambda b: F.lpad(F.hex(b.cast("long")), 2, "0")), ""))
-    e = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % len(types)).cast("int").alias("_k")).join(F.broadcast(listed), "_k")  # a row for each type
-    fields = layouts.decode(e.select("format", "type", raw.alias("raw"))).select("format", F.col("type").alias("code"), F.explode("fields").alias("label", "value"))
+    # The bytes of a record go by its type and its event's id modulo 256, so each such pair is written once.
+    written = listed.crossJoin(spark.range(256).select(F.col("id").alias("_m"))).select("_k", "_m", "format", "type", raw.alias("raw"))
+    e = table(spark, sf_dir, "events").select((F.col("event_id") % len(types)).cast("int").alias("_k"), (F.col("event_id") % 256).alias("_m")).join(F.broadcast(written), ["_k", "_m"])
+    fields = layouts.decode(e.select("format", "type", "raw")).select("format", F.col("type").alias("code"), F.explode("fields").alias("label", "value"))
     scaled = (F.col("value") * (1 << 22)).cast("long")
     return fields.groupBy("format", "code", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(scaled, F.lit(1000003))).alias("total"), F.count_if(scaled < 0).alias("n_negative"))
 
