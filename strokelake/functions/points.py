@@ -1,9 +1,15 @@
-"""Points of records of variable size, read natively: counts first, then coordinates, never beyond the record's end."""
+"""Points of records of variable size: counts first, then coordinates, never beyond the record's end."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import binary
 
@@ -23,38 +29,53 @@ def _many(n: Column, f) -> Column:
     return F.slice(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)).cast("int") - 1), f), F.lit(1), n.cast("int"))
 
 
-def _split(form: str, layout: tuple) -> Column:
-    """The polygons of a record of one layout; null where they don't fit."""
-    groups_at, points_at, at, count_width, width = layout
-    raw, number = F.col("raw"), 4 if form == "EMF" else 2
-    if groups_at is None:
-        counts, first = F.array(binary.unsigned(raw, points_at, number)), F.lit(at).cast("long")
-    else:
-        groups = binary.unsigned(raw, groups_at, number)
-        fits = groups * count_width + at <= F.octet_length(raw)
-        counts = F.when(fits, _many(groups, lambda i: binary.unsigned(raw, at + i * count_width, count_width)))
-        first = at + groups * count_width
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, n: a + n)
-    whole = first + total * 2 * width <= F.octet_length(raw)
-
-    def point(i):
-        return F.struct(binary.signed(raw, first + i * 2 * width, width).alias("x"), binary.signed(raw, first + i * 2 * width + width, width).alias("y"))
-
-    def before(k):
-        return F.aggregate(F.slice(counts, F.lit(1), k), F.lit(0).cast("long"), lambda a, n: a + n)
-
-    all_points = _many(total, point)
-    return F.when(whole, F.transform(counts, lambda n, k: F.slice(all_points, (before(k) + 1).cast("int"), n.cast("int"))))
+class _Polygons:
+    """Polygons of records, a batch at a time; null for other types and where counts don't fit the record."""
+
+    def __init__(self, form: int, kind: int, raw: int, names: list[str]):
+        self.form, self.kind, self.raw, self.names = form, kind, raw, names
+        self.layouts = {("WMF", t): x for t, x in WMF_POLY.items()} | {("EMF", t): x for t, x in EMF_POLY.items()}
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read = [self.read(*row) for row in zip(batch.column(self.form).to_pylist(), batch.column(self.kind).to_pylist(), batch.column(self.raw))]
+            counts = np.concatenate([np.zeros(0, "int64"), *[c for c, _ in filter(None, read)]])
+            places = np.concatenate([np.zeros((0, 2), "int64"), *[p for _, p in filter(None, read)]])
+            point = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(places[:, k])) for k in (0, 1)], ["x", "y"])
+            polygons = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype("int32")), point)
+            ends = np.append(0, np.cumsum([len(r[0]) if r else 0 for r in read])).astype("int32")
+            listed = pa.ListArray.from_arrays(pa.array(ends), polygons, mask=pa.array([r is None for r in read], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, listed], names=self.names)
+
+    def read(self, form: str | None, kind: int | None, value) -> tuple[np.ndarray, np.ndarray] | None:
+        """How many points each polygon has, and the points of all."""
+        layout = self.layouts.get((form, math.fmod(kind, 256) if form == "WMF" else kind)) if kind is not None else None
+        if layout is None or not value.is_valid:
+            return None
+        groups_at, points_at, at, count_width, width = layout
+        raw, number = value.as_py(), 4 if form == "EMF" else 2
+        where = points_at if groups_at is None else groups_at
+        if len(raw) < where + number:
+            return None
+        n = int.from_bytes(raw[where : where + number], "little")
+        first = at
+        if groups_at is None:
+            counts = np.array([n], "int64")
+        else:
+            first += n * count_width
+            if first > len(raw):
+                return None
+            counts = np.frombuffer(raw, f"<u{count_width}", n, at).astype("int64")
+        total = int(counts.sum())
+        if first + total * 2 * width > len(raw):
+            return None
+        return counts, np.frombuffer(raw, f"<i{width}", 2 * total, min(first, len(raw) - 1)).astype("int64").reshape(-1, 2) if total else np.zeros((0, 2), "int64")
 
 
 def polygons(records: DataFrame) -> DataFrame:
     """Adds ``polygons``, ``array<array<struct<x, y>>>``, to records of poly types; null for other types and where counts don't fit the record."""
-    out = None
-    for form, table, code in (("WMF", WMF_POLY, F.col("type") % 256), ("EMF", EMF_POLY, F.col("type"))):
-        for layout in sorted(set(table.values()), key=str):
-            here = (F.col("format") == form) & code.isin([t for t, x in table.items() if x == layout])
-            out = F.when(here, _split(form, layout)) if out is None else out.when(here, _split(form, layout))
-    return records.withColumn("polygons", out)
+    kind = StructType([*records.schema.fields, *StructType.fromDDL("polygons array<array<struct<x: bigint, y: bigint>>>").fields])
+    return records.mapInArrow(_Polygons(*[records.columns.index(c) for c in ("format", "type", "raw")], kind.names).run, kind)
 
 
 def let(value: Column, f) -> Column:

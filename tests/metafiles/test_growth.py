@@ -2,12 +2,13 @@
 
 import itertools
 import random
+import struct
 import time
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from strokelake.functions import dib, pixels
+from strokelake.functions import dib, layouts, pixels, points
 from strokelake.operators import batches, clips, paint, regions, text
 
 
@@ -162,3 +163,28 @@ def test_lines_of_bitmaps_by_whole_arrays(spark):
     head = dib.heads(spark.createDataFrame([(1, bytearray(content))], "k int, content binary")).select("k", "content", "dib", F.lit(None).cast("array<bigint>").alias("l")).toArrow().to_batches()
     parts = list(dib._Lines(1, 0, ["k", "y", "colors", "fault"]).run(iter(head)))
     assert len(parts) == 2 and sum(p.num_rows for p in parts) == 50 and [y for p in parts for y in p.column(1).to_pylist()] == list(range(50))
+
+
+def test_records_are_decoded_and_split_without_interpreted_loops(spark):
+    rng = random.Random(9)
+    rows = [(form, code, rng.randbytes(rng.choice([4, 20, 200]))) for form, code, _, _ in layouts.layout_rows() for _ in range(2)] + [("WMF", -1, b""), ("EMF", None, bytes(30)), (None, 3, bytes(30)), ("WMF", 0x0940, bytes(24)), ("WMF", 0x0940, None)]
+    frame = spark.createDataFrame([(*r[:2], r[2] and bytearray(r[2])) for r in rows], "format string, type int, raw binary")
+    made = layouts.decode(frame)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "transform(" not in plan
+    listed = {(form, code % 256 if form == "WMF" else code): (name, fields) for form, code, name, fields in layouts.layout_rows()}
+    bare = {code: fields for _, code, _, fields in layouts._placed("WMF", layouts.WMF_BARE)}
+    codes = {"u8": "<B", "i16": "<h", "u16": "<H", "i32": "<i", "u32": "<I", "f32": "<f"}
+    for r in made.collect():
+        name, fields = listed.get((r.format, r.type % 256 if r.format == "WMF" else r.type), (None, None)) if r.type is not None and r.type >= 0 else (None, None)
+        full = next((c for f, c, n, _ in layouts.layout_rows() if f == "WMF" and n == name and c in bare), None)
+        if full is not None and r.format == "WMF" and r.raw is not None and len(r.raw) == 2 * ((r.type >> 8) + 3):
+            fields = bare[full]
+        want = None if fields is None else {}
+        for label, kind, at in fields or []:
+            v = struct.unpack_from(codes[kind], r.raw, at)[0] if r.raw is not None and at + layouts._SIZES[kind] <= len(r.raw) else None
+            want[label] = None if v is None or v != v or abs(v) == float("inf") else float(v)
+        assert (r.name, r.fields) == (name, want), (r.format, r.type)
+    one = points.polygons(spark.createDataFrame([("WMF", 0x538, bytearray(bytes(6) + b"\x02\0\x01\0\x02\0" + b"\x01\0\xff\xff" * 3)), ("WMF", 0x325, None), ("EMF", 7, bytearray(28))], "format string, type int, raw binary"))
+    assert "transform(" not in one._jdf.queryExecution().executedPlan().toString()
+    assert [r.polygons and [[tuple(p) for p in q] for q in r.polygons] for r in one.collect()] == [[[(1, -1)], [(1, -1)] * 2], None, None]
