@@ -11,9 +11,12 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from strokelake.functions import geometry
 
+from . import replay
+
 #: The context of a record: mapping, position before the record, colours of the selected pen and brush, and modes.
 CONTEXT = {
     "worg_x": 0.0, "worg_y": 0.0, "wext_x": 1.0, "wext_y": 1.0, "vorg_x": 0.0, "vorg_y": 0.0, "vext_x": 1.0, "vext_y": 1.0, "x": 0.0, "y": 0.0,
@@ -123,24 +126,31 @@ def _step(dc: dict, saved: list, objects: dict, free: list, name: str, f: dict)
     return None
 
 
+class _Contexts:
+    """The context before each record of a file."""
+
+    def __init__(self, slots: int):
+        self.slots = slots
+
+    def begin(self) -> None:
+        self.dc, self.saved, self.objects, self.free = dict(CONTEXT), [], {}, list(range(self.slots))
+
+    def step(self, name: str | None, fields: list | None, *_) -> tuple:
+        before = tuple(self.dc.values())
+        fault = _step(self.dc, self.saved, self.objects, self.free, name or "", dict(fields or ()))
+        return len(self.saved), fault, *before
+
+
 def contexts(decoded: DataFrame, slots: int = 4096) -> DataFrame:
     """``file, seq, depth, fault`` and the context before each record of the decoded records ``file, seq, name, fields``.
 
-    A record that can't be applied is reported in ``fault`` and changes nothing.
+    A record that can't be applied is reported in ``fault`` and changes nothing. A task steps through many files, a file of any size in one task.
     """
 
-    def fold(frame):
-        import pandas as pd
-
-        frame = frame.sort_values("seq", ignore_index=True)
-        dc, saved, objects, free, out = dict(CONTEXT), [], {}, list(range(slots)), []
-        for seq, name, fields in zip(frame["seq"], frame["name"], frame["fields"]):
-            before = tuple(dc.values())
-            fault = _step(dc, saved, objects, free, name or "", dict(fields or {}))
-            out.append((frame["file"][0], seq, len(saved), fault, *before))
-        return pd.DataFrame(out, columns=["file", "seq", "depth", "fault", *CONTEXT])
-
-    return decoded.select("file", "seq", "name", "fields").groupBy("file").applyInPandas(fold, SCHEMA)
+    added = StructType.fromDDL(SCHEMA.removeprefix("file string, seq int, "))
+    rows = decoded.select("file", "seq", "name", "fields")
+    played = replay.replay(rows, ["file"], "seq", _Contexts(slots), [F.col("name"), F.col("fields")], added)
+    return played.select("file", "seq", *added.names)
 
 
 def operations(decoded: DataFrame, played: DataFrame, far_edges: bool = False) -> DataFrame:

@@ -52,10 +52,10 @@ class _Files:
             yield pa.RecordBatch.from_arrays([*whole.columns, *[pa.array(c, f.type) for c, f in zip(columns, self.added)]], names=self.names)
 
 
-def replay(rows: DataFrame, keys: list[str], position: str, machine, inputs: list[Column], added: StructType, long: Callable[[DataFrame], DataFrame], most: int) -> DataFrame:
+def replay(rows: DataFrame, keys: list[str], position: str, machine, inputs: list[Column], added: StructType, long: Callable[[DataFrame], DataFrame] | None = None, most: int = 0) -> DataFrame:
     """``rows`` with the columns that a machine adds: ``begin()`` starts a file, ``step(*inputs)`` gives a record's values, or None to leave it out.
 
-    Files of more than ``most`` records are given to ``long``, which must return the same columns. Null keys are a file like any other.
+    Files of more than ``most`` records are given to ``long``, if there is one; it must return the same columns. Null keys are a file like any other.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -67,6 +67,8 @@ def replay(rows: DataFrame, keys: list[str], position: str, machine, inputs: lis
         ordered = spread(part, *keys).sortWithinPartitions(*keys, position)
         return ordered.select("*", *[c.alias(f"_input_{k}") for k, c in enumerate(inputs)]).mapInArrow(files.run, kind)
 
+    if long is None:
+        return short(rows)
     key = F.struct(*keys)
     large = rows.groupBy(key.alias("_file")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select("_file")
     if large.isEmpty():

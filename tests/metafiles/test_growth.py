@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from strokelake.functions import dib, layouts, pixels, points
-from strokelake.operators import batches, clips, paint, regions, text
+from strokelake.operators import batches, clips, paint, play, regions, text
 
 
 def exchanges(frame):
@@ -188,3 +188,11 @@ def test_records_are_decoded_and_split_without_interpreted_loops(spark):
     one = points.polygons(spark.createDataFrame([("WMF", 0x538, bytearray(bytes(6) + b"\x02\0\x01\0\x02\0" + b"\x01\0\xff\xff" * 3)), ("WMF", 0x325, None), ("EMF", 7, bytearray(28))], "format string, type int, raw binary"))
     assert "transform(" not in one._jdf.queryExecution().executedPlan().toString()
     assert [r.polygons and [[tuple(p) for p in q] for q in r.polygons] for r in one.collect()] == [[[(1, -1)], [(1, -1)] * 2], None, None]
+
+
+def test_files_are_played_many_in_a_task(spark):
+    rows = [(f, i, name, {"x": float(i), "y": 1.0}) for f in ("a", None, "b") for i, name in enumerate(["SaveDC", "MoveTo", "SetWindowOrg", None, "LineTo"])]
+    made = play.contexts(spark.createDataFrame(rows, "file string, seq int, name string, fields map<string,double>").repartition(3))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and plan.count("Exchange ") == 1
+    assert sorted((str(r.file), r.seq, r.depth, r.x, r.worg_x) for r in made.collect()) == [(f, i, 1, 1.0 * (i > 1), 2.0 * (i > 2)) for f in ("None", "a", "b") for i in range(5)]
