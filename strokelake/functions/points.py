@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,26 +104,49 @@ def relative_bytes(raw: Column, at: Column, n: Column) -> Column:
     return let(F.slice(tokens, F.lit(1), (2 * n).cast("int")), lambda t: F.when(F.size(t) == 2 * n, F.length(F.array_join(t, ""))))
 
 
+def _relative(raw: bytes, at: int, n: int) -> list[float] | None:
+    """Sums of ``2 n`` steps, x and y by turns, from a byte on."""
+    out, sums, end, k = [], [0.0, 0.0], len(raw), 0
+    while k < 2 * n:
+        if at >= end:
+            return None
+        v = raw[at]
+        at += 1
+        if v < 128:
+            v = v if v < 64 else v - 128
+        elif at >= end:
+            return None
+        else:
+            v = (v - 128) * 256 + raw[at]
+            v = v if v < 1 << 14 else v - (1 << 15)
+            at += 1
+        sums[k & 1] += v
+        out.append(sums[k & 1])
+        k += 1
+    return out
+
+
+def _plus_values(raw: pa.Array, at: pa.Array, n: pa.Array, flags: pa.Array) -> pa.Array:
+    values, ends, none = [], [0], []
+    for data, where, many, flag in zip(raw.to_pylist(), at.to_pylist(), n.to_pylist(), flags.to_pylist()):
+        found = None
+        if data is not None and where is not None and many is not None and many >= 0:
+            flag = flag or 0
+            width = 2 if flag & 0x800 else 4 if flag & 0x4000 else 8
+            if where + many * width <= len(data):
+                found = _relative(data, where, many) if flag & 0x800 else struct.unpack_from(f"<{2 * many}{'h' if width == 4 else 'f'}", data, where)
+        none.append(found is None)
+        values.extend(found or ())
+        ends.append(len(values) // 2)
+    pairs = np.array(values, "float64").reshape(-1, 2)
+    axes = [pa.array(np.ascontiguousarray(pairs[:, k]), mask=~np.isfinite(pairs[:, k])) for k in (0, 1)]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(axes, ["x", "y"]), mask=pa.array(none, pa.bool_()))
+
+
 def plus_points(raw: Column, at: Column, n: Column, flags: Column) -> Column:
     """The ``n`` points of an EMF+ record from a byte on, in the coding that its flags name; null where they don't fit.
 
     Flag 0x0800: steps from point to point, each number in one byte (seven bits) or two (fifteen, first byte with its top bit
-    set); 0x4000: 16-bit integers; else singles. Numbers of one and two bytes are told apart in one pass over the bytes.
+    set); 0x4000: 16-bit integers; else singles. A batch of records is read in one pass over their bytes.
     """
-    size = F.octet_length(raw)
-    fixed = lambda width, read: F.when(at + n * 2 * width <= size, _many(n, lambda i: F.struct(read(at + i * 2 * width).alias("x"), read(at + i * 2 * width + width).alias("y"))))
-    compressed = fixed(2, lambda where: binary.signed(raw, where, 2).cast("double"))
-    single = fixed(4, lambda where: binary.real32(raw, where))
-
-    # One byte below 0x80 holds seven bits, two bytes fifteen; which is which is told by matching from the first on.
-    tokens = F.regexp_extract_all(F.decode(F.substring(raw, (at + 1).cast("int"), size), "ISO-8859-1"), F.lit(r"(?s)[\x00-\x7f]|[\x80-\xff]."), F.lit(0))
-
-    def number(t: Column) -> Column:
-        first = F.ascii(t)
-        long = (first - 128) * 256 + F.ascii(F.substring(t, 2, 1))
-        return F.when(first < 64, first).when(first < 128, first - 128).when(long >= 1 << 14, long - (1 << 15)).otherwise(long).cast("double")
-
-    axis = lambda t, k: running_sums(F.transform(F.filter(t, lambda _, i: i % 2 == k), number))
-    pairs = lambda t: F.zip_with(axis(t, 0), axis(t, 1), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    relative = let(F.slice(tokens, F.lit(1), (2 * n).cast("int")), lambda t: F.when(F.size(t) == 2 * n, pairs(t)))
-    return F.when(flags.bitwiseAND(F.lit(0x800)) != 0, F.when(at + 2 * n <= size, relative)).when(flags.bitwiseAND(F.lit(0x4000)) != 0, compressed).otherwise(single)
+    return F.arrow_udf(_plus_values, "array<struct<x: double, y: double>>")(raw, at.cast("bigint"), n.cast("bigint"), flags.cast("bigint"))
