@@ -128,9 +128,13 @@ def origins(rows: DataFrame, keys: list[str], order: list[str], advance: Column)
     return rows.withColumn("origin", F.coalesce(F.sum(advance).over(before), F.lit(0)))
 
 
-def justify(rows: DataFrame, keys: list[str], order: list[str], extra: Column, breaks: Column) -> DataFrame:
-    """Adds ``share``: a break's part of the extra width; what doesn't divide goes to the first breaks, one unit each."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+def justify(rows: DataFrame, keys: list[str], order: list[str], extra: Column, breaks: Column, rank: Column | None = None) -> DataFrame:
+    """Adds ``share``: a break's part of the extra width; what doesn't divide goes to the first breaks, one unit each.
+
+    ``rank`` is a break's place from 1 on, where the rows have it; otherwise it is counted by a window, which sorts them.
+    """
+    if rank is None:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     whole = F.floor(extra / breaks)
     return rows.withColumn("share", (whole + F.when(rank <= extra - whole * breaks, 1).otherwise(0)).cast("long"))
 

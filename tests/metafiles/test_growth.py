@@ -196,3 +196,20 @@ def test_files_are_played_many_in_a_task(spark):
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroups" not in plan and plan.count("Exchange ") == 1
     assert sorted((str(r.file), r.seq, r.depth, r.x, r.worg_x) for r in made.collect()) == [(f, i, 1, 1.0 * (i > 1), 2.0 * (i > 2)) for f in ("None", "a", "b") for i in range(5)]
+
+
+def test_shares_of_known_places_need_no_window(spark):
+    rows = spark.createDataFrame([(d, k, 10, n) for d, n in ((1, 3), (2, 4)) for k in range(n)], "d int, k int, extra int, breaks int")
+    known = text.justify(rows, ["d"], ["k"], F.col("extra"), F.col("breaks"), F.col("k") + 1)
+    assert "Window" not in known._jdf.queryExecution().executedPlan().toString()
+    assert sorted(known.collect()) == sorted(text.justify(rows, ["d"], ["k"], F.col("extra"), F.col("breaks")).collect())
+    assert [r.share for r in known.orderBy("d", "k").collect()] == [4, 3, 3, 3, 3, 2, 2]
+
+
+def test_points_are_read_in_one_pass(spark):
+    nan = struct.pack("<f", float("nan"))
+    rows = [(bytes([5, 0x80, 200, 0x7F, 3]), 0, 2, 0x800), (b"\x05\x80", 0, 1, 0x800), (b"\x01\0\xff\xff", 0, 1, 0x4000), (nan + bytes(4), 0, 1, None), (b"", 0, 0, 0), (b"", 0, 1 << 40, 0), (None, 0, 1, 0), (b"x" * 9, None, 1, 0)]
+    frame = spark.createDataFrame([(k, r[0] if r[0] is None else bytearray(r[0]), *r[1:]) for k, r in enumerate(rows)], "k int, raw binary, at long, n long, flags int")
+    made = frame.select("k", points.plus_points(F.col("raw"), F.col("at"), F.col("n"), F.col("flags")).alias("p"))
+    assert "regexp" not in made._jdf.queryExecution().executedPlan().toString()
+    assert [r.p and [tuple(x) for x in r.p] for r in made.orderBy("k").collect()] == [[(5.0, 200.0), (4.0, 203.0)], None, [(1.0, -1.0)], [(None, 0.0)], [], None, None, None]
