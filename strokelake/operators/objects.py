@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from strokelake.functions import binary, points
-from strokelake.functions.shared import checkpoint
+from strokelake.functions.shared import checkpoint, spread
 
-from . import scan
+from . import assembly, replay, scan
 
 #: Bytes of an object at most, and what its last fragment may hold beyond its total to fill up four bytes.
 OBJECT_BYTES, FILLING = 16 << 20, 3
+#: Fragments of a file that one task puts together; longer files go to the segmented scans.
+FRAGMENTS = replay.SHORT_BLOCKS * scan.BLOCK
 
 
 def fragments(records: DataFrame) -> DataFrame:
@@ -57,7 +60,7 @@ def _chain(runs: DataFrame, keys: list[str], position: str) -> DataFrame:
         chain = checkpoint(joined.select(*keys, position, "_end", F.col("_then").alias("_next"), (F.col("_begins") | F.coalesce("_told", F.lit(False))).alias("_begins")))
 
 
-def assemble(frags: DataFrame, keys: list[str], position: str, most: int = OBJECT_BYTES) -> tuple[DataFrame, DataFrame]:
+def assemble(frags: DataFrame, keys: list[str], position: str, most: int = OBJECT_BYTES, short: int = FRAGMENTS) -> tuple[DataFrame, DataFrame]:
     """The objects ``keys, first, last, id, type, n_fragments, data`` of fragments ``keys, position, id, type, continued, total, data``, and each file's first fault.
 
     A fragment that isn't continued is an object, or the end of the one that is open. An open object takes every fragment of its number, type
@@ -65,7 +68,28 @@ def assemble(frags: DataFrame, keys: list[str], position: str, most: int = OBJEC
     ``keys, position, fault``: an object number over 63 or a type outside 1 to 9, another fragment while an object is open, one that ends short of the
     total or more than three bytes past it, an empty object, a total of 0 or over ``most``, and an object still open at the end (at its first
     fragment). A file's objects count up to its first fault. Other columns are not read; keys may be null; no fragments give neither.
+    A continued fragment without a total has the total 0. Files of up to ``short`` fragments are put together inside tasks.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    total = F.when(F.col("continued"), F.col("total").cast("bigint"))
+    sound = [F.col(position).cast("bigint").alias("_position"), *[F.coalesce(F.col(c).cast("int"), F.lit(-1)).alias(c) for c in ("id", "type")], F.coalesce("continued", F.lit(False)).alias("continued"), F.coalesce(total, F.lit(0)).alias("total"), F.coalesce("data", F.lit(b"")).alias("data")]
+    few, many = replay.by_length(frags.select(*keys, *sound), keys, short)
+
+    def inside(rows: DataFrame, added: str, faults: bool) -> DataFrame:
+        kind = StructType([*rows.select(*keys).schema.fields, *StructType.fromDDL(added).fields])
+        task = assembly.Assembly(len(keys), most, FILLING, faults, to_arrow_schema(kind))
+        return spread(rows, *keys).sortWithinPartitions(*keys, "_position").mapInArrow(task.run, kind)
+
+    whole = inside(few, "first long, last long, id int, type int, n_fragments int, data binary", False)
+    wrong = inside(few.withColumn("data", F.octet_length("data").cast("bigint")), "position long, fault string", True)
+    if many is None:
+        return whole, wrong
+    long_whole, long_wrong = _segmented(many.withColumnRenamed("_position", position), keys, position, most)
+    return whole.unionByName(long_whole), wrong.unionByName(long_wrong)
+
+
+def _segmented(frags: DataFrame, keys: list[str], position: str, most: int) -> tuple[DataFrame, DataFrame]:
     # Null keys are keys as well: a struct of them is never null.
     named = frags.select(F.struct(*keys).alias("_file"), position, "id", "type", "continued", "total", "data")
     whole, faults = _assemble(named, ["_file"], position, most)
@@ -106,7 +130,7 @@ def _assemble(frags: DataFrame, keys: list[str], position: str, most: int) -> tu
     singles = rows.filter("not continued").join(many.filter("_there").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("last").alias("_last")), [*[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col(position) == F.col("_last")], "left_anti")
     alone = F.when(F.col("_size") == 0, "empty object").when(F.col("_size") > most, "object bytes")
     faults = many.select(*keys, wrong.alias("_f")).filter("_f is not null").select(*keys, "_f.*").unionByName(singles.select(*keys, F.col(position).alias("position"), alone.alias("fault")).filter("fault is not null"))
-    unknown = rows.filter((F.col("id") > 63) | ~F.col("type").between(1, 9)).select(*keys, F.col(position).alias("position"), F.lit("identity").alias("fault"))
+    unknown = rows.filter(~F.col("id").between(0, 63) | ~F.col("type").between(1, 9)).select(*keys, F.col(position).alias("position"), F.lit("identity").alias("fault"))
     faults = faults.unionByName(unknown)
     faults = checkpoint(faults.groupBy(*keys).agg(F.min(F.struct("position", "fault")).alias("_f")).select(*keys, "_f.*"))
     whole = many.filter("_there and _same").select(*keys, "first", "last", "id", "type", F.col("total").alias("_bytes")).unionByName(singles.select(*keys, F.col(position).alias("first"), F.col(position).alias("last"), "id", "type", F.col("_size").alias("_bytes")))

@@ -52,6 +52,17 @@ class _Files:
             yield pa.RecordBatch.from_arrays([*whole.columns, *[pa.array(c, f.type) for c, f in zip(columns, self.added)]], names=self.names)
 
 
+def by_length(rows: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of files of up to ``most`` records, and those of longer ones, or None if there are none. Null keys are a file like any other."""
+    key = F.struct(*keys)
+    large = rows.groupBy(key.alias("_file")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select("_file")
+    if large.isEmpty():
+        return rows, None
+    named = rows.withColumn("_file", key)
+    few, many = (named.join(large, "_file", how).select(*rows.columns) for how in ("left_anti", "left_semi"))
+    return few, many
+
+
 def replay(rows: DataFrame, keys: list[str], position: str, machine, inputs: list[Column], added: StructType, long: Callable[[DataFrame], DataFrame] | None = None, most: int = 0) -> DataFrame:
     """``rows`` with the columns that a machine adds: ``begin()`` starts a file, ``step(*inputs)`` gives a record's values, or None to leave it out.
 
@@ -69,10 +80,5 @@ def replay(rows: DataFrame, keys: list[str], position: str, machine, inputs: lis
 
     if long is None:
         return short(rows)
-    key = F.struct(*keys)
-    large = rows.groupBy(key.alias("_file")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select("_file")
-    if large.isEmpty():
-        return short(rows)
-    named = rows.withColumn("_file", key)
-    few, many = (named.join(large, "_file", how).select(*rows.columns) for how in ("left_anti", "left_semi"))
-    return short(few).unionByName(long(many).select(*kind.names))
+    few, many = by_length(rows, keys, most)
+    return short(few) if many is None else short(few).unionByName(long(many).select(*kind.names))

@@ -23,9 +23,10 @@ def _fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.octet_length("bytes")
     d = d.withColumns({"size": size, "n": F.greatest(F.lit(1), F.ceil(size / F.col("step")))})
     kept = F.col("n") - F.when((F.col("doc_id") % 37 == 5) & (F.col("n") > 1), 1).otherwise(0)
-    rows = d.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), kept - 1)))
-    final = F.col("k") == F.col("n") - 1
-    part = F.substring("bytes", (F.col("k") * F.col("step") + 1).cast("int"), F.col("step").cast("int"))
+    # Only the parts of a text go with its rows, not the text.
+    parts = F.transform(F.sequence(F.lit(0).cast("bigint"), kept - 1), lambda k: F.substring("bytes", (k * F.col("step") + 1).cast("int"), F.col("step").cast("int")))
+    rows = d.select("file", "doc_id", "step", "size", "n", F.posexplode(parts).alias("k", "part"))
+    final, part = F.col("k") == F.col("n") - 1, F.col("part")
     filled = F.when(final & (F.col("n") > 1) & (F.col("doc_id") % 5 == 1), F.rpad(part, (F.ceil(F.octet_length(part) / 4) * 4).cast("int"), F.lit(b"\0"))).otherwise(part)
     continued = (F.col("n") > 1) & ~(final & (F.col("doc_id") % 3 == 0))
     kind = F.when(F.col("doc_id") % 41 == 7, 0).otherwise(5)
