@@ -24,7 +24,10 @@ def carried_metafiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = metafiles.build_emf(d.select("doc_id", F.lit(0).alias("at"), F.concat(word(70), word(F.octet_length(filled) + 12), word(size), filled).alias("record")), ["doc_id"], ["at"])
     k, total = F.col("doc_id"), F.octet_length("content")
     inner = inner.withColumn("sum", F.lit(0xFFFF).cast("bigint").bitwiseXOR(binary.xor_words(F.col("content"))))
-    parts = inner.withColumn("start", F.explode(F.sequence(F.lit(0), total - 1, F.lit(4000)))).withColumn("part", F.substring("content", F.col("start") + 1, F.lit(4000)))
+    # Only the parts of a file go with its rows, not the file.
+    cut = F.transform(F.sequence(F.lit(0), total - 1, F.lit(4000)), lambda s: F.substring("content", s + 1, F.lit(4000)))
+    parts = inner.select("doc_id", "sum", total.alias("total"), F.posexplode(cut).alias("at", "part")).withColumn("start", F.col("at") * 4000)
+    total = F.col("total")
     current = F.octet_length("part")
     remaining = total - F.col("start") - current
     checksum = F.when(k % 23 == 3, F.col("sum").bitwiseXOR(F.lit(1).cast("bigint"))).when(F.col("start") == 0, F.col("sum")).otherwise(0)

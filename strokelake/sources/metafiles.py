@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -172,19 +173,33 @@ def frame(data: bytes, limits: Limits = Limits()) -> tuple[list[tuple], tuple |
 WALKED = "file string, seq int, format string, type int, flags int, offset long, parent_offset long, raw binary, kind string, field string"
 
 
+#: Rows and bytes of records to give out at once; more only if a file alone has more.
+BATCH_ROWS, BATCH_BYTES = 10_000, 4 << 20
+
+
+def walk_batches(batches: Iterator[pa.RecordBatch], limits: Limits = Limits()) -> Iterator[pa.RecordBatch]:
+    """Batches of columns ``WALKED`` from batches of ``file, content``; many small files share one."""
+    types = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.string()]
+    names = WALKED.replace(",", "").split()[::2]
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+    out, held = [], 0
+    for batch in batches:
+        for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+            data = content.as_py() or b""
+            rows, fault = frame(data, limits)
+            out += [(name, k, *r, None, None) for k, r in enumerate(rows)]
+            if fault:
+                out.append((name, len(rows), None, None, None, fault[0], None, None, fault[2], fault[1]))
+            held += len(data)
+            if len(out) >= BATCH_ROWS or held >= BATCH_BYTES:
+                yield made(out)
+                out, held = [], 0
+    if out:
+        yield made(out)
+
+
 def _walk(files: DataFrame, file_col: str, content_col: str, limits: Limits) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows, fault = frame(content.as_py() or b"", limits)
-                out = [(name, k, *r, None, None) for k, r in enumerate(rows)]
-                if fault:
-                    out.append((name, len(rows), None, None, None, fault[0], None, None, fault[2], fault[1]))
-                types = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.string()]
-                names = WALKED.replace(",", "").split()[::2]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], names=names)
-
-    return files.select(F.col(file_col).cast("string").alias("file"), F.col(content_col).cast("binary").alias("content")).mapInArrow(run, WALKED)
+    return files.select(F.col(file_col).cast("string").alias("file"), F.col(content_col).cast("binary").alias("content")).mapInArrow(lambda batches: walk_batches(batches, limits), WALKED)
 
 
 def records(files: DataFrame, file_col: str = "path", content_col: str = "content", limits: Limits = Limits()) -> DataFrame:
