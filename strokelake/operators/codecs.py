@@ -8,52 +8,17 @@ from pyspark.sql import functions as F
 
 from strokelake.functions import binary
 
-
-def _pack(data: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(data)
-    while i < n:
-        run = 1
-        while run < 128 and i + run < n and data[i + run] == data[i]:
-            run += 1
-        if run > 1:
-            out += bytes((257 - run, data[i]))
-            i += run
-            continue
-        start = i
-        while i < n and i - start < 128 and (i + 1 >= n or data[i + 1] != data[i]):
-            i += 1
-        out.append(i - start - 1)
-        out += data[start:i]
-    return bytes(out)
-
-
-def _unpack(data: bytes) -> bytes | None:
-    out, i = bytearray(), 0
-    while i < len(data):
-        head = data[i]
-        if head < 128:
-            if i + 2 + head > len(data):
-                return None
-            out += data[i + 1 : i + 2 + head]
-            i += 2 + head
-        elif head == 128:
-            i += 1
-        else:
-            if i + 1 >= len(data):
-                return None
-            out += data[i + 1 : i + 2] * (257 - head)
-            i += 2
-    return bytes(out)
+from .packbits import pack, unpack
 
 
 def packbits(data: str) -> Column:
     """PackBits encoding of one row of bytes; null stays null."""
-    return F.pandas_udf(lambda s: s.map(lambda x: None if x is None else _pack(x)), "binary")(data)
+    return F.arrow_udf(pack, "binary")(data)
 
 
 def unpackbits(data: Column) -> Column:
     """PackBits decoding; null for data that end inside a run."""
-    return F.pandas_udf(lambda s: s.map(lambda x: None if x is None else _unpack(x)), "binary")(data)
+    return F.arrow_udf(unpack, "binary")(data)
 
 
 def _encode_rle(pixels: list[int], width: int, bits: int) -> bytes:
