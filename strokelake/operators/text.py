@@ -5,8 +5,11 @@ from __future__ import annotations
 import codecs
 import functools
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -154,9 +157,11 @@ def _kinds() -> np.ndarray:
 
 
 def _levels(text: str) -> np.ndarray:
-    """Embedding levels of text without explicit controls: strong runs, numbers, and neutrals between them."""
-    kinds = _kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
-    at = np.arange(len(kinds))
+    """Embedding levels of text without explicit controls: strong runs, numbers, and neutrals between them. Runs of one kind are looked at, not their characters."""
+    every = _kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+    starts = np.flatnonzero(np.diff(every, prepend=np.uint8(255)))
+    kinds, sizes = every[starts], np.diff(starts, append=len(every))
+    at = np.arange(len(kinds), dtype="int32")
     strong = (kinds == _LEFT) | (kinds == _RIGHT)
     base = int(len(kinds) > 0 and kinds[np.argmax(strong)] == _RIGHT)
     own = _RIGHT if base else _LEFT
@@ -171,27 +176,73 @@ def _levels(text: str) -> np.ndarray:
     left = np.where(before >= 0, side[before], own)
     right = np.where(after < len(at), side[np.minimum(after, len(at) - 1)], own)
     kinds = np.where(given, kinds, np.where(left == right, left, own))
-    return np.array([0, 2 * base, 1, 2], "int32")[kinds]
+    return np.repeat(np.array([0, 2 * base, 1, 2], "int32")[kinds], sizes)
 
 
 def _order(levels: np.ndarray) -> np.ndarray:
-    """Display order: runs are reversed from the highest level down to the lowest odd one."""
-    order = np.arange(len(levels), dtype="int32")
-    for level in range(int(levels.max(initial=0)), 0, -1):
-        high = levels[order] >= level
+    """Display order: runs are reversed from the highest level down to the lowest odd one; a run of an odd level ends up backwards."""
+    starts = np.flatnonzero(np.diff(levels, prepend=-1))
+    runs, sizes = levels[starts], np.diff(starts, append=len(levels))
+    order = np.arange(len(runs))
+    for level in range(int(runs.max(initial=0)), 0, -1):
+        high = runs[order] >= level
         edges = np.flatnonzero(np.diff(np.concatenate([[0], high.astype("int8"), [0]])))
         begin, end = edges[::2], edges[1::2]
         to = np.arange(len(order))
         to[high] = np.repeat(begin + end - 1, end - begin) - to[high]
         order = order[to]
-    return order
+    odd, size = runs[order] % 2 == 1, sizes[order]
+    step = np.where(odd, -1, 1).astype("int32")
+    first = np.where(odd, starts[order] + size - 1, starts[order]) - step * (np.cumsum(size) - size)
+    return np.repeat(first.astype("int32"), size) + np.repeat(step, size) * np.arange(len(levels), dtype="int32")
+
+
+#: Bytes of texts, or levels, to work on at once; a longer text is taken whole.
+PIECE = 1 << 18
+
+
+def _pieces(values: pa.Array) -> Iterator[pa.Array]:
+    """The values of a batch in order, so many at once as hold ``PIECE`` bytes or items, one at least."""
+    length = pc.list_value_length if pa.types.is_list(values.type) or pa.types.is_large_list(values.type) else pc.binary_length
+    ends, i = np.cumsum(pc.fill_null(length(values), 0).to_numpy(zero_copy_only=False), dtype="int64"), 0
+    while i < len(values):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PIECE, "right")))
+        yield values.slice(i, j - i)
+        i = j
+
+
+def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
+    places = np.cumsum([0, *[0 if a is None else len(a) for a in arrays]], dtype="int32")
+    content = np.concatenate([np.zeros(0, "int32"), *[a for a in arrays if a is not None]])
+    return pa.ListArray.from_arrays(pa.array(places), pa.array(content), mask=pa.array([a is None for a in arrays], pa.bool_()))
+
+
+def _level_lists(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for part in (p for batch in texts for p in _pieces(batch)):
+        yield _lists([None if t is None else _levels(t) for t in part.to_pylist()])
+
+
+def _order_lists(levels: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for part in (p for batch in levels for p in _pieces(batch)):
+        yield _lists([_order(x.values.to_numpy(zero_copy_only=False).astype("int32")) if x.is_valid else None for x in part])
+
+
+def _both_lists(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for part in (p for batch in texts for p in _pieces(batch)):
+        levels = [None if t is None else _levels(t) for t in part.to_pylist()]
+        yield pa.StructArray.from_arrays([_lists(levels), _lists([None if x is None else _order(x) for x in levels])], ["levels", "display"])
 
 
 def bidi_levels(text: str) -> Column:
     """The embedding level of each code point; null stays null. Explicit controls count as neutral."""
-    return F.pandas_udf(lambda s: s.map(lambda t: None if t is None else _levels(t)), "array<int>")(text)
+    return F.arrow_udf(_level_lists, "array<int>")(text)
 
 
 def display_order(levels: str) -> Column:
     """Logical indices in display order."""
-    return F.pandas_udf(lambda s: s.map(lambda x: None if x is None else _order(np.asarray(x))), "array<int>")(levels)
+    return F.arrow_udf(_order_lists, "array<int>")(levels)
+
+
+def bidi(text: str) -> Column:
+    """``struct<levels, display>``: ``bidi_levels`` and their ``display_order`` at once, so that texts go to Python once and levels not again."""
+    return F.arrow_udf(_both_lists, "levels array<int>, display array<int>")(text)
