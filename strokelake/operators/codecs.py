@@ -108,21 +108,22 @@ def expand_runs(runs: Column) -> Column:
 
 
 def fragments(data: Column, size: int) -> Column:
-    """``array<struct<current, remaining, bytes>>`` of a binary cut into fragments, as an embedded file is carried."""
+    """``array<struct<current, remaining, bytes>>`` of a binary cut into fragments, as an embedded file is carried; an empty one is one empty fragment, null stays null."""
     n = F.octet_length(data)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
+    starts = F.sequence(F.lit(0), F.when(n > 0, n - 1).otherwise(n), F.lit(size))
     return F.transform(starts, lambda s: F.struct(F.least(F.lit(size), n - s).alias("current"), F.greatest(F.lit(0), n - s - size).alias("remaining"), F.substring(data, s + 1, F.lit(size)).alias("bytes")))
 
 
 def join_fragments(rows: DataFrame, keys: list[str], order: str, part_col: str = "part") -> DataFrame:
     """``keys, content, checksum, whole``: fragments put together in order; whole tells whether every remaining count agrees.
 
+    The keys name one file. A null part stands for none (``posexplode_outer`` gives one for null data); content is null without parts.
     The checksum is the complement of the exclusive or of all words of an even-sized content.
     """
     listed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, part_col))).alias("_parts"))
-    parts = F.transform("_parts", lambda p: p[part_col])
+    parts = F.filter(F.transform("_parts", lambda p: p[part_col]), lambda p: p.isNotNull())
     listed = listed.select(*keys, parts.alias("_parts"))
-    content = binary.joined(F.col("_parts.bytes"))
+    content = F.when(F.size("_parts") > 0, binary.joined(F.col("_parts.bytes")))
     listed = listed.select(*keys, "_parts", content.alias("content"))
     total = F.octet_length("content")
     # What remains after a fragment is the total less all bytes up to it.

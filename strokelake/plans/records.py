@@ -119,9 +119,10 @@ def decode_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select doc_id, cast(strlen(text) as bigint) as n_bytes, md5(text) as digest, true as whole from documents""")
 def wmfc_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embedded files carried as fragments of 4000 bytes, put together again."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(codecs.fragments(F.encode("text", "UTF-8"), 4000)).alias("k", "part"))
-    joined = codecs.join_fragments(docs, ["doc_id"], "k")
+    """Embedded files carried as fragments of 4000 bytes, put together again; rows that repeat an id are files of their own."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data"), F.monotonically_increasing_id().alias("row"))
+    parts = docs.select("row", "doc_id", F.posexplode_outer(codecs.fragments(F.col("data"), 4000)).alias("k", "part"))
+    joined = codecs.join_fragments(parts, ["row", "doc_id"], "k")
     return joined.select("doc_id", F.octet_length("content").cast("long").alias("n_bytes"), F.md5("content").alias("digest"), "whole")
 
 
